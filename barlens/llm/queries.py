@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlens.llm import block_naming, bpe
+from barlens.llm import block_naming, bpe, simhash
 from barlens.llm.common import read
 
 
@@ -20,9 +20,14 @@ def op3_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.groups(read(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_block_naming_dedup": op3_block_naming_dedup,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
