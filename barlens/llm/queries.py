@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlens.llm import block_naming, bpe, simhash
+from barlens.llm import block_naming, bpe, decontaminate, simhash
 from barlens.llm.common import read
 
 
@@ -16,6 +16,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.groups(read(spark, sf_dir, "documents"))
 
@@ -26,10 +30,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_containment": op2_containment,
     "op3_block_naming_dedup": op3_block_naming_dedup,
     "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_containment": decontaminate.ORACLE,
     "op3_block_naming_dedup": block_naming.ORACLE,
 }
