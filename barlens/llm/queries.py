@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlens.llm import block_naming, bpe, decontaminate, simhash
+from barlens.llm import block_naming, bpe, decontaminate, quality, simhash
 from barlens.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op3_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.groups(read(spark, sf_dir, "documents"))
 
 
+def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_containment": op2_containment,
     "op3_block_naming_dedup": op3_block_naming_dedup,
+    "op4_quality_trees": op4_quality_trees,
     "op10_simhash": op10_simhash,
 }
 
