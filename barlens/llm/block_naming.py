@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.common import ascii_lower, cut, semi
+from barlens.llm.common import ascii_lower, cut, semi, spread_join
 
 BLOCK_BYTES = 4096
 
@@ -77,7 +77,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         named = _named(pairs.groupBy("left", "right").agg(F.lit(1).alias("one")), ["left", "right"], "name").drop("one")
         width *= 2
-        state = cut(pairs.join(cut(named).hint("shuffle_merge"), ["left", "right"]).select("row", "n", "pos", "name"))
+        state = cut(spread_join(pairs, cut(named), ["left", "right"]).select("row", "n", "pos", "name"))
         done.append(state.filter((F.col("n") <= width)).select("row", "n", "name"))
     whole = done[0]
     for part in done[1:]:
@@ -95,7 +95,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     """
     named = cut(identities(docs, id_col, text_col, block_bytes).withColumn("_order", F.struct(F.col(id_col).alias("id"), (-F.col("row")).alias("order"))))
     best = named.groupBy("n_blocks", "name").agg(F.max("_order").alias("_best"), F.count(F.lit(1)).alias("group_size"))
-    return named.join(best.hint("shuffle_merge"), ["n_blocks", "name"]).select(
+    return spread_join(named, best, ["n_blocks", "name"]).select(
         F.col(id_col),
         F.col("_best.id").alias("keep_id"),
         "group_size",

@@ -91,3 +91,13 @@ def semi(frame: DataFrame, ids: DataFrame, key: str, n_ids: int, how: str = "lef
     else:
         ids = ids.hint("shuffle_merge")
     return frame.join(ids, key, how)
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joins on integer keys where left may have a hot key and right has each key once. Both sides go by the
+    complement of their keys, for which no earlier partitioning is known: so each is exchanged for this
+    join alone, and adaptive execution can split the partition of a hot key."""
+    made = [f"_join_{k}" for k in keys]
+    left = left.withColumns({m: F.bitwise_not(F.col(k)) for m, k in zip(made, keys, strict=True)})
+    right = right.select(*(F.bitwise_not(F.col(k)).alias(m) for m, k in zip(made, keys, strict=True)), *(c for c in right.columns if c not in keys))
+    return left.join(right.hint("shuffle_merge"), made, how).drop(*made)

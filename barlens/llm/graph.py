@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.common import cut
+from barlens.llm.common import cut, spread_join
 
 
 def _with_least(links: DataFrame) -> DataFrame:
     """(u, v, m): m is the least of u and its neighbours. Aggregated before it is joined, so that a node
     with very many neighbours makes no large group; the join's large keys are split at run time."""
     least = links.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return links.join(least.hint("shuffle_merge"), "u")
+    return spread_join(links, least, ["u"])
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.common import bound_batches, cut, rows_to_arrow, semi
+from barlens.llm.common import bound_batches, cut, rows_to_arrow, semi, spread_join
 from barlens.llm.graph import components
 
 SEED, SHINGLE_WORDS, MAX_BITS = 42, 3, 3
@@ -118,7 +118,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(least, "root").select("f", "component_id")
     named = classes.join(linked, "f", "left").select("f", F.coalesce("component_id", "least").alias("component_id"))
-    return printed.join(named.hint("shuffle_merge"), "f").select(
+    return spread_join(printed, named, ["f"]).select(
         F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col),
         F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"),
         "component_id",
