@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlens.llm import block_naming, bpe, decontaminate, quality, simhash
+from barlens.llm import block_naming, bpe, decontaminate, quality, simhash, warc
 from barlens.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(read(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read(spark, sf_dir, "documents"))
 
@@ -37,10 +41,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_containment": op2_containment,
     "op3_block_naming_dedup": op3_block_naming_dedup,
     "op4_quality_trees": op4_quality_trees,
+    "op7_warc": op7_warc,
     "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
     "op2_containment": decontaminate.ORACLE,
     "op3_block_naming_dedup": block_naming.ORACLE,
+    "op7_warc": warc.ORACLE,
 }
