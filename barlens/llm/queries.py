@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlens.llm import block_naming, bpe, decontaminate, licenses, quality, simhash, warc
+from barlens.llm import block_naming, bpe, decontaminate, language, licenses, quality, simhash, warc
 from barlens.llm.common import read
 
 
@@ -32,6 +32,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(read(spark, sf_dir, "pages"))
 
 
+def op8_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted(read(spark, sf_dir, "documents"))
+
+
 def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(read(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_block_naming_dedup": op3_block_naming_dedup,
     "op4_quality_trees": op4_quality_trees,
     "op7_warc": op7_warc,
+    "op8_language_gru": op8_language_gru,
     "op9_license_rules": op9_license_rules,
     "op10_simhash": op10_simhash,
 }
