@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlens.llm import block_naming, bpe, decontaminate, language, licenses, quality, simhash, warc
+from barlens.llm import block_naming, bpe, decontaminate, language, licenses, pii, quality, simhash, warc
 from barlens.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(read(spark, sf_dir, "pages"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_containment": op2_containment,
     "op3_block_naming_dedup": op3_block_naming_dedup,
     "op4_quality_trees": op4_quality_trees,
+    "op5_pii": op5_pii,
     "op7_warc": op7_warc,
     "op8_language_gru": op8_language_gru,
     "op9_license_rules": op9_license_rules,
