@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlens.llm import block_naming, bpe, decontaminate, language, licenses, pii, quality, simhash, warc
+from barlens.llm import block_naming, bpe, decontaminate, language, licenses, pii, quality, secrets, simhash, warc
 from barlens.llm.common import read
 
 
@@ -32,6 +32,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+def op6_secrets_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(read(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(read(spark, sf_dir, "pages"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_block_naming_dedup": op3_block_naming_dedup,
     "op4_quality_trees": op4_quality_trees,
     "op5_pii": op5_pii,
+    "op6_secrets_crf": op6_secrets_crf,
     "op7_warc": op7_warc,
     "op8_language_gru": op8_language_gru,
     "op9_license_rules": op9_license_rules,
