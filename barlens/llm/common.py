@@ -85,8 +85,8 @@ def cut(frame: DataFrame) -> DataFrame:
 
 def semi(frame: DataFrame, ids: DataFrame, key: str, n_ids: int, how: str = "left_semi") -> DataFrame:
     """frame restricted to (left_semi) or without (left_anti) the keys of ids. ids, which holds n_ids
-    rows of a long, is broadcast only below BROADCAST_BYTES; beyond, both sides shuffle on the key."""
-    if n_ids * 48 < BROADCAST_BYTES:
+    rows of a long or a word, is broadcast only below BROADCAST_BYTES; beyond, both sides shuffle on the key."""
+    if n_ids * 64 < BROADCAST_BYTES:
         ids = F.broadcast(ids)
     else:
         ids = ids.hint("shuffle_merge")
@@ -101,3 +101,15 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     left = left.withColumns({m: F.bitwise_not(F.col(k)) for m, k in zip(made, keys, strict=True)})
     right = right.select(*(F.bitwise_not(F.col(k)).alias(m) for m, k in zip(made, keys, strict=True)), *(c for c in right.columns if c not in keys))
     return left.join(right.hint("shuffle_merge"), made, how).drop(*made)
+
+
+def least_hashed(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """The at most so many rows of the least hashes of their ids: a bounded sample that does not depend on
+    how rows are dealt. Where there are many, a cut of the hashes far above what is needed comes first, so
+    that the partitions don't each send as many rows to the last task."""
+    spread = 1 << 30
+    n = rows.count()
+    hashed = rows.withColumn("_hash", F.pmod(F.xxhash64(id_col), F.lit(spread)))
+    if n > 8 * most:
+        hashed = hashed.filter(F.col("_hash") < spread * 4 * most // n)
+    return hashed.orderBy("_hash", id_col).limit(most).drop("_hash")

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.common import BROADCAST_BYTES, bound_batches, cut, rows_to_arrow, semi, spread_join
+from barlens.llm.common import bound_batches, cut, rows_to_arrow, semi, spread_join
 
 KINDS = ("email", "ip", "card", "phone")
 #: Terms up to so many words away, within so many characters, stand near an entity.
@@ -144,29 +144,30 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(entity, term, n_et, n_e, n_t, share): the pairs whose share of the entity's information reaches GENERALISE.
     All counts are of documents, over the whole corpus."""
-    total = docs.count()
-    pairs = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term").distinct()
+    total = F.lit(float(max(docs.count(), 1)))
+    pairs = cut(found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term").distinct())
     together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= LEAST_SUPPORT)
-    together = cut(together)
-    terms = cut(together.select("term").distinct())
-    n_terms = terms.count()
-    words = docs.select(
-        F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("term")
-    )
-    if n_terms * 256 < BROADCAST_BYTES:
-        counted = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    else:
-        counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(terms, "term", "left_semi")
     of_entity = (
         found.select("row", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
         .groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     )
-    both = together.join(counted, "term").join(of_entity.hint("shuffle_merge"), "entity")
-    n_t = F.greatest("n_t", "n_et")
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
-    pmi = F.log2(F.col("n_et") * F.lit(float(max(total, 1))) / (F.col("n_e") * n_t))
-    share = F.when(information > 0, pmi / information)
-    return both.withColumn("share", share).filter(F.col("share") >= GENERALISE)
+    # a term occurs at least as often as it stands near any entity: that bounds what it can tell of one, and
+    # leaves out words that are common near many, before terms are counted over whole texts
+    near_any = pairs.select("row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    information = F.log2(total / F.col("n_e"))
+
+    def share(n_t: Column) -> Column:
+        return F.when(information > 0, F.log2(F.col("n_et") * total / (F.col("n_e") * n_t)) / information)
+
+    possible = together.join(of_entity, "entity").join(near_any, "term").withColumn("n_least", F.greatest("n_near", "n_et"))
+    possible = cut(possible.filter(share(F.col("n_least")) >= GENERALISE))
+    terms = cut(possible.select("term").distinct())
+    words = docs.select(
+        F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("term")
+    )
+    counted = semi(words, terms, "term", terms.count()).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    both = possible.join(counted, "term", "left").withColumn("n_t", F.greatest("n_t", "n_least"))
+    return both.withColumn("share", share(F.col("n_t"))).filter(F.col("share") >= GENERALISE)
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
