@@ -1,0 +1,36 @@
+"""The HTTP surface: health, the provider's settings, and the two lists that are not filled yet."""
+
+from __future__ import annotations
+
+import json
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+from barlens.config import Settings, get_settings
+
+
+def respond(path: str, settings: Settings | None = None) -> tuple[int, object]:
+    """Status and body of a GET."""
+    s = settings or get_settings()
+    routes = {
+        "/health": {"status": "ok"},
+        "/settings/provider": {"provider": s.data_provider, "configured": s.provider_configured},
+        "/universe": [],
+        "/scores/today": [],
+    }
+    found = routes.get(path.rstrip("/") or "/")
+    return (404, {"detail": "Not Found"}) if found is None else (200, found)
+
+
+class Handler(BaseHTTPRequestHandler):
+    def do_GET(self) -> None:
+        status, body = respond(self.path.split("?")[0])
+        data = json.dumps(body).encode()
+        self.send_response(status)
+        self.send_header("Content-Type", "application/json")
+        self.send_header("Content-Length", str(len(data)))
+        self.end_headers()
+        self.wfile.write(data)
+
+
+def serve(port: int = 8000) -> ThreadingHTTPServer:
+    return ThreadingHTTPServer(("127.0.0.1", port), Handler)
