@@ -7,8 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "date": T.DateType(), "double": T.DoubleType(), "bigint": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Flat columns written as name and type; StructType.fromDDL would need a running session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in text.split(","))])
 
 
 @dataclass(frozen=True)
