@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlens.llm import gru
-from barlens.llm.common import bound_batches, cut, remainder, rows_to_arrow, semi
+from barlens.llm.common import bound_batches, cut, least_hashed, remainder, rows_to_arrow, semi
 
 #: At most so many documents are learnt from, those of the least hashes of their ids, and so many chunks of each.
 MAX_TRAINING_ROWS, CHUNKS_A_ROW, TRAINING_CHUNK = 4_000, 6, 64
@@ -54,7 +54,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     bound_batches(docs.sparkSession)
     usable = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (remainder(F.col(id_col)) != 0))
     ids = usable.groupBy(F.col(id_col).alias("id")).agg(F.max(lang_col).alias("lang"))
-    chosen = cut(ids.orderBy(F.xxhash64("id"), "id").limit(max_rows))
+    chosen = cut(least_hashed(ids, "id", max_rows))
     text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     schema = pa.schema([("id", pa.int64()), ("chunks", pa.list_(pa.binary()))])
     mine = semi(text, chosen.select("id"), "id", chosen.count())

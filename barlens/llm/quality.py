@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.common import bound_batches, cut, remainder, rows_to_arrow, semi
+from barlens.llm.common import bound_batches, cut, least_hashed, remainder, rows_to_arrow, semi
 from barlens.llm.trees import Forest, fit
 
 #: At most so many labelled rows are learnt from, those of the least hashes of their ids.
@@ -91,7 +91,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     usable = usable.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & (remainder(F.col("id")) != 0))
     chosen = usable.groupBy("id").agg(F.max("label").alias("label"))
-    chosen = cut(chosen.orderBy(F.xxhash64("id"), "id").limit(max_rows))
+    chosen = cut(least_hashed(chosen, "id", max_rows))
     n = chosen.count()
     mine = semi(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), chosen.select("id"), "id", n)
     rows = _statistics(mine, "id", "text").join(chosen, F.col("doc_id") == F.col("id")).select("doc_id", "x", "label")

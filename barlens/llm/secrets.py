@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlens.llm import crf
-from barlens.llm.common import bound_batches, rows_to_arrow
+from barlens.llm.common import bound_batches, cut, least_hashed, rows_to_arrow, semi
 
 KINDS = ("assign", "access", "hex", "crf")
 #: The field is taught on at most so many documents with and without base spans, those of the least hashes of their ids.
@@ -119,12 +119,14 @@ def taught_windows(text: str | None) -> list[dict]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAINING_ROWS) -> crf.Weights | None:
     """Teaches the field on windows of at most max_rows documents that look like having base spans and as
-    many others. None if there is no text with a base span: then it has nothing to go by and tags nothing."""
+    many others; rows without an id are not learnt from. None if there is no text with a base span: then it has nothing to go by and tags nothing."""
     bound_batches(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hit = F.col("text").rlike(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]|(?-i)AKIA[A-Z0-9]{16}|[0-9a-f]{24}""")
-    order = (F.xxhash64("id"), "id", F.xxhash64("text"))
-    some = text.filter(hit).orderBy(*order).limit(max_rows).unionByName(text.filter(~hit).orderBy(*order).limit(max_rows))
+    told = cut(text.filter("id is not null").groupBy("id").agg(F.max(hit.cast("int")).alias("hit")))
+    chosen = least_hashed(told.filter("hit = 1").select("id"), "id", max_rows).unionByName(least_hashed(told.filter("hit = 0").select("id"), "id", max_rows))
+    chosen = cut(chosen)
+    some = semi(text, chosen, "id", chosen.count())
     window = pa.struct([("classes", pa.list_(pa.int16())), ("labels", pa.list_(pa.int8())), ("file", pa.int8())])
     schema = pa.schema([("id", pa.int64()), ("windows", pa.list_(window))])
     found = some.mapInArrow(
