@@ -53,12 +53,10 @@ def test_cache_generations(reference, monkeypatch):
     assert small.encode(t) == reference.encode_ordinary(t)
 
 
-def test_queue_order():
-    q = bpe.RankQueue(1000)
-    assert q.top == 0
-    for rank, place in ((700, 5), (3, 9), (3, 2), (999, 0)):
-        q.push(rank, place)
-    assert (q.top & -q.top).bit_length() - 1 == 0 and q.buckets[3][0] == 2
+def test_queue_is_empty_between_pieces(coder, reference):
+    for t in ("unfathomable", "x" * 999, "ñandú" * 50):
+        assert coder.merge(t.encode()) == reference.encode_ordinary(t)
+        assert not coder.queue.buckets and not any(coder.queue.leaves)
 
 
 def test_table(spark, odd, none, reference):
