@@ -34,6 +34,11 @@ def adjusted_weekly(spark: SparkSession, sf: str, market: str = "supplier") -> D
     return B.adjusted(B.weekly(testdata.bars(spark, sf, market)), testdata.universe(spark, sf, market), on="week_end_date")
 
 
+def held(frame: DataFrame) -> DataFrame:
+    """Kept while a query uses it in several branches: it stands for a stored table, which a catalog would have."""
+    return frame.persist()
+
+
 @register
 def bars_daily(spark, sf):
     return testdata.bars(spark, sf).select("symbol", "date", r("open"), r("high"), r("low"), r("close"), "volume", r("adj_close"))
@@ -174,12 +179,14 @@ def vcp_checks(spark, sf):
 
 @register
 def vcp_daily_confirmation(spark, sf):
+    held(testdata.bars(spark, sf))
     c = contraction.checks(contraction.sequence(contraction.contractions(_swings(spark, sf))))
     d = contraction.daily_confirmation(adjusted(spark, sf), c)
     return d.select("symbol", "as_of_date", r("distance_to_pivot_fraction"), "near_pivot", "tight_close_count", r("tight_close_range_fraction"), "tight_closes_confirmed", "breakout_confirmed")
 
 
 def patterns(spark, sf, market: str = "supplier") -> DataFrame:
+    held(testdata.bars(spark, sf, market))
     return contraction.detect(adjusted_weekly(spark, sf, market), adjusted(spark, sf, market), lists=False)
 
 
@@ -207,7 +214,7 @@ def pivot_spike(spark, sf):
 
 
 def signals(spark, sf, market: str = "supplier", found: DataFrame | None = None) -> DataFrame:
-    found = patterns(spark, sf, market) if found is None else found
+    found = held(patterns(spark, sf, market)) if found is None else found
     return volume.signals(adjusted(spark, sf, market), B.latest_date(found).select("symbol", "pivot_price"))
 
 
@@ -222,9 +229,10 @@ def volume_signals(spark, sf):
 
 def scored(spark, sf) -> DataFrame:
     """The parts for nation symbols."""
-    rated = strength.ratings(_closes(spark, sf))
-    daily = template(spark, sf, "daily", "nation", rated)
-    found = patterns(spark, sf, "nation")
+    held(testdata.bars(spark, sf, "nation"))
+    rated = held(strength.ratings(_closes(spark, sf)))
+    daily = held(template(spark, sf, "daily", "nation", rated))
+    found = held(patterns(spark, sf, "nation"))
     rows = score.assemble(daily, template(spark, sf, "weekly", "nation"), stage.classify(daily), rated, found, signals(spark, sf, "nation", found))
     return score.components(rows)
 
