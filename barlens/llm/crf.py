@@ -1,7 +1,9 @@
 """A linear-chain conditional random field over token classes, in numpy, with exact Viterbi decoding.
 
-A token's score for a label is the sum of a weight of its own class, of the classes of the two tokens
-before it and of the one after it, and of a class of its file. Labels are outside, begin and inside.
+A token's score for a label is the sum of a weight of its own class, of the coarse kind of that class, of
+the classes of the two tokens before it and of the one after it, and of a class of its file. In training
+a token's own class is hidden now and then, so that its kind and its neighbours must tell as well; a class
+that never occurred there counts as hidden. Labels are outside, begin and inside.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ OFFSETS = (0, -1, -2, 1)
 
 @dataclass(frozen=True)
 class Weights:
-    """near: (offsets, classes, labels); file: (file classes, labels); move: (from, to)."""
+    """near: (offsets, classes, labels); kind: (classes, labels); file: (file classes, labels); move: (from, to)."""
 
     near: np.ndarray
+    kind: np.ndarray
     file: np.ndarray
     move: np.ndarray
 
@@ -28,7 +31,7 @@ class Weights:
         """Of one document: (tokens, labels). Class 0 stands beyond both ends."""
         padded = np.concatenate([[0, 0], classes, [0]])
         n = len(classes)
-        out = self.near[0][classes]
+        out = self.near[0][classes] + self.kind[classes]
         for k, offset in enumerate(OFFSETS[1:], 1):
             out = out + self.near[k][padded[2 + offset : 2 + offset + n]]
         return out + self.file[file_class]
@@ -39,22 +42,30 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(classes: np.ndarray, files: np.ndarray, labels: np.ndarray, n_classes: int, n_files: int, steps: int = 150, rate: float = 0.15, decay: float = 2e-5) -> Weights:
+def train(
+    classes: np.ndarray, files: np.ndarray, labels: np.ndarray, kinds: np.ndarray, n_files: int, steps: int = 200, rate: float = 0.2, decay: float = 5e-6, hidden: float = 0.6, seed: int = 3
+) -> Weights:
     """Maximises the likelihood of labels by Adam on all sequences at once. classes: (rows, steps + 3), with
-    two more before and one after each sequence; labels: (rows, steps), -1 past the end of a sequence."""
+    two more before and one after each sequence; labels: (rows, steps), -1 past the end of a sequence;
+    kinds: the coarse kind of each class."""
     rows, length = labels.shape
     valid = labels >= 0
-    near, file, move = np.zeros((len(OFFSETS), n_classes, LABELS)), np.zeros((n_files, LABELS)), np.zeros((LABELS, LABELS))
-    views = [classes[:, 2 + o : 2 + o + length] for o in OFFSETS]
+    n_classes, n_kinds, rng = len(kinds), int(kinds.max()) + 1, np.random.default_rng(seed)
+    near, file, move = np.zeros((len(OFFSETS), n_classes + 1, LABELS)), np.zeros((n_files, LABELS)), np.zeros((LABELS, LABELS))
+    kind = np.zeros((n_kinds, LABELS))
+    own = [classes[:, 2 + o : 2 + o + length] for o in OFFSETS]
+    of_kind = kinds[own[0]]
     truth = np.zeros((rows, length, LABELS))
     np.put_along_axis(truth, np.maximum(labels, 0)[..., None], 1, axis=2)
     truth *= valid[..., None]
     moved = np.zeros((LABELS, LABELS))
     pairs = valid[:, 1:] & valid[:, :-1]
     np.add.at(moved, (labels[:, :-1][pairs], labels[:, 1:][pairs]), 1)
-    m, v = [np.zeros_like(x) for x in (near, file, move)], [np.zeros_like(x) for x in (near, file, move)]
+    params = [near, kind, file, move]
+    m, v = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     for step in range(1, steps + 1):
-        e = sum(near[k][views[k]] for k in range(len(OFFSETS))) + file[files][:, None, :]
+        views = [np.where(rng.random(own[0].shape) < hidden, n_classes, own[0]), *own[1:]]
+        e = sum(near[k][views[k]] for k in range(len(OFFSETS))) + kind[of_kind] + file[files][:, None, :]
         forward, backward = np.empty_like(e), np.zeros_like(e)
         forward[:, 0] = e[:, 0]
         for t in range(1, length):
@@ -68,17 +79,19 @@ def train(classes: np.ndarray, files: np.ndarray, labels: np.ndarray, n_classes:
         d = marginal - truth
         joint = forward[:, :-1, :, None] + move + (e[:, 1:] + backward[:, 1:])[:, :, None, :] - whole[:, None, None, None]
         grads = [
-            np.stack([np.stack([np.bincount(views[k].ravel(), d[..., y].ravel(), n_classes) for y in range(LABELS)], 1) for k in range(len(OFFSETS))]),
+            np.stack([np.stack([np.bincount(views[k].ravel(), d[..., y].ravel(), n_classes + 1) for y in range(LABELS)], 1) for k in range(len(OFFSETS))]),
+            np.stack([np.bincount(of_kind.ravel(), d[..., y].ravel(), n_kinds) for y in range(LABELS)], 1),
             np.stack([np.bincount(files, d[..., y].sum(1), n_files) for y in range(LABELS)], 1),
             (np.exp(joint) * pairs[..., None, None]).sum((0, 1)) - moved,
         ]
-        params = [near, file, move]
         for i, g in enumerate(grads):
             g = g / max(valid.sum(), 1) + decay * params[i]
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
             params[i] -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
-    return Weights(near, file, move)
+    unseen = np.bincount(own[0][valid], minlength=n_classes)[:n_classes] == 0
+    near[0][:n_classes][unseen] = near[0][n_classes]
+    return Weights(near[:, :n_classes], kind[kinds], file, move)
 
 
 def _viterbi(e: np.ndarray, move: np.ndarray, before: np.ndarray | None, after: np.ndarray | None) -> list[int]:

@@ -51,6 +51,17 @@ N_CLASSES = _FIRST_SHAPE + (len(_SHAPES) + 1) * (len(_LENGTHS) + 1)
 N_FILES = 8
 
 
+def _kind(c: int) -> int:
+    """Beyond an end, a mark, a naming word, letters only, digits only, or both: short, middling, long."""
+    if c < _FIRST_SHAPE:
+        return 0 if c == 0 else 2 if c == _NAMING else 1
+    shape, length = divmod(c - _FIRST_SHAPE, len(_LENGTHS) + 1)
+    return 3 if shape < 4 or shape == len(_SHAPES) else 4 if shape == 4 else 5 + (length >= 3) + (length >= 5)
+
+
+KINDS_OF_CLASSES = np.array([_kind(c) for c in range(N_CLASSES)])
+
+
 def token_class(token: str) -> int:
     if not (token[0].isalnum() or token[0] == "_"):
         return _PUNCTUATION.get(token, _OTHER_MARK)
@@ -142,7 +153,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_r
     for i, w in enumerate(rows):
         classes[i, : len(w["classes"])] = w["classes"]
         labels[i, : len(w["labels"])] = w["labels"]
-    return crf.train(classes, np.array([w["file"] for w in rows]), labels, N_CLASSES, N_FILES)
+    return crf.train(classes, np.array([w["file"] for w in rows]), labels, KINDS_OF_CLASSES, N_FILES)
 
 
 def tagged(text: str | None, weights: crf.Weights | None) -> list[tuple[int, int]]:

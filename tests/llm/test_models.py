@@ -125,7 +125,7 @@ def brute_best(e, move):
 def test_decoding_is_exact():
     rng = np.random.default_rng(3)
     for _ in range(200):
-        w = crf.Weights(np.zeros((4, 1, 3)), np.zeros((1, 3)), rng.normal(size=(3, 3)))
+        w = crf.Weights(np.zeros((4, 1, 3)), np.zeros((1, 3)), np.zeros((1, 3)), rng.normal(size=(3, 3)))
         e = rng.normal(size=(rng.integers(1, 8), 3)) * 2
         e[rng.random(len(e)) < 0.5, 0] += 8
         best, total = brute_best(e, w.move)
@@ -141,7 +141,7 @@ def test_field_learns_shapes():
         labels[r, at + 1], labels[r, at + 2] = 1, 2
     padded = np.zeros((200, 15), int)
     padded[:, 2:14] = classes
-    w = crf.train(padded[:150], np.zeros(150, int), labels[:150], 10, 1)
+    w = crf.train(padded[:150], np.zeros(150, int), labels[:150], np.zeros(10, int), 1)
     got = np.array([crf.decode(w, w.emissions(classes[r], 0)) for r in range(150, 200)])
     assert (got == labels[150:]).mean() > 0.99
 
