@@ -235,3 +235,28 @@ def symbol_template(catalog: Catalog, symbol: str, timeframe: str = "daily", con
     bars = B.adjusted(catalog.read(table).filter(F.col("symbol") == symbol), on=on)
     rows = trend.template(trend.latest(bars, config.of(timeframe)), config, catalog.read("rs_ratings_daily").filter(F.col("symbol") == symbol))
     return trend.explained(rows, config)
+
+
+def symbol_pattern(catalog: Catalog, symbol: str, config: Contraction = Contraction()) -> DataFrame:
+    """The pattern of one symbol, active or not, from adjusted prices as in the batch."""
+    mine = F.col("symbol") == symbol
+    return contraction.detect(B.adjusted(catalog.read("ohlcv_weekly").filter(mine), on="week_end_date"), B.adjusted(catalog.read("ohlcv_daily").filter(mine)), config)
+
+
+def symbol_volume(catalog: Catalog, symbol: str, config: Volume = Volume()) -> DataFrame:
+    """The volume signals of one symbol, near the last pivot that any of its patterns had."""
+    mine = F.col("symbol") == symbol
+    pivots = B.latest_per_symbol(catalog.read("vcp_results_weekly").filter(mine & F.col("pivot_price").isNotNull()).select("symbol", "date", "pivot_price"))
+    return volume.signals(B.adjusted(catalog.read("ohlcv_daily").filter(mine)), pivots.select("symbol", "pivot_price"), config)
+
+
+def symbol_score(catalog: Catalog, symbol: str, config: Score = Score(), trend_config: Trend = Trend()) -> DataFrame:
+    """The score of one symbol from its own latest parts."""
+    def of(table: str) -> DataFrame:
+        return catalog.read(table).filter(F.col("symbol") == symbol)
+
+    ratings = of("rs_ratings_daily")
+    d = trend.template(trend.latest(B.adjusted(of("ohlcv_daily")), PERIODS["daily"]), trend_config, ratings)
+    w = trend.template(trend.latest(B.adjusted(of("ohlcv_weekly"), on="week_end_date"), PERIODS["weekly"]), trend_config, ratings)
+    rows = score.assemble(d, w, of("market_stages_daily"), ratings, of("vcp_results_weekly"), of("volume_signals_daily"), "per_symbol")
+    return score.combine(score.components(rows, config), config)

@@ -149,6 +149,8 @@ def test_scoring_of_stored_parts(spark, catalog):
     with pytest.raises(ValueError):
         runs.scores(catalog, "never")
     assert len(runs.symbol_template(catalog, "A").first().criteria) == 8
+    assert runs.symbol_score(catalog, "A").first().composite_score == 97.78 and runs.symbol_score(catalog, "Z").isEmpty()
+    assert runs.symbol_volume(catalog, "A").first().pivot_price_used == 1.0 and runs.symbol_pattern(catalog, "A").isEmpty()
 
 
 def test_all_analytics_and_quality(spark, catalog, tmp_path):
