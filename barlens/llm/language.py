@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from barlens.llm.common import bound_batches, cut, least_hashed, remainder, rows
 #: At most so many documents are learnt from, those of the least hashes of their ids, and so many chunks of each.
 MAX_TRAINING_ROWS, CHUNKS_A_ROW, TRAINING_CHUNK = 4_000, 6, 64
 UNDETERMINED = "und"
-_letter = re.compile(r"[^\W\d_]").search
+_letter = regex.compile(r"\p{L}").search
 
 
 def _sample(text: str | None) -> list[bytes]:
