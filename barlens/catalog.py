@@ -1,19 +1,23 @@
 """Stored tables as versions of parquet folders, with key-based writes that can be repeated.
 
-A write makes a new version beside the old one; the newest version that was completed (its folder has
-_SUCCESS) is the table. So a failed write changes nothing, and readers never see half of one.
+A write makes a new version beside the old ones and ends with a commit file that says which parts of the
+table it replaces and holds. Large tables are parted by year, and a merge reads and writes only the years
+it touches. So a failed write changes nothing, and readers never see half of one. One writer at a time.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barlens.schema import TABLES
 
+COMMIT, PART, EVERY = "_COMMIT", "part", "*"
+
 
 def upserted(existing: DataFrame, staged: DataFrame, keys: Iterable[str]) -> DataFrame:
     """Rows of staged, and those of existing whose keys it lacks."""
@@ -37,21 +41,42 @@ class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, str(root).rstrip("/")
 
-    def _folder(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+    def _path(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def _versions(self, name: str) -> list[int]:
-        fs, path = self._folder(name)
+        """Numbers of all versions, finished or not."""
+        fs, path = self._path(name)
         if not fs.exists(path):
             return []
-        found = []
-        for status in fs.listStatus(path):
-            leaf = status.getPath().getName()
-            done = self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if leaf.startswith("v=") and fs.exists(done):
-                found.append(int(leaf[2:]))
-        return sorted(found)
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return sorted(int(n[2:]) for n in names if n.startswith("v="))
+
+    def _commit(self, name: str, version: int, commit: dict[str, list[str]]) -> None:
+        fs, path = self._path(name, f"v={version}", COMMIT)
+        out = fs.create(path, True)
+        out.write(bytearray(json.dumps(commit).encode()))
+        out.close()
+
+    def _committed(self, name: str, version: int) -> dict[str, list[str]] | None:
+        fs, path = self._path(name, f"v={version}", COMMIT)
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(text) if text else None
+
+    def _current(self, name: str) -> dict[str, int]:
+        """The version that holds each part of the table."""
+        held: dict[str, int] = {}
+        for version in self._versions(name):
+            if commit := self._committed(name, version):
+                for part in [*held] if commit["replaced"] == [EVERY] else commit["replaced"]:
+                    held.pop(part, None)
+                held |= dict.fromkeys(commit["held"], version)
+        return held
 
     @staticmethod
     def schema(name: str) -> T.StructType:
@@ -59,34 +84,60 @@ class Catalog:
             raise ValueError(f"no table {name}; there are {', '.join(TABLES)}")
         return TABLES[name].schema
 
-    def read(self, name: str) -> DataFrame:
-        """The table; empty before its first write. Columns that an older version lacks are null, or false
-        where a boolean that must not be null was added."""
+    def read(self, name: str, parts: Iterable[str] | None = None) -> DataFrame:
+        """The table, or some years of one that is parted by year; empty before its first write. Columns that
+        older files lack are null, or false where a boolean that must not be null was added."""
         schema = self.schema(name)
-        if not (versions := self._versions(name)):
+        wanted = None if parts is None else set(parts)
+        paths = [f"{self.root}/{name}/v={v}/{PART}={p}" for p, v in sorted(self._current(name).items()) if wanted is None or p in wanted]
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        out = self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v={versions[-1]}")
+        out = self.spark.read.schema(schema).parquet(*paths)
         if name == "fundamentals_quarterly":
             out = out.withColumn("announcement_date_is_estimated", F.coalesce("announcement_date_is_estimated", F.lit(False)))
         return out
 
-    def write(self, name: str, frame: DataFrame) -> None:
-        """Makes frame the table; columns go by name, missing ones are null, others are dropped."""
+    def _part(self, name: str) -> Column:
+        by = TABLES[name].by_year
+        return F.coalesce(F.year(by).cast("string"), F.lit("none")) if by else F.lit("all")
+
+    def _write(self, name: str, frame: DataFrame, replaced: list[str]) -> None:
         schema = self.schema(name)
         have = set(frame.columns)
         shaped = frame.select(*(F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
-        versions = self._versions(name)
-        number = versions[-1] + 1 if versions else 1
-        shaped.write.mode("overwrite").parquet(f"{self.root}/{name}/v={number}")
-        fs, path = self._folder(name)
-        for old in versions[:-1]:  # the version before stays for readers that began on it
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"v={old}"), True)
+        version = max(self._versions(name), default=0) + 1
+        shaped.withColumn(PART, self._part(name)).write.partitionBy(PART).parquet(f"{self.root}/{name}/v={version}")
+        fs, path = self._path(name, f"v={version}")
+        held = sorted(s.getPath().getName().partition("=")[2] for s in fs.listStatus(path) if s.getPath().getName().startswith(f"{PART}="))
+        self._commit(name, version, {"replaced": replaced, "held": held})
+        self._drop_old(name, version)
+
+    def _drop_old(self, name: str, newest: int) -> None:
+        """Deletes versions of which no part is current, but for the one before the newest, which readers may be on."""
+        keep = {newest, newest - 1, *self._current(name).values()}
+        for version in self._versions(name):
+            if version not in keep:
+                fs, path = self._path(name, f"v={version}")
+                fs.delete(path, True)
+
+    def write(self, name: str, frame: DataFrame) -> None:
+        """Makes frame the table; columns go by name, missing ones are null, others are dropped."""
+        self._write(name, frame, [EVERY])
+
+    def _merge(self, name: str, staged: DataFrame, merged) -> None:
+        """Reads and rewrites only the parts that staged has rows of."""
+        if not TABLES[name].by_year:
+            self.write(name, merged(self.read(name), staged, TABLES[name].keys))
+            return
+        touched = sorted(r[0] for r in staged.select(self._part(name)).distinct().collect())  # years
+        if touched:
+            self._write(name, merged(self.read(name, touched), staged, TABLES[name].keys), touched)
 
     def upsert(self, name: str, staged: DataFrame) -> None:
-        self.write(name, upserted(self.read(name), staged, TABLES[name].keys))
+        self._merge(name, staged, upserted)
 
     def insert(self, name: str, staged: DataFrame) -> None:
-        self.write(name, inserted(self.read(name), staged, TABLES[name].keys))
+        self._merge(name, staged, inserted)
 
     def replace(self, name: str, staged: DataFrame, partition: Iterable[str] = ("symbol",)) -> None:
         self.write(name, replaced(self.read(name), staged, partition))

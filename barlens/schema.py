@@ -19,14 +19,15 @@ def _struct(text: str) -> T.StructType:
 class Table:
     schema: T.StructType
     keys: tuple[str, ...]
+    by_year: str | None = None  # the date whose year parts the stored table
 
 
 _BARS = "open double, high double, low double, close double, volume bigint"
 
 # Columns and keys of the stored tables.
 TABLES: dict[str, Table] = {
-    "ohlcv_daily": Table(_struct(f"symbol string, date date, {_BARS}, delivery_pct double, adj_close double, source string, ingested_at timestamp"), ("symbol", "date")),
-    "ohlcv_weekly": Table(_struct(f"symbol string, week_end_date date, {_BARS}, adj_close double"), ("symbol", "week_end_date")),
+    "ohlcv_daily": Table(_struct(f"symbol string, date date, {_BARS}, delivery_pct double, adj_close double, source string, ingested_at timestamp"), ("symbol", "date"), "date"),
+    "ohlcv_weekly": Table(_struct(f"symbol string, week_end_date date, {_BARS}, adj_close double"), ("symbol", "week_end_date"), "week_end_date"),
     "corporate_actions": Table(_struct("symbol string, ex_date date, action_type string, ratio string"), ()),
     "universe": Table(_struct("symbol string, isin string, sector string, industry string, listing_date date, is_active boolean"), ("symbol",)),
     "fundamentals_quarterly": Table(
@@ -37,7 +38,7 @@ TABLES: dict[str, Table] = {
         ("symbol", "quarter_end"),
     ),
     "ingestion_log": Table(_struct("run_id string, run_at timestamp, symbols_updated int, symbols_failed int, rows_added int, notes string"), ("run_id",)),
-    "rs_ratings_daily": Table(_struct("symbol string, date date, composite_return double, rating int, rs_line double, rs_line_new_high boolean, universe_size int"), ("symbol", "date")),
+    "rs_ratings_daily": Table(_struct("symbol string, date date, composite_return double, rating int, rs_line double, rs_line_new_high boolean, universe_size int"), ("symbol", "date"), "date"),
     "market_stages_daily": Table(
         _struct("symbol string, date date, stage int, price double, ma_short double, ma_medium double, ma_long double, ma_long_slope double, trend_template_passes int"), ("symbol", "date")
     ),

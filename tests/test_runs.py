@@ -55,8 +55,24 @@ def test_upsert_twice_changes_nothing(spark, catalog):
 
 def test_an_unfinished_version_is_not_read(spark, catalog, tmp_path):
     catalog.upsert("ohlcv_daily", bars(spark, [1, 2]))
-    (tmp_path / "store/ohlcv_daily/v=2").mkdir()
+    bars(spark, [1, 2, 3]).withColumn("part", F.lit(2022)).write.partitionBy("part").parquet(f"{catalog.root}/ohlcv_daily/v=2")
     assert catalog.read("ohlcv_daily").count() == 2
+    catalog.upsert("ohlcv_daily", bars(spark, [1, 2, 3, 4]))
+    assert catalog.read("ohlcv_daily").count() == 4
+
+
+def test_a_merge_writes_only_the_years_it_touches(spark, catalog, tmp_path):
+    catalog.upsert("ohlcv_daily", bars(spark, range(100, 900)))
+    before = {(r.date, r.close) for r in catalog.read("ohlcv_daily").collect()}
+    for k in range(4):
+        catalog.upsert("ohlcv_daily", bars(spark, [float(k + 1)], start=dt.date(2023, 5, 1)))
+    after = {(r.date, r.close) for r in catalog.read("ohlcv_daily").collect()}
+    assert len(after) == 800 and len(after - before) == 1 and (dt.date(2023, 5, 1), 4.0) in after
+    assert sorted(p.name for p in (tmp_path / "store/ohlcv_daily").iterdir()) == ["v=1", "v=4", "v=5"]
+    assert [p.name for p in (tmp_path / "store/ohlcv_daily/v=5").iterdir() if p.is_dir()] == ["part=2023"]
+    assert {r.date.year for r in catalog.read("ohlcv_daily", ["2022"]).select("date").distinct().collect()} == {2022}
+    catalog.write("ohlcv_daily", bars(spark, [1.0]))
+    assert catalog.read("ohlcv_daily").count() == 1
 
 
 def test_daily_update_rejects_a_bad_symbol_and_repeats(spark, catalog):
@@ -221,7 +237,8 @@ def test_nearest_quarter_wins_and_ties_take_the_later(spark):
 
 def test_older_tables_get_new_columns(spark, catalog):
     old = spark.createDataFrame([("A", dt.date(2024, 3, 31))], "symbol string, quarter_end date")
-    old.write.parquet(f"{catalog.root}/fundamentals_quarterly/v=1")
+    old.write.parquet(f"{catalog.root}/fundamentals_quarterly/v=1/part=all")
+    catalog._commit("fundamentals_quarterly", 1, {"replaced": ["*"], "held": ["all"]})
     assert catalog.read("fundamentals_quarterly").first().announcement_date_is_estimated is False
 
 
