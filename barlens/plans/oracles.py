@@ -462,3 +462,26 @@ ORACLES: dict[str, str] = {
     ),
     "latest_row_per_symbol": q(bars(), f"SELECT symbol, date, volume, {r('close')} FROM raw_bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1"),
 }
+
+ORACLES |= {
+    "candle_chunks": q(
+        bars(),
+        """SELECT symbol, CAST(listing_date + CAST(400 * k AS INTEGER) AS DATE) AS from_date, least(DATE '1998-12-31', CAST(listing_date + CAST(400 * k + 399 AS INTEGER) AS DATE)) AS to_date
+        FROM (SELECT symbol, listing_date, unnest(range(0, (DATE '1998-12-31' - listing_date) // 400 + 1)) AS k FROM universe WHERE listing_date IS NOT NULL)""",
+    ),
+    "adjusted_close": q(
+        bars(),
+        """SELECT symbol, date, round(CASE WHEN dayofmonth(date) % 3 = 0 OR dayofmonth(date) % 5 = 0 THEN close ELSE adj_close END, 5) + 0.0E0 AS adj_close FROM raw_bars""",
+    ),
+    "quarter_tables": """
+SELECT 'N' || n_nationkey AS symbol, DATE '2023-01-01' AS period_start, DATE '2023-03-31' AS period_end, DATE '2023-05-30' AS announcement_date, TRUE AS is_audited,
+  ((n_nationkey + 1) * 1000 + 250) * 1e7 AS revenue, CAST(NULL AS DOUBLE) AS pat, n_nationkey + 0.25E0 AS basic_eps, FALSE AS fields_missing FROM nation
+UNION ALL
+SELECT 'N' || n_nationkey, DATE '2023-04-01', DATE '2023-06-30', DATE '2023-08-14', FALSE, 1000 * 1e7, -n_nationkey * 1e7 + 0.0E0, NULL, FALSE FROM nation
+""",
+    "run_summaries": q(
+        bars() + "," + daily() + "," + stages("daily_last") + "," + PATTERN + "," + _TODAYS_PIVOTS + "," + volumes("todays"),
+        """SELECT 'stage' AS run, count(*) AS evaluated, count(*) FILTER (stage = 2) AS flagged FROM stages
+        UNION ALL SELECT 'pattern', count(*), count(*) FILTER (is_vcp) FROM patterns UNION ALL SELECT 'volume', count(*), count(*) FILTER (volume_spike_near_pivot) FROM volumes""",
+    ),
+}

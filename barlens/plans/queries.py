@@ -396,3 +396,48 @@ def delta_start(spark, sf):
 @register
 def latest_row_per_symbol(spark, sf):
     return B.latest_per_symbol(testdata.bars(spark, sf).select("symbol", "date", "volume", r("close")))
+
+
+@register
+def candle_chunks(spark, sf):
+    """Spans of at most 400 days from each listing date to the end of 1998."""
+    from barlens.sources.candles import chunks
+
+    u = testdata.universe(spark, sf).filter("listing_date is not null")
+    return chunks(u.select("symbol", F.col("listing_date").alias("from_date"), F.lit("1998-12-31").cast("date").alias("to_date")), 400)
+
+
+@register
+def adjusted_close(spark, sf):
+    """An adjusted close of null or zero, on every third and fifth day of a month, gives way to the close."""
+    day = F.dayofmonth("date")
+    b = testdata.bars(spark, sf).withColumn("adj_close", F.when(day % 3 == 0, None).when(day % 5 == 0, 0.0).otherwise(F.col("adj_close")))
+    return B.with_adjusted_close(b).select("symbol", "date", r("adj_close", 5))
+
+
+@register
+def quarter_tables(spark, sf):
+    """Filings parsed from a page made for each nation, with thousands separators, dashes and empty cells."""
+    from barlens.sources.filings import table_filings
+
+    key = F.col("n_nationkey").cast("string")
+    cells = lambda *c: F.concat(*(F.concat(F.lit("<td>"), F.lit(x) if isinstance(x, str) else x, F.lit("</td>")) for x in c))
+    html = F.concat(
+        F.lit("<section id='quarters'><p>Consolidated Figures</p><table><thead><tr><th></th><th>Mar 2023</th><th>Jun 2023</th><th>Notes</th></tr></thead><tbody><tr>"),
+        cells("Sales <button>+</button>", F.concat((F.col("n_nationkey") + 1).cast("string"), F.lit(",250")), "1,000"), F.lit("</tr><tr>"),
+        cells("Net Profit +", "-", F.concat(F.lit("-"), key)), F.lit("</tr><tr>"), cells("EPS in Rs", F.concat(key, F.lit(".25")), ""), F.lit("</tr></tbody></table></section>"),
+    )
+    pages = testdata.table(spark, sf, "nation").select(F.concat(F.lit("n"), key).alias("symbol"), F.lit("u").alias("url"), html.alias("html"), F.lit(True).alias("is_consolidated_url"))
+    return table_filings(pages).select("symbol", "period_start", "period_end", "announcement_date", "is_audited", r("revenue"), r("pat"), r("basic_eps"), "fields_missing")
+
+
+@register
+def run_summaries(spark, sf):
+    """The counts that the batch runs report, of stages, patterns and volume signals."""
+    found = held(patterns(spark, sf))
+    count = lambda frame, test, name: frame.agg(F.count(F.lit(1)).alias("evaluated"), F.coalesce(F.sum(F.when(test, 1).otherwise(0)), F.lit(0)).alias("flagged")).withColumn("run", F.lit(name))
+    parts = (
+        count(stage.classify(template(spark, sf, "daily")), F.col("stage") == 2, "stage"), count(found, F.col("is_vcp"), "pattern"),
+        count(signals(spark, sf, found=found), F.col("volume_spike_near_pivot"), "volume"),
+    )
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("run", "evaluated", "flagged")
