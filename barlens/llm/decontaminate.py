@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from barlens.llm.common import BROADCAST_BYTES, cut, semi
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
+#: Sketches up to so many bytes are broadcast at once.
+SKETCH_BYTES = 64 << 20
 NOT_IN_WORDS = r"[^\p{L}\p{N}]+"
 
 
@@ -100,9 +102,15 @@ def leaks(
     def small(frame: DataFrame, n: int, row_bytes: int) -> DataFrame:
         return F.broadcast(frame) if n * row_bytes < BROADCAST_BYTES else frame.hint("shuffle_merge")
 
+    # the hashes of all shingles are too many to shuffle; more sketches than may be broadcast go in blocks
     hashed = text.select("id", F.explode(F.concat(*(_hashes("w", s) for s in sizes))).alias("h"))
-    found = hashed.join(small(sketch.select("h", "item"), n_sketch, 64), "h").select("id", "item").distinct()
-    candidates = cut(found)
+    blocks = max(1, -(-n_sketch * 64 // SKETCH_BYTES))
+    found = None
+    for block in range(blocks):
+        mine = sketch.filter(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block).select("h", "item")
+        part = hashed.join(F.broadcast(mine), "h").select("id", "item")
+        found = part if found is None else found.unionByName(part)
+    candidates = cut(found.distinct())
     ids = cut(candidates.select("id", F.coalesce(F.col("id"), F.lit(-1)).alias("known"), F.col("id").isNull().alias("none")).distinct())
     keyed = docs.select(
         F.col(id_col).alias("id"),

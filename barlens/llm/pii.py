@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.common import bound_batches, cut, rows_to_arrow, semi, spread_join
+from barlens.llm.common import BROADCAST_BYTES, bound_batches, cut, rows_to_arrow, semi, spread_join
 
 KINDS = ("email", "ip", "card", "phone")
 #: Terms up to so many words away, within so many characters, stand near an entity.
@@ -165,7 +165,10 @@ def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text") -> Da
     words = docs.select(
         F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("term")
     )
-    counted = semi(words, terms, "term", terms.count()).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    if terms.count() * 64 < BROADCAST_BYTES:
+        counted = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    else:  # counted within each task before anything is shuffled
+        counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(terms, "term", "left_semi")
     both = possible.join(counted, "term", "left").withColumn("n_t", F.greatest("n_t", "n_least"))
     return both.withColumn("share", share(F.col("n_t"))).filter(F.col("share") >= GENERALISE)
 

@@ -56,6 +56,14 @@ def test_against_brute_force(spark):
     assert run(spark, docs, items) == brute(docs, items)
 
 
+def test_sketches_in_blocks(spark, monkeypatch):
+    items = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i} g{i}") for i in range(12)]
+    docs = [(i, f"x {items[i % 12][1]} y") for i in range(30)]
+    monkeypatch.setattr(decontaminate, "SKETCH_BYTES", 600)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert run(spark, docs, items) == brute(docs, items) and len(brute(docs, items)) == 30
+
+
 def test_edges(spark):
     items = [(1, "one two three four five six seven"), (2, None), (3, "short item"), (1, "eight nine ten eleven twelve")]
     docs = [*ODD, (20, "x One, two; THREE four five six seven y eight nine ten eleven twelve"), (21, "a short item here")]

@@ -148,3 +148,13 @@ def test_near_deduplicate(odd, make_docs):
     assert [i for i, _ in got if i is not None] == [1, 4, 6, 7, 8, 9] and len(got) == 7
     twice = make_docs([(3, "some words here now"), (3, "some words here now"), (8, "other text it is")])
     assert sorted(r.doc_id for r in simhash.deduplicate(twice).collect()) == [3, 8]
+
+
+def test_beyond_the_broadcast_bound(make_docs, monkeypatch):
+    from barlens.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    rows = [(i, f"text number {i // 2} has some words") for i in range(40)]
+    assert sorted(r.doc_id for r in block_naming.deduplicate(make_docs(rows)).collect()) == list(range(1, 40, 2))
+    near = [(i, f"the very same text again {'x' if i % 2 else 'X'}") for i in range(20)] + [(50, "another one")]
+    assert sorted(r.doc_id for r in simhash.deduplicate(make_docs(near)).collect()) == [0, 50]

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from llm_odd import ODD
 
 from barlens.llm import licenses, pii, warc
@@ -68,7 +69,8 @@ def test_disclosing_terms(make_docs):
     assert {r.spans.split(",")[1].split(":")[0] for r in pii.report(make_docs(always)).filter("doc_id < 5").collect()} == {"remove"}
 
 
-def test_shares_against_brute_force(make_docs):
+@pytest.mark.parametrize("bound", [1 << 24, 0])
+def test_shares_against_brute_force(make_docs, monkeypatch, bound):
     import math
 
     rnd = random.Random(8)
@@ -80,6 +82,7 @@ def test_shares_against_brute_force(make_docs):
             w.insert(rnd.randint(0, len(w)), f"p{rnd.randint(0, 2)}@x.org")
         rows.append((d, " ".join(w)))
     docs = make_docs(rows)
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", bound)
     got = {(r.entity, r.term): (r.n_et, r.n_e, r.n_t) for r in pii.disclosures(pii._found(docs, "doc_id", "text"), docs).collect()}
     want = {}
     for k in range(3):
