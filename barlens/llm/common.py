@@ -17,10 +17,24 @@ BATCH_BYTES = 16 << 20
 BROADCAST_BYTES = 16 << 20
 
 
+#: Tables of fewer bytes for each core are dealt anew after they are read.
+LEAST_BYTES_A_CORE = 2 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_dealt(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of texts; one so small that its files would keep only some cores busy is dealt to all of them, which
+    for a larger one would be a needless shuffle."""
+    frame = spark.read.parquet(path := f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    return frame.repartition(cores) if size < cores * LEAST_BYTES_A_CORE else frame
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; every other character stays."""
     return F.translate(text, UPPER, LOWER)

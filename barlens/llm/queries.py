@@ -7,49 +7,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barlens.llm import block_naming, bpe, decontaminate, language, licenses, pii, quality, secrets, simhash, warc
-from barlens.llm.common import read
+from barlens.llm.common import read, read_dealt
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(read_dealt(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op2_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(read_dealt(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op3_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return block_naming.groups(read(spark, sf_dir, "documents"))
+    return block_naming.groups(read_dealt(spark, sf_dir, "documents"))
 
 
 def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality.judged(read_dealt(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(read(spark, sf_dir, "documents"))
+    return pii.report(read_dealt(spark, sf_dir, "documents"))
 
 
 def op6_secrets_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(read(spark, sf_dir, "documents"))
+    return secrets.report(read_dealt(spark, sf_dir, "documents"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.digests(read(spark, sf_dir, "pages"))
+    return warc.digests(read_dealt(spark, sf_dir, "pages"))
 
 
 def op8_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.predicted(read(spark, sf_dir, "documents"))
+    return language.predicted(read_dealt(spark, sf_dir, "documents"))
 
 
 def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.report(read(spark, sf_dir, "documents"))
+    return licenses.report(read_dealt(spark, sf_dir, "documents"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.groups(read(spark, sf_dir, "documents"))
+    return simhash.groups(read_dealt(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
