@@ -128,7 +128,8 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFr
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that score THRESHOLD or more, with all their columns. The score is put beside each
-    row in the scan itself: there is no join, and rows that repeat an id are judged each by its own text."""
+    row in the scan itself: there is no join, and rows that repeat an id are judged each by its own text.
+    A null text counts as empty; rows without an id are judged like others; an empty table stays empty."""
     forest = train(docs, labels, id_col, text_col)
     bound_batches(docs.sparkSession)
     names, at = docs.columns, docs.columns.index(text_col)
