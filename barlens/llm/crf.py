@@ -37,11 +37,6 @@ class Weights:
         return out + self.file[file_class]
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def train(
     classes: np.ndarray, files: np.ndarray, labels: np.ndarray, kinds: np.ndarray, n_files: int, steps: int = 200, rate: float = 0.2, decay: float = 5e-6, hidden: float = 0.6, seed: int = 3
 ) -> Weights:
@@ -60,29 +55,37 @@ def train(
     truth *= valid[..., None]
     moved = np.zeros((LABELS, LABELS))
     pairs = valid[:, 1:] & valid[:, :-1]
+    going = valid.T[..., None]
     np.add.at(moved, (labels[:, :-1][pairs], labels[:, 1:][pairs]), 1)
     params = [near, kind, file, move]
     m, v = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     for step in range(1, steps + 1):
         views = [np.where(rng.random(own[0].shape) < hidden, n_classes, own[0]), *own[1:]]
         e = sum(near[k][views[k]] for k in range(len(OFFSETS))) + kind[of_kind] + file[files][:, None, :]
-        forward, backward = np.empty_like(e), np.zeros_like(e)
-        forward[:, 0] = e[:, 0]
+        # forward and backward in probabilities, scaled at each step; past its end a sequence stays as it is
+        lift = np.exp(e - e.max(axis=2, keepdims=True)).transpose(1, 0, 2).copy()
+        through = np.exp(move)
+        forward, backward = np.empty_like(lift), np.ones_like(lift)
+        forward[0] = lift[0] / lift[0].sum(1, keepdims=True)
         for t in range(1, length):
-            ahead = _log_sum(forward[:, t - 1, :, None] + move, 1) + e[:, t]
-            forward[:, t] = np.where(valid[:, t, None], ahead, forward[:, t - 1])
+            ahead = forward[t - 1] @ through * lift[t]
+            ahead /= ahead.sum(1, keepdims=True)
+            forward[t] = np.where(going[t], ahead, forward[t - 1])
         for t in range(length - 2, -1, -1):
-            behind = _log_sum(move + (e[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
-            backward[:, t] = np.where(valid[:, t + 1, None], behind, 0)
-        whole = _log_sum(forward[:, -1], 1)
-        marginal = np.exp(forward + backward - whole[:, None, None]) * valid[..., None]
-        d = marginal - truth
-        joint = forward[:, :-1, :, None] + move + (e[:, 1:] + backward[:, 1:])[:, :, None, :] - whole[:, None, None, None]
+            behind = (backward[t + 1] * lift[t + 1]) @ through.T
+            behind /= behind.sum(1, keepdims=True)
+            backward[t] = np.where(going[t + 1], behind, 1)
+        marginal = forward * backward
+        marginal /= marginal.sum(2, keepdims=True)
+        d = marginal.transpose(1, 0, 2) * valid[..., None] - truth
+        met = lift[1:] * backward[1:]
+        weight = going[1:] / ((forward[:-1] @ through) * met).sum(2, keepdims=True)
+        joint = through * np.einsum("tni,tnj->ij", forward[:-1], met * weight, optimize=True)
         grads = [
             np.stack([np.stack([np.bincount(views[k].ravel(), d[..., y].ravel(), n_classes + 1) for y in range(LABELS)], 1) for k in range(len(OFFSETS))]),
             np.stack([np.bincount(of_kind.ravel(), d[..., y].ravel(), n_kinds) for y in range(LABELS)], 1),
             np.stack([np.bincount(files, d[..., y].sum(1), n_files) for y in range(LABELS)], 1),
-            (np.exp(joint) * pairs[..., None, None]).sum((0, 1)) - moved,
+            joint - moved,
         ]
         for i, g in enumerate(grads):
             g = g / max(valid.sum(), 1) + decay * params[i]

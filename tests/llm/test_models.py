@@ -188,3 +188,27 @@ def test_field_finds_what_it_was_taught(spark, sf):
             total += 1
             found += any(x < b and a < y for x, y in tags)
     assert total and found / total > 0.9
+
+
+def test_field_gradients_are_those_of_the_likelihood():
+    """After long training on few sequences, expected and true counts agree: checked by brute-force marginals."""
+    import itertools
+
+    rng = np.random.default_rng(1)
+    labels = np.array([[0, 1, 2, 0], [0, 0, 1, -1], [1, 0, 0, 0]])
+    classes = rng.integers(1, 4, (3, 7))
+    w = crf.train(classes, np.array([0, 1, 0]), labels, np.zeros(4, int), 2, steps=1500, rate=0.05, decay=0.02, hidden=0.0)
+    expected, true = np.zeros((3, 3)), np.zeros((3, 3))
+    for r in range(3):
+        n = int((labels[r] >= 0).sum())
+        e = w.near[0][classes[r, 2 : 2 + n]] + w.near[1][classes[r, 1 : 1 + n]] + w.near[2][classes[r, :n]] + w.near[3][classes[r, 3 : 3 + n]] + w.kind[classes[r, 2 : 2 + n]] + w.file[[0, 1, 0][r]]
+        paths = list(itertools.product(range(3), repeat=n))
+        totals = np.array([sum(e[t, y] for t, y in enumerate(p)) + sum(w.move[a, b] for a, b in itertools.pairwise(p)) for p in paths])
+        shares = np.exp(totals - totals.max())
+        shares /= shares.sum()
+        for p, s in zip(paths, shares, strict=True):
+            for a, b in itertools.pairwise(p):
+                expected[a, b] += s
+        for a, b in itertools.pairwise(labels[r, :n].tolist()):
+            true[a, b] += 1
+    assert (expected - true) / 11 + 0.02 * w.move == pytest.approx(np.zeros((3, 3)), abs=2e-3)
