@@ -26,7 +26,7 @@ from barlens.llm.common import bound_batches, rows_to_arrow
 LEAF_SHIFT = 8
 LEAF_MASK = (1 << LEAF_SHIFT) - 1
 #: Pieces up to so many characters are remembered, at most twice so many of them in a worker.
-CACHED_LENGTH, CACHED_PIECES = 48, 500_000
+CACHED_LENGTH, CACHED_PIECES = 48, 300_000
 
 
 class RankQueue:

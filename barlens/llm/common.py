@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Arrow batches hold at most so many bytes, however long the texts are.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: A side is broadcast only if it was counted or bounded to fewer bytes than this.
 BROADCAST_BYTES = 16 << 20
 
@@ -48,7 +48,7 @@ def remainder(doc_id: Column, mod: int = 5) -> Column:
 def bound_batches(spark: SparkSession) -> None:
     """Bounds the bytes of each Arrow batch, so that few very long texts make small batches."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def rows_to_arrow(
