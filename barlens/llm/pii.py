@@ -21,8 +21,8 @@ from barlens.llm.common import BROADCAST_BYTES, bound_batches, cut, rows_to_arro
 KINDS = ("email", "ip", "card", "phone")
 #: Terms up to so many words away, within so many characters, stand near an entity.
 NEAR_WORDS, NEAR_CHARACTERS = 10, 400
-#: Shares of the information content from which terms are generalised and removed; documents that must show a pair.
-GENERALISE, REMOVE, LEAST_SUPPORT, LEAST_TERM = 0.9, 0.98, 3, 4
+#: Shares of the information content from which terms are generalised and removed; characters of a term.
+GENERALISE, REMOVE, LEAST_TERM = 0.9, 0.98, 4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
@@ -143,10 +143,10 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(entity, term, n_et, n_e, n_t, share): the pairs whose share of the entity's information reaches GENERALISE.
-    All counts are of documents, over the whole corpus."""
+    All counts are of documents, over the whole corpus; a pair of a single document counts like any other."""
     total = F.lit(float(max(docs.count(), 1)))
     pairs = cut(found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term").distinct())
-    together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= LEAST_SUPPORT)
+    together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"))
     of_entity = (
         found.select("row", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
         .groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
@@ -159,7 +159,13 @@ def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text") -> Da
     def share(n_t: Column) -> Column:
         return F.when(information > 0, F.log2(F.col("n_et") * total / (F.col("n_e") * n_t)) / information)
 
-    possible = together.join(of_entity, "entity").join(near_any, "term").withColumn("n_least", F.greatest("n_near", "n_et"))
+    def keyed(frame: DataFrame, name: str) -> DataFrame:
+        return frame.withColumns({"k1": F.xxhash64(F.col(name)), "k2": F.xxhash64(F.col(name), F.lit(1))})
+
+    # an entity may have very many terms, and a term stand near very many entities
+    possible = spread_join(keyed(together, "entity"), keyed(of_entity, "entity").drop("entity"), ["k1", "k2"]).drop("k1", "k2")
+    possible = spread_join(keyed(possible, "term"), keyed(near_any, "term").drop("term"), ["k1", "k2"]).drop("k1", "k2")
+    possible = possible.withColumn("n_least", F.greatest("n_near", "n_et"))
     possible = cut(possible.filter(share(F.col("n_least")) >= GENERALISE))
     terms = cut(possible.select("term").distinct())
     words = docs.select(

@@ -69,6 +69,14 @@ def test_disclosing_terms(make_docs):
     assert {r.spans.split(",")[1].split(":")[0] for r in pii.report(make_docs(always)).filter("doc_id < 5").collect()} == {"remove"}
 
 
+def test_terms_beside_values_of_one_or_two_documents(make_docs):
+    rows = [(i, "alpha bravo charlie delta") for i in range(60)] + [(60, "alpha zorblatt bravo bob@x.org charlie")]
+    rows += [(i, "alpha quuxine bravo 10.1.2.3 delta") for i in (61, 62)]
+    got = {r.doc_id: r.spans for r in pii.report(make_docs(rows)).collect()}
+    assert got[60] == "email:21:30,remove:6:14" and got[61] == got[62] == "ip:20:28,remove:6:13"
+    assert all(got[i] == "" for i in range(60))
+
+
 @pytest.mark.parametrize("bound", [1 << 24, 0])
 def test_shares_against_brute_force(make_docs, monkeypatch, bound):
     import math
