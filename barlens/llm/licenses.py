@@ -119,9 +119,9 @@ class Rule:
 
 
 def _literal(pattern: str) -> bytes:
-    """The longest run of plain characters that any match of a name contains."""
-    bare = re.sub(r"\(\?:[^)]*\)[?*]?|\[[^\]]*\][*?]?|.\?", "\0", pattern)
-    return max(bare.split("\0"), key=len).strip().encode()
+    """The longest run of plain characters that any match of a name contains, the space before the name being one."""
+    bare = re.sub(r"\(\?:[^)]*\)[?*]?|\[[^\]]*\][*?]?|.\?", "\0", f" {pattern}")
+    return max(bare.split("\0"), key=len).rstrip().encode()
 
 
 def _rule(tier: int, label: str, pattern: str, needed: tuple[str | bytes, ...], sure: float) -> Rule:
@@ -156,12 +156,15 @@ def rules() -> tuple[Rule, ...]:
     return tuple(identifiers + addresses + sentences + versioned + granted + bare)
 
 
-#: Texts with none of these match no rule.
-GATE = (
-    b"licen", b"spdx", b"gpl ", b"creative", b" cc by ", b" cc0 ", b" cc zero ", b" bsd ", b" mit ", b"public domain", b"permission ", b" redistribut", b"rights reserved", b"free software",
-    b" odbl ", b" pddl ", b" gfdl ", b" mpl ", b" epl ", b" cddl ", b" eupl ", b" odc by ", b" cdla ", b" asl ", b" osl ", b" sspl ", b" wtfpl ", b" openrail ", b" ms pl ", b" ms rl ", b" lppl ",
-    b" org ", b" com ", b" dev ", b" net ", b" eu ", b" se ", b" io ", b"contributors", b"unencumbered", b"you want to", b"as is ",
-)
+@cache
+def _gated() -> tuple[tuple[tuple[bytes, ...], tuple[tuple[int, Rule], ...]], ...]:
+    """The rules with their numbers by what they need: texts without it match none of them."""
+    out: dict[tuple[bytes, ...], list[tuple[int, Rule]]] = {}
+    for order, rule in enumerate(rules()):
+        out.setdefault(rule.needed, []).append((order, rule))
+    return tuple((needed, tuple(some)) for needed, some in out.items())
+
+
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
@@ -180,12 +183,11 @@ class Detection:
 
 def detect(joined: bytes) -> list[Detection]:
     """The detections in words joined by single spaces, with one before and after, that overlaps leave."""
-    if not any(g in joined for g in GATE):
-        return []
     found = []
-    for order, rule in enumerate(rules()):
-        if all(n in joined for n in rule.needed):
-            found += [(rule.tier, m.start() - m.end(), order, m.start(), m.end(), rule) for m in rule.pattern.finditer(joined)]
+    for needed, some in _gated():
+        if all(n in joined for n in needed):
+            for order, rule in some:
+                found += [(rule.tier, m.start() - m.end(), order, m.start(), m.end(), rule) for m in rule.pattern.finditer(joined)]
     kept: list[tuple[int, int, Rule, int]] = []
     for _, _, order, start, end, rule in sorted(found, key=lambda x: x[:5]):
         if not any(a <= start and end <= b for a, b, _, _ in kept):

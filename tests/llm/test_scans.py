@@ -148,6 +148,29 @@ def test_every_rule_can_match():
             assert rule.label in [d.label for d in licenses.detect(f" {plain} ".encode())] or licenses.detect(f" {plain} ".encode()), plain
 
 
+@pytest.mark.parametrize(("name", "version", "label"), [
+    ("GPL", "3", "gpl-3.0"), ("GPL", "2", "gpl-2.0"), ("LGPL", "2.1", "lgpl-2.1"), ("AGPL", "3", "agpl-3.0"), ("GFDL", "1.3", "gfdl-1.3"), ("ASL", "2", "apache-2.0"), ("CC BY", "4", "cc-by-4.0"),
+    ("CC0", "1", "cc0-1.0"), ("PDDL", "1", "pddl-1.0"), ("ODbL", "1", "odbl-1.0"), ("MPL", "2", "mpl-2.0"), ("EPL", "1", "epl-1.0"), ("CDDL", "1", "cddl-1.0"), ("EUPL", "1.2", "eupl-1.2"),
+    ("OSL", "3", "osl-3.0"), ("SSPL", "1", "sspl-1"), ("WTFPL", "2", "wtfpl-2"), ("LPPL", "1.3", "lppl-1.3"),
+])
+def test_versions_glued_to_names(name, version, label):
+    for t in (f"{name}v{version}", f"Files are {name}v{version} only"):
+        assert label in [d.label for d in licenses.scan_text(t)[2]], t
+    assert labels("released under 0BSD") == [("0bsd", 0, 2)]
+
+
+def test_gates_keep_no_match_out():
+    """Against all rules without a gate, over random texts of the parts of names."""
+    rnd = random.Random(6)
+    parts = ["gpl", "gplv3", "mplv2", "0bsd", "released under", "licensed", "the", "license", "licence", "cc by", "nc", "4 0", "v2", "or later", "gnu", "lesser", "general public", "mit", "bsd", "3 clause", "simple", "osl", "asl2", "x11", "0"]
+    for _ in range(400):
+        joined = f" {' '.join(rnd.choice(parts) for _ in range(rnd.randint(1, 6)))} ".encode()
+        for rule in licenses.rules():
+            if rule.pattern.search(joined):
+                assert all(n in joined for n in rule.needed), (joined, rule)
+        assert any(r.pattern.search(joined) for r in licenses.rules()) == bool(licenses.detect(joined))
+
+
 def test_license_report(make_docs):
     r = licenses.report(make_docs([(1, "Licensed under the Apache License, Version 2.0. CC BY")])).first()
     assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == (10, 2, 3, 8, "apache,cc-by", "apache,apache-2.0,cc-by")
