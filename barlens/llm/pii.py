@@ -21,7 +21,8 @@ from barlens.llm.common import BROADCAST_BYTES, bound_batches, cut, rows_to_arro
 KINDS = ("email", "ip", "card", "phone")
 #: Terms up to so many words away, within so many characters, stand near an entity.
 NEAR_WORDS, NEAR_CHARACTERS = 10, 400
-#: Shares of the information content from which terms are generalised and removed; characters of a term.
+#: Shares of the information content from which terms are generalised and removed; characters of a word in
+#: small letters that may tell something however it is written.
 GENERALISE, REMOVE, LEAST_TERM = 0.9, 0.98, 4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -101,8 +102,15 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(c for c in value if c.isdigit())}"
 
 
+def _named(word: str) -> bool:
+    """Not one of the short words in small letters, which are those of grammar ("to", "by"): names, codes and words
+    of scripts without case may be as short as they like."""
+    return len(word) >= LEAST_TERM or not (word.isalpha() and word.islower())
+
+
 def near(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[dict]:
-    """The terms near each span, with their places; words within any span are not terms."""
+    """The terms near each span, with their places and whether they are written as such; words within any span are
+    not terms."""
     taken = sorted(s for found in spans.values() for s in found)
     out = []
     for kind, found in spans.items():
@@ -117,8 +125,8 @@ def near(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[dict]:
                     break
             for m in before + after:
                 a, b = m.span()
-                if b - a >= LEAST_TERM and not any(a < y and x < b for x, y in taken):
-                    out.append({"entity": name, "term": m[0].lower(), "start": a, "stop": b})
+                if not any(a < y and x < b for x, y in taken):
+                    out.append({"entity": name, "term": m[0].lower(), "named": _named(m[0]), "start": a, "stop": b})
     return out
 
 
@@ -131,22 +139,23 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return spans, [near(t, s) if any(s.values()) else [] for t, s in zip(texts, every, strict=True)]
 
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
-    term = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
+    term = pa.struct([("entity", pa.string()), ("term", pa.string()), ("named", pa.bool_()), ("start", pa.int32()), ("stop", pa.int32())])
     schema = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(span)), ("near", pa.list_(term))])
     frame = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         rows_to_arrow(run, schema),
         "doc_id bigint, base array<struct<kind: string, start: int, stop: int>>, "
-        "near array<struct<entity: string, term: string, start: int, stop: int>>",
+        "near array<struct<entity: string, term: string, named: boolean, start: int, stop: int>>",
     )
     return frame.withColumn("row", F.monotonically_increasing_id())
 
 
 def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(entity, term, n_et, n_e, n_t, share): the pairs whose share of the entity's information reaches GENERALISE.
-    All counts are of documents, over the whole corpus; a pair of a single document counts like any other."""
+    All counts are of documents, over the whole corpus; a pair of a single document counts like any other. A pair
+    of a short word counts where one of its documents has it written as a name or code."""
     total = F.lit(float(max(docs.count(), 1)))
-    pairs = cut(found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term").distinct())
-    together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"))
+    pairs = cut(found.select("row", F.inline("near")).groupBy("row", "entity", "term").agg(F.max("named").alias("named")))
+    together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.max("named").alias("named")).filter("named").drop("named")
     of_entity = (
         found.select("row", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
         .groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))

@@ -77,6 +77,16 @@ def test_terms_beside_values_of_one_or_two_documents(make_docs):
     assert all(got[i] == "" for i in range(60))
 
 
+def test_short_names_and_codes(make_docs):
+    rows = [(i, "alpha bravo Charlie in it 3") for i in range(60)]
+    rows += [(60 + i, f"alpha {w} bravo bob{i}@x.org it") for i, w in enumerate(("Kim", "Li", "김철수", "李明", "b12", "77"))]
+    got = {r.doc_id: r.spans for r in pii.report(make_docs(rows)).collect()}
+    for i, t in rows[60:]:
+        w = t.split()[1]
+        assert got[i].split(",")[1:] == [f"remove:6:{6 + len(w)}"], t
+    assert all(got[i] == "" for i in range(60))
+
+
 @pytest.mark.parametrize("bound", [1 << 24, 0])
 def test_shares_against_brute_force(make_docs, monkeypatch, bound):
     import math
