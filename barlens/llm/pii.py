@@ -133,17 +133,18 @@ def near(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[dict]:
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bound_batches(docs.sparkSession)
 
-    def run(ids: list, texts: list) -> tuple[list, list]:
+    def run(ids: list, texts: list) -> tuple[list, list, list]:
         every = [base_spans(t) for t in texts]
         spans = [[{"kind": k, "start": a, "stop": b} for k, found in s.items() for a, b in found] for s in every]
-        return spans, [near(t, s) if any(s.values()) else [] for t, s in zip(texts, every, strict=True)]
+        names = [sorted({entity(k, t[a:b]) for k, found in s.items() for a, b in found}) for t, s in zip(texts, every, strict=True)]
+        return spans, names, [near(t, s) if any(s.values()) else [] for t, s in zip(texts, every, strict=True)]
 
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
     term = pa.struct([("entity", pa.string()), ("term", pa.string()), ("named", pa.bool_()), ("start", pa.int32()), ("stop", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(span)), ("near", pa.list_(term))])
+    schema = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(span)), ("entities", pa.list_(pa.string())), ("near", pa.list_(term))])
     frame = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         rows_to_arrow(run, schema),
-        "doc_id bigint, base array<struct<kind: string, start: int, stop: int>>, "
+        "doc_id bigint, base array<struct<kind: string, start: int, stop: int>>, entities array<string>, "
         "near array<struct<entity: string, term: string, named: boolean, start: int, stop: int>>",
     )
     return frame.withColumn("row", F.monotonically_increasing_id())
@@ -156,10 +157,8 @@ def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text") -> Da
     total = F.lit(float(max(docs.count(), 1)))
     pairs = cut(found.select("row", F.inline("near")).groupBy("row", "entity", "term").agg(F.max("named").alias("named")))
     together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.max("named").alias("named")).filter("named").drop("named")
-    of_entity = (
-        found.select("row", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
-        .groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    )
+    # documents that hold the bare value count too
+    of_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     # a term occurs at least as often as it stands near any entity: that bounds what it can tell of one, and
     # leaves out words that are common near many, before terms are counted over whole texts
     near_any = pairs.select("row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))

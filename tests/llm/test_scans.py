@@ -87,6 +87,12 @@ def test_short_names_and_codes(make_docs):
     assert all(got[i] == "" for i in range(60))
 
 
+def test_bare_values_count_as_documents_of_the_entity(make_docs):
+    rows = [(i, "alpha zorblatt bob@x.org") for i in range(3)] + [(i, "Bob@x.org") for i in range(3, 16)] + [(16, "zorblatt")] + [(i, "alpha") for i in range(17, 64)]
+    docs = make_docs(rows)
+    assert pii.disclosures(pii._found(docs, "doc_id", "text"), docs).isEmpty()
+
+
 @pytest.mark.parametrize("bound", [1 << 24, 0])
 def test_shares_against_brute_force(make_docs, monkeypatch, bound):
     import math
