@@ -15,6 +15,9 @@ leaves the scan.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,33 +49,35 @@ def _strings(w: str, size: int) -> Column:
 
 
 def item_shingles(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(item, q, size, shingle, h): the distinct shingles of each item. An item of fewer words than a shingle
+    """(item, unnamed, q, size, shingle, h): the distinct shingles of each item. An item of fewer words than a shingle
     has its whole sequence as its only one (size is its number of words); one without words has none.
-    Rows that repeat an item's id count as one item with the shingles of all of them."""
-    cut_up = benchmark.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w"))
+    Rows that repeat an item's id count as one item with the shingles of all of them. A row without an id is an
+    item of its own: unnamed, null for the others, is the SHA-256 of its text."""
+    text = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    cut_up = benchmark.select(F.col(id_col).alias("item"), F.when(F.col(id_col).isNull(), text).alias("unnamed"), words(F.col(text_col)).alias("w"))
     parts = []
     for size in range(1, shingle_words + 1):
         own = F.size("w") == size if size < shingle_words else F.size("w") >= size
         row = F.struct(F.concat_ws(" ", *(F.col("s")[j] for j in range(size))).alias("shingle"), F.xxhash64(*(F.col("s")[j] for j in range(size))).alias("h"))
-        of_size = cut_up.filter(own).select("item", F.explode(_shingles("w", size, lambda run: F.array(*run))).alias("s"))
-        parts.append(of_size.select("item", F.lit(size).alias("size"), row.alias("r")).select("item", "size", "r.*"))
+        of_size = cut_up.filter(own).select("item", "unnamed", F.explode(_shingles("w", size, lambda run: F.array(*run))).alias("s"))
+        parts.append(of_size.select("item", "unnamed", F.lit(size).alias("size"), row.alias("r")).select("item", "unnamed", "size", "r.*"))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     every = every.distinct()
-    counts = every.groupBy("item").agg(F.count(F.lit(1)).alias("q"))
-    return every.join(counts, "item")
+    counts = every.groupBy(F.col("item").alias("i"), F.col("unnamed").alias("u")).agg(F.count(F.lit(1)).alias("q"))
+    return every.join(counts, F.col("item").eqNullSafe(F.col("i")) & F.col("unnamed").eqNullSafe(F.col("u"))).drop("i", "u")
 
 
 def sketches(shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(item, size, h): the least hashes of each item, as many as its size partition needs."""
+    """(item, unnamed, size, h): the least hashes of each item, as many as its size partition needs."""
     from pyspark.sql import Window
 
     largest = shingles.withColumn("part", F.floor(F.log2("q"))).groupBy("part").agg(F.max("q").alias("u"))
     least = largest.select("part", (F.col("u") - F.ceil(F.col("u") * threshold - 1e-9) + 1).alias("m"))
-    rank = F.row_number().over(Window.partitionBy("item").orderBy("h", "shingle"))
+    rank = F.row_number().over(Window.partitionBy("item", "unnamed").orderBy("h", "shingle"))
     ranked = shingles.withColumn("part", F.floor(F.log2("q"))).withColumn("k", rank)
-    return ranked.join(least, "part").filter("k <= m").select("item", "size", "h").distinct()
+    return ranked.join(least, "part").filter("k <= m").select("item", "unnamed", "size", "h").distinct()
 
 
 def leaks(
@@ -88,8 +93,8 @@ def leaks(
     threshold or more: the id columns, n_found and n_shingles (long) and containment (double).
 
     Null texts and texts without words contain nothing and leak nowhere. Of rows that repeat a doc_id, that
-    with the most shingles of the item counts, in one row. A null id is kept as an id of its own. An empty
-    table on either side gives an empty result. Other columns are not read.
+    with the most shingles of the item counts, in one row. A null id is kept as an id of its own. Items without
+    an id are searched like others, each text being an item, and have a row each with a null item. An empty table on either side gives an empty result. Other columns are not read.
     """
     items = cut(item_shingles(benchmark, item_col, "text", shingle_words))
     sketch = cut(sketches(items, threshold))
@@ -107,8 +112,8 @@ def leaks(
     blocks = max(1, -(-n_sketch * 64 // SKETCH_BYTES))
     found = None
     for block in range(blocks):
-        mine = sketch.filter(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block).select("h", "item")
-        part = hashed.join(F.broadcast(mine), "h").select("id", "item")
+        mine = sketch.filter(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block).select("h", "item", "unnamed")
+        part = hashed.join(F.broadcast(mine), "h").select("id", "item", "unnamed")
         found = part if found is None else found.unionByName(part)
     candidates = cut(found.distinct())
     ids = cut(candidates.select("id", F.coalesce(F.col("id"), F.lit(-1)).alias("known"), F.col("id").isNull().alias("none")).distinct())
@@ -123,15 +128,15 @@ def leaks(
     hit = hit.select(F.monotonically_increasing_id().alias("row"), "id", words(F.col("text")).alias("w"))
     strings = hit.select("row", "id", F.explode(F.concat(*(_strings("w", s) for s in sizes))).alias("shingle"))
     counted = (
-        strings.join(small(items.select("shingle", "item", "q"), n_items, 512), "shingle")
-        .groupBy("row", "id", "item", "q")
+        strings.join(small(items.select("shingle", "item", "unnamed", "q"), n_items, 512), "shingle")
+        .groupBy("row", "id", "item", "unnamed", "q")
         .agg(F.count(F.lit(1)).alias("found"))
         .filter(F.col("found") >= F.col("q") * threshold - 1e-9)
-        .groupBy("id", "item", "q")
+        .groupBy("id", "item", "unnamed", "q")
         .agg(F.max("found").alias("found"))
     )
     verified = counted.alias("v").join(
-        candidates.alias("c"), F.col("v.id").eqNullSafe(F.col("c.id")) & (F.col("v.item") == F.col("c.item")), "left_semi"
+        candidates.alias("c"), reduce(and_, (F.col(f"v.{k}").eqNullSafe(F.col(f"c.{k}")) for k in ("id", "item", "unnamed"))), "left_semi"
     )
     return verified.select(
         F.col("id").alias(id_col),

@@ -71,6 +71,15 @@ def test_edges(spark):
     assert run(spark, [], items) == set() and run(spark, docs, []) == set()
 
 
+def test_items_without_an_id(spark):
+    items = [(1, "one two three four five six seven"), (None, "red orange yellow green blue indigo violet"), (None, "north east south west up down left")]
+    docs = [(1, f"x {items[1][1]} y"), (2, items[2][1]), (3, "nothing of these"), (4, f"{items[0][1]} {items[2][1]}"), (None, items[1][1])]
+    assert run(spark, docs, items) == {(1, None, 3, 3), (2, None, 3, 3), (4, 1, 3, 3), (4, None, 3, 3), (None, None, 3, 3)}
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert decontaminate.leaks(d, b.unionByName(b)).count() == 5
+    assert {r.doc_id for r in decontaminate.clean(d, b).collect()} == {3, None}
+
+
 def test_clean(spark, odd):
     b = spark.createDataFrame([(1, "hello world"), (2, None)], "item_id bigint, text string")
     left = decontaminate.clean(odd, b)
