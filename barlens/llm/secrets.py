@@ -15,8 +15,6 @@ from barlens.llm.common import bound_batches, cut, least_hashed, rows_to_arrow,
 KINDS = ("assign", "access", "hex", "crf")
 #: The field is taught on at most so many documents with and without base spans, those of the least hashes of their ids.
 MAX_TRAINING_ROWS, TRAINING_TOKENS, WINDOWS_A_ROW = 1_500, 48, 2
-#: Shorter tagged runs are no secrets.
-LEAST_CHARACTERS = 8
 
 _KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII).finditer
@@ -177,7 +175,7 @@ def tagged(text: str | None, weights: crf.Weights | None) -> list[tuple[int, int
         else:
             out.append((a, b))
         before = i
-    return [(a, b) for a, b in out if b - a >= LEAST_CHARACTERS]
+    return out
 
 
 def all_spans(text: str | None, weights: crf.Weights | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -190,6 +190,17 @@ def test_field_finds_what_it_was_taught(spark, sf):
     assert total and found / total > 0.9
 
 
+def test_short_tagged_runs_are_kept(monkeypatch):
+    class Weights:
+        def emissions(self, classes, file):
+            return np.zeros((len(classes), 3))
+
+    for t, value in (("pwd: hunter2", "hunter2"), ("pass=abc123", "abc123"), ("credential: q7x9z1", "q7x9z1"), ("pin = 4711", "4711")):
+        monkeypatch.setattr(crf, "decode", lambda w, e: np.array([0] * (len(e) - 1) + [crf.BEGIN]))
+        a = t.index(value)
+        assert secrets.all_spans(t, Weights()) == ([], [("crf", a, a + len(value))])
+
+
 def test_field_gradients_are_those_of_the_likelihood():
     """After long training on few sequences, expected and true counts agree: checked by brute-force marginals."""
     import itertools
