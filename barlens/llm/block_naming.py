@@ -1,21 +1,23 @@
 """Exact deduplication by deterministic block naming (Karp, Miller and Rosenberg's way to name repeats).
 
 A normalised text is cut into blocks of fixed size. All distinct blocks are sorted, and a block's place in
-that order is its integer name. Then neighbouring names are taken in pairs, distinct pairs get names in the
-same way, and so on until each document has one name; together with its number of blocks that is its
-identity. Equal identities mean equal texts: names come from sorted contents, never from hashes alone.
-
-Only distinct blocks are shuffled with their contents, once, and after a partial aggregation. Rows find
-the names of their blocks by a 128-bit key; that no two distinct blocks share a key is checked over all
-blocks, and another salt is taken if two do.
+that order is its integer name. Then neighbouring names are taken in pairs, distinct pairs are sorted and
+named by their places in the same way, and so on until each document has one name; together with its number
+of blocks that is its identity. Names are 0, 1, 2, ... over the whole table and depend on nothing but the
+texts: they are the same however many partitions there are.
+
+Blocks are sorted by a 128-bit key. That no two distinct blocks share one is checked over all blocks, and
+another salt is taken if two do, so that equal identities mean equal texts, never just equal hashes. Only
+distinct blocks are shuffled with their contents, once, and after a partial aggregation; sorting and finding
+the names of a row's blocks take the keys alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlens.llm.common import ascii_lower, cut, semi, spread_join
+from barlens.llm.common import ascii_lower, cut, fresh, semi, spread_join
 
 BLOCK_BYTES = 4096
 
@@ -27,9 +29,16 @@ def normalised(text: Column) -> Column:
 
 
 def _named(distinct: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Distinct rows with their integer name. They are dealt by key and sorted within each part, so that
-    part and place, which monotonically_increasing_id packs into one integer, are the same on any retry."""
-    return distinct.sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id())
+    """Distinct rows with their place in the order of keys over the whole frame: ranges of keys are sorted each in
+    a task of its own, and the number of rows before a range is added to the places in it. Only these numbers,
+    one for each task, are summed in one place."""
+    placed = cut(
+        distinct.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        .select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    )
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = sizes.select("_range", (F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")).alias("_before"))
+    return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
 
 
 def _block_key(block: Column, salt: int) -> list[Column]:
@@ -54,12 +63,14 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     contents = cut_up.select(F.explode(cells).alias("block")).groupBy("block").agg(F.lit(1).alias("one"))
     salt = 0
     while True:
-        names = cut(_named(contents, ["block"], "name").select("name", *_block_key(F.col("block"), salt)))
-        if names.groupBy("k1", "k2").count().filter("count > 1").isEmpty():
+        block_keys = cut(contents.select(*_block_key(F.col("block"), salt)))
+        if block_keys.groupBy("k1", "k2").count().filter("count > 1").isEmpty():
             break
         salt += 1
-    hashed = cut_up.select("id", "row", "n", F.unhex(F.sha2("b", 256)).alias("text_sha256"), F.posexplode(cells).alias("pos", "block"))
-    places = cut(hashed.select("id", "row", "n", "text_sha256", "pos", *_block_key(F.col("block"), salt)))
+    names = _named(block_keys, ["k1", "k2"], "name")
+    # a text is hashed once, and its digest stands beside its first block only
+    hashed = cut_up.withColumn("sha", F.unhex(F.sha2("b", 256))).select("id", "row", "n", "sha", F.posexplode(cells).alias("pos", "block"))
+    places = cut(hashed.select("id", "row", "n", F.when(F.col("pos") == 0, F.col("sha")).alias("text_sha256"), "pos", *_block_key(F.col("block"), salt)))
     state = cut(places.join(names.hint("shuffle_merge"), ["k1", "k2"]).select("row", "n", "pos", "name"))
     heads = places.filter("pos = 0").select("row", "id", "text_sha256")
     done = [state.filter("n = 1").select("row", "n", "name")]
@@ -77,7 +88,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         named = _named(pairs.groupBy("left", "right").agg(F.lit(1).alias("one")), ["left", "right"], "name").drop("one")
         width *= 2
-        state = cut(spread_join(pairs, cut(named), ["left", "right"]).select("row", "n", "pos", "name"))
+        state = cut(spread_join(pairs, named, ["left", "right"]).select("row", "n", "pos", "name"))
         done.append(state.filter((F.col("n") <= width)).select("row", "n", "name"))
     whole = done[0]
     for part in done[1:]:
@@ -109,21 +120,21 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its normalised text, one stays; rows with a null id stay if no other row has their text."""
     found = cut(groups(docs, id_col, text_col, block_bytes))
     per_id = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("kept").cast("int")).alias("kept"))
-    mixed = cut(per_id.filter(F.col(id_col).isNull() | (F.col("rows") > 1)).select(id_col, "rows"))
+    mixed = cut(per_id.filter(F.col(id_col).isNull() | (F.col("rows") > 1)).select(id_col))
     dropped = cut(per_id.filter(F.col(id_col).isNotNull() & (F.col("rows") == 1) & (F.col("kept") == 0)).select(id_col))
     simple = semi(docs, dropped, id_col, dropped.count(), "left_anti")
     n_mixed = mixed.count()
     if not n_mixed:
         return simple
-    plain = semi(simple, mixed.select(id_col), id_col, n_mixed, "left_anti").filter(F.col(id_col).isNotNull())
-    # ids that several rows have, or none: decided by id and text together
-    keys = found.join(mixed.select(F.col(id_col).alias("_id")), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    keys = keys.filter("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    repeated = docs.withColumn("_sha2", F.sha2(normalised(F.col(text_col)), 256))
-    repeated = repeated.join(
-        keys, F.col("_id").eqNullSafe(F.col(id_col)) & (F.col("_sha") == F.col("_sha2")), "left_semi"
-    ).withColumn("_id3", F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    return plain.unionByName(repeated.dropDuplicates(["_id3", "_sha2"]).drop("_id3", "_sha2"))
+    plain = semi(simple, mixed, id_col, n_mixed, "left_anti").filter(F.col(id_col).isNotNull())
+    # ids that several rows have, or none: decided by id and text together, in columns of names that docs doesn't have
+    its_id, its_sha, own_id, own_sha = fresh(docs, "its_id", "its_sha", "own_id", "own_sha")
+    keys = found.filter("kept").select(F.col(id_col).alias(its_id), F.col("text_sha256").alias(its_sha))
+    mixed = mixed.select(F.col(id_col).alias(own_id))
+    keys = keys.join(mixed, F.col(its_id).eqNullSafe(F.col(own_id)), "left_semi")
+    repeated = docs.withColumn(own_sha, F.sha2(normalised(F.col(text_col)), 256))
+    repeated = repeated.join(keys, F.col(its_id).eqNullSafe(F.col(id_col)) & (F.col(its_sha) == F.col(own_sha)), "left_semi")
+    return plain.unionByName(repeated.dropDuplicates([id_col, own_sha]).drop(own_sha))
 
 
 ORACLE = """

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -71,6 +73,36 @@ def rows_to_arrow(
     return run
 
 
+def map_texts(
+    docs: DataFrame, id_col: str, text_col: str, fn: Callable[[list, list[str]], Iterable[tuple]], fields: list[tuple[str, pa.DataType]], rows: int = 512
+) -> DataFrame:
+    """The id column, of whatever type, and the columns named in fields that fn makes of slices of ids and texts."""
+    bound_batches(docs.sparkSession)
+    made = from_arrow_schema(pa.schema(fields))
+    result = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *made.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def typed(first: pa.RecordBatch) -> pa.Schema:
+            return pa.schema([("id", first.column(0).type), *fields])
+
+        for batch in batches:
+            yield from rows_to_arrow(fn, typed(batch), rows)(iter([batch]))
+
+    frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, result)
+    return frame.withColumnRenamed("id", id_col)
+
+
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """names, each with underscores before it until no column of frame has it."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for a written table below spark.checkpoint.dir, which all executors share. Only where
     that is unset (a local session, as in tests) a folder of this machine is set as the checkpoint folder."""

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.common import bound_batches, cut, rows_to_arrow, semi, spread_join
+from barlens.llm.common import cut, map_texts, semi, spread_join
 from barlens.llm.graph import components
 
 SEED, SHINGLE_WORDS, MAX_BITS = 42, 3, 3
@@ -48,14 +48,10 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, f): the fingerprint of each row's whole text as a signed 64-bit integer; a text without words has 0."""
-    bound_batches(docs.sparkSession)
-
     def run(ids: list, texts: list) -> tuple[np.ndarray]:
         return (np.array([fingerprint(t, shingle_words) for t in texts], np.uint64).view(np.int64),)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("f", pa.int64())])
-    frame = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return frame.mapInArrow(rows_to_arrow(run, schema), "doc_id bigint, f bigint")
+    return map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", run, [("f", pa.int64())])
 
 
 def embedding(f: Column) -> Column:
@@ -116,10 +112,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     found = cut(components(links(classes.select("f"), max_bits)))
     linked = found.join(classes, F.col("node") == F.col("f"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(least, "root").select("f", "component_id")
+    linked = spread_join(linked, least, ["root"]).select("f", "component_id")  # a component may be very large
     named = classes.join(linked, "f", "left").select("f", F.coalesce("component_id", "least").alias("component_id"))
     return spread_join(printed, named, ["f"]).select(
-        F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col),
+        F.col("doc_id").alias(id_col),
         F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"),
         "component_id",
     )

@@ -2,8 +2,8 @@
 
 An archive is a folder of two tables. payloads has each distinct payload once, under its address (SHA-256);
 headers has a row for each record with the exact bytes of its WARC and HTTP headers and the address of its
-payload. A record is rebuilt by joining the two; that a payload still has the digest it is stored under is
-verified whenever it is read.
+payload. A record is rebuilt by joining the two, byte for byte, and what is told of it is parsed from these
+bytes; that a payload still has the digest it is stored under is verified whenever it is read.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlens.llm.common import cut, scratch, semi
+from barlens.llm.common import cut, scratch
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -29,8 +29,9 @@ def base32_of_hex(digest: Column) -> Column:
     return F.concat(*letters)
 
 
-def _record_id(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
+def _record_id(page_id: Column, row: Column) -> Column:
+    """The id of a page and the number of its row in the archive, so that rows that repeat an id have record ids of their own."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(":"), row.cast("string"), F.lit(">"))
 
 
 def _joined(records: DataFrame, per_address: DataFrame) -> DataFrame:
@@ -47,7 +48,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     Payloads are the UTF-8 bytes of payload_col, null being empty. Of records with equal payloads of at
     least least_bytes bytes, that with the largest id is a response and the others are revisits of it
     (of rows that repeat that id, one is the response); smaller ones are all responses. A null id is
-    smaller than any; a null url is an empty target. Other columns are not read.
+    smaller than any; a null url is an empty target, and line ends in one are percent-encoded, as a header
+    can't hold them. Ids are integers. Other columns are not read.
     """
     scan = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"),
@@ -65,16 +67,15 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     decided = cut(
         _joined(index, best)
         .withColumn("is_response", (F.col("payload_bytes") < least_bytes) | (F.col("row") == -F.col("best.order")))
-        .withColumn("response_id", F.when(~F.col("is_response"), F.col("best.page_id")))
     )
     eol = "\r\n"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{eol}Content-Type: text/html; charset=utf-8{eol}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(eol + eol))
     lines = F.concat(
         F.lit(f"WARC/1.1{eol}WARC-Type: "), F.when(F.col("is_response"), "response").otherwise("revisit"),
-        F.lit(f"{eol}WARC-Record-ID: "), _record_id(F.col("page_id")),
-        F.lit(f"{eol}WARC-Date: {WARC_DATE}{eol}WARC-Target-URI: "), F.regexp_replace("url", "[\r\n]", ""),
+        F.lit(f"{eol}WARC-Record-ID: "), _record_id(F.col("page_id"), F.col("row")),
+        F.lit(f"{eol}WARC-Date: {WARC_DATE}{eol}WARC-Target-URI: "), F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")),
         F.lit(f"{eol}WARC-Payload-Digest: sha1:"), F.col("digest"),
-        F.when(F.col("is_response"), "").otherwise(F.concat(F.lit(f"{eol}WARC-Profile: {PROFILE}{eol}WARC-Refers-To: "), _record_id(F.col("response_id")))),
+        F.when(F.col("is_response"), "").otherwise(F.concat(F.lit(f"{eol}WARC-Profile: {PROFILE}{eol}WARC-Refers-To: "), _record_id(F.col("best.page_id"), -F.col("best.order")))),
         F.lit(f"{eol}Content-Type: application/http;msgtype=response{eol}Content-Length: "),
         (F.octet_length("http") + F.when(F.col("is_response"), F.col("payload_bytes")).otherwise(0)).cast("string"),
         F.lit(eol + eol),
@@ -82,13 +83,16 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     headers = decided.withColumn("http", http).select("page_id", "row", lines.alias("warc_header"), F.col("http").alias("http_header"), "address")
     headers.write.parquet(f"{path}/headers")
 
-    holders = best.select(F.coalesce("best.page_id", F.lit(-1)).alias("known"), F.col("best.page_id").isNull().alias("none"), "address")
-    keyed = scan.select(F.coalesce("page_id", F.lit(-1)).alias("known"), F.col("page_id").isNull().alias("none"), "address", "payload")
-    stored = semi(keyed, holders, ["known", "none", "address"], 3 * best.count()).select("address", "payload")
-    repeated = index.groupBy("page_id", "address").count().filter("count > 1")
-    if not repeated.isEmpty():
-        stored = stored.groupBy("address").agg(F.first("payload").alias("payload"))
+    # grouped by the bytes themselves, within each task first: a payload of very many pages leaves each but once
+    stored = scan.groupBy("payload").agg(F.lit(1).alias("one")).select(F.sha2("payload", 256).alias("address"), "payload")
     stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
+    if not addresses_differ(pages.sparkSession, path):
+        raise ValueError("two payloads have one address")
+
+
+def addresses_differ(spark: SparkSession, path: str) -> bool:
+    """Whether each address is that of one stored payload."""
+    return spark.read.parquet(f"{path}/payloads").groupBy("address").count().filter("count > 1").isEmpty()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -110,7 +114,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     head = spark.read.parquet(f"{path}/headers").select(
         "page_id", "address", "warc_header", "http_header",
         F.regexp_extract("warc_header", r"\nWARC-Type: ([a-z]+)\r", 1).alias("record_type"),
-        F.nullif(F.regexp_extract("warc_header", r"\nWARC-Refers-To: <urn:page:(-?\d+)>\r", 1), F.lit("")).cast("bigint").alias("refers_to"),
+        F.nullif(F.regexp_extract("warc_header", r"\nWARC-Refers-To: <urn:page:(-?\d+):\d+>\r", 1), F.lit("")).cast("bigint").alias("refers_to"),
         F.regexp_extract("warc_header", r"\nWARC-Target-URI: ([^\r]*)\r", 1).alias("target"),
         F.regexp_extract("warc_header", r"\nWARC-Payload-Digest: sha1:([A-Z2-7]+)\r", 1).alias("stated"),
     )
@@ -125,11 +129,46 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def parse(records: DataFrame) -> DataFrame:
+    """What the bytes of each record (column record) say: page_id (of its record id), record_type, refers_to, target,
+    payload_bytes (the length that its HTTP header states), payload_digest (as stated) and payload (null for
+    revisits, whose blocks have none). A response raises an error if its payload has another length or digest."""
+    end = "\r\n\r\n"
+
+    def before_end(data: Column) -> Column:
+        return F.substring_index(data.cast("string"), end, 1)
+
+    def after(data: Column, head: Column) -> Column:
+        return F.substring(data, F.octet_length(head) + len(end) + 1, F.octet_length(data))
+
+    def field(head: str, pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(head, rf"\n{pattern}(?:\r|$)", 1), F.lit(""))
+
+    heads = records.select("record", before_end(F.col("record")).alias("head"))
+    length = field("head", r"Content-Length: (\d+)").cast("int")
+    blocks = heads.select("head", F.substring(after(F.col("record"), F.col("head")), F.lit(1), length).alias("block"))
+    blocks = blocks.select("head", "block", before_end(F.col("block")).alias("http"), field("head", "WARC-Type: ([a-z]+)").alias("record_type"))
+    parsed = blocks.select(
+        field("head", r"WARC-Record-ID: <urn:page:(-?\d+):\d+>").cast("bigint").alias("page_id"),
+        "record_type",
+        field("head", r"WARC-Refers-To: <urn:page:(-?\d+):\d+>").cast("bigint").alias("refers_to"),
+        F.coalesce(field("head", r"WARC-Target-URI: ([^\r]*)"), F.lit("")).alias("target"),
+        field("http", r"Content-Length: (\d+)").cast("bigint").alias("payload_bytes"),
+        field("head", "WARC-Payload-Digest: sha1:([A-Z2-7]+)").alias("stated"),
+        F.when(F.col("record_type") == "response", after(F.col("block"), F.col("http"))).alias("payload"),
+    )
+    parsed = parsed.withColumn("found", base32_of_hex(F.sha1("payload")))
+    right = F.col("payload").isNull() | ((F.octet_length("payload") == F.col("payload_bytes")) & (F.col("found") == F.col("stated")))
+    digest = F.when(right, F.col("stated")).otherwise(F.raise_error(F.concat(F.lit("a record does not hold the payload it states: "), F.col("stated"))))
+    return parsed.select("page_id", "record_type", "refers_to", "target", "payload_bytes", digest.alias("payload_digest"), "payload")
+
+
 def digests(pages: DataFrame) -> DataFrame:
-    """Writes an archive of pages to the shared checkpoint folder, reads it back and gives the digest columns."""
+    """Writes an archive of pages to the shared checkpoint folder, rebuilds its records, and gives the digest columns
+    as parsed from their bytes."""
     spark = pages.sparkSession
     write(pages, path := scratch(spark, "warc"))
-    return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return parse(read(spark, path).select("record")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """

@@ -56,12 +56,64 @@ def test_against_brute_force(spark):
     assert run(spark, docs, items) == brute(docs, items)
 
 
-def test_sketches_in_blocks(spark, monkeypatch):
+def test_beyond_the_broadcast_bound(spark, monkeypatch):
+    """With a bound of nothing only the bitmap is broadcast, whose size does not depend on the items."""
     items = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i} g{i}") for i in range(12)]
     docs = [(i, f"x {items[i % 12][1]} y") for i in range(30)]
-    monkeypatch.setattr(decontaminate, "SKETCH_BYTES", 600)
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
-    assert run(spark, docs, items) == brute(docs, items) and len(brute(docs, items)) == 30
+    for bits, row in ((10, 8), (26, 15)):
+        monkeypatch.setattr(decontaminate, "BITMAP_BITS", bits)
+        monkeypatch.setattr(decontaminate, "ROW_BITS", row)
+        assert run(spark, docs, items) == brute(docs, items) and len(brute(docs, items)) == 30
+
+
+def test_size_of_the_bitmap(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(decontaminate, "BITMAP_BITS", 12)
+    monkeypatch.setattr(decontaminate, "ROW_BITS", 9)
+    hashes = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    for n in (10, 5000):
+        some = hashes.limit(n)
+        rows = {r.bits_row: r.bits for r in decontaminate._bitmap(some).collect()}
+        assert len(rows) <= 8 and all(len(b) == 8 for b in rows.values())
+        low = {r.h & 4095 for r in some.collect()}
+        assert {row * 512 + w * 64 + k for row, b in rows.items() for w in range(8) for k in range(64) if b[w] >> k & 1} == low
+
+
+def test_partitions_have_sketches_of_their_own(spark):
+    """An item of q shingles may miss q - ceil(0.8 q) of them, and has one more in its sketch."""
+    import math
+
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n + 4))) for n in (1, 4, 5, 9, 10, 16, 31)]
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    parted = decontaminate.partitions(decontaminate.item_shingles(b))
+    got = {(r.item, r.least): r["count"] for r in decontaminate.sketches(parted).groupBy("item", "least").count().collect()}
+    for (n, least), m in got.items():
+        assert m == n - math.ceil(0.8 * n) + 1 and least <= math.ceil(0.8 * n) + 4
+
+
+def test_items_of_several_sizes(spark):
+    items = [(1, "one two three four five six"), (1, "seven"), (1, "eight"), (1, "nine"), (2, "ten")]
+    docs = [(1, "nine eight seven one two"), (2, "one two three four five six"), (3, "five one two three four five seven nine eight"), (4, "ten")]
+    assert run(spark, docs, items) == brute(docs, items) and {x[0] for x in brute(docs, items)} == {3, 4}
+
+
+def test_shingles_of_many_items_make_no_candidates(spark):
+    shared = "to be or not to be"
+    items = [(i, f"{shared} x{i} y{i} z{i} u{i} v{i} w{i} p{i} q{i} r{i} s{i}") for i in range(40)]
+    docs = [(i, f"{shared} and nothing else {i}") for i in range(50)] + [(60, items[3][1])]
+    assert run(spark, docs, items) == brute(docs, items) == {(60, 3, 12, 12)}
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    sketch = decontaminate.sketches(decontaminate.partitions(decontaminate.item_shingles(b)))
+    assert sketch.groupBy("h").count().filter("count > 1").isEmpty()
+
+
+def test_ids_of_text(spark):
+    d = spark.createDataFrame([("a", "one two three four five six"), (None, "one two three four five six"), ("b", "x")], "doc_id string, text string")
+    b = spark.createDataFrame([("i", "one two three four five")], "item_id string, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()} == {("a", "i"), (None, "i")}
+    assert [r.doc_id for r in decontaminate.clean(d, b).orderBy("doc_id").collect()] == [None, "b"]
 
 
 def test_edges(spark):
