@@ -5,26 +5,30 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.llm import gru
-from barlens.llm.common import bound_batches, cut, least_hashed, remainder, rows_to_arrow, semi
+from barlens.llm.common import BROADCAST_BYTES, cut, least_hashed, map_texts, remainder, semi
 
-#: At most so many documents are learnt from, those of the least hashes of their ids, and so many chunks of each.
-MAX_TRAINING_ROWS, CHUNKS_A_ROW, TRAINING_CHUNK = 4_000, 6, 64
+#: At most so many documents are learnt from, from each of them the whole text: as many of each language, those of
+#: the least hashes of their ids. Their texts are all that reaches the driver.
+MAX_TRAINING_ROWS = 2_000
 UNDETERMINED = "und"
 _letter = regex.compile(r"\p{L}").search
 
 
-def _sample(text: str | None) -> list[bytes]:
-    """Chunks of TRAINING_CHUNK bytes from even places of a text; a shorter text is filled with spaces."""
-    data = (text or "").encode()
-    if not data.strip():
-        return []
-    last = max(len(data) - TRAINING_CHUNK, 0)
-    places = sorted({int(x) for x in np.linspace(0, last, CHUNKS_A_ROW)})
-    return [data[p : p + TRAINING_CHUNK].ljust(TRAINING_CHUNK) for p in places]
+def sample(ids: DataFrame, max_rows: int) -> DataFrame:
+    """At most max_rows of ids (id, lang), an equal share of each language, those of the least hashes. A cut of the
+    hashes far above what is needed comes first, by the size of each language, so that a task ranks few rows."""
+    counts = cut(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    n = max(counts.count(), 1)
+    quota, spread = max(max_rows // n, 1), 1 << 30
+    sizes = F.broadcast(counts) if n * 1024 < BROADCAST_BYTES else counts.hint("shuffle_merge")
+    hashed = ids.join(sizes, "lang").withColumn("hash", F.pmod(F.xxhash64("id"), F.lit(spread)))
+    few = hashed.filter((F.col("n") <= 8 * quota) | (F.col("hash") < F.lit(float(spread * 4 * quota)) / F.col("n")))
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id")))
+    return least_hashed(ranked.filter(F.col("rank") <= quota).select("id", "lang"), "id", max_rows)
 
 
 class Model:
@@ -47,37 +51,29 @@ class Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_TRAINING_ROWS) -> Model:
-    """Learns from at most max_rows documents with a language outside the held-out fold (crc32 of the id as
-    text, modulo 5, is 0). Rows without an id, a language or text are not learnt from. Without any row, the
-    model finds every text undetermined; with a single language it gives that one."""
-    bound_batches(docs.sparkSession)
-    usable = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (remainder(F.col(id_col)) != 0))
-    ids = usable.groupBy(F.col(id_col).alias("id")).agg(F.max(lang_col).alias("lang"))
-    chosen = cut(least_hashed(ids, "id", max_rows))
-    text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    schema = pa.schema([("id", pa.int64()), ("chunks", pa.list_(pa.binary()))])
-    mine = semi(text, chosen.select("id"), "id", chosen.count())
-    some = mine.mapInArrow(rows_to_arrow(lambda ids, texts: ([_sample(t) for t in texts],), schema), "id bigint, chunks array<binary>")
-    rows = some.dropDuplicates(["id"]).join(chosen, "id").orderBy("id").collect()  # bounded by max_rows
-    languages = sorted({r["lang"] for r in rows if r["chunks"]})
-    chunks = [np.frombuffer(bytes(c), np.uint8) for r in rows for c in r["chunks"]]
-    labels = [languages.index(r["lang"]) for r in rows for _ in r["chunks"]]
-    if not chunks:
+    """Learns from the whole texts of at most max_rows documents with a language outside the held-out fold (crc32 of
+    the id as text, modulo 5, is 0). Rows without an id, a language or a letter are not learnt from; of rows that
+    repeat an id the least text and the greatest language count. Without any row, the model finds every text
+    undetermined; with a single language it gives that one."""
+    usable = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    usable = usable.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("id")) != 0))
+    chosen = cut(sample(usable.groupBy("id").agg(F.max("lang").alias("lang")), max_rows))
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    mine = semi(text, chosen.select("id"), "id", chosen.count()).groupBy("id").agg(F.min("text").alias("text"))
+    rows = [r for r in mine.join(chosen, "id").orderBy("id").collect() if r["text"] and _letter(r["text"])]  # bounded by max_rows
+    if not rows:
         return Model(None, [])
-    return Model(gru.train(np.array(chunks), np.array(labels), len(languages)), languages)
+    languages = sorted({r["lang"] for r in rows})
+    windows, lengths, owners = gru.windows_of([r["text"].encode() for r in rows])
+    labels = np.array([languages.index(r["lang"]) for r in rows])[owners]
+    return Model(gru.train(windows, lengths, labels, len(languages)), languages)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns one row per input row: the id column, lang_pred and score. Whole texts are read, and nothing
-    else. A null text, or one without a letter, is und with score 0; null ids are passed on, rows that
+    """Returns one row per input row: the id column (of any type), lang_pred and score. Whole texts are read, and
+    nothing else. A null text, or one without a letter, is und with score 0; null ids are passed on, rows that
     repeat have the same prediction, an empty table gives an empty one."""
-    bound_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-    frame = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    out = frame.mapInArrow(
-        rows_to_arrow(lambda ids, texts: model.predict(texts), schema, rows=256), "doc_id bigint, lang_pred string, score double"
-    )
-    return out.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), "lang_pred", "score")
+    return map_texts(docs, id_col, text_col, lambda ids, texts: model.predict(texts), [("lang_pred", pa.string()), ("score", pa.float64())], rows=1024)
 
 
 def predicted(docs: DataFrame) -> DataFrame:

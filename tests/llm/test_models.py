@@ -64,7 +64,8 @@ def test_network_gradients():
     rng = np.random.default_rng(0)
     w = gru.init(3, 4)
     chunks, labels, weights = rng.integers(97, 101, (5, 6)).astype(np.uint8), rng.integers(0, 3, 5), np.ones(5)
-    _, g = gru.gradients(w, chunks, labels, weights)
+    lengths = np.array([6, 4, 6, 1, 5])
+    _, g = gru.gradients(w, chunks, lengths, labels, weights)
     for k in w:
         for _ in range(5):
             i = tuple(rng.integers(0, s) for s in w[k].shape)
@@ -73,26 +74,62 @@ def test_network_gradients():
             for step in (1e-2, -1e-2):
                 moved = {a: b.copy() for a, b in w.items()}
                 moved[k][i] += step
-                around.append(gru.gradients(moved, chunks, labels, weights)[0])
+                around.append(gru.gradients(moved, chunks, lengths, labels, weights)[0])
             assert g[k][i] == pytest.approx((around[0] - around[1]) / 2e-2, abs=2e-3)
 
 
-def test_pooling_counts_each_position_once():
-    w = gru.init(3, 4)
-    texts = [b"", b"a", bytes(range(32, 127)) * 5, b"xyz" * 43]
-    got = gru.pooled(w, texts, chunk=16)
+def plain_states(w, data, side):
+    """One byte after the other, by the equations."""
+    h, out, k = np.zeros(8), [], 8
+    logistic = lambda v: 1 / (1 + np.exp(-v))
+    x, u = w["x"][side].astype(float), w["u"][side].astype(float)
+    for byte in data:
+        z, r = logistic(x[byte, :k] + h @ u[:, :k]), logistic(x[byte, k : 2 * k] + h @ u[:, k : 2 * k])
+        n = np.tanh(x[byte, 2 * k :] + r * (h @ u[:, 2 * k :]))
+        h = np.rint(((1 - z) * n + z * h) * 1024) / 1024
+        out.append(h)
+    return out
+
+
+def test_pooling_against_brute_force():
+    w = gru.init(3, 8)
+    texts = [b"", b"a", bytes(range(32, 127)) * 5, b"xyz" * 43, b"this is a short text"]
+    got = gru.pooled(w, texts, chunk=16, run_up=5)
+    w = gru.rounded(w)
     for text, row in zip(texts, got, strict=True):
         want = np.zeros(3)
         for a in range(0, len(text), 16):
-            piece = np.frombuffer(text[a : a + 16].ljust(16 if len(text) > 16 else len(text)), np.uint8)
-            padded = np.full((1, 16), 32, np.uint8)
-            padded[0, : len(piece)] = piece
-            p = gru._probabilities(w, gru._forward(w, gru._in_step(padded), False)[0])
-            want += p[: min(16, len(text) - a), 0].sum(axis=0)
-        if text:
-            assert row == pytest.approx(want / len(text), abs=2e-2) and row.sum() == pytest.approx(1, abs=1e-4)
-        else:
-            assert not row.any()
+            b = min(a + 16, len(text))
+            left, right = max(a - 5, 0), min(b + 5, len(text))
+            ahead = plain_states(w, text[left:b], 0)[a - left :]
+            back = plain_states(w, text[a:right][::-1], 1)[right - b :][::-1]
+            for f, g in zip(ahead, back, strict=True):
+                e = np.exp(f @ w["v"][0] + g @ w["v"][1] + w["c"])
+                want += e / e.sum()
+        assert row == pytest.approx(want / max(len(text), 1), abs=1e-4)
+
+
+def test_pooling_is_the_same_in_any_batch():
+    rng = np.random.default_rng(2)
+    w = gru.init(4, 8)
+    texts = [bytes(rng.integers(32, 127, int(n)).astype(np.uint8)) for n in [*rng.integers(1, 900, 150), 20_000, 255, 256, 257, 64]]
+    alone = np.array([gru.pooled(w, [t])[0] for t in texts])
+    assert (gru.pooled(w, texts) == alone).all() and (gru.pooled(w, texts[::-1])[::-1] == alone).all()
+    assert (gru.pooled(w, texts[20:60]) == alone[20:60]).all()
+
+
+def test_windows_cover_whole_texts():
+    texts = [b"", b"abc", b"x" * 300]
+    windows, lengths, owners = gru.windows_of(texts)
+    assert [bytes(r[:n]) for r, n in zip(windows, lengths, strict=True)] == [b"abc", b"x" * 128, b"x" * 128, b"x" * 44] and owners.tolist() == [1, 2, 2, 2]
+
+
+def test_sample_of_each_language(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(3000).select("id", F.when(F.col("id") % 300 == 0, "rare").otherwise("common").alias("lang"))
+    got = {r.lang: r["count"] for r in language.sample(ids, 40).groupBy("lang").count().collect()}
+    assert got == {"rare": 10, "common": 20}
 
 
 def test_language_of_odd_rows(spark, odd, none, make_docs):
