@@ -1,8 +1,19 @@
-"""Secret scans: fixed patterns, and a conditional random field that is taught by them and tags more."""
+"""Secret scans: fixed patterns, and a conditional random field that tags what they don't cover.
+
+The field is taught on whole texts, in which the values that the patterns find are secrets. As these alone would
+teach it the patterns again, made-up passages are put between the words of these texts: secrets behind names,
+signs and in forms that no pattern has, and beside them as many harmless passages that look alike (versions, dates,
+UUIDs, file names, calls, names of secrets without one).
+"""
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
+from bisect import bisect_right
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlens.llm import crf
-from barlens.llm.common import bound_batches, cut, least_hashed, rows_to_arrow, semi
+from barlens.llm.common import cut, least_hashed, map_texts, semi
 
 KINDS = ("assign", "access", "hex", "crf")
-#: The field is taught on at most so many documents with and without base spans, those of the least hashes of their ids.
-MAX_TRAINING_ROWS, TRAINING_TOKENS, WINDOWS_A_ROW = 1_500, 48, 2
+#: The field is taught on the whole texts of at most so many documents with and as many without base spans, those of the
+#: least hashes of their ids, in sequences of so many tokens that cover them.
+MAX_TRAINING_ROWS, TRAINING_TOKENS = 1_000, 48
+#: One made-up passage is put in for so many words of a text, and one more.
+WORDS_A_PASSAGE = 120
+#: Words are told apart by so many hashes; further than so many tokens back a word is not looked for.
+N_WORDS, REACH = 1 << 12, 4
 
 _KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII).finditer
@@ -69,11 +85,20 @@ def token_class(token: str) -> int:
     return _FIRST_SHAPE + shape * (len(_LENGTHS) + 1) + sum(len(token) >= n for n in _LENGTHS)
 
 
-class _Classes(dict):
-    """Classes of tokens seen, forgotten when there are too many."""
+_last_part = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[^\W\d_a-zA-Z]+)$").search
+
+
+def word_hash(token: str) -> int:
+    """Of the last word of a token, so that db_password and dbPassword are as password; 0 where it does not end in letters."""
+    found = _last_part(token)
+    return 1 + zlib.crc32(found[0].lower().encode()) % (N_WORDS - 1) if found else 0
+
+
+class _Codes(dict):
+    """Class and word of tokens seen, forgotten when there are too many."""
 
     def __missing__(self, token: str) -> int:
-        found = token_class(token)
+        found = token_class(token) | word_hash(token[-64:]) << 8
         if len(token) <= 32:
             if len(self) >= 300_000:
                 self.clear()
@@ -81,12 +106,18 @@ class _Classes(dict):
         return found
 
 
-_classes = _Classes()
+_codes = _Codes()
 
 
-def classes_of(text: str) -> np.ndarray:
-    tokens = _token.findall(text)
-    return np.fromiter(map(_classes.__getitem__, tokens), np.int16, len(tokens))
+def features_of(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each token, and (2, tokens) the last word up to REACH tokens before it and the word right behind it."""
+    codes = np.fromiter(map(_codes.__getitem__, tokens), np.int32, len(tokens))
+    words = codes >> 8
+    places = np.arange(len(tokens))
+    last = np.maximum.accumulate(np.where(words > 0, places, -REACH - 1))
+    last = np.concatenate([[-REACH - 1], last])[:-1]
+    before = np.where(places - last <= REACH, words[np.maximum(last, 0)], 0)
+    return (codes & 255).astype(np.int16), np.stack([before, np.concatenate([words, [0]])[1:]]).astype(np.int16)
 
 
 def file_class(classes: np.ndarray) -> int:
@@ -97,79 +128,160 @@ def file_class(classes: np.ndarray) -> int:
     return level * 2 + int(((classes == 1) | (classes == 2)).any())
 
 
-def taught_windows(text: str | None) -> list[dict]:
-    """Windows of tokens for training: around base spans, or else one from the middle. Tokens in a base span
+# Names of secrets in some languages, what stands between name and value, and harmless names.
+SECRET_NAMES = (
+    "password", "passphrase", "passcode", "passwd", "pwd", "pass", "pw", "secret", "client secret", "client_secret", "token", "access token", "auth token", "refresh_token", "bearer", "credential",
+    "credentials", "api key", "apikey", "api_key", "access key", "access_key", "secret_access_key", "private key", "signing key", "encryption_key", "login", "pin", "otp", "auth", "authorization",
+    "session key", "cookie", "webhook secret", "license key", "db_password", "dbPassword", "userPass", "Kennwort", "Passwort", "Zugangscode", "Geheimnis", "mot de passe", "clave", "contraseña", "jeton",
+)
+SIGNS = (": ", " = ", "=", " := ", ":", " => ", " is ", ' = "', ": '", '="', " -> ")
+HARMLESS_NAMES = ("version", "date", "id", "name", "size", "file", "page", "color", "status", "count", "path", "host", "port", "user", "title", "ref", "order", "model", "build", "key", "table", "value", "time", "level")
+_ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_HEX = "0123456789abcdef"
+
+
+def _value(rnd: random.Random) -> str:
+    """A made-up secret in one of some forms."""
+    def some(letters: str, least: int, most: int) -> str:
+        return "".join(rnd.choices(letters, k=rnd.randint(least, most)))
+
+    form = rnd.randrange(8)
+    if form == 0:  # a prefix that names the service
+        return f"{some('abcdefghijklmnopqrstuvwxyz', 2, 4)}_{rnd.choice(['', 'live_', 'test_'])}{some(_ALNUM, 16, 40)}"
+    if form == 1:  # base64
+        return some(_ALNUM + "+/", 20, 44) + rnd.choice(["", "=", "=="])
+    if form == 2:  # hexadecimal, of other lengths or letters than the pattern's
+        return some(_HEX, 10, 23) if rnd.random() < 0.5 else some(_HEX, 16, 40).upper()
+    if form == 3:  # three parts, as of a web token
+        return f"eyJ{some(_ALNUM, 12, 30)}.eyJ{some(_ALNUM, 12, 40)}.{some(_ALNUM + '_-', 20, 40)}"
+    if form == 4:  # a word with digits and a mark
+        return some("abcdefghijklmnopqrstuvwxyz", 4, 8).capitalize() + some("0123456789", 2, 4) + rnd.choice(["", "!", "#", "$"])
+    if form == 5:  # groups
+        return "-".join(some(_ALNUM[:26] + "0123456789", 4, 5) for _ in range(rnd.randint(3, 5)))
+    return some(_ALNUM, 8, 40)
+
+
+def passage(rnd: random.Random) -> tuple[str, int, int]:
+    """A made-up passage and the place of the secret in it; an empty place where it is harmless."""
+    def digits(n: int) -> str:
+        return "".join(rnd.choices("0123456789", k=n))
+
+    name, sign = rnd.choice(SECRET_NAMES), rnd.choice(SIGNS)
+    name = rnd.choice([name, name.upper(), name.capitalize(), rnd.choice(["my_", "the ", "your ", "app."]) + name])
+    if rnd.random() < 0.5:
+        before, value = name + sign, _value(rnd)
+        return before + value + (sign[-1] if sign[-1] in "'\"" else ""), len(before), len(before) + len(value)
+    other = rnd.choice(HARMLESS_NAMES)
+    kind = rnd.randrange(9)
+    if kind == 0:
+        text = f"{name}{sign.rstrip()} {rnd.choice(['required', 'none', 'null', 'changed', 'expired', 'missing', 'optional', 'true', 'hidden'])}"
+    elif kind == 1:
+        text = f"{other}{sign}{'-'.join(''.join(rnd.choices(_HEX, k=k)) for k in (8, 4, 4, 4, 12))}"
+    elif kind == 2:
+        text = f"{other}{sign}{rnd.randint(0, 20)}.{rnd.randint(0, 30)}.{rnd.randint(0, 99)}"
+    elif kind == 3:
+        text = f"{other}{sign}20{digits(2)}-0{rnd.randint(1, 9)}-{rnd.randint(10, 28)}"
+    elif kind == 4:
+        text = f"{other}{sign}{''.join(rnd.choices('abcdefghijklmnopqrstuvwxyz', k=rnd.randint(4, 10)))}_{digits(rnd.randint(2, 8))}.{rnd.choice(['txt', 'png', 'tar', 'json', 'py'])}"
+    elif kind == 5:
+        text = f"{name}{sign.rstrip()} get{name.title().replace(' ', '')}({other})"
+    elif kind == 6:
+        text = f"{other}{sign}{digits(rnd.randint(1, 16))}"
+    elif kind == 7:
+        text = f"{other}{sign}{''.join(rnd.choices(_ALNUM[:26], k=2))}-{digits(rnd.randint(3, 6))}"
+    else:
+        text = f"{other}{sign}#{''.join(rnd.choices(_HEX, k=6))}"
+    return text, 0, 0
+
+
+def taught(text: str | None) -> tuple[bytes, bytes, bytes, int]:
+    """What the field learns from a whole text with made-up passages between its words: the classes of its tokens,
+    their words and their labels (packed), and the class of the file. Tokens in a base span or in the secret of a passage
     are secrets, but for the name and the marks before an assigned value."""
     t = text or ""
+    rnd = random.Random(zlib.crc32(t.encode()))
+    gaps = [m.start() for m in re.finditer(r"\s", t)]
+    places = sorted(rnd.choices(gaps, k=1 + len(gaps) // WORDS_A_PASSAGE)) if gaps else [len(t)] if t else []
+    parts, secret, at, length = [], [], 0, 0
+    for place in places:
+        words, a, b = passage(rnd)
+        parts += [t[at:place], " ", words, " "]
+        length += place - at + 1
+        if b > a:
+            secret.append((length + a, length + b))
+        length, at = length + len(words) + 1, place
+    t = "".join([*parts, t[at:]])
+    values = {m.span(): m.start(1) for m in _assign(t)}
+    secret += [(values[a, b] if kind == "assign" else a, b) for kind, a, b in base_spans(t)]
     tokens = list(_token.finditer(t))
-    if not tokens:
-        return []
-    classes = np.fromiter((token_class(m[0]) for m in tokens), np.int16, len(tokens))
-    labels = np.zeros(len(tokens), np.int8)
+    classes, words = features_of([m[0] for m in tokens])
     starts = np.fromiter((m.start() for m in tokens), np.int64, len(tokens))
-    centres = []
-    for kind, a, b in base_spans(t):
-        if kind == "assign":
-            a = next(m.start(1) for m in _assign(t) if m.span() == (a, b))
-        inside = np.flatnonzero((starts >= a) & (starts < b))
-        if len(inside) and not labels[inside].any():
-            labels[inside] = crf.INSIDE
-            labels[inside[0]] = crf.BEGIN
-            centres.append(int(inside[0]))
-    of_file = file_class(classes)
-    padded = np.concatenate([[0, 0], classes, [0]])
-    out = []
-    for centre in (centres or [len(tokens) // 2])[:WINDOWS_A_ROW]:
-        a = max(0, min(centre - TRAINING_TOKENS // 2, len(tokens) - TRAINING_TOKENS))
-        window = labels[a : a + TRAINING_TOKENS]
-        out.append({"classes": padded[a : a + len(window) + 3].tolist(), "labels": window.tolist(), "file": of_file})
-    return out
+    labels = np.zeros(len(tokens), np.int8)
+    for a, b in sorted(secret):
+        first, last = np.searchsorted(starts, (a, b))
+        if first < last and not labels[first:last].any():
+            labels[first:last] = crf.INSIDE
+            labels[first] = crf.BEGIN
+    return classes.tobytes(), words.tobytes(), labels.tobytes(), file_class(classes)
+
+
+def sequences(rows: list[tuple[bytes, bytes, bytes, int]]) -> tuple[np.ndarray, ...]:
+    """classes, words, files and labels of sequences of TRAINING_TOKENS that cover the rows (as taught() gives them)."""
+    classes, words, files, labels = [], [], [], []
+    for packed, packed_words, packed_labels, file in rows:
+        own, label = np.frombuffer(packed, np.int16), np.frombuffer(packed_labels, np.int8)
+        n, count = len(own), -(-len(own) // TRAINING_TOKENS)
+        if not n:
+            continue
+        fill = count * TRAINING_TOKENS - n
+        padded = np.concatenate([[0, 0], own, np.zeros(fill + 1, np.int16)]).astype(np.int16)
+        classes.append(np.lib.stride_tricks.sliding_window_view(padded, TRAINING_TOKENS + 3)[::TRAINING_TOKENS])
+        words.append(np.pad(np.frombuffer(packed_words, np.int16).reshape(2, n), ((0, 0), (0, fill))).reshape(2, count, TRAINING_TOKENS))
+        labels.append(np.pad(label, (0, fill), constant_values=-1).reshape(count, TRAINING_TOKENS))
+        files += [file] * count
+    return np.concatenate(classes), np.concatenate(words, axis=1), np.array(files), np.concatenate(labels)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAINING_ROWS) -> crf.Weights | None:
-    """Teaches the field on windows of at most max_rows documents that look like having base spans and as
-    many others; rows without an id are not learnt from. None if there is no text with a base span: then it has nothing to go by and tags nothing."""
-    bound_batches(docs.sparkSession)
-    text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    hit = F.col("text").rlike(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]|(?-i)AKIA[A-Z0-9]{16}|[0-9a-f]{24}""")
+    """Teaches the field on the whole texts of at most max_rows documents that look like having base spans and as
+    many others; rows without an id are not learnt from. None if no document looks like having one: then the field has
+    not seen what is harmless beside secrets of this kind of text, and tags nothing."""
+    text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # names are looked for as plain strings first, which is much faster than an expression
+    lower = F.lower("text")
+    named = reduce(or_, (lower.contains(k) for k in _KEYWORDS)) & F.col("text").rlike(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]""")
+    hit = named | (F.col("text").contains("AKIA") & F.col("text").rlike("AKIA[A-Z0-9]{16}")) | F.col("text").rlike("[0-9a-f]{24}")
     told = cut(text.filter("id is not null").groupBy("id").agg(F.max(hit.cast("int")).alias("hit")))
     chosen = least_hashed(told.filter("hit = 1").select("id"), "id", max_rows).unionByName(least_hashed(told.filter("hit = 0").select("id"), "id", max_rows))
     chosen = cut(chosen)
-    some = semi(text, chosen, "id", chosen.count())
-    window = pa.struct([("classes", pa.list_(pa.int16())), ("labels", pa.list_(pa.int8())), ("file", pa.int8())])
-    schema = pa.schema([("id", pa.int64()), ("windows", pa.list_(window))])
-    found = some.mapInArrow(
-        rows_to_arrow(lambda ids, texts: ([taught_windows(t) for t in texts],), schema),
-        "id bigint, windows array<struct<classes: array<smallint>, labels: array<tinyint>, file: tinyint>>",
-    )
-    rows = [w for r in found.collect() for w in r["windows"]]  # bounded by 2 max_rows windows of bounded size
-    rows = sorted(rows, key=lambda w: (w["classes"], w["labels"], w["file"]))
-    if not any(max(w["labels"]) for w in rows):
+    if told.filter("hit = 1").isEmpty():
         return None
-    classes = np.zeros((len(rows), TRAINING_TOKENS + 3), np.int64)
-    labels = np.full((len(rows), TRAINING_TOKENS), -1)
-    for i, w in enumerate(rows):
-        classes[i, : len(w["classes"])] = w["classes"]
-        labels[i, : len(w["labels"])] = w["labels"]
-    return crf.train(classes, np.array([w["file"] for w in rows]), labels, KINDS_OF_CLASSES, N_FILES)
+    some = semi(text, chosen, "id", chosen.count())
+    fields = [("classes", pa.binary()), ("words", pa.binary()), ("labels", pa.binary()), ("file", pa.int8())]
+    found = map_texts(some, "id", "text", lambda ids, texts: zip(*map(taught, texts), strict=True), fields)
+    # seven bytes a token of at most 2 max_rows texts (more only where ids repeat)
+    rows = sorted((bytes(r["classes"]), bytes(r["words"]), bytes(r["labels"]), r["file"]) for r in found.drop("id").collect())
+    rows = [r for r in rows if r[0]]
+    classes, words, files, labels = sequences(rows)
+    return crf.train(classes, words, files, labels, KINDS_OF_CLASSES, N_FILES, N_WORDS)
 
 
 def tagged(text: str | None, weights: crf.Weights | None) -> list[tuple[int, int]]:
     """Spans of the runs of tokens that the field tags as secrets in a whole text."""
     if not text or weights is None:
         return []
-    classes = classes_of(text)
-    if not len(classes):
+    tokens = _token.findall(text)
+    if not tokens:
         return []
-    labels = crf.decode(weights, weights.emissions(classes, file_class(classes)))
-    places = np.flatnonzero(labels)
-    if not len(places):
+    classes, words = features_of(tokens)
+    labels = crf.decode(weights, weights.emissions(classes, words, file_class(classes)))
+    if not labels.any():
         return []
-    tokens = [m.span() for m in _token.finditer(text)]
+    spans = [m.span() for m in _token.finditer(text)]
     out: list[tuple[int, int]] = []
     before = -2
-    for i in places.tolist():
-        a, b = tokens[i]
+    for i in np.flatnonzero(labels).tolist():
+        a, b = spans[i]
         if out and i == before + 1 and labels[i] == crf.INSIDE and not text[out[-1][1] : a].strip():
             out[-1] = (out[-1][0], b)
         else:
@@ -181,29 +293,29 @@ def tagged(text: str | None, weights: crf.Weights | None) -> list[tuple[int, int
 def all_spans(text: str | None, weights: crf.Weights | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """The base spans, and the spans of the field that share no character with any of them."""
     base = base_spans(text)
-    more = [("crf", a, b) for a, b in tagged(text, weights) if not any(a < y and x < b for _, x, y in base)]
-    return base, more
+    joined: list[list[int]] = []  # the base by start, without overlaps
+    for _, a, b in base:
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], b)
+        else:
+            joined.append([a, b])
+    starts, ends = [a for a, _ in joined], [0, *(b for _, b in joined)]
+    return base, [("crf", a, b) for a, b in tagged(text, weights) if ends[bisect_right(starts, b - 1)] <= a]
 
 
 def spans(docs: DataFrame, weights: crf.Weights | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns one row per input row: the id column, base and added (arrays of kind, start and stop).
 
     Whole texts are read; null and empty ones have no spans. Null ids are passed on, rows that repeat give
-    the same spans, an empty table gives an empty one; other columns are not read.
+    the same spans, an empty table gives an empty one; other columns are not read. Ids may be of any type.
     """
-    bound_batches(docs.sparkSession)
-
     def run(ids: list, texts: list) -> tuple[list, list]:
         found = [all_spans(t, weights) for t in texts]
         as_rows = lambda spans: [{"kind": k, "start": a, "stop": b} for k, a, b in spans]
         return [as_rows(base) for base, _ in found], [as_rows(more) for _, more in found]
 
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(span)), ("added", pa.list_(span))])
-    kind = "array<struct<kind: string, start: int, stop: int>>"
-    frame = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    out = frame.mapInArrow(rows_to_arrow(run, schema), f"doc_id bigint, base {kind}, added {kind}")
-    return out.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), "base", "added")
+    return map_texts(docs, id_col, text_col, run, [("base", pa.list_(span)), ("added", pa.list_(span))])
 
 
 def _joined(column: Column) -> Column:

@@ -162,7 +162,7 @@ def brute_best(e, move):
 def test_decoding_is_exact():
     rng = np.random.default_rng(3)
     for _ in range(200):
-        w = crf.Weights(np.zeros((4, 1, 3)), np.zeros((1, 3)), np.zeros((1, 3)), rng.normal(size=(3, 3)))
+        w = crf.Weights(np.zeros((4, 1, 3)), np.zeros((1, 3)), np.zeros((1, 3)), rng.normal(size=(3, 3)), np.zeros((2, 1, 3)))
         e = rng.normal(size=(rng.integers(1, 8), 3)) * 2
         e[rng.random(len(e)) < 0.5, 0] += 8
         best, total = brute_best(e, w.move)
@@ -178,8 +178,8 @@ def test_field_learns_shapes():
         labels[r, at + 1], labels[r, at + 2] = 1, 2
     padded = np.zeros((200, 15), int)
     padded[:, 2:14] = classes
-    w = crf.train(padded[:150], np.zeros(150, int), labels[:150], np.zeros(10, int), 1)
-    got = np.array([crf.decode(w, w.emissions(classes[r], 0)) for r in range(150, 200)])
+    w = crf.train(padded[:150], np.zeros((2, 150, 12), int), np.zeros(150, int), labels[:150], np.zeros(10, int), 1, 1)
+    got = np.array([crf.decode(w, w.emissions(classes[r], np.zeros((2, 12), int), 0)) for r in range(150, 200)])
     assert (got == labels[150:]).mean() > 0.99
 
 
@@ -227,9 +227,54 @@ def test_field_finds_what_it_was_taught(spark, sf):
     assert total and found / total > 0.9
 
 
+def test_field_finds_secrets_outside_the_base(spark, sf):
+    """Made-up passages of another seed, and names that it was never taught, in texts that it did not learn from."""
+    import random
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    weights = secrets.train(docs.filter("doc_id % 2 = 0"))
+    texts = [r.text.split() for r in docs.filter("doc_id % 2 = 1").limit(300).collect()]
+    rnd = random.Random(77)
+    counts = {"taught": [0, 0], "new": [0, 0], "harmless": [0, 0]}
+    for words in texts:
+        if not words:
+            continue
+        for kind in counts:
+            while True:
+                part, a, b = secrets.passage(rnd)
+                if (b > a) == (kind != "harmless"):
+                    break
+            if kind == "new":
+                name = rnd.choice(["unlock phrase", "recovery code", "vault_pass", "gateway credential", "MASTER_SECRET", "root.token", "smtpPwd"])
+                part, a, b = f"{name} = {part[a:b]}", len(name) + 3, len(name) + 3 + b - a
+            at = rnd.randint(0, len(words))
+            before = " ".join(words[:at]) + " "
+            t = before + part + " " + " ".join(words[at:])
+            a, b = len(before) + a, len(before) + b
+            if kind != "harmless" and any(x < b and a < y for _, x, y in secrets.base_spans(t)):
+                continue
+            tags = [s for s in secrets.all_spans(t, weights)[1] if len(before) <= s[1] < len(before) + len(part)]
+            counts[kind][0] += any(x <= a and b <= y + 1 for _, x, y in tags) if kind != "harmless" else bool(tags)
+            counts[kind][1] += 1
+    print(counts)
+    assert counts["taught"][0] / counts["taught"][1] > 0.85 and counts["new"][0] / counts["new"][1] > 0.6 and counts["harmless"][0] / counts["harmless"][1] < 0.1
+
+
+def test_very_many_secrets_take_no_time():
+    t = "password = abc123xyz and " * 20_000
+    assert len(secrets.all_spans(t, None)[0]) == 20_000 and len(secrets.taught(t)[0]) > 0
+
+
+def test_sequences_cover_whole_texts():
+    rows = [secrets.taught(t) for t in ("", "one two", "word " * 500)]
+    classes, words, files, labels = secrets.sequences([r for r in rows if r[0]])
+    assert (labels >= 0).sum() == sum(len(r[2]) for r in rows) and len(classes) == len(files) == len(labels) == words.shape[1]
+    assert b"".join(bytes(x[x >= 0]) for x in labels) == b"".join(r[2] for r in rows)
+
+
 def test_short_tagged_runs_are_kept(monkeypatch):
     class Weights:
-        def emissions(self, classes, file):
+        def emissions(self, classes, words, file):
             return np.zeros((len(classes), 3))
 
     for t, value in (("pwd: hunter2", "hunter2"), ("pass=abc123", "abc123"), ("credential: q7x9z1", "q7x9z1"), ("pin = 4711", "4711")):
@@ -245,11 +290,12 @@ def test_field_gradients_are_those_of_the_likelihood():
     rng = np.random.default_rng(1)
     labels = np.array([[0, 1, 2, 0], [0, 0, 1, -1], [1, 0, 0, 0]])
     classes = rng.integers(1, 4, (3, 7))
-    w = crf.train(classes, np.array([0, 1, 0]), labels, np.zeros(4, int), 2, steps=1500, rate=0.05, decay=0.02, hidden=0.0)
+    words = rng.integers(0, 3, (2, 3, 4))
+    w = crf.train(classes, words, np.array([0, 1, 0]), labels, np.zeros(4, int), 2, 3, steps=1500, rate=0.05, decay=0.02, hidden=0.0)
     expected, true = np.zeros((3, 3)), np.zeros((3, 3))
     for r in range(3):
         n = int((labels[r] >= 0).sum())
-        e = w.near[0][classes[r, 2 : 2 + n]] + w.near[1][classes[r, 1 : 1 + n]] + w.near[2][classes[r, :n]] + w.near[3][classes[r, 3 : 3 + n]] + w.kind[classes[r, 2 : 2 + n]] + w.file[[0, 1, 0][r]]
+        e = w.near[0][classes[r, 2 : 2 + n]] + w.near[1][classes[r, 1 : 1 + n]] + w.near[2][classes[r, :n]] + w.near[3][classes[r, 3 : 3 + n]] + w.kind[classes[r, 2 : 2 + n]] + w.file[[0, 1, 0][r]] + w.word[0][words[0, r, :n]] + w.word[1][words[1, r, :n]]
         paths = list(itertools.product(range(3), repeat=n))
         totals = np.array([sum(e[t, y] for t, y in enumerate(p)) + sum(w.move[a, b] for a, b in itertools.pairwise(p)) for p in paths])
         shares = np.exp(totals - totals.max())
