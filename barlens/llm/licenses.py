@@ -1,22 +1,25 @@
 """License scans by ordered signature rules.
 
 A text is reduced to its words in lower case with single spaces. Rules are regular expressions over that,
-in an order of priority, each gated by words that must occur at all before it runs. Where detections
-overlap, one whose interval lies within that of a detection of a higher tier, or of the same and longer, is
+in an order of priority: signatures written by hand of license texts, notices and headers, and the names, addresses,
+versions and identifiers of license families. Each is gated by words that must occur at all before it runs; one pass
+of an automaton finds those of all rules. Where detections overlap, one whose interval lies within that of a detection of a higher tier, or of the same and longer, is
 suppressed, so that "GNU Lesser General Public License v2.1" is one license and not four.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.common import bound_batches, rows_to_arrow
+from barlens.llm.common import map_texts
 
 # The phrases of the base and their labels.
 PHRASES = {
@@ -89,20 +92,209 @@ FAMILIES = (
     ("llama", ("llama (?:[0-9] )*community licen[sc]e",), ("ai meta com llama license", "llama com license"), ()),
 )
 
-# Sentences of license texts and the license that they tell, with words that must occur.
-SENTENCES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee", "with or without fee"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution"),
-    ("bsd-3-clause", "neither the name of .{1,80} nor the names of its contributors may be used", "contributors"),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "implied warranty"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered"),
-    ("public-domain", "(?:released|dedicated|placed) (?:in)?to? ?the public domain", "public domain"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "redistribute it"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library)", "redistribute it"),
-    ("proprietary", "all rights reserved", "rights reserved"),
-    ("wtfpl", "you just do what the fuck you want to", "you want to"),
-    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "as is basis"),
+# Signatures of license texts, notices and headers, in the order of priority: the license and the words that
+# tell it. What a rule must find before it runs is the longest run of plain characters of its own expression.
+SIGNATURES = (
+    # permissive licenses: grants, conditions and disclaimers of their texts
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of (?:this software|the software)"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("x11", "except as contained in this notice the name of .{1,80} shall not be used in advertising or otherwise to promote the sale use or other dealings in this software"),
+    ("isc", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("isc", "the author disclaims all warranties with regard to this software"),
+    ("isc", "isc disclaims all warranties with regard to this software"),
+    ("isc", "action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("hpnd", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted"),
+    ("hpnd", "that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment"),
+    ("bsd-3-clause", "neither the names? of .{1,80} nor the names of (?:its|their|any) contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-3-clause", "the names? of .{1,60} may not be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation"),
+    ("bsd", "this software is provided by the (?:copyright holders and contributors|regents and contributors|authors?) as is and any express or implied warranties"),
+    ("bsd", "use of this source code is governed by a bsd style license that can be found in the license file"),
+    ("bsd-2-clause-patent", "each copyright holder and contributor hereby grants to recipients of software a perpetual worldwide non exclusive"),
+    ("bsd-3-clause-clear", "no express or implied licenses to any party s patent rights are granted by this license"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("libpng", "the png reference library is supplied as is the contributing authors and group 42 inc disclaim all warranties"),
+    ("libpng", "permission is hereby granted to use copy modify and distribute this (?:source code|software) or portions hereof for any purpose without fee"),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("openssl", "the names openssl toolkit and openssl project must not be used to endorse or promote products"),
+    ("ssleay", "this product includes cryptographic software written by eric young"),
+    ("ssleay", "the licence and distribution terms for any publically available version or derivative of this code cannot be changed"),
+    ("curl", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("postgresql", "without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies"),
+    ("postgresql", "in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages"),
+    ("ncsa", "neither the names of .{1,80} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission the software is provided"),
+    ("ncsa", "to deal with the software without restriction including without limitation the rights to use copy modify merge"),
+    ("php", "the name php must not be used to endorse or promote products derived from this software without prior written permission"),
+    ("php", "products derived from this software may not be called php nor may php appear in their name"),
+    ("php", "this product includes php software freely available from"),
+    ("python", "psf is making python available to licensee on an as is basis"),
+    ("python", "this license agreement is between the python software foundation psf and the individual or organization licensee"),
+    ("cnri-python", "cnri is making python available to licensee on an as is basis"),
+    ("beopen", "beopen is making the software available to licensee on an as is basis"),
+    ("ruby", "you may make and give away verbatim copies of the source form of the software without restriction provided that you duplicate all of the original copyright notices"),
+    ("ruby", "you may distribute the software in object code or binary form provided that you do at least one of the following"),
+    ("vim", "there are no restrictions on distributing unmodified copies of vim except that they must include this license text"),
+    ("w3c", "permission to copy modify and distribute this work with or without modification for any purpose and without fee or royalty is hereby granted"),
+    ("w3c", "notice of any changes or modifications (?:to the w3c files|through a copyright statement on the new code)"),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("bsl", "unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor"),
+    ("bsl", "distributed under the boost software license"),
+    ("fair", "usage of the works is permitted provided that this instrument is retained with the works"),
+    ("beerware", "as long as you retain this notice you can do whatever you want with this stuff"),
+    ("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
+    ("wtfpl", "you just do what the fuck you want to"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("unicode", "permission is hereby granted free of charge to any person obtaining a copy of (?:the unicode data files|data files)"),
+    ("unicode", "this copyright and permission notice appear with all copies of the data files or software"),
+    ("icu", "that the above copyright notices and this permission notice appear in all copies of the software and that both the above copyright notices"),
+    ("ftl", "portions of this software are copyright .{1,40} the freetype project"),
+    ("ijg", "this software is based in part on the work of the independent jpeg group"),
+    ("bzip2", "this program bzip2 the associated library libbzip2 and all documentation are copyright"),
+    ("info-zip", "for the purposes of this copyright and license info zip is defined as the following set of individuals"),
+    ("naumen", "names? naumen .{1,40}must not be used to endorse or promote products derived from this software"),
+    ("upl", "to any person obtaining a copy of this software associated documentation and or data collectively the software free of charge"),
+    ("blessing", "may you do good and not evil may you find forgiveness for yourself and forgive others may you share freely never taking more than you give"),
+    ("json", "the software shall be used for good not evil"),
+    # apache and its kin
+    ("apache-2.0", "terms and conditions for use reproduction and distribution 1 definitions license shall mean the terms and conditions for use reproduction and distribution"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2.0", "grant of copyright license subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("apache-2.0", "grant of patent license subject to the terms and conditions of this license each contributor hereby grants to you"),
+    ("apache-2.0", "you must cause any modified files to carry prominent notices stating that you changed the files"),
+    ("apache-2.0", "if the work includes a notice text file as part of its distribution then any derivative works that you distribute must include a readable copy"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-1.1", "this product includes software developed by the apache software foundation"),
+    ("apache-1.1", "the names apache and apache software foundation must not be used to endorse or promote products"),
+    ("apache-1.0", "this product includes software developed by the apache group for use in the apache http server project"),
+    ("ecl-2.0", "the educational community license version 2 0 ecl consists of the apache 2 0 license modified to change the scope of the patent grant"),
+    # copyleft
+    ("agpl-3.0", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl-3.0", "if you modify the program your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library)"),
+    ("lgpl", "this library is distributed in the hope that it will be useful but without any warranty"),
+    ("lgpl", "a program that contains no derivative of any portion of the library but is designed to work with the library by being compiled or linked with it"),
+    ("lgpl-3.0", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3"),
+    ("lgpl-2.1", "when we speak of free software we are referring to freedom of use not price"),
+    ("gpl-3.0", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-3.0", "when we speak of free software we are referring to freedom not price our general public licenses are designed to make sure that you have the freedom to distribute copies of free software and charge for them"),
+    ("gpl-3.0", "to propagate a work means to do anything with it that without permission would make you directly or secondarily liable for infringement"),
+    ("gpl-3.0", "no covered work shall be deemed part of an effective technological measure"),
+    ("gpl-3.0", "you may convey verbatim copies of the program s source code as you receive it in any medium"),
+    ("gpl-2.0", "you may copy and distribute verbatim copies of the program s source code as you receive it in any medium"),
+    ("gpl-2.0", "you must cause any work that you distribute or publish that in whole or in part contains or is derived from the program"),
+    ("gpl-2.0", "the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public license is intended"),
+    ("gpl-2.0-or-later", "gnu general public license as published by the free software foundation either version 2 of the license or (?:at your option )?any later version"),
+    ("gpl-3.0-or-later", "gnu general public license as published by the free software foundation either version 3 of the license or (?:at your option )?any later version"),
+    ("gpl-2.0-only", "under the terms of the gnu general public license version 2 only"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
+    ("gpl", "this program comes with absolutely no warranty for details type show w this is free software and you are welcome to redistribute it under certain conditions"),
+    ("gpl-classpath", "as a special exception the copyright holders of this library give you permission to link this library with independent modules"),
+    ("gpl-gcc-exception", "you have permission to propagate a work of target code formed by combining the runtime library with independent modules"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", "with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0"),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-2.0", "this source code form is incompatible with secondary licenses as defined by the mozilla public license"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-1.0", "the contents of this file are subject to the mozilla public license version 1 0"),
+    ("mpl", "the original code is .{1,80} the initial developer of the original code is"),
+    ("npl", "the contents of this file are subject to the netscape public license"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cddl", "when distributing covered code include this cddl header in each file"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("epl", "the accompanying program is provided under the terms of this eclipse public license agreement any use reproduction or distribution of the program constitutes recipient s acceptance"),
+    ("edl", "this program and the accompanying materials are made available under the terms of the eclipse distribution license"),
+    ("cpl", "the accompanying program is provided under the terms of this common public license agreement"),
+    ("ipl", "the accompanying program is provided under the terms of this ibm public license agreement"),
+    ("eupl", "licensed under the eupl version 1 [12] or as soon they will be approved by the european commission subsequent versions of the eupl"),
+    ("osl-3.0", "licensed under the open software license version 3 0"),
+    ("afl-3.0", "licensed under the academic free license version 3 0"),
+    ("artistic-1.0", "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control"),
+    ("artistic-2.0", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("perl", "this (?:library|program|module) is free software you can redistribute it and or modify it under the same terms as perl itself"),
+    ("cecill", "this software is governed by the cecill (?:b |c )?license under french law and abiding by the rules of distribution of free software"),
+    ("cpal", "the contents of this file are subject to the common public attribution license"),
+    ("rpl", "reciprocal public license the contents of this file are subject to"),
+    ("qpl", "the q public license version 1 0"),
+    ("sleepycat", "redistributions in any form must be accompanied by information on how to obtain complete source code for the db software"),
+    ("lppl", "this work may be distributed and or modified under the conditions of the latex project public license"),
+    ("lppl", "this work has the lppl maintenance status"),
+    ("ofl", "this font software is licensed under the sil open font license"),
+    ("ofl", "neither the font software nor any of its individual components in original or modified versions may be sold by itself"),
+    ("ofl", "no modified version of the font software may use the reserved font name"),
+    ("bitstream-vera", "the fonts may be sold as part of a larger software package but no copy of one or more of the font software typefaces may be sold by itself"),
+    # content and data
+    ("cc0-1.0", "to the extent possible under law .{1,80} has waived all copyright and related or neighboring rights to"),
+    ("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution share ?alike"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution non ?commercial"),
+    ("cc-by", "this work is licensed under (?:a|the) creative commons attribution (?:[0-9] [0-9] )?(?:international |unported )?licen[sc]e"),
+    ("cc", "you are free to share copy and redistribute the material in any medium or format"),
+    ("cc-by", "you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc-by-nc", "you may not use the material for commercial purposes"),
+    ("cc-by-nd", "if you remix transform or build upon the material you may not distribute the modified material"),
+    ("cc-by-sa", "if you remix transform or build upon the material you must distribute your contributions under the same license as the original"),
+    ("cc-by-sa", "text is available under the creative commons attribution share ?alike licen[sc]e"),
+    ("odbl", "this .{1,60} is made available under the open database license"),
+    ("odbl", "any rights in individual contents of the database are licensed under the database contents license"),
+    ("pddl", "this .{1,60} is made available under the public domain dedication and license"),
+    ("odc-by", "this .{1,60} is made available under the open data commons attribution license"),
+    ("ogl-uk", "contains public sector information licensed under the open government licence"),
+    ("etalab", "licence ouverte (?:open licence|etalab)"),
+    ("dl-de-by", "datenlizenz deutschland namensnennung"),
+    ("dl-de-zero", "datenlizenz deutschland zero"),
+    ("cdla", "community data license agreement (?:permissive|sharing) version"),
+    # public domain
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary"),
+    ("public-domain", "this (?:file|work|code|software|program|document) is in the public domain"),
+    ("public-domain", "(?:released|dedicated|placed) (?:in)?to? ?the public domain"),
+    ("public-domain", "the author disclaims copyright to this source code"),
+    ("public-domain-us", "works? of the united states government (?:and is )?not subject to copyright"),
+    # source-available, models and terms that forbid
+    ("sspl-1", "if you make the functionality of the program or a modified version available to third parties as a service you must make the service source code available"),
+    ("busl-1.1", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("busl-1.1", "effective on the change date or the fourth anniversary of the first publicly available distribution of a specific version of the licensed work"),
+    ("elastic-2.0", "you may not provide the software to third parties as a hosted or managed service where the service provides users with access to any substantial set of the features"),
+    ("elastic-2.0", "you may not move change disable or circumvent the license key functionality in the software"),
+    ("commons-clause", "the software is provided to you by the licensor under the license as defined below subject to the following condition"),
+    ("commons-clause", "the grant of rights under the license will not include and the license does not grant to you the right to sell the software"),
+    ("polyform-noncommercial", "any noncommercial purpose is a permitted purpose"),
+    ("polyform-small-business", "use of the software for the benefit of your company is use for a permitted purpose if your company has fewer than 100 total individuals"),
+    ("prosperity", "use of this software for commercial purposes is limited to a thirty day trial period"),
+    ("openrail", "you agree not to use the model or derivatives of the model in any way that violates any applicable"),
+    ("openrail", "use based restrictions the restrictions set forth in attachment a are considered use based restrictions"),
+    ("llama", "you will not use the llama materials or any output or results of the llama materials to improve any other large language model"),
+    ("llama", "greater than 700 million monthly active users in the preceding calendar month you must request a license"),
+    ("gemma", "gemma is provided under and subject to the gemma terms of use"),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("ms-pl", "if you distribute any portion of the software in source code form you may do so only under this license by including a complete copy of this license"),
+    ("ms-rl", "for any file you distribute that contains code from the software in source code or binary format you must provide recipients the source code to that file"),
+    ("ms-eula", "these license terms are an agreement between (?:you and )?microsoft corporation"),
+    ("apple-apsl", "this file contains original code and or modifications of original code as defined in and that are subject to the apple public source license"),
+    ("intel", "this software and the related documents are intel copyrighted materials and your use of them is governed by the express license"),
+    ("nvidia", "nvidia corporation and its licensors retain all intellectual property (?:and proprietary )?rights in and to this (?:software|material)"),
+    ("oracle-bcl", "oracle america inc oracle for itself and its subsidiaries and affiliates under common control is willing to license the software to you"),
+    ("proprietary", "this (?:software|document|file|program) (?:is|contains) (?:the )?(?:confidential and )?proprietary (?:and confidential )?(?:information|property)"),
+    ("proprietary", "unauthori[sz]ed (?:copying|use|reproduction|distribution) (?:of this file |or distribution )?(?:via any medium )?is strictly prohibited"),
+    ("proprietary", "no part of this (?:publication|document|work|software|book) may be reproduced"),
+    ("proprietary", "may not be (?:reproduced|copied|distributed|disclosed)(?: or (?:reproduced|copied|distributed|disclosed))? without (?:the )?(?:prior |express )?(?:prior )?written (?:permission|consent)"),
+    ("trial", "this (?:software|product) is licensed for evaluation purposes only"),
+    ("end-user-license", "by (?:installing|downloading|using|copying)(?: or (?:installing|downloading|using|copying))? (?:the|this) (?:software|product) you (?:agree|accept)"),
+    ("proprietary", "all rights reserved"),
 )
 
 
@@ -119,19 +311,19 @@ class Rule:
 
 
 def _literal(pattern: str) -> bytes:
-    """The longest run of plain characters that any match of a name contains, the space before the name being one."""
-    bare = re.sub(r"\(\?:[^)]*\)[?*]?|\[[^\]]*\][*?]?|.\?", "\0", f" {pattern}")
+    """The longest run of plain characters that any match of an expression contains, the space before it being one."""
+    bare = re.sub(r"\(\?:[^()]*(?:\([^()]*\)[^()]*)*\)[?*]?|\[[^\]]*\][*?]?|\.\{\d+,\d+\}|.\?", "\0", f" {pattern}")
     return max(bare.split("\0"), key=len).rstrip().encode()
 
 
-def _rule(tier: int, label: str, pattern: str, needed: tuple[str | bytes, ...], sure: float) -> Rule:
-    asked = tuple(n.encode() if isinstance(n, str) else n for n in needed)
+def _rule(tier: int, label: str, pattern: str, sure: float, needed: tuple[str, ...] = ()) -> Rule:
+    asked = [n.encode() for n in needed] or [_literal(pattern)]
     return Rule(tier, label, re.compile(b"(?<= )" + pattern.encode() + b"(?= )"), tuple(n for n in asked if n), sure)
 
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules: identifiers first, then addresses and sentences, names with a version, names in a grant, bare names."""
+    """All rules: identifiers first, then signatures of texts and addresses, names with a version, names in a grant, bare names."""
     identifiers, addresses, versioned, granted, bare = [], [], [], [], []
     grant = "(?:licen[sc]ed|released|available|distributed|published|redistributed?|provided|covered|governed) (?:under|by|with)(?: the)?(?: terms of)?(?: the)?"
     for label, names, urls, versions in FAMILIES:
@@ -140,29 +332,63 @@ def rules() -> tuple[Rule, ...]:
             full = f"{label}-{version}"
             digits = version.replace(".", " ")
             short = f"(?:{digits}|{digits.removesuffix(' 0')})"
-            identifiers.append(_rule(0, full, f"spdx license identifier {words} {short}(?: only| or later)?", ("spdx",), 1.0))
+            identifiers.append(_rule(0, full, f"spdx license identifier {words} {short}(?: only| or later)?", 1.0, ("spdx",)))
             for n in names:
                 tail = f"(?: licen[sc]e)?(?: international| unported| generic)?,? ?(?:version |v ?|ver )?{short}(?: only| or later| or any later version| international| unported)?"
-                versioned.append(_rule(2, full, f"{n}{tail}", (_literal(n),), 0.95))
-        identifiers.append(_rule(0, label, f"spdx license identifier {words}", ("spdx",), 1.0))
+                versioned.append(_rule(2, full, f"{n}{tail}", 0.95))
+        identifiers.append(_rule(0, label, f"spdx license identifier {words}", 1.0, ("spdx",)))
         for url in urls:
-            addresses.append(_rule(1, label, f"(?:https? )?(?:www )?{url}(?: [0-9]+)*", (url,), 0.95))
+            addresses.append(_rule(1, label, f"(?:https? )?(?:www )?{url}(?: [0-9]+)*", 0.95, (url,)))
         for n in names:
-            granted.append(_rule(3, label, f"{grant} {n}", (_literal(n),), 0.9))
+            granted.append(_rule(3, label, f"{grant} {n}", 0.9, (_literal(n).decode(),)))
             # a name that doesn't say license is taken as one only beside that word
             says = "licen" in n or label in ("unlicense", "wtfpl", "cc0")
-            bare.append(_rule(4, label, n if says or n.startswith("cc by") else f"(?:{n} licen[sc]ed?|licen[sc]ed? {n})", (_literal(n),), 0.7))
-    sentences = [_rule(1, label, text, (needed,), 0.6 if label == "proprietary" else 0.9) for label, text, needed in SENTENCES]
-    return tuple(identifiers + addresses + sentences + versioned + granted + bare)
+            bare.append(_rule(4, label, n if says or n.startswith("cc by") else f"(?:{n} licen[sc]ed?|licen[sc]ed? {n})", 0.7, (_literal(n).decode(),)))
+    signatures = [_rule(1, label, text, 0.6 if label == "proprietary" else 0.9) for label, text in SIGNATURES]
+    return tuple(identifiers + signatures + addresses + versioned + granted + bare)
 
 
 @cache
-def _gated() -> tuple[tuple[tuple[bytes, ...], tuple[tuple[int, Rule], ...]], ...]:
-    """The rules with their numbers by what they need: texts without it match none of them."""
-    out: dict[tuple[bytes, ...], list[tuple[int, Rule]]] = {}
+def _gate() -> tuple[ahocorasick.Automaton, list[list[tuple[int, Rule]]]]:
+    """An automaton of all strings that rules need, each with its number, and by this number the rules, with theirs, that
+    need it first. One pass over a text finds which stand in it; rules of which one is missing match nowhere."""
+    needed = sorted({n for rule in rules() for n in rule.needed})
+    found, by_first = ahocorasick.Automaton(), [[] for _ in needed]
+    for i, n in enumerate(needed):
+        found.add_word(n.decode(), i)
+    found.make_automaton()
     for order, rule in enumerate(rules()):
-        out.setdefault(rule.needed, []).append((order, rule))
-    return tuple((needed, tuple(some)) for needed, some in out.items())
+        by_first[needed.index(rule.needed[0])].append((order, rule))
+    return found, by_first
+
+
+def candidates(joined: bytes) -> list[tuple[int, Rule]]:
+    """The rules, with their numbers, of which all that they need stands in the words."""
+    automaton, by_first = _gate()
+    there = {i for _, i in automaton.iter(joined.decode("latin-1"))}
+    return [(order, rule) for i in there for order, rule in by_first[i] if all(n in joined for n in rule.needed[1:])]
+
+
+class _Kept:
+    """Intervals by start; whether one of them contains another is answered by greatest ends over prefixes of starts
+    (a binary indexed tree)."""
+
+    def __init__(self, starts: list[int]):
+        self.starts, self.ends = sorted(set(starts)), [0] * (len(starts) + 1)
+
+    def contains(self, start: int, end: int) -> bool:
+        i = bisect_right(self.starts, start)
+        while i > 0:
+            if self.ends[i] >= end:
+                return True
+            i &= i - 1
+        return False
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect_right(self.starts, start)
+        while i < len(self.ends):
+            self.ends[i] = max(self.ends[i], end)
+            i += i & -i
 
 
 _WORD_BYTES = bytes(
@@ -183,19 +409,18 @@ class Detection:
 
 def detect(joined: bytes) -> list[Detection]:
     """The detections in words joined by single spaces, with one before and after, that overlaps leave."""
-    found = []
-    for needed, some in _gated():
-        if all(n in joined for n in needed):
-            for order, rule in some:
-                found += [(rule.tier, m.start() - m.end(), order, m.start(), m.end(), rule) for m in rule.pattern.finditer(joined)]
-    kept: list[tuple[int, int, Rule, int]] = []
+    found = [(rule.tier, m.start() - m.end(), order, m.start(), m.end(), rule) for order, rule in candidates(joined) for m in rule.pattern.finditer(joined)]
+    so_far, kept = _Kept([x[3] for x in found]), []
     for _, _, order, start, end, rule in sorted(found, key=lambda x: x[:5]):
-        if not any(a <= start and end <= b for a, b, _, _ in kept):
-            kept.append((start, end, rule, order))
-    return [
-        Detection(rule.label, (first := joined.count(b" ", 0, start) - 1), first + joined.count(b" ", start, end), order, rule.sure)
-        for start, end, rule, order in sorted(kept, key=lambda x: x[:2])
-    ]
+        if not so_far.contains(start, end):
+            so_far.add(start, end)
+            kept.append((start, end, order, rule))
+    out, at, word = [], 0, -1
+    for start, end, order, rule in sorted(kept, key=lambda x: x[:3]):
+        word += joined.count(b" ", at, start)
+        at = start
+        out.append(Detection(rule.label, word, word + joined.count(b" ", start, end), order, rule.sure))
+    return out
 
 
 def scan_text(text: str | None) -> tuple[int, list[tuple[str, int]], list[Detection]]:
@@ -220,10 +445,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     a base phrase) and detections (label, first and last word, rule number, confidence) of the rules.
 
     Whole texts are read. Null and empty texts have no words. Null ids are passed on, repeated rows give
-    repeated results, an empty table an empty one; other columns are not read.
+    repeated results, an empty table an empty one; other columns are not read. Ids may be of any type.
     """
-    bound_batches(docs.sparkSession)
-
     def run(ids: list, texts: list) -> tuple[list, list, list]:
         found = [scan_text(t) for t in texts]
         return (
@@ -234,13 +457,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     place = pa.struct([("label", pa.string()), ("first", pa.int64())])
     detection = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("rule", pa.int32()), ("sure", pa.float64())])
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("places", pa.list_(place)), ("detections", pa.list_(detection))])
-    out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        rows_to_arrow(run, schema),
-        "doc_id bigint, n_words bigint, places array<struct<label: string, first: bigint>>, "
-        "detections array<struct<label: string, first: bigint, last: bigint, rule: int, sure: double>>",
-    )
-    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType)).withColumnRenamed("doc_id", id_col)
+    return map_texts(docs, id_col, text_col, run, [("n_words", pa.int64()), ("places", pa.list_(place)), ("detections", pa.list_(detection))])
 
 
 def report(docs: DataFrame) -> DataFrame:
