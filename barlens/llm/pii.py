@@ -10,17 +10,18 @@ Near the entity, terms from one share on are generalised, and from a greater one
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.common import BROADCAST_BYTES, bound_batches, cut, rows_to_arrow, semi, spread_join
+from barlens.llm.common import BROADCAST_BYTES, cut, map_texts, semi, spread_join
 
 KINDS = ("email", "ip", "card", "phone")
-#: Terms up to so many words away, within so many characters, stand near an entity.
-NEAR_WORDS, NEAR_CHARACTERS = 10, 400
+#: Terms up to so many words away, of whatever length, stand near an entity.
+NEAR_WORDS = 10
 #: Shares of the information content from which terms are generalised and removed; characters of a word in
 #: small letters that may tell something however it is written.
 GENERALISE, REMOVE, LEAST_TERM = 0.9, 0.98, 4
@@ -109,30 +110,30 @@ def _named(word: str) -> bool:
 
 
 def near(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[dict]:
-    """The terms near each span, with their places and whether they are written as such; words within any span are
-    not terms."""
-    taken = sorted(s for found in spans.values() for s in found)
+    """The terms near each span, with their places and whether they are written as such: whole words of the text, but
+    for those that share a character with any span. Linear in the text and in the spans."""
+    words = [m.span() for m in _terms(text)]
+    starts = [a for a, _ in words]
+    free = [True] * len(words)
+    at = 0
+    for start, end in sorted(s for found in spans.values() for s in found):
+        at = max(at, bisect_left(starts, start) - 1, 0)
+        while at < len(words) and words[at][0] < end:
+            free[at] = free[at] and words[at][1] <= start
+            at += 1
     out = []
     for kind, found in spans.items():
         for start, end in found:
-            name = entity(kind, text[start:end])
-            left, right = max(0, start - NEAR_CHARACTERS), end + NEAR_CHARACTERS
-            before = list(_terms(text, left, start))[-NEAR_WORDS:]
-            after = []
-            for m in _terms(text, end, min(right, len(text))):
-                after.append(m)
-                if len(after) == NEAR_WORDS:
-                    break
-            for m in before + after:
-                a, b = m.span()
-                if not any(a < y and x < b for x, y in taken):
-                    out.append({"entity": name, "term": m[0].lower(), "named": _named(m[0]), "start": a, "stop": b})
+            name, left, right = entity(kind, text[start:end]), bisect_left(starts, start), bisect_left(starts, end)
+            for i in (*range(max(left - NEAR_WORDS, 0), left), *range(right, min(right + NEAR_WORDS, len(words)))):
+                if free[i]:
+                    a, b = words[i]
+                    word = text[a:b]
+                    out.append({"entity": name, "term": word.lower(), "named": _named(word), "start": a, "stop": b})
     return out
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    bound_batches(docs.sparkSession)
-
     def run(ids: list, texts: list) -> tuple[list, list, list]:
         every = [base_spans(t) for t in texts]
         spans = [[{"kind": k, "start": a, "stop": b} for k, found in s.items() for a, b in found] for s in every]
@@ -141,13 +142,9 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
     term = pa.struct([("entity", pa.string()), ("term", pa.string()), ("named", pa.bool_()), ("start", pa.int32()), ("stop", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(span)), ("entities", pa.list_(pa.string())), ("near", pa.list_(term))])
-    frame = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        rows_to_arrow(run, schema),
-        "doc_id bigint, base array<struct<kind: string, start: int, stop: int>>, entities array<string>, "
-        "near array<struct<entity: string, term: string, named: boolean, start: int, stop: int>>",
-    )
-    return frame.withColumn("row", F.monotonically_increasing_id())
+    frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    fields = [("base", pa.list_(span)), ("entities", pa.list_(pa.string())), ("near", pa.list_(term))]
+    return map_texts(frame, "doc_id", "text", run, fields).withColumn("row", F.monotonically_increasing_id())
 
 
 def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -193,7 +190,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Places are code points of the whole text, stop exclusive. Null and empty texts have none. Null ids are
     passed on; rows that repeat are documents of their own and count as such. An empty table gives an empty
-    result. Other columns are not read.
+    result. Ids may be of any type. Other columns are not read.
     """
     found = cut(_found(docs, id_col, text_col))
     pairs = cut(disclosures(found, docs, text_col))
@@ -205,7 +202,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     per_row = per_place.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "stop"))).alias("terms"))
     out = found.select("row", "doc_id", "base").join(per_row, "row", "left")
     none = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
-    return out.select("row", F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), "base", F.coalesce("terms", none).alias("terms"))
+    return out.select("row", F.col("doc_id").alias(id_col), "base", F.coalesce("terms", none).alias("terms"))
 
 
 def _joined(column: Column) -> Column:
@@ -237,14 +234,15 @@ def sanitise_text(text: str, found: list[tuple[str, int, int]]) -> str:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id column and the sanitised text of each row that has spans. Ids must be unique for this; rows
     without an id are left out."""
-    have = cut(spans(docs, id_col, text_col).filter((F.size("base") > 0) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.concat("base", "terms").alias("spans")))
-    text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    mine = semi(text, have.select("id"), "id", have.count()).join(have, "id")
+    have = cut(spans(docs, id_col, text_col).filter((F.size("base") > 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.concat("base", "terms").alias("spans")))
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    mine = semi(text, have.select("id"), "id", have.count()).join(have, "id").select("id", "text", "spans")
 
     def run(batches):
         for batch in batches:
-            ids, texts, every = (batch.column(i).to_pylist() for i in range(3))
+            texts, every = (batch.column(i).to_pylist() for i in (1, 2))
             clean = [sanitise_text(t or "", [(s["kind"], s["start"], s["stop"]) for s in found]) for t, found in zip(texts, every, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(clean, pa.string())], ["id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.string())], ["id", "text"])
 
-    return mine.select("id", "text", "spans").mapInArrow(run, "id bigint, text string").withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
+    out = mine.mapInArrow(run, mine.drop("spans").schema)
+    return out.withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.common import bound_batches, cut, least_hashed, remainder, rows_to_arrow, semi
+from barlens.llm.common import bound_batches, cut, least_hashed, map_texts, remainder, semi
 from barlens.llm.trees import Forest, fit
 
 #: At most so many labelled rows are learnt from, those of the least hashes of their ids.
@@ -74,29 +74,23 @@ def statistics(text: str | None) -> list[float]:
 
 
 def _statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    bound_batches(docs.sparkSession)
-
-    def run(ids: list, texts: list) -> tuple[list[list[float]]]:
-        return ([statistics(t) for t in texts],)
-
-    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
-    frame = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return frame.mapInArrow(rows_to_arrow(run, schema), "doc_id bigint, x array<double>")
+    frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return map_texts(frame, "doc_id", "text", lambda ids, texts: ([statistics(t) for t in texts],), [("x", pa.list_(pa.float64()))])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> Forest:
     """Fits on at most max_rows labelled documents outside the held-out fold (crc32 of the id as text,
     modulo 5, is 0). Rows without an id or a label are not learnt from; an id with several labels counts
-    with the greatest. Without any labelled document the forest gives one half to every text."""
+    with the greatest, and of rows that repeat an id the one of least statistics. Without any labelled document the forest gives one half to every text."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     usable = usable.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & (remainder(F.col("id")) != 0))
     chosen = usable.groupBy("id").agg(F.max("label").alias("label"))
     chosen = cut(least_hashed(chosen, "id", max_rows))
     n = chosen.count()
     mine = semi(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), chosen.select("id"), "id", n)
-    rows = _statistics(mine, "id", "text").join(chosen, F.col("doc_id") == F.col("id")).select("doc_id", "x", "label")
-    # bounded by max_rows, as far as ids don't repeat
-    found = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    one = _statistics(mine, "id", "text").groupBy("doc_id").agg(F.min("x").alias("x"))
+    rows = one.join(chosen, F.col("doc_id") == F.col("id")).select("doc_id", "x", "label")
+    found = rows.orderBy("doc_id").toPandas()  # bounded by max_rows
     x = np.array(found["x"].tolist(), float).reshape(len(found), len(FEATURES))
     return fit(x, found["label"].to_numpy(float))
 
@@ -104,15 +98,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns one row per input row: the id column and score, from 0 to 1. Only the text is looked at; null
     counts as empty and is scored as such. Null ids are passed on, repeated rows score alike."""
-    bound_batches(docs.sparkSession)
-
     def run(ids: list, texts: list) -> tuple[np.ndarray]:
         return (forest.scores(np.array([statistics(t) for t in texts], float).reshape(len(texts), len(FEATURES))),)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-    frame = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    out = frame.mapInArrow(rows_to_arrow(run, schema), "doc_id bigint, score double")
-    return out.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), "score")
+    return map_texts(docs, id_col, text_col, run, [("score", pa.float64())])
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

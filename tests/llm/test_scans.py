@@ -77,6 +77,32 @@ def test_terms_beside_values_of_one_or_two_documents(make_docs):
     assert all(got[i] == "" for i in range(60))
 
 
+def plain_near(t):
+    """Every word against every span."""
+    spans = pii.base_spans(t)
+    words = [m.span() for m in re.finditer(r"[^\W_]+", t)]
+    taken = lambda a, b: any(a < y and x < b for found in spans.values() for x, y in found)
+    out = []
+    for kind, found in spans.items():
+        for x, y in found:
+            near = [w for w in words if w[0] < x][-10:] + [w for w in words if w[0] >= y][:10]
+            out += [(pii.entity(kind, t[x:y]), t[a:b].lower(), a, b) for a, b in near if not taken(a, b)]
+    return out
+
+
+def test_terms_near_against_brute_force():
+    rnd = random.Random(12)
+    parts = ["alpha", "Kim", "x" * 500, "bob@x.org", "10.1.2.3", "+1 (802) 555-9869", "4111 1111 1111 1111", ",", "é", "7", "a@b.c", "(", "zu"]
+    for _ in range(3000):
+        t = "".join(rnd.choice(parts) + rnd.choice([" ", " ", "", "\n"]) for _ in range(rnd.randint(0, 30)))
+        assert [(d["entity"], d["term"], d["start"], d["stop"]) for d in pii.near(t, pii.base_spans(t))] == plain_near(t), t
+
+
+def test_very_many_values_take_no_time():
+    t = "write to bob@x.org or " * 20_000
+    assert len(pii.near(t, pii.base_spans(t))) == 20_000 * 12 - 12  # of six words, three are parts of the address
+
+
 def test_short_names_and_codes(make_docs):
     rows = [(i, "alpha bravo Charlie in it 3") for i in range(60)]
     rows += [(60 + i, f"alpha {w} bravo bob{i}@x.org it") for i, w in enumerate(("Kim", "Li", "김철수", "李明", "b12", "77"))]
