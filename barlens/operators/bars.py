@@ -40,11 +40,12 @@ def active_only(frame: DataFrame, universe: DataFrame) -> DataFrame:
 
 def normalised(bars: DataFrame, *, volume: bool = True, arrival: str | None = None) -> DataFrame:
     """Numbers cast (what can't be is null), the last row of each symbol and date kept, rows without a
-    positive price (and a volume of zero or more) dropped. The last row is that with the greatest arrival;
+    positive price (and a volume of zero or more) dropped. The last row is that with the greatest arrival, and
+    among equals that with the greatest numbers, so that it does not depend on how rows are dealt;
     deciding it shares the partitioning and sort of the windows that follow."""
     numbers = ["close", "high", "low", *(["volume"] if volume else [])]
     require(bars, ("symbol", "date", *numbers))
-    w = last_bar(*([arrival] if arrival else []))
+    w = last_bar(*([arrival] if arrival else []), *numbers)
     out = bars.withColumns({c: F.expr(f"try_cast({c} as double)") for c in numbers})
     out = out.withColumn("_next", F.lead("date").over(w)).filter("_next is null or _next <> date").drop("_next")
     for c in numbers:

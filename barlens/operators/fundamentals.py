@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.config import Fundamentals
-from barlens.operators.bars import latest_per_symbol
+from barlens.operators.bars import delta_start, latest_per_symbol
 
 # Days before a quarter's end between which the quarter to compare with ends, and the best distance.
 BAND, NEAREST = (320, 410), 365
@@ -19,6 +19,13 @@ def preferred(filings: DataFrame, arrival: str) -> DataFrame:
     return filings.groupBy("symbol", "period_end").agg(F.min_by(F.struct(*rest), order).alias("_f")).select("symbol", "period_end", *(F.col(f"_f.{c}").alias(c) for c in rest))
 
 
+def due(filings: DataFrame, existing: DataFrame, initial: str, end_date: str) -> DataFrame:
+    """The filings announced after what is stored of their symbol (or from initial on) and up to end_date."""
+    window = delta_start(filings.select("symbol").distinct(), existing, initial, "announcement_date")
+    announced = F.col("announcement_date")
+    return filings.join(window, "symbol").filter((announced >= F.col("from_date")) & (announced <= F.lit(end_date).cast("date"))).drop("from_date")
+
+
 def rejection_reason() -> Column:
     """Null for a valid filing: a period that begins by its end, and an announcement that does not precede it."""
     return (

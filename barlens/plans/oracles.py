@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from barlens.config import Trend
+
 
 def bars(market: str = "supplier") -> str:
     """raw_bars and universe of a market, and adj: adjusted daily bars of active symbols."""
@@ -485,3 +487,55 @@ SELECT 'N' || n_nationkey, DATE '2023-04-01', DATE '2023-06-30', DATE '2023-08-1
         UNION ALL SELECT 'pattern', count(*), count(*) FILTER (is_vcp) FROM patterns UNION ALL SELECT 'volume', count(*), count(*) FILTER (volume_spike_near_pivot) FROM volumes""",
     ),
 }
+
+_THRESHOLDS = (None,) * 5 + (Trend().least_gain_from_low, Trend().most_decline_from_high, Trend().least_rating)
+_MEASURED = (4, 3, 2, 3, 2, 3, 3, 1)
+_UPDATED = _FILINGS.replace(
+    "preferred AS (SELECT * FROM filings QUALIFY row_number() OVER (PARTITION BY symbol, period_end ORDER BY is_consolidated DESC, arrival) = 1)",
+    """early AS (SELECT * FROM filings WHERE announcement_date <= DATE '1995-06-30'),
+    since AS (SELECT symbol, coalesce(max(early.announcement_date) + 1, DATE '1992-01-01') AS from_date FROM (SELECT DISTINCT symbol FROM filings) LEFT JOIN early USING (symbol) GROUP BY symbol),
+    old AS (SELECT * FROM early QUALIFY row_number() OVER (PARTITION BY symbol, period_end ORDER BY is_consolidated DESC, arrival) = 1),
+    new AS (
+      SELECT filings.* FROM filings JOIN since USING (symbol) WHERE announcement_date BETWEEN from_date AND DATE '1996-12-31'
+      QUALIFY row_number() OVER (PARTITION BY symbol, period_end ORDER BY is_consolidated DESC, arrival) = 1
+    ),
+    good AS (SELECT symbol, period_end FROM new WHERE period_start <= period_end AND announcement_date >= period_end),
+    preferred AS (SELECT * FROM new UNION ALL SELECT old.* FROM old ANTI JOIN good USING (symbol, period_end))""",
+)
+_SUPPLIERS = "SELECT s_suppkey AS k, CAST(s_suppkey AS VARCHAR) AS key FROM supplier"
+
+ORACLES |= {
+    "bars_last_of_date": q(
+        bars(),
+        f"""SELECT symbol, date, {r("close * CASE WHEN dayofmonth(date) % 8 = 1 THEN 4 WHEN dayofmonth(date) % 4 = 1 THEN 2 ELSE 1 END", name="close")},
+        volume + CASE WHEN dayofmonth(date) % 6 = 2 AND dayofmonth(date) % 4 <> 1 THEN 1 ELSE 0 END AS volume FROM raw_bars""",
+    ),
+    "vcp_contractions_json": q(
+        bars() + "," + PATTERN,
+        f"SELECT symbol, place, start_date, low_date, {r('start_high')}, {r('low')}, {r('depth_fraction')}, {r('average_volume')} FROM sequence",
+    ),
+    "vcp_swings_json": q(bars() + "," + PATTERN, f"SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY i, date, kind) AS INTEGER) AS place, i, date, kind, {r('price')} FROM swings"),
+    "trend_explained": q(
+        _STRENGTH_BARS + "," + daily("adj", "daily", "ratings"),
+        " UNION ALL ".join(
+            f"SELECT symbol, date, '{c}' AS key, {c} AS passed, CAST({'NULL' if t is None else t} AS DOUBLE) AS threshold, {m} AS n_measured FROM daily_last"
+            for c, t, m in zip(CRITERIA, _THRESHOLDS, _MEASURED, strict=True)
+        ),
+    ),
+    "fund_due": q(_UPDATED, "SELECT symbol, period_end, announcement_date, arrival FROM new"),
+    "fund_upsert": q(_UPDATED, f"SELECT symbol, quarter_end, {r('eps', 8)}, {r('eps_yoy_growth')}, {r('sales_yoy_growth')} FROM grown"),
+    "listing_constituents": f"SELECT DISTINCT 'S' || CASE WHEN k % 7 = 0 THEN '1' ELSE key END AS symbol FROM ({_SUPPLIERS})",
+    "listing_master": f"SELECT 'S' || key AS symbol, CAST(DATE '1992-01-01' + CAST(k * 37 % 900 AS INTEGER) AS DATE) AS listing_date FROM ({_SUPPLIERS}) WHERE k % 3 < 2",
+    "listing_custom": f"SELECT 'S' || key AS symbol FROM ({_SUPPLIERS}) WHERE k % 4 <> 0 AND k % 9 <> 0",
+    "listing_instruments": f"SELECT 'S' || key AS symbol, key AS provider_instrument_id, 'EQ' AS instrument_type FROM ({_SUPPLIERS}) WHERE k % 5 <> 0 AND k % 3 <> 0",
+    "candle_archive": q(bars("nation"), "SELECT symbol, count(*) AS n, max(date) AS last, CAST(sum(volume) AS BIGINT) AS volume FROM raw_bars GROUP BY symbol"),
+    "delta_requests": q(
+        bars(),
+        """SELECT symbol, coalesce(CAST(max(b.date) + 1 AS DATE), DATE '1992-01-01') AS from_date FROM (SELECT symbol FROM universe WHERE is_active AND CAST(substr(symbol, 2) AS INTEGER) % 4 <> 1)
+        LEFT JOIN (SELECT symbol, date FROM raw_bars WHERE CAST(substr(symbol, 2) AS INTEGER) % 3 <> 0) b USING (symbol) GROUP BY symbol HAVING from_date <= DATE '1998-11-20'""",
+    ),
+    "run_summaries_rated": q(
+        _SCORED,
+        "SELECT 'strength' AS run, count(*) AS evaluated, count(DISTINCT symbol) AS flagged FROM ratings UNION ALL SELECT 'score', count(*), count(*) FILTER (gate_passed) FROM scores",
+    ),
+}

@@ -233,7 +233,8 @@ def scored(spark, sf) -> DataFrame:
     rated = held(strength.ratings(_closes(spark, sf)))
     daily = held(template(spark, sf, "daily", "nation", rated))
     found = held(patterns(spark, sf, "nation"))
-    rows = score.assemble(daily, template(spark, sf, "weekly", "nation"), stage.classify(daily), rated, found, signals(spark, sf, "nation", found))
+    volumes = held(signals(spark, sf, "nation", found))
+    rows = score.assemble(daily, template(spark, sf, "weekly", "nation"), held(stage.classify(daily)), rated, found, volumes)
     return score.components(rows)
 
 
@@ -441,3 +442,148 @@ def run_summaries(spark, sf):
         count(signals(spark, sf, found=found), F.col("volume_spike_near_pivot"), "volume"),
     )
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("run", "evaluated", "flagged")
+
+
+@register
+def bars_last_of_date(spark, sf):
+    """Bars that come again on some days: with a later arrival, and of the same arrival with other prices."""
+    b = testdata.bars(spark, sf).withColumn("arrival", F.lit(1))
+    day = F.dayofmonth("date")
+    again = b.filter(day % 4 == 1).withColumns({"arrival": F.lit(2), "close": F.col("close") * 2})
+    tie = b.filter(day % 8 == 1).withColumns({"arrival": F.lit(2), "close": F.col("close") * 4})
+    twice = b.filter(day % 6 == 2).withColumn("volume", F.col("volume") + 1)
+    n = B.normalised(b.unionByName(again).unionByName(tie).unionByName(twice), arrival="arrival")
+    return n.select("symbol", "date", r("close"), F.col("volume").cast("bigint").alias("volume"))
+
+
+def _listed(spark, sf) -> DataFrame:
+    """Contractions and swings as they are stored, as JSON."""
+    held(testdata.bars(spark, sf))
+    return contraction.detect(adjusted_weekly(spark, sf), adjusted(spark, sf)).select("symbol", "contractions_json", "swings_json")
+
+
+@register
+def vcp_contractions_json(spark, sf):
+    """The stored JSON of contractions, read again."""
+    read = F.from_json("contractions_json", "array<struct<start_date: date, start_high: double, low_date: date, low: double, depth_fraction: double, average_volume: double>>")
+    rows = _listed(spark, sf).select("symbol", F.posexplode(read).alias("pos", "c")).select("symbol", (F.col("pos") + 1).alias("place"), "c.*")
+    return rows.select("symbol", "place", "start_date", "low_date", *(r(c) for c in ("start_high", "low", "depth_fraction", "average_volume")))
+
+
+@register
+def vcp_swings_json(spark, sf):
+    """The stored JSON of swings, read again."""
+    read = F.from_json("swings_json", "array<struct<i: int, date: date, type: string, price: double>>")
+    rows = _listed(spark, sf).select("symbol", F.posexplode(read).alias("pos", "s")).select("symbol", (F.col("pos") + 1).alias("place"), "s.*")
+    return rows.select("symbol", "place", F.col("i").cast("bigint").alias("i"), "date", F.col("type").alias("kind"), r("price"))
+
+
+@register
+def trend_explained(spark, sf):
+    """The criteria of each symbol with their thresholds, one in a row."""
+    rated = strength.ratings(_closes(spark, sf))
+    rows = trend.explained(template(spark, sf, "daily", "nation", rated)).select("symbol", "date", F.explode("criteria").alias("c"))
+    return rows.select("symbol", "date", "c.key", "c.passed", "c.threshold", F.size("c.actual").alias("n_measured"))
+
+
+STORED_UNTIL, NEW_UNTIL = "1995-06-30", "1996-12-31"
+
+
+def _early(spark, sf) -> DataFrame:
+    return testdata.filings(spark, sf).filter(F.col("announcement_date") <= STORED_UNTIL)
+
+
+@register
+def fund_due(spark, sf):
+    """The filings of an update, which were announced after what is stored of a symbol."""
+    new = fundamentals.due(testdata.filings(spark, sf), _early(spark, sf), "1992-01-01", NEW_UNTIL)
+    return fundamentals.preferred(new, "arrival").select("symbol", "period_end", "announcement_date", "arrival")
+
+
+@register
+def fund_upsert(spark, sf):
+    """What is stored after an update, with growth computed afresh."""
+    from barlens.catalog import upserted
+
+    old, new = (fundamentals.stored(fundamentals.preferred(f, "arrival")) for f in (_early(spark, sf), fundamentals.due(testdata.filings(spark, sf), _early(spark, sf), "1992-01-01", NEW_UNTIL)))
+    whole = fundamentals.with_growth(upserted(old, new, ("symbol", "quarter_end")))
+    return whole.select("symbol", "quarter_end", r("eps", 8), r("eps_yoy_growth"), r("sales_yoy_growth"))
+
+
+def _lines(spark, sf, name: str, line: Column, header: str | None = None) -> str:
+    """The path of text files with a line for each supplier, after a header."""
+    path = testdata.folder(spark, name)
+    rows = testdata.table(spark, sf, "supplier").withColumn("key", F.col("s_suppkey").cast("string")).select(line.alias("value"))
+    if header is not None:  # a small listing of instruments is one file, as its source sends it
+        rows = rows.agg(F.concat(F.lit(header + "\n"), F.array_join(F.array_sort(F.collect_list("value")), "\n")).alias("value"))
+    rows.write.text(path)
+    return path
+
+
+@register
+def listing_constituents(spark, sf):
+    """Symbols of an index file, some twice, in small letters or between blanks."""
+    from barlens.sources.listings import constituents
+
+    key = F.col("key")
+    line = F.concat(F.lit("Company "), key, F.when(F.col("s_suppkey") % 3 == 0, ", s").otherwise(",S"), F.when(F.col("s_suppkey") % 7 == 0, "1 ").otherwise(key))
+    return constituents(spark, _lines(spark, sf, "constituents", line, " Company Name ,Symbol"), 1, 1 << 30)
+
+
+@register
+def listing_master(spark, sf):
+    """Listing dates of the series EQ and BE of an equity master."""
+    from barlens.sources.listings import equity_master
+
+    day = F.upper(F.date_format(F.date_add(F.lit("1992-01-01").cast("date"), (F.col("s_suppkey") * 37 % 900).cast("int")), "dd-MMM-yyyy"))
+    series = F.element_at(F.array(F.lit("EQ"), F.lit("BE"), F.lit("SM")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    return equity_master(spark, _lines(spark, sf, "master", F.concat(F.lit("s"), F.col("key"), F.lit(", "), series, F.lit(","), day), "SYMBOL, SERIES, DATE OF LISTING"))
+
+
+@register
+def listing_custom(spark, sf):
+    """Symbols of a list with comments and empty lines."""
+    from barlens.sources.listings import custom_symbols
+
+    line = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("# s"), F.col("key"))).when(F.col("s_suppkey") % 9 == 0, "  ").otherwise(F.concat(F.lit(" s"), F.col("key"), F.lit(" # own")))
+    return custom_symbols(spark, _lines(spark, sf, "custom", line))
+
+
+@register
+def listing_instruments(spark, sf):
+    """Cash equities of one exchange among a provider's instruments in JSON."""
+    from barlens.sources.listings import instruments
+
+    key = F.col("key")
+    kind, place = F.when(F.col("s_suppkey") % 5 == 0, "FUT").otherwise("EQ"), F.when(F.col("s_suppkey") % 3 == 0, "BSE").otherwise("NSE")
+    line = F.to_json(F.struct(F.concat(F.lit("S"), key).alias("symbol"), key.alias("provider_instrument_id"), place.alias("exchange"), F.lit("CASH").alias("segment"), kind.alias("instrument_type"), F.lit("more").alias("other")))
+    return instruments(spark, _lines(spark, sf, "instruments", line)).select("symbol", "provider_instrument_id", "instrument_type")
+
+
+@register
+def candle_archive(spark, sf):
+    """Bars as archived in JSON by run and symbol, read again."""
+    from barlens.sources.candles import archive
+
+    path = testdata.folder(spark, "archive")
+    archive(testdata.bars(spark, sf, "nation").select("symbol", "date", "close", "volume"), path, "run")
+    rows = spark.read.schema("symbol string, date date, close double, volume bigint, run_id string, by_symbol string").json(path)
+    return rows.filter("run_id = 'run' and by_symbol = symbol").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last"), F.sum("volume").alias("volume"))
+
+
+@register
+def delta_requests(spark, sf):
+    """What an update asks for of active symbols that a provider knows: from the day after their last bar."""
+    known = testdata.universe(spark, sf).filter(F.substring("symbol", 2, 10).cast("int") % 4 != 1)
+    wanted = B.active_only(known.select("symbol").distinct(), testdata.universe(spark, sf))
+    stored = testdata.bars(spark, sf).filter(F.substring("symbol", 2, 10).cast("int") % 3 != 0)
+    return B.delta_start(wanted, stored, "1992-01-01").filter("from_date <= date'1998-11-20'")
+
+
+@register
+def run_summaries_rated(spark, sf):
+    """The counts that the runs of ratings and of scores report."""
+    rated = held(strength.ratings(_closes(spark, sf)))
+    ratings = rated.agg(F.count(F.lit(1)).alias("evaluated"), F.count_distinct("symbol").alias("flagged")).withColumn("run", F.lit("strength"))
+    scores = score.combine(scored(spark, sf)).agg(F.count(F.lit(1)).alias("evaluated"), F.coalesce(F.sum(F.col("gate_passed").cast("int")), F.lit(0)).alias("flagged")).withColumn("run", F.lit("score"))
+    return ratings.unionByName(scores).select("run", "evaluated", "flagged")

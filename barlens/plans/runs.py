@@ -40,7 +40,7 @@ def daily_update(catalog: Catalog, provider: candles.BarProvider, end_date: str,
     in this run if one is invalid; that is counted and noted. Weeks of what was touched are derived anew."""
     run_id = str(uuid.uuid4())
     mapped = catalog.read("provider_instruments").filter(F.col("provider") == provider.name)
-    wanted = mapped.select("symbol").distinct().join(catalog.read("universe").filter("is_active").select("symbol"), "symbol", "left_semi")
+    wanted = B.active_only(mapped.select("symbol").distinct(), catalog.read("universe"))
     if symbols is not None:
         wanted = wanted.filter(F.col("symbol").isin(symbols))
     stored = catalog.read("ohlcv_daily")
@@ -166,9 +166,7 @@ def fundamentals_update(catalog: Catalog, filings: DataFrame, end_date: str, arr
     full history of the touched symbols. The preferred filing is chosen before validity is looked at."""
     run_id = str(uuid.uuid4())
     existing = catalog.read("fundamentals_quarterly")
-    window = B.delta_start(filings.select("symbol").distinct(), existing, FIRST_DATE, "announcement_date")
-    new = filings.join(window, "symbol").filter((F.col("announcement_date") >= F.col("from_date")) & (F.col("announcement_date") <= F.lit(end_date).cast("date"))).drop("from_date")
-    chosen = fundamentals.preferred(new, arrival).persist()
+    chosen = fundamentals.preferred(fundamentals.due(filings, existing, FIRST_DATE, end_date), arrival).persist()
     try:
         rejected = chosen.filter(fundamentals.rejection_reason().isNotNull()).count()
         staged = fundamentals.stored(chosen, config).withColumn("ingested_at", _now())
