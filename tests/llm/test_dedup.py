@@ -158,3 +158,25 @@ def test_beyond_the_broadcast_bound(make_docs, monkeypatch):
     assert sorted(r.doc_id for r in block_naming.deduplicate(make_docs(rows)).collect()) == list(range(1, 40, 2))
     near = [(i, f"the very same text again {'x' if i % 2 else 'X'}") for i in range(20)] + [(50, "another one")]
     assert sorted(r.doc_id for r in simhash.deduplicate(make_docs(near)).collect()) == [0, 50]
+
+
+def test_clashing_names(make_docs):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "B"), (None, "c"), (3, "d")]
+    docs = make_docs(rows).withColumns({c: F.lit(1) for c in ("_id", "_sha", "_sha2", "_id3", "its_id", "ITS_SHA", "own_id", "own_sha", "_own_sha")})
+    got = block_naming.deduplicate(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == [(1, "a"), (2, "B"), (3, "d"), (None, "c")]
+
+
+def test_names_do_not_depend_on_partitions(spark, make_docs):
+    rnd = random.Random(4)
+    rows = [(i, "".join(rnd.choice("abc") for _ in range(rnd.choice([0, 3, 4, 9, 12])))) for i in range(40)]
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (2, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            ids = block_naming.identities(make_docs(rows).repartition(n), block_bytes=4)
+            found.append(sorted((r.doc_id, r.n_blocks, r.name) for r in ids.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and {name for _, n, name in found[0] if n == 1} <= set(range(len(rows)))
