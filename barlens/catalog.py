@@ -1,8 +1,9 @@
 """Stored tables as versions of parquet folders, with key-based writes that can be repeated.
 
 A write makes a new version beside the old ones and ends with a commit file that says which parts of the
-table it replaces and holds. Large tables are parted by year, and a merge reads and writes only the years
-it touches. So a failed write changes nothing, and readers never see half of one. One writer at a time.
+table it replaces and which it holds rows of. Large tables are parted by year, and a merge reads and writes
+only the years it touches; rows of new keys are added as files of their own. So a failed write changes
+nothing, and readers never see half of one. One writer at a time.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from barlens.schema import TABLES
 
 COMMIT, PART, EVERY = "_COMMIT", "part", "*"
+VERSIONS_A_PART = 64  # a part spread over as many versions is written as one again
 
 
 def upserted(existing: DataFrame, staged: DataFrame, keys: Iterable[str]) -> DataFrame:
@@ -68,14 +70,15 @@ class Catalog:
         stream.close()
         return json.loads(text) if text else None
 
-    def _current(self, name: str) -> dict[str, int]:
-        """The version that holds each part of the table."""
-        held: dict[str, int] = {}
+    def _current(self, name: str) -> dict[str, list[int]]:
+        """The versions that hold rows of each part of the table."""
+        held: dict[str, list[int]] = {}
         for version in self._versions(name):
             if commit := self._committed(name, version):
                 for part in [*held] if commit["replaced"] == [EVERY] else commit["replaced"]:
                     held.pop(part, None)
-                held |= dict.fromkeys(commit["held"], version)
+                for part in commit["held"]:
+                    held.setdefault(part, []).append(version)
         return held
 
     @staticmethod
@@ -89,7 +92,7 @@ class Catalog:
         older files lack are null, or false where a boolean that must not be null was added."""
         schema = self.schema(name)
         wanted = None if parts is None else set(parts)
-        paths = [f"{self.root}/{name}/v={v}/{PART}={p}" for p, v in sorted(self._current(name).items()) if wanted is None or p in wanted]
+        paths = [f"{self.root}/{name}/v={v}/{PART}={p}" for p, versions in sorted(self._current(name).items()) if wanted is None or p in wanted for v in versions]
         if not paths:
             return self.spark.createDataFrame([], schema)
         out = self.spark.read.schema(schema).parquet(*paths)
@@ -101,12 +104,13 @@ class Catalog:
         by = TABLES[name].by_year
         return F.coalesce(F.year(by).cast("string"), F.lit("none")) if by else F.lit("all")
 
-    def _write(self, name: str, frame: DataFrame, replaced: list[str]) -> None:
-        schema = self.schema(name)
+    def _shaped(self, name: str, frame: DataFrame) -> DataFrame:
         have = set(frame.columns)
-        shaped = frame.select(*(F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+        return frame.select(*(F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema(name)))
+
+    def _write(self, name: str, frame: DataFrame, replaced: list[str]) -> None:
         version = max(self._versions(name), default=0) + 1
-        shaped.withColumn(PART, self._part(name)).write.partitionBy(PART).parquet(f"{self.root}/{name}/v={version}")
+        self._shaped(name, frame).withColumn(PART, self._part(name)).write.partitionBy(PART).parquet(f"{self.root}/{name}/v={version}")
         fs, path = self._path(name, f"v={version}")
         held = sorted(s.getPath().getName().partition("=")[2] for s in fs.listStatus(path) if s.getPath().getName().startswith(f"{PART}="))
         self._commit(name, version, {"replaced": replaced, "held": held})
@@ -114,7 +118,7 @@ class Catalog:
 
     def _drop_old(self, name: str, newest: int) -> None:
         """Deletes versions of which no part is current, but for the one before the newest, which readers may be on."""
-        keep = {newest, newest - 1, *self._current(name).values()}
+        keep = {newest, newest - 1, *(v for versions in self._current(name).values() for v in versions)}
         for version in self._versions(name):
             if version not in keep:
                 fs, path = self._path(name, f"v={version}")
@@ -124,23 +128,46 @@ class Catalog:
         """Makes frame the table; columns go by name, missing ones are null, others are dropped."""
         self._write(name, frame, [EVERY])
 
+    def _touched(self, name: str, staged: DataFrame) -> list[str]:
+        """The years that rows of staged are in."""
+        return sorted(row[0] for row in staged.select(self._part(name)).distinct().collect())
+
     def _merge(self, name: str, staged: DataFrame, merged) -> None:
         """Reads and rewrites only the parts that staged has rows of."""
         if not TABLES[name].by_year:
             self.write(name, merged(self.read(name), staged, TABLES[name].keys))
-            return
-        touched = sorted(r[0] for r in staged.select(self._part(name)).distinct().collect())  # years
-        if touched:
+        elif touched := self._touched(name, staged):
             self._write(name, merged(self.read(name, touched), staged, TABLES[name].keys), touched)
 
-    def upsert(self, name: str, staged: DataFrame) -> None:
+    def upsert(self, name: str, staged: DataFrame, *, mostly_new: bool = False) -> None:
+        """mostly_new: looks for the keys of staged first, and only adds files where none is stored. That
+        evaluates staged once more, and is for rows at hand."""
+        if mostly_new and TABLES[name].by_year:
+            keys = list(TABLES[name].keys)
+            if self.read(name, self._touched(name, staged)).join(staged.select(*keys), keys, "left_semi").isEmpty():
+                self.append(name, staged)
+                return
         self._merge(name, staged, upserted)
 
     def insert(self, name: str, staged: DataFrame) -> None:
         self._merge(name, staged, inserted)
 
     def replace(self, name: str, staged: DataFrame, partition: Iterable[str] = ("symbol",)) -> None:
-        self.write(name, replaced(self.read(name), staged, partition))
+        """Of a table that is parted by year, only years in which the touched partitions differ from what is
+        stored are written; rows are compared whole, in one aggregation of both sides."""
+        if not TABLES[name].by_year:
+            self.write(name, replaced(self.read(name), staged, partition))
+            return
+        new, by = self._shaped(name, staged), list(partition)
+        touched = new.select(*by).distinct()
+        old = self.read(name).join(touched, by, "left_semi")
+        sides = new.withColumn("_side", F.lit(1)).unionByName(old.withColumn("_side", F.lit(-1)))
+        differing = sides.groupBy(*new.columns).agg(F.sum("_side").alias("_side")).filter("_side <> 0")
+        if parts := self._touched(name, differing):
+            kept = self.read(name, parts).join(touched, by, "left_anti")
+            self._write(name, kept.unionByName(new.filter(self._part(name).isin(parts))), parts)
 
     def append(self, name: str, staged: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(staged, allowMissingColumns=True))
+        """Adds files beside the stored ones; parts that have become spread over many versions are written as one."""
+        crowded = [part for part, versions in self._current(name).items() if len(versions) >= VERSIONS_A_PART]
+        self._write(name, self.read(name, crowded).unionByName(staged, allowMissingColumns=True) if crowded else staged, crowded)

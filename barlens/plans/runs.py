@@ -56,7 +56,7 @@ def daily_update(catalog: Catalog, provider: candles.BarProvider, end_date: str,
         failed = notes.count()
         touched = staged.select("symbol").distinct() if symbols is None else catalog.spark.createDataFrame([(s,) for s in sorted(set(symbols))], "symbol string")
         if counts[0]:
-            catalog.upsert("ohlcv_daily", staged)
+            catalog.upsert("ohlcv_daily", staged, mostly_new=True)
         resample(catalog, touched)
     finally:
         received.unpersist()

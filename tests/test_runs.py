@@ -53,6 +53,44 @@ def test_upsert_twice_changes_nothing(spark, catalog):
     assert catalog.read("ohlcv_daily").count() == 10 and catalog.read("ohlcv_daily").filter("close = 1").count() == 1
 
 
+def versions(catalog, name):
+    return {part: len(held) for part, held in catalog._current(name).items()}
+
+
+def test_new_keys_are_added_as_files(spark, catalog):
+    catalog.upsert("ohlcv_daily", bars(spark, range(100, 110)), mostly_new=True)
+    later = bars(spark, range(100, 115)).orderBy(F.desc("date")).limit(5)
+    catalog.upsert("ohlcv_daily", later, mostly_new=True)
+    assert catalog.read("ohlcv_daily").count() == 15 and set(versions(catalog, "ohlcv_daily").values()) == {2}
+    catalog.upsert("ohlcv_daily", later.limit(1).withColumn("close", F.lit(1.0)), mostly_new=True)
+    assert catalog.read("ohlcv_daily").count() == 15 and catalog.read("ohlcv_daily").filter("close = 1").count() == 1
+    assert set(versions(catalog, "ohlcv_daily").values()) == {1}
+
+
+def test_appends_add_files_and_are_joined_in_time(spark, catalog, monkeypatch):
+    monkeypatch.setattr("barlens.catalog.VERSIONS_A_PART", 3)
+    for k in range(5):
+        runs._log(catalog, f"run {k}", k, 0, k, "")
+        assert versions(catalog, "ingestion_log") == {"all": (1, 2, 3, 1, 2)[k]}
+        assert sorted(r.run_id for r in catalog.read("ingestion_log").collect()) == [f"run {j}" for j in range(k + 1)]
+
+
+def test_replacement_writes_only_years_that_differ(spark, catalog):
+    def weeks(symbol, *rows):
+        return spark.createDataFrame([(symbol, dt.date.fromisoformat(d), c, None) for d, c in rows], "symbol string, week_end_date date, close double, open double")
+
+    a, b = weeks("A", ("2020-01-03", 1.0), ("2021-01-08", 2.0), ("2022-01-07", 3.0)), weeks("B", ("2020-01-03", 9.0), ("2022-01-07", 9.0))
+    catalog.replace("ohlcv_weekly", a.union(b))
+    first = catalog._current("ohlcv_weekly")
+    catalog.replace("ohlcv_weekly", a)
+    assert catalog._current("ohlcv_weekly") == first
+    catalog.replace("ohlcv_weekly", weeks("A", ("2020-01-03", 1.0), ("2022-01-07", 4.0), ("2022-01-14", 5.0)))
+    after = catalog._current("ohlcv_weekly")
+    assert set(after) == {"2020", "2022"} and after["2020"] == first["2020"] and after["2022"] != first["2022"]
+    got = sorted((r.symbol, str(r.week_end_date), r.close) for r in catalog.read("ohlcv_weekly").collect())
+    assert got == [("A", "2020-01-03", 1.0), ("A", "2022-01-07", 4.0), ("A", "2022-01-14", 5.0), ("B", "2020-01-03", 9.0), ("B", "2022-01-07", 9.0)]
+
+
 def test_an_unfinished_version_is_not_read(spark, catalog, tmp_path):
     catalog.upsert("ohlcv_daily", bars(spark, [1, 2]))
     bars(spark, [1, 2, 3]).withColumn("part", F.lit(2022)).write.partitionBy("part").parquet(f"{catalog.root}/ohlcv_daily/v=2")
