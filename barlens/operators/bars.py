@@ -19,6 +19,11 @@ def last_bar(*order: str) -> Window:
     return Window.partitionBy("symbol").orderBy("date", *order)
 
 
+def from_end(w: Window) -> Column:
+    """1 for the last row of each partition of w, 2 for the one before, ..., without a second sort."""
+    return F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - F.row_number().over(w) + 1
+
+
 def adjusted(bars: DataFrame, universe: DataFrame | None = None, on: str = "date") -> DataFrame:
     """(symbol, date, close, high, low, volume) with prices on the scale of adj_close, of active symbols only.
 

@@ -12,17 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.config import Contraction
-from barlens.operators.bars import normalised
+from barlens.operators.bars import from_end, normalised
 
 
 def lookback(weekly: DataFrame, config: Contraction = Contraction()) -> DataFrame:
     """The last weeks of each symbol: i from 0, n weeks in all, and cv, the volume up to and with each week.
     Symbols with too short a history for any swing are left out."""
-    by = Window.partitionBy("symbol").orderBy(F.desc("date"))
-    last = normalised(weekly).withColumn("_k", F.row_number().over(by)).filter(F.col("_k") <= config.lookback_weeks)
     up = Window.partitionBy("symbol").orderBy("date")
+    last = normalised(weekly).withColumn("_k", from_end(up)).filter(F.col("_k") <= config.lookback_weeks)
+    place = F.row_number().over(up)
     out = last.select(
-        "symbol", "date", "close", "high", "low", "volume", (F.row_number().over(up) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("symbol")).cast("int").alias("n"),
+        "symbol", "date", "close", "high", "low", "volume", (place - 1).alias("i"), (F.col("_k") + place - 1).cast("int").alias("n"),
         F.sum("volume").over(up.rowsBetween(Window.unboundedPreceding, 0)).alias("cv"),
     )
     return out.filter(F.col("n") >= 2 * config.swing_window + 3)
@@ -109,11 +109,11 @@ def checks(chosen: DataFrame, config: Contraction = Contraction()) -> DataFrame:
 
 def daily_confirmation(daily: DataFrame, pivots: DataFrame, config: Contraction = Contraction()) -> DataFrame:
     """(symbol, and the confirmation of a pivot by the last daily bars) for symbols with both."""
-    back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
+    up = Window.partitionBy("symbol").orderBy("date")
     window = max(config.daily_lookback, config.breakout_lookback + 1)
-    last = normalised(daily).withColumn("k", back).filter(F.col("k") <= window)
+    last = normalised(daily).withColumn("k", from_end(up)).filter(F.col("k") <= window)
     recent = F.col("k") <= config.daily_lookback
-    top = last.withColumn("anchor", F.max(F.when(F.col("k") == 1, F.col("close"))).over(Window.partitionBy("symbol")))
+    top = last.withColumn("anchor", F.last("close").over(up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     tight = recent & (F.abs(F.col("close") - F.col("anchor")) / F.col("anchor") <= config.tight_tolerance)
     low = F.min(F.when(recent, F.col("close")))
     m = top.groupBy("symbol").agg(

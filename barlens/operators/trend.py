@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlens.config import Trend, TrendPeriods
-from barlens.operators.bars import last_bar, normalised
+from barlens.operators.bars import from_end, last_bar, normalised
 
 CRITERIA = (
     "price_above_150_and_200_ma", "ma_150_above_200", "ma_200_trending_up", "ma_50_above_150_and_200", "price_above_50_ma",
@@ -34,8 +34,7 @@ def history(bars: DataFrame, periods: TrendPeriods) -> DataFrame:
 def latest(bars: DataFrame, periods: TrendPeriods) -> DataFrame:
     """The measures at each symbol's last bar: bars are numbered from the end and aggregated once, so that
     no frame slides over the history."""
-    back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
-    b = normalised(bars, volume=False).withColumn("_k", back)
+    b = normalised(bars, volume=False).withColumn("_k", from_end(last_bar()))
 
     def over(fn, column: str, length: int, skip: int = 0) -> Column:
         inside = (F.col("_k") > skip) & (F.col("_k") <= skip + length)

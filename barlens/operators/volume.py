@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.config import Volume
-from barlens.operators.bars import normalised
+from barlens.operators.bars import from_end, normalised
 
 
 def _with_line(bars: DataFrame, config: Volume) -> DataFrame:
@@ -17,7 +17,7 @@ def _with_line(bars: DataFrame, config: Volume) -> DataFrame:
     return normalised(bars).withColumns(
         {
             "place": F.row_number().over(w) - 1,
-            "back": F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date"))),
+            "back": from_end(w),
             "before_close": F.lag("close").over(w),
             "line": F.sum(flow).over(w.rowsBetween(Window.unboundedPreceding, 0)),
             "average_before": F.when(F.row_number().over(w) > config.spike_average_sessions, F.avg("volume").over(w.rowsBetween(-config.spike_average_sessions, -1))),
