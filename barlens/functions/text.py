@@ -35,9 +35,22 @@ def row_label(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.trim(text), r"\++$", "")))
 
 
-def xbrl_fact(xml: Column, names: tuple[str, ...], context: str) -> Column:
-    """The number of the first of the named facts that a document has in a context, whatever its prefix."""
-    found = [
-        F.nullif(F.regexp_extract(xml, rf'<(?:[\w-]+:)?{n}\s[^>]*contextRef="{context}"[^>]*>\s*([^<]*?)\s*</', 1), F.lit("")).try_cast("double") for n in names
-    ]
-    return F.coalesce(*found)
+def xbrl(xml: Column, names: list[str]) -> Column:
+    """A document as Spark's XML parser reads it, prefixes left out: its contexts with their periods, the named
+    facts with the contexts they are of, and bad, which is not null where the text is no well-formed document."""
+    fact = "array<struct<_contextRef: string, _VALUE: string>>"
+    fields = ["context: array<struct<_id: string, period: struct<startDate: string, endDate: string>>>", *(f"{n}: {fact}" for n in names), "bad: string"]
+    options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "attributePrefix": "_", "valueTag": "_VALUE"}
+    return F.from_xml(xml, f"struct<{', '.join(fields)}>", options)
+
+
+def xbrl_fact(document: Column, names: tuple[str, ...], context: str) -> Column:
+    """The first number of the first of the named facts that has one in a context."""
+    numbers = lambda n: F.transform(F.filter(document[n], lambda f: f["_contextRef"] == context), lambda f: F.trim(f["_VALUE"]).try_cast("double"))
+    return F.coalesce(*(F.get(F.array_compact(numbers(n)), F.lit(0)) for n in names))
+
+
+def xbrl_day(document: Column, name: str, context: str) -> Column:
+    """The startDate or endDate of a context; null where it has none."""
+    found = F.get(F.filter(document["context"], lambda c: c["_id"] == context), F.lit(0))
+    return F.try_to_date(F.trim(found["period"][name]), "yyyy-MM-dd")

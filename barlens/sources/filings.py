@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlens.config import Fundamentals
-from barlens.functions.text import month_end, number, quarter_start, row_label, without_tags, xbrl_fact
+from barlens.functions.text import month_end, number, quarter_start, row_label, without_tags, xbrl, xbrl_day, xbrl_fact
 
 # Names of facts in the exchange's taxonomy, and the context of the quarter.
 FACTS = {
@@ -37,13 +37,13 @@ def xbrl_filings(index: DataFrame, documents: DataFrame) -> DataFrame:
     """Filings of index rows and the documents (xbrl: address, xml: text) they link to.
 
     Where a document names no period, that of the index counts; without any the filing is left out, as it is
-    where the text is no XML document. fields_missing: it has none of revenue, profit and earnings per share.
+    where the text is no well-formed XBRL document. fields_missing: it has none of revenue, profit and earnings per share.
     """
-    d = index.join(documents.select("xbrl", "xml"), "xbrl").filter(F.col("xml").rlike(r"(?s)^\s*<.*>\s*$") & F.col("xml").contains("xbrl"))
-    block = F.regexp_extract("xml", rf'(?s)<(?:[\w-]+:)?context\s[^>]*id="{QUARTER}"[^>]*>(.*?)</(?:[\w-]+:)?context>', 1)
-    day = lambda name: F.try_to_date(F.nullif(F.regexp_extract(block, rf"<(?:[\w-]+:)?{name}>\s*([0-9-]+)\s*<", 1), F.lit("")), "yyyy-MM-dd")
+    parsed = documents.filter(F.col("xml").contains("xbrl")).select("xbrl", xbrl(F.col("xml"), [n for names in FACTS.values() for n in names]).alias("document"))
+    d = index.join(parsed.filter("document.bad is null"), "xbrl")
+    day = lambda name: xbrl_day(F.col("document"), name, QUARTER)
     d = d.withColumns({"period_start": F.coalesce(day("startDate"), F.try_to_date("fromDate", "dd-MMM-yyyy")), "period_end": F.coalesce(day("endDate"), F.try_to_date("toDate", "dd-MMM-yyyy"))})
-    d = d.withColumns({k: xbrl_fact(F.col("xml"), names, QUARTER) for k, names in FACTS.items()})
+    d = d.withColumns({k: xbrl_fact(F.col("document"), names, QUARTER) for k, names in FACTS.items()})
     return d.filter("period_start is not null and period_end is not null").select(
         F.upper("symbol").alias("symbol"), "period_start", "period_end", F.to_date("broadCastDate", "dd-MMM-yyyy HH:mm:ss").alias("announcement_date"),
         (F.col("consolidated") == "Consolidated").alias("is_consolidated"), (F.col("audited") == "Audited").alias("is_audited"), "revenue", "pat", "basic_eps", "diluted_eps",

@@ -57,6 +57,11 @@ def test_index_and_documents(spark, tmp_path):
     (tmp_path / "index.json").write_text(json.dumps(rows))
     index = filings.filing_index(spark, f"file://{tmp_path}/index.json")
     assert index.count() == 3
+    quoted = XBRL.replace('"OneD"', "'OneD'").replace(">1000<", ">\n 1000 <").replace("<in-bse-fin:Rev", "<!-- <in-bse-fin:RevenueFromOperations contextRef='OneD'>1</in-bse-fin:RevenueFromOperations> --><in-bse-fin:Rev", 1)
+    one = spark.createDataFrame([("d1", quoted)], "xbrl string, xml string")
+    r = filings.xbrl_filings(index, one).first()
+    assert (r.revenue, r.pat, r.period_start) == (1000.0, 50.0, dt.date(2024, 10, 1))
+    assert filings.xbrl_filings(index, one.withColumn("xml", F.lit("<xbrl><a></xbrl>"))).isEmpty()
     docs = spark.createDataFrame([("d1", XBRL), ("d2", "<xbrli:xbrl></xbrli:xbrl>"), ("d3", "not a document")], "xbrl string, xml string")
     got = {r.source_url: r for r in filings.xbrl_filings(index, docs).collect()}
     assert sorted(got) == ["d1", "d2"]
