@@ -9,7 +9,9 @@ nothing, and readers never see half of one. One writer at a time.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from pyspark.sql import types as T
 
 from barlens.schema import TABLES
 
-COMMIT, PART, EVERY = "_COMMIT", "part", "*"
+COMMIT, PART, EVERY, STAGING = "_COMMIT", "part", "*", "_staging"
 VERSIONS_A_PART = 64  # a part spread over as many versions is written as one again
 
 
@@ -81,6 +83,17 @@ class Catalog:
                     held.setdefault(part, []).append(version)
         return held
 
+    @contextmanager
+    def staged(self, frame: DataFrame) -> Iterator[DataFrame]:
+        """frame, written beside the tables while it is used: it is computed once, and what was fetched over the
+        network isn't fetched again where an executor is lost later."""
+        fs, path = self._path(STAGING, uuid.uuid4().hex)
+        frame.write.parquet(path.toString())
+        try:
+            yield self.spark.read.schema(frame.schema).parquet(path.toString())
+        finally:
+            fs.delete(path, True)
+
     @staticmethod
     def schema(name: str) -> T.StructType:
         if name not in TABLES:
@@ -154,13 +167,18 @@ class Catalog:
 
     def replace(self, name: str, staged: DataFrame, partition: Iterable[str] = ("symbol",)) -> None:
         """Of a table that is parted by year, only years in which the touched partitions differ from what is
-        stored are written; rows are compared whole, in one aggregation of both sides."""
+        stored are written; rows are compared whole, in one aggregation of both sides. Partitions of which
+        nothing is stored yet are added as files of their own."""
         if not TABLES[name].by_year:
             self.write(name, replaced(self.read(name), staged, partition))
             return
         new, by = self._shaped(name, staged), list(partition)
         touched = new.select(*by).distinct()
         old = self.read(name).join(touched, by, "left_semi")
+        if old.isEmpty():
+            if not new.isEmpty():
+                self.append(name, new)
+            return
         sides = new.withColumn("_side", F.lit(1)).unionByName(old.withColumn("_side", F.lit(-1)))
         differing = sides.groupBy(*new.columns).agg(F.sum("_side").alias("_side")).filter("_side <> 0")
         if parts := self._touched(name, differing):

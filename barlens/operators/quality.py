@@ -70,11 +70,11 @@ def stale_runs(daily: DataFrame, over: int = STALE_SESSIONS) -> DataFrame:
     )
 
 
-def report(daily: DataFrame, stored_weekly: DataFrame, universe: DataFrame) -> DataFrame:
-    """One row with all counts and the list of symbols with missing sessions, as written to JSON."""
-    lists = missing_lists(daily, universe).agg(
-        F.coalesce(F.sum("missing_date_count"), F.lit(0)).alias("missing_observed_market_dates"),
-        F.array_sort(F.collect_list(F.struct("symbol", "listing_date", "first_date", "last_date", "missing_dates", "missing_date_count"))).alias("missing_date_review_flags"),
+def report(daily: DataFrame, stored_weekly: DataFrame, universe: DataFrame, lists: DataFrame | None = None) -> DataFrame:
+    """One row with all counts. The symbols with missing sessions are rows of missing_lists, which may be given
+    where they are stored already."""
+    lists = (missing_lists(daily, universe) if lists is None else lists).agg(
+        F.coalesce(F.sum("missing_date_count"), F.lit(0)).alias("missing_observed_market_dates"), F.count(F.lit(1)).alias("symbols_with_missing_dates")
     )
     return (
         counts(daily, universe)

@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from barlens.catalog import Catalog
+from barlens.catalog import Catalog, upserted
 from barlens.config import PERIODS, Contraction, Fundamentals, Score, Stage, Strength, Trend, Volume
 from barlens.operators import bars as B
 from barlens.operators import contraction, fundamentals, quality, score, stage, strength, trend, universe, volume
@@ -45,8 +45,7 @@ def daily_update(catalog: Catalog, provider: candles.BarProvider, end_date: str,
         wanted = wanted.filter(F.col("symbol").isin(symbols))
     stored = catalog.read("ohlcv_daily")
     requests = B.delta_start(wanted, stored, initial).withColumn("to_date", F.lit(end_date).cast("date")).filter("from_date <= to_date")
-    received = candles.normalised(provider.fetch_daily(candles.chunks(requests))).persist()
-    try:
+    with catalog.staged(candles.normalised(provider.fetch_daily(candles.chunks(requests)))) as received:
         accepted, notes = B.split_valid(received)
         if archive:
             candles.archive(accepted, archive, run_id)
@@ -58,8 +57,6 @@ def daily_update(catalog: Catalog, provider: candles.BarProvider, end_date: str,
         if counts[0]:
             catalog.upsert("ohlcv_daily", staged, mostly_new=True)
         resample(catalog, touched)
-    finally:
-        received.unpersist()
     return _log(catalog, run_id, counts[1], failed, counts[0], "; ".join(["controlled incremental update", *failures]))
 
 
@@ -166,31 +163,32 @@ def fundamentals_update(catalog: Catalog, filings: DataFrame, end_date: str, arr
     full history of the touched symbols. The preferred filing is chosen before validity is looked at."""
     run_id = str(uuid.uuid4())
     existing = catalog.read("fundamentals_quarterly")
-    chosen = fundamentals.preferred(fundamentals.due(filings, existing, FIRST_DATE, end_date), arrival).persist()
-    try:
+    with catalog.staged(fundamentals.preferred(fundamentals.due(filings, existing, FIRST_DATE, end_date), arrival)) as chosen:
         rejected = chosen.filter(fundamentals.rejection_reason().isNotNull()).count()
         staged = fundamentals.stored(chosen, config).withColumn("ingested_at", _now())
         added, updated = staged.agg(F.count(F.lit(1)), F.count_distinct("symbol")).first()
         if added:
-            from barlens.catalog import upserted
-
             growth = ("eps_yoy_growth", "sales_yoy_growth")
             whole = upserted(existing.drop(*growth), staged, ("symbol", "quarter_end"))
             touched = staged.select("symbol").distinct()
             fresh = fundamentals.with_growth(whole.join(touched, "symbol", "left_semi"))
             catalog.write("fundamentals_quarterly", existing.join(touched, "symbol", "left_anti").unionByName(fresh, allowMissingColumns=True))
-    finally:
-        chosen.unpersist()
     return _log(catalog, run_id, updated, rejected, added, "fundamentals update")
 
 
 def run_quality(catalog: Catalog, path: str | None = None) -> dict[str, Any]:
-    """The audit of all stored bars; written as JSON to path if there is one."""
-    report = quality.report(catalog.read("ohlcv_daily"), catalog.read("ohlcv_weekly"), catalog.read("universe"))
+    """The totals of the audit of all stored bars. With a path, they are written to its folder totals as JSON,
+    and the symbols with missing sessions to its folder missing_dates, one in a row."""
+    daily, names = catalog.read("ohlcv_daily"), catalog.read("universe")
+    lists = quality.missing_lists(daily, names)
+    if path:
+        lists.write.mode("overwrite").json(f"{path}/missing_dates")
+        lists = catalog.spark.read.schema(lists.schema).json(f"{path}/missing_dates")
+    totals = quality.report(daily, catalog.read("ohlcv_weekly"), names, lists)
+    row = totals.select(F.to_json(F.struct("*"))).first()[0]
     if path:
-        report.coalesce(1).write.mode("overwrite").json(path)
-        report = catalog.spark.read.schema(report.schema).json(path)
-    return json.loads(report.select(F.to_json(F.struct("*"))).first()[0])
+        catalog.spark.createDataFrame([(row,)], "value string").write.mode("overwrite").text(f"{path}/totals")
+    return json.loads(row)
 
 
 def run_analytics(catalog: Catalog) -> dict[str, dict[str, int]]:

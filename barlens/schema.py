@@ -71,6 +71,9 @@ TABLES: dict[str, Table] = {
         ),
         ("symbol", "date"),
     ),
+    "watchlists": Table(_struct("name string, created_at timestamp"), ("name",)),
+    "watchlist_symbols": Table(_struct("watchlist string, symbol string, added_at timestamp"), ("watchlist", "symbol")),
+    "screener_presets": Table(_struct("name string, filters_json string, created_at timestamp"), ("name",)),
 }
 
 #: A quarterly filing as providers give it.

@@ -1,19 +1,17 @@
-"""Providers by name, and a data source that fetches candles on the executors."""
+"""Providers by name, and one that fetches candles on the executors."""
 
 from __future__ import annotations
 
 import base64
 import importlib
-import json
 import pickle
 import time
 from collections.abc import Callable, Iterator
-from datetime import date
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from barlens.config import Provider, Settings, get_settings
 from barlens.schema import INSTRUMENT
@@ -55,11 +53,6 @@ def page_or_none(get: Callable[[str], tuple[int, str]], url: str, attempts: int
     return None
 
 
-class _Span(InputPartition):
-    def __init__(self, symbol: str, start: str, end: str):
-        self.symbol, self.start, self.end = symbol, start, end
-
-
 def packed(fetch: Callable) -> str:
     """A function as text, so that executors need no module of the caller."""
     return "pickle:" + base64.b64encode(cloudpickle.dumps(fetch)).decode()
@@ -70,45 +63,11 @@ def _function(text: str) -> Callable:
     return pickle.loads(base64.b64decode(rest)) if kind == "pickle" else getattr(importlib.import_module(kind), rest)
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.fetch = options["fetch"]
-        self.spans = [_Span(*x) for x in json.loads(options["requests"])]
-        self.attempts, self.delay = int(options.get("attempts", Provider.max_retries)), float(options.get("delay", Provider.request_delay_seconds))
-
-    def partitions(self) -> list[_Span]:
-        return self.spans
-
-    def read(self, partition: _Span) -> Iterator[tuple]:
-        fetch = _function(self.fetch)
-        start, end = date.fromisoformat(partition.start), date.fromisoformat(partition.end)
-        rows = with_retries(lambda: list(fetch(partition.symbol, start, end)), self.attempts, self.delay)
-        time.sleep(self.delay)
-        for r in rows:
-            yield (partition.symbol, str(r["date"]), *(float(r[c]) for c in ("open", "high", "low", "close")), int(r["volume"]))
-
-
-class CandleSource(DataSource):
-    """Options: fetch (module:function, or what packed() gives, of symbol, start and end, giving rows), requests (JSON list of symbol,
-    start and end), attempts, delay. Each request is a partition of its own, fetched with retries and paced."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "candles"
-
-    def schema(self) -> str:
-        return CANDLES
-
-    def reader(self, schema) -> _Reader:
-        return _Reader(self.options)
-
-
 class FetchedProvider:
-    """A provider over a function that fetches one symbol's candles, run through CandleSource."""
+    """A provider over a function (module:function, or what packed() gives) of symbol, start and end, giving rows."""
 
-    def __init__(self, spark: SparkSession, name: str, fetch: str | Callable, instruments: DataFrame | None = None, delay: float = Provider.request_delay_seconds, attempts: int = Provider.max_retries):
-        spark.dataSource.register(CandleSource)
-        self.spark, self.name, self.instruments, self.delay, self.attempts = spark, name, instruments, delay, attempts
+    def __init__(self, spark: SparkSession, name: str, fetch: str | Callable, instruments: DataFrame | None = None, delay: float = Provider.request_delay_seconds, attempts: int = Provider.max_retries, at_once: int = 8):
+        self.spark, self.name, self.instruments, self.delay, self.attempts, self.at_once = spark, name, instruments, delay, attempts, at_once
         self.fetch = fetch if isinstance(fetch, str) else packed(fetch)
 
     def list_instruments(self, exchange: str) -> DataFrame:
@@ -117,9 +76,19 @@ class FetchedProvider:
         return self.instruments.filter(F.col("exchange") == exchange)
 
     def fetch_daily(self, requests: DataFrame) -> DataFrame:
-        """The requests are few (symbols times chunks of years) and become the partitions of the scan."""
-        spans = [[r.symbol, str(r.from_date), str(r.to_date)] for r in requests.orderBy("symbol", "from_date").collect()]
-        if not spans:
-            return self.spark.createDataFrame([], CANDLES)
-        reader = self.spark.read.format("candles").option("fetch", self.fetch).option("requests", json.dumps(spans))
-        return reader.option("delay", str(self.delay)).option("attempts", str(self.attempts)).load()
+        """The candles of (symbol, from_date, to_date), fetched where the requests are, with retries and paced; no
+        more tasks than at_once ask at the same time. A task that is lost asks again for its own requests."""
+        packed_fetch, attempts, delay = self.fetch, self.attempts, self.delay
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            fetch = _function(packed_fetch)
+            for batch in batches:
+                for symbol, start, end in batch.itertuples(index=False):
+                    rows = with_retries(lambda: list(fetch(symbol, start, end)), attempts, delay)  # noqa: B023
+                    time.sleep(delay)
+                    if rows:
+                        made = {c: [float(r[c]) for r in rows] for c in ("open", "high", "low", "close")}
+                        yield pd.DataFrame({"symbol": symbol, "date": [str(r["date"]) for r in rows], **made, "volume": [int(r["volume"]) for r in rows]})
+
+        spans = requests.select("symbol", "from_date", "to_date").repartition(self.at_once, "symbol", "from_date")
+        return spans.mapInPandas(run, CANDLES)

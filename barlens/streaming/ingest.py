@@ -27,13 +27,10 @@ def into_catalog(stream: DataFrame, catalog: Catalog, checkpoint: str, source: s
         rest = [c for c in batch.columns if c not in ("symbol", "date")]
         last = batch.groupBy("symbol", "date").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("symbol", "date", "r.*")
         accepted, _notes = B.split_valid(candles.normalised(last))
-        staged = B.with_adjusted_close(accepted).withColumn("source", F.lit(source)).persist()
-        try:
+        with catalog.staged(B.with_adjusted_close(accepted).withColumn("source", F.lit(source))) as staged:
             if not staged.isEmpty():
                 catalog.upsert("ohlcv_daily", staged)
                 resample(catalog, staged.select("symbol").distinct())
-        finally:
-            staged.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

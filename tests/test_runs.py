@@ -7,7 +7,9 @@ from market import BAR, bars, textbook
 from pyspark.sql import functions as F
 
 from barlens.catalog import Catalog
-from barlens.plans import runs
+from barlens.config import load_settings
+from barlens.plans import runs, state
+from barlens.plans.http import respond
 from barlens.schema import INSTRUMENT
 
 
@@ -218,7 +220,63 @@ def test_all_analytics_and_quality(spark, catalog, tmp_path):
     assert best.symbol == "A" and best.stage == 2
     q = runs.run_quality(catalog, f"file://{tmp_path}/quality")
     assert (q["daily_rows"], q["missing_observed_market_dates"], q["weekly_reconciliation_mismatches"], q["stale_close_runs_over_10_sessions"]) == (839, 1, 0, 0)
-    assert q["missing_date_review_flags"][0]["symbol"] == "B" and q["missing_date_review_flags"][0]["missing_dates"] == ["2022-03-01"]
+    assert q["symbols_with_missing_dates"] == 1
+    (flagged,) = spark.read.json(f"file://{tmp_path}/quality/missing_dates").collect()
+    assert flagged.symbol == "B" and flagged.missing_dates == ["2022-03-01"]
+    assert spark.read.json(f"file://{tmp_path}/quality/totals").first().daily_rows == 839
+    over_http(catalog)
+
+
+def over_http(catalog):
+    """What the stored tables above answer."""
+    def get(path):
+        return respond(path, settings, catalog)
+
+    settings = load_settings({}, None)
+    assert [r["symbol"] for r in get("/universe")[1]] == ["A", "B"] and [r["symbol"] for r in get("/universe?offset=1&limit=1")[1]] == ["B"]
+    scores = get("/scores/today")[1]
+    assert scores[0]["symbol"] == "A" and len(scores) == 2 and "sector" in scores[0]
+    assert [r["symbol"] for r in get(f"/scores/today?min_score={scores[0]['composite_score']}")[1]] == ["A"]
+    assert get("/scores/today?sector=none")[1] == [] and get("/scores/today?min_score=high")[0] == 422 and get("/universe?limit=-1")[0] == 422
+    status, stock = get("/stock/a?limit=5")
+    assert status == 200 and stock["symbol"] == "A" and len(stock["bars"]) == 5 and stock["bars"][0]["date"] > stock["bars"][1]["date"]
+    assert len(stock["template"]["criteria"]) == 8 and stock["stage"]["stage"] == 2 and stock["scores"][0]["symbol"] == "A" and stock["ratings"]
+    assert get("/stock/Z")[0] == 404 == get("/stock/a/other")[0] and get("/stock/A/vcp-setups") == (200, [])
+    assert get("/ingestion/status")[1] == {"last_run": None, "latest_bar": stock["bars"][0]["date"]}
+
+
+def test_watchlists_and_presets(catalog):
+    def post(path, body, **kw):
+        return respond(path, settings, catalog, method="POST", body=body, **kw)
+
+    settings = load_settings({}, None)
+    assert respond("/watchlist", settings, catalog) == (200, []) == respond("/screener/presets", settings, catalog)
+    for _ in range(2):
+        assert post("/watchlist", {"name": "mine", "symbols": ["b", "A", "A"]})[0] == 200
+    assert [(r["watchlist"], r["symbol"]) for r in respond("/watchlist", settings, catalog)[1]] == [("mine", "A"), ("mine", "B")]
+    state.remove_symbols(catalog, "mine", ["A"])
+    assert [r.symbol for r in state.watchlist(catalog, "mine").collect()] == ["B"]
+    state.drop_watchlist(catalog, "mine")
+    assert state.watchlist(catalog).isEmpty() and catalog.read("watchlists").isEmpty()
+    for least in (50, 60):
+        assert post("/screener/presets", {"name": "strong", "filters": {"min_score": least}})[0] == 200
+    (p,) = respond("/screener/presets", settings, catalog)[1]
+    assert (p["name"], p["filters"]) == ("strong", {"min_score": 60})
+    assert post("/watchlist", {"symbols": ["A"]})[0] == 422 == post("/screener/presets", {"name": "x", "filters": "y"})[0] and post("/universe", {})[0] == 405
+    assert post("/ingest/run", {})[0] == 503 and post("/ingest/run", {}, ingest=lambda: {"rows_added": 3}) == (200, {"rows_added": 3})
+
+
+def test_new_symbols_are_added_to_the_weeks_as_files(spark, catalog):
+    for symbol in ("A", "B"):
+        rows = bars(spark, range(100, 110), symbol)
+        catalog.upsert("ohlcv_daily", rows, mostly_new=True)
+        runs.resample(catalog, rows.select("symbol").distinct())
+    assert set(versions(catalog, "ohlcv_weekly").values()) == {2}
+    assert catalog.read("ohlcv_weekly").select("symbol").distinct().count() == 2
+    with catalog.staged(rows) as held:
+        assert held.count() == 10 and held.schema == rows.schema
+    with pytest.raises(Exception, match="(?i)path|exist"):
+        held.count()
 
 
 FILING = "symbol string, period_start date, period_end date, announcement_date date, is_consolidated boolean, revenue double, basic_eps double, source string, fields_missing boolean, announcement_date_is_estimated boolean, arrival bigint"
