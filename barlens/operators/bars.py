@@ -100,7 +100,8 @@ def latest_per_symbol(frame: DataFrame, on: str = "date") -> DataFrame:
 
 
 def latest_date(frame: DataFrame, on: str = "date") -> DataFrame:
-    """The rows of the greatest date of the whole frame: a scalar subquery, not a sort."""
+    """The rows of the greatest date of the whole frame. It reads the frame twice, once for the date alone, and is
+    for stored tables and held frames."""
     top = frame.agg(F.max(on).alias("_top"))
     return frame.join(F.broadcast(top), F.col(on) == F.col("_top")).drop("_top")
 

@@ -141,7 +141,7 @@ def rs_rating_history(spark, sf):
 
 @register
 def rs_latest(spark, sf):
-    return B.latest_date(strength.ratings(_closes(spark, sf))).select("symbol", "date", "rating", "rs_line_new_high").orderBy(F.desc("rating"), "symbol")
+    return B.latest_date(held(strength.ratings(_closes(spark, sf)))).select("symbol", "date", "rating", "rs_line_new_high").orderBy(F.desc("rating"), "symbol")
 
 
 def _swings(spark, sf) -> DataFrame:
@@ -250,14 +250,14 @@ def score_composite(spark, sf):
 
 @register
 def score_ranked(spark, sf):
-    return score.ranked(score.combine(scored(spark, sf))).select("symbol", "composite_score", "gate_passed")
+    return score.ranked(held(score.combine(scored(spark, sf)))).select("symbol", "composite_score", "gate_passed")
 
 
 @register
 def gate_filter(spark, sf):
     """What passes a gate with a rating of at least 40 and 5 criteria."""
     config = Score(gate_passes=5, gate_rating=40)
-    rated = strength.ratings(_closes(spark, sf))
+    rated = held(strength.ratings(_closes(spark, sf)))
     rows = score.assemble(template(spark, sf, "daily", "nation", rated), None, None, rated, None, None)
     return score.combine(score.components(rows, config), config).filter("gate_passed").select("symbol", "composite_score")
 
@@ -384,7 +384,7 @@ def dq_missing_list(spark, sf):
 
 @register
 def dq_stale_runs(spark, sf):
-    """Runs of more than 2 sessions whose close rounds to the same tens."""
+    """Runs of more than 10 sessions whose close rounds down to the same tens."""
     b = testdata.bars(spark, sf).withColumn("close", F.floor(F.col("close") / 10).cast("double"))
     return quality.stale_runs(b, 10)
 
