@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlens.llm import block_naming, bpe, decontaminate, language, licenses, pii, quality, repetition, secrets, simhash, trie, warc
+from barlens.llm import block_naming, bpe, decontaminate, jaccard, language, licenses, pii, quality, repetition, secrets, simhash, trie, warc
 from barlens.llm.common import read, read_dealt
 
 
@@ -56,6 +56,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.report(read(spark, sf_dir, "conversations"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(read_dealt(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.report(read_dealt(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_rules": op9_license_rules,
     "op10_simhash": op10_simhash,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
