@@ -5,8 +5,8 @@ enough share one of the few first shingles of each, which are indexed with the s
 position. What is computed for one set is used for others like it:
 
 * Of the sets that stand under a shingle, those of like size are first compared with one of them, their leader. Sets
-  linked to a leader are linked with each other through it and aren't compared any more.
-* Between sets of different components, what stands under a shingle is grouped to blocks of one component, size and position.
+  linked to a leader, or to leaders that have members in common, get one label and aren't compared any more.
+* Between sets of different labels, what stands under a shingle is grouped to blocks of one label, size and position.
   Size and position bound what two sets can share, and a pair of blocks beyond the bound is skipped whole.
 * A pair that is left takes the answers of a leader that both were compared with: their symmetric differences from
   it bound the pair's from both sides. Only where the bounds leave it open are the two sets compared.
@@ -214,21 +214,37 @@ def _derived(pairs: DataFrame, leads: DataFrame) -> DataFrame:
     return pairs.join(bounds, ["x", "y"], "left")
 
 
-def set_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): links between sets (cid, doc_id, k0, k1, n, tokens) from which all that are linked can be reached."""
+def _labels(links: DataFrame, hops: int = 2) -> DataFrame:
+    """(cid, label) of sets with links (x, y): the least set within one and so many more links. Sets of one label are
+    connected; those of different ones may be as well."""
+    edges = cut(links.select(F.col("x").alias("cid"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("cid"), F.col("x").alias("other"))))
+    labels = edges.groupBy("cid").agg(F.min("other").alias("label")).withColumn("label", F.least("cid", "label"))
+    for _ in range(hops):
+        met = spread_join(edges, labels.select(F.col("cid").alias("other"), "label"), ["other"])
+        labels = labels.unionByName(met.select("cid", "label")).groupBy("cid").agg(F.min("label").alias("label"))
+    return cut(labels)
+
+
+def connected(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """(cid, root) of sets (cid, doc_id, k0, k1, n, tokens): the least set that is reached over links. Sets without any
+    may be left out."""
     entries = _shared_by(sets.select("cid", "n", F.posexplode("tokens").alias("pos", "token")), "cid")
     sets = sets.drop("tokens")
     leads = _compared(docs, sets, cut(_leads(entries, percent)), words)
-    first = leads.filter(_linked(F.col("apart"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = cut(components(first)).select(F.col("node").alias("cid"), F.col("root").alias("comp"))
-    placed = spread_join(entries, found, ["cid"], "left").withColumn("comp", F.coalesce("comp", "cid"))
+    labels = _labels(leads.filter(_linked(F.col("apart"), percent)))
+    placed = spread_join(entries, labels, ["cid"], "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
     pairs = cut(_across(placed, percent).join(leads.select("x", "y"), ["x", "y"], "left_anti"))
     derived = cut(_derived(pairs, leads))
     sure = _linked(F.col("upper"), percent)
     open_ = derived.filter(F.coalesce(~sure & _linked(F.col("lower"), percent), F.lit(True))).select("x", "y")
     compared = _compared(docs, sets, cut(open_), words)
-    later = derived.filter(sure).select("x", "y").unionByName(compared.filter(_linked(F.col("apart"), percent)).select("x", "y"))
-    return first.unionByName(later.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    linked = leads.filter(_linked(F.col("apart"), percent)).select("x", "y").unionByName(derived.filter(sure).select("x", "y")).unionByName(compared.filter(_linked(F.col("apart"), percent)).select("x", "y"))
+    # of labels only: most links are within one
+    for side in ("x", "y"):
+        linked = spread_join(linked, labels.withColumnRenamed("cid", side), [side], "left").withColumn(side, F.coalesce("label", side)).drop("label")
+    roots = cut(components(linked.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()))
+    known = labels.unionByName(roots.select(F.col("node").alias("cid"), F.col("node").alias("label"))).groupBy("cid").agg(F.min("label").alias("label"))
+    return spread_join(known, roots.select(F.col("node").alias("label"), "root"), ["label"], "left").select("cid", F.coalesce("root", "label").alias("root"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -247,7 +263,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     found = cut(distinct_sets(prefixes(with_id, _bucket_counts(profiled), words, percent)))
     sets = found.withColumn("cid", F.monotonically_increasing_id())  # the same at each use: found is written
     rows = profiled.filter("slot is null").select("doc_id", "n", "k0", "k1")
-    reached = cut(components(set_links(with_id, sets, words, percent))).select(F.col("node").alias("cid"), "root")
+    reached = cut(connected(with_id, sets, words, percent))
     rooted = spread_join(sets.select("cid", "doc_id", "k0", "k1"), reached, ["cid"], "left").withColumn("root", F.coalesce("root", "cid"))
     whole = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = spread_join(rooted, whole, ["root"]).select("k0", "k1", "component_id")
