@@ -113,6 +113,19 @@ class Catalog:
             out = out.withColumn("announcement_date_is_estimated", F.coalesce("announcement_date_is_estimated", F.lit(False)))
         return out
 
+    def newest(self, name: str) -> int:
+        """The number of the last finished version, 0 before the first."""
+        return max((v for v in self._versions(name) if self._committed(name, v)), default=0)
+
+    def added(self, name: str, since: int) -> DataFrame | None:
+        """The rows that came after a version, read from the files that were added for them; None if anything was
+        replaced since then or the version is not known."""
+        newer = {v: c for v in self._versions(name) if v > since and (c := self._committed(name, v))}
+        if not since or since > self.newest(name) or any(c["replaced"] for c in newer.values()):
+            return None
+        paths = [f"{self.root}/{name}/v={v}/{PART}={p}" for v, c in newer.items() for p in c["held"]]
+        return self.spark.read.schema(self.schema(name)).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema(name))
+
     def _part(self, name: str) -> Column:
         by = TABLES[name].by_year
         return F.coalesce(F.year(by).cast("string"), F.lit("none")) if by else F.lit("all")

@@ -22,14 +22,6 @@ def quarter_start(end: Column) -> Column:
     return F.add_months(F.date_trunc("month", end).cast("date"), -2)
 
 
-def without_tags(html: Column) -> Column:
-    """The text of a piece of HTML, with single spaces and the common entities resolved."""
-    out = F.regexp_replace(html, "<[^>]*>", " ")
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(sign))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
-
-
 def row_label(text: Column) -> Column:
     """A row's label in lower case without the plus sign that unfolds it."""
     return F.lower(F.trim(F.regexp_replace(F.trim(text), r"\++$", "")))

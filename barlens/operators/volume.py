@@ -9,20 +9,32 @@ from barlens.config import Volume
 from barlens.operators.bars import from_end, normalised
 
 
-def _with_line(bars: DataFrame, config: Volume) -> DataFrame:
-    """Bars with their place, the close before, the line, and the average volume of the bars before."""
+def _with_line(bars: DataFrame, config: Volume, carried: DataFrame | None = None) -> DataFrame:
+    """Bars with their place, the close before, the line, and the average volume of the bars before. carried has the last bars
+    of each symbol before these (symbol, recent), which come along, with their lines and places as they were."""
     w = Window.partitionBy("symbol").orderBy("date")
+    until = w.rowsBetween(Window.unboundedPreceding, 0)
     span = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
     flow = F.coalesce(((F.col("close") - F.col("low")) - (F.col("high") - F.col("close"))) / span, F.lit(0.0)) * F.col("volume")
-    return normalised(bars).withColumns(
-        {
-            "place": F.row_number().over(w) - 1,
-            "back": from_end(w),
-            "before_close": F.lag("close").over(w),
-            "line": F.sum(flow).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "average_before": F.when(F.row_number().over(w) > config.spike_average_sessions, F.avg("volume").over(w.rowsBetween(-config.spike_average_sessions, -1))),
-        }
-    )
+    rows = normalised(bars).select("symbol", "date", "close", "high", "low", "volume", flow.alias("_flow"), F.lit(1).alias("_new"))
+    if carried is not None:
+        rows = rows.withColumns({"_line": F.lit(None).cast("double"), "_place": F.lit(None).cast("long")})
+        before = carried.select("symbol", F.inline("recent")).withColumnsRenamed({"line": "_line", "place": "_place"})
+        rows = rows.unionByName(before.withColumns({"_flow": F.lit(0.0), "_new": F.lit(0)}))
+        line = F.coalesce("_line", F.coalesce(F.last("_line", ignorenulls=True).over(until), F.lit(0.0)) + F.sum("_flow").over(until))
+        place = F.coalesce("_place", F.coalesce(F.last("_place", ignorenulls=True).over(until), F.lit(-1)) + F.sum("_new").over(until))
+    else:
+        line, place = F.sum("_flow").over(until), (F.row_number().over(w) - 1).cast("long")
+    average = F.avg("volume").over(w.rowsBetween(-config.spike_average_sessions, -1))
+    out = rows.withColumns({"place": place, "back": from_end(w), "before_close": F.lag("close").over(w), "line": line, "average_before": average})
+    return out.withColumn("average_before", F.when(F.col("place") >= config.spike_average_sessions, F.col("average_before"))).drop("_flow", "_new", "_line", "_place")
+
+
+def carry(bars: DataFrame, config: Volume = Volume(), before: DataFrame | None = None) -> DataFrame:
+    """(symbol, recent): the last bars of each symbol with their line and place, as many as any signal looks back on."""
+    kept = 1 + max(config.up_down_sessions, config.distribution_sessions, config.spike_sessions + config.spike_average_sessions)
+    last = _with_line(bars, config, before).filter(F.col("back") <= kept)
+    return last.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("date", "close", "high", "low", "volume", "line", "place"))).alias("recent"))
 
 
 def line(bars: DataFrame, config: Volume = Volume()) -> DataFrame:
@@ -30,9 +42,10 @@ def line(bars: DataFrame, config: Volume = Volume()) -> DataFrame:
     return _with_line(bars, config).select("symbol", "date", "line")
 
 
-def signals(bars: DataFrame, pivots: DataFrame | None = None, config: Volume = Volume()) -> DataFrame:
-    """One row per symbol at its last bar, as stored. pivots: (symbol, pivot_price), at most one each."""
-    b = _with_line(bars, config)
+def signals(bars: DataFrame, pivots: DataFrame | None = None, config: Volume = Volume(), carried: DataFrame | None = None) -> DataFrame:
+    """One row per symbol at its last bar, as stored. pivots: (symbol, pivot_price), at most one each. With what carry()
+    gave for the bars before, bars are the new ones alone."""
+    b = _with_line(bars, config, carried)
     price = F.lit(None).cast("double")
     if pivots is not None:
         b = b.join(pivots.filter("pivot_price is not null").select("symbol", F.col("pivot_price").alias("pivot")), "symbol", "left")

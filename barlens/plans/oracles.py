@@ -237,6 +237,47 @@ PATTERN = """
     )"""
 
 
+def pattern_history() -> str:
+    """patterns of every week e: PATTERN's steps within symbol and week, over a join of each week with those before it."""
+    steps = PATTERN[PATTERN.index("    framed AS (") : PATTERN.index("    recent AS (")]
+    judged = PATTERN[PATTERN.index("    judged AS (") :]
+    for old, new in (("PARTITION BY symbol", "PARTITION BY symbol, e"), ("SELECT symbol,", "SELECT symbol, e,"), ("DISTINCT symbol,", "DISTINCT symbol, e,"), ("GROUP BY symbol", "GROUP BY symbol, e"), ("USING (symbol, island)", "USING (symbol, e, island)")):
+        steps = steps.replace(old, new)
+    return f"""
+    weeks_t AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS INTEGER) AS t FROM adj_weeks),
+    ends AS (SELECT symbol, t AS e, date AS as_of FROM weeks_t WHERE t >= 6),
+    weeks AS (
+      SELECT symbol, e, date, high, low, close, volume, t - greatest(e - 64, 0) AS i, least(e + 1, 65) AS n, sum(volume) OVER (PARTITION BY symbol, e ORDER BY t ROWS UNBOUNDED PRECEDING) AS cv
+      FROM weeks_t JOIN ends USING (symbol) WHERE t BETWEEN e - 64 AND e
+    ),
+{steps}
+    days_b AS (SELECT symbol, date, close, volume, row_number() OVER (PARTITION BY symbol ORDER BY date) AS b, CAST(date_trunc('week', date) + INTERVAL 4 DAY AS DATE) AS friday FROM adj),
+    tops AS (SELECT symbol, e, max(b) AS top FROM ends JOIN days_b USING (symbol) WHERE friday <= as_of GROUP BY symbol, e),
+    anchored AS (
+      SELECT symbol, e, d.close, d.volume, top - d.b + 1 AS k, a.close AS anchor FROM tops JOIN days_b a USING (symbol) JOIN days_b d USING (symbol) WHERE a.b = top AND d.b BETWEEN top - 20 AND top
+    ),
+    confirm_m AS (
+      SELECT symbol, e, max(anchor) AS price, max(CASE WHEN k = 1 THEN volume END) AS latest_volume,
+        CAST(sum(CASE WHEN k <= 10 AND abs(close - anchor) / anchor <= 0.015 THEN 1 ELSE 0 END) AS INTEGER) AS tight_close_count,
+        (max(CASE WHEN k <= 10 THEN close END) - min(CASE WHEN k <= 10 THEN close END)) / min(CASE WHEN k <= 10 THEN close END) AS tight_close_range_fraction,
+        avg(CASE WHEN k BETWEEN 2 AND 21 THEN volume END) AS average_volume
+      FROM anchored GROUP BY symbol, e
+    ),
+    confirmation AS (
+      SELECT symbol, e, (price - pivot_price) / pivot_price AS distance_to_pivot_fraction, abs((price - pivot_price) / pivot_price) <= 0.05 AS near_pivot, tight_close_count,
+        tight_close_count >= 3 AND tight_close_range_fraction <= 0.015 AS tight_closes_confirmed, price > pivot_price AND coalesce(latest_volume >= average_volume * 1.4E0, FALSE) AS breakout_confirmed
+      FROM confirm_m JOIN checks USING (symbol, e)
+    ),
+    joined AS (
+      SELECT ends.symbol, as_of AS date, coalesce(contraction_count, 0) AS contraction_count, pivot_price, pivot_date, base_length_weeks, coalesce(depth_decay_passed, FALSE) AS depth_decay_passed,
+        coalesce(volume_decay_passed, FALSE) AS volume_decay_passed, coalesce(base_length_passed, FALSE) AS base_length_passed, coalesce(count_passed, FALSE) AS count_passed,
+        near_pivot IS NOT NULL AS daily_confirmation_available, near_pivot, distance_to_pivot_fraction, coalesce(tight_close_count, 0) AS tight_close_count,
+        coalesce(tight_closes_confirmed, FALSE) AS tight_closes_confirmed, coalesce(breakout_confirmed, FALSE) AS breakout_confirmed
+      FROM ends LEFT JOIN checks USING (symbol, e) LEFT JOIN confirmation USING (symbol, e)
+    ),
+{judged}"""
+
+
 def volumes(pivots: str | None) -> str:
     """pivots: a relation of symbol and pivot_price."""
     joined = f"LEFT JOIN (SELECT symbol, pivot_price FROM {pivots} WHERE pivot_price IS NOT NULL) USING (symbol)" if pivots else ""
@@ -377,6 +418,16 @@ ORACLES: dict[str, str] = {
     "rs_line": q(_STRENGTH_BARS, f"SELECT symbol, date, {r('rs_line')} FROM lined WHERE close IS NOT NULL"),
     "rs_new_high": q(_STRENGTH_BARS, "SELECT symbol, date FROM highs WHERE rs_line_new_high"),
     "rs_rating_history": q(_STRENGTH_BARS, f"SELECT symbol, date, {r('composite_return')}, rating, universe_size FROM ratings"),
+    "rs_incremental": q(
+        _STRENGTH_BARS, f"SELECT symbol, date, {r('composite_return')}, rating, {r('rs_line', 6)}, rs_line_new_high, universe_size FROM ratings WHERE date > DATE '1997-05-14'"
+    ),
+    "rs_carried": q(
+        _STRENGTH_BARS + """,
+    ends AS (SELECT max(session) AS last FROM sessions),
+    kept AS (SELECT * FROM lined CROSS JOIN ends WHERE close IS NOT NULL QUALIFY session > last - 252 OR row_number() OVER (PARTITION BY symbol ORDER BY session DESC) = 1),
+    tops AS (SELECT symbol, max(rs_line) AS top_line, max(close) AS top_close FROM lined WHERE close IS NOT NULL GROUP BY symbol)""",
+        f"SELECT symbol, {r('top_line', 6)}, {r('top_close')}, CAST(count(*) AS INTEGER) AS n_recent, min(date) AS first_recent FROM kept JOIN tops USING (symbol) GROUP BY symbol, top_line, top_close",
+    ),
     "rs_latest": q(_STRENGTH_BARS, "SELECT symbol, date, rating, rs_line_new_high FROM ratings WHERE date = (SELECT max(date) FROM ratings)"),
     "vcp_swings_raw": q(bars() + "," + PATTERN, f"SELECT symbol, i, date, kind, {r('price')} FROM raw_swings"),
     "vcp_swings_reduced": q(bars() + "," + PATTERN, f"SELECT symbol, i, date, kind, {r('price')} FROM swings"),
@@ -394,8 +445,16 @@ ORACLES: dict[str, str] = {
         f"SELECT symbol, as_of_date, {r('distance_to_pivot_fraction')}, near_pivot, tight_close_count, {r('tight_close_range_fraction')}, tight_closes_confirmed, breakout_confirmed FROM confirmation",
     ),
     "vcp_results": q(bars() + "," + PATTERN, "SELECT * REPLACE (round(pivot_price, 4) AS pivot_price, round(distance_to_pivot_fraction, 4) AS distance_to_pivot_fraction) FROM patterns"),
+    "vcp_history": q(
+        bars() + "," + pattern_history(), "SELECT * REPLACE (round(pivot_price, 4) AS pivot_price, round(distance_to_pivot_fraction, 4) AS distance_to_pivot_fraction) FROM patterns"
+    ),
+    "vcp_history_flagged": q(bars() + "," + pattern_history(), "SELECT date, quality_grade, count(*) AS n, CAST(sum(CASE WHEN is_vcp THEN 1 ELSE 0 END) AS BIGINT) AS flagged FROM patterns GROUP BY ALL"),
     "updown_volume": q(bars() + "," + volumes(None), f"SELECT symbol, up_volume, down_volume, {r('up_down_volume_ratio')} FROM volumes"),
     "ad_line": q(bars() + "," + volumes(None), f"SELECT symbol, date, {r('line', 2)} FROM flows"),
+    "volume_incremental": q(
+        bars() + "," + volumes(None),
+        f"SELECT symbol, date, {r('up_down_volume_ratio')}, up_volume, down_volume, {r('accumulation_distribution_value', 2)}, accumulation_distribution_rising FROM volumes",
+    ),
     "pivot_spike": q(
         bars() + ", lasts AS (SELECT symbol, arg_max(close, date) AS pivot_price FROM adj GROUP BY symbol)," + volumes("lasts"), "SELECT symbol, volume_spike_near_pivot, spike_date, spike_volume FROM volumes"
     ),

@@ -139,6 +139,31 @@ def rs_rating_history(spark, sf):
     return strength.ratings(_closes(spark, sf)).select("symbol", "date", r("composite_return"), "rating", "universe_size")
 
 
+CARRIED_UNTIL = "1997-05-14"
+
+
+def _split(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bars up to a date and after it: those of earlier nights and of this one."""
+    return frame.filter(F.col("date") <= CARRIED_UNTIL), frame.filter(F.col("date") > CARRIED_UNTIL)
+
+
+@register
+def rs_incremental(spark, sf):
+    """Ratings of new sessions from their bars and what was carried from the sessions before."""
+    old, new = _split(_closes(spark, sf))
+    carried = strength.carry(held(strength.lines(old)))
+    return strength.ratings(new, carried=carried).select("symbol", "date", r("composite_return"), "rating", r("rs_line", 6), "rs_line_new_high", "universe_size")
+
+
+@register
+def rs_carried(spark, sf):
+    """What is carried on after two nights: the second from the first's state."""
+    old, new = _split(_closes(spark, sf))
+    first = strength.carry(held(strength.lines(old)))
+    symbols = strength.carry(held(strength.lines(new, carried=first)), before=first).symbols
+    return symbols.select("symbol", r("top_line", 6), r("top_close"), F.size("recent").alias("n_recent"), F.col("recent")[0]["date"].alias("first_recent"))
+
+
 @register
 def rs_latest(spark, sf):
     return B.latest_date(held(strength.ratings(_closes(spark, sf)))).select("symbol", "date", "rating", "rs_line_new_high").orderBy(F.desc("rating"), "symbol")
@@ -195,6 +220,22 @@ def vcp_results(spark, sf):
     return patterns(spark, sf).withColumns({c: r(c) for c in ("pivot_price", "distance_to_pivot_fraction")})
 
 
+@register
+def vcp_history(spark, sf):
+    """The pattern of every week, as it stood then."""
+    b = held(testdata.bars(spark, sf))
+    u = testdata.universe(spark, sf)
+    h = contraction.history(B.adjusted(B.weekly(b), u, on="week_end_date"), B.adjusted(b, u))
+    return h.withColumns({c: r(c) for c in ("pivot_price", "distance_to_pivot_fraction")})
+
+
+@register
+def vcp_history_flagged(spark, sf):
+    """How many symbols had a pattern, and of what grade, by week."""
+    h = vcp_history(spark, sf)
+    return h.groupBy("date", "quality_grade").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_vcp").cast("int")).alias("flagged"))
+
+
 @register
 def updown_volume(spark, sf):
     return volume.signals(adjusted(spark, sf)).select("symbol", "up_volume", "down_volume", r("up_down_volume_ratio"))
@@ -205,6 +246,14 @@ def ad_line(spark, sf):
     return volume.line(adjusted(spark, sf)).select("symbol", "date", r("line", 2))
 
 
+@register
+def volume_incremental(spark, sf):
+    """Volume signals from the new bars and the last ones before them."""
+    old, new = _split(adjusted(spark, sf))
+    s = volume.signals(new, carried=volume.carry(old))
+    return s.select("symbol", "date", r("up_down_volume_ratio"), "up_volume", "down_volume", r("accumulation_distribution_value", 2), "accumulation_distribution_rising")
+
+
 @register
 def pivot_spike(spark, sf):
     """Spikes near each symbol's own last close as the pivot."""

@@ -7,7 +7,7 @@ import uuid
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from barlens.catalog import Catalog, upserted
@@ -23,9 +23,14 @@ def _now():
     return F.lit(datetime.now(UTC).replace(tzinfo=None)).cast("timestamp")
 
 
-def _log(catalog: Catalog, run_id: str, updated: int, failed: int, added: int, notes: str) -> dict[str, Any]:
+def _log(catalog: Catalog, run_id: str, updated: int, failed: int, added: int, notes: str, failures: DataFrame | None = None) -> dict[str, Any]:
+    """failures (symbol, note) are all put into the notes, by symbol; Spark joins them, so that they don't pass through the driver."""
     row = Row(run_id=run_id, run_at=datetime.now(UTC).replace(tzinfo=None), symbols_updated=updated, symbols_failed=failed, rows_added=added, notes=notes)
-    catalog.append("ingestion_log", catalog.spark.createDataFrame([row], Catalog.schema("ingestion_log")))
+    logged = catalog.spark.createDataFrame([row], Catalog.schema("ingestion_log"))
+    if failures is not None:
+        lines = failures.agg(F.array_sort(F.collect_list(F.concat_ws(": ", "symbol", "note"))).alias("_lines"))
+        logged = logged.crossJoin(lines).withColumn("notes", F.array_join(F.concat(F.array("notes"), "_lines"), "; "))
+    catalog.append("ingestion_log", logged)
     return {"run_id": run_id, "symbols_updated": updated, "symbols_failed": failed, "rows_added": added}
 
 
@@ -51,13 +56,12 @@ def daily_update(catalog: Catalog, provider: candles.BarProvider, end_date: str,
             candles.archive(accepted, archive, run_id)
         staged = B.with_adjusted_close(accepted).withColumns({"source": F.lit(provider.name), "ingested_at": _now()})
         counts = staged.agg(F.count(F.lit(1)), F.count_distinct("symbol")).first()
-        failures = [f"{r.symbol}: {r.note}" for r in notes.orderBy("symbol").limit(50).collect()]
         failed = notes.count()
         touched = staged.select("symbol").distinct() if symbols is None else catalog.spark.createDataFrame([(s,) for s in sorted(set(symbols))], "symbol string")
         if counts[0]:
             catalog.upsert("ohlcv_daily", staged, mostly_new=True)
         resample(catalog, touched)
-    return _log(catalog, run_id, counts[1], failed, counts[0], "; ".join(["controlled incremental update", *failures]))
+        return _log(catalog, run_id, counts[1], failed, counts[0], "controlled incremental update", notes)
 
 
 def resample(catalog: Catalog, touched: DataFrame) -> None:
@@ -66,25 +70,37 @@ def resample(catalog: Catalog, touched: DataFrame) -> None:
     catalog.replace("ohlcv_weekly", B.weekly(daily))
 
 
+def _pending(catalog: Catalog, provider: candles.BarProvider) -> DataFrame:
+    """(symbol): those that lack bars."""
+    return universe.pending_backfill(catalog.read("universe"), catalog.read("provider_instruments").filter(F.col("provider") == provider.name), catalog.read("ohlcv_daily")).select("symbol")
+
+
 def backfill_batch(catalog: Catalog, provider: candles.BarProvider, end_date: str, batch_size: int = 25) -> dict[str, Any]:
     """An update of the first symbols that lack bars, in alphabetical order."""
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
-    pending = universe.pending_backfill(catalog.read("universe"), catalog.read("provider_instruments").filter(F.col("provider") == provider.name), catalog.read("ohlcv_daily"))
-    batch = [r.symbol for r in pending.limit(batch_size).collect()]
+    batch = [r.symbol for r in _pending(catalog, provider).orderBy("symbol").limit(batch_size).collect()]
     if not batch:
         return {"batch": [], "rows_added": 0, "symbols_failed": 0}
     return {"batch": batch} | daily_update(catalog, provider, end_date, batch)
 
 
 def backfill_all(catalog: Catalog, provider: candles.BarProvider, end_date: str, batch_size: int = 25) -> list[dict[str, Any]]:
-    """Batches until none is pending; stops after a batch that failed or added nothing."""
-    done = []
-    while (result := backfill_batch(catalog, provider, end_date, batch_size))["batch"]:
-        done.append(result)
-        if result["symbols_failed"] or not result["rows_added"]:
-            break
-    return done
+    """Batches until none is pending; stops after a batch that failed or added nothing. The list of what is pending is
+    taken once, not for each batch, and again when it is through, for symbols that a provider sent nothing of."""
+    if batch_size < 1:
+        raise ValueError("batch_size must be at least 1")
+    done: list[dict[str, Any]] = []
+    while True:
+        with catalog.staged(_pending(catalog, provider).withColumn("place", F.row_number().over(Window.orderBy("symbol")))) as pending:
+            n = pending.count()
+            for first in range(1, n + 1, batch_size):
+                batch = sorted(r.symbol for r in pending.filter(F.col("place").between(first, first + batch_size - 1)).collect())
+                done.append({"batch": batch} | daily_update(catalog, provider, end_date, batch))
+                if done[-1]["symbols_failed"] or not done[-1]["rows_added"]:
+                    return done
+            if not n:
+                return done
 
 
 def sync_instruments(catalog: Catalog, provider: candles.BarProvider, exchange: str = "NSE") -> int:
@@ -119,28 +135,85 @@ def _adjusted(catalog: Catalog) -> tuple[DataFrame, DataFrame]:
 
 def run_stages(catalog: Catalog, config: Stage = Stage()) -> dict[str, int]:
     daily, _ = _adjusted(catalog)
-    catalog.upsert("market_stages_daily", rows := stage.classify(trend.template(trend.latest(daily, PERIODS["daily"])), config))
-    return {"symbols_classified": rows.count()}
+    with catalog.staged(stage.classify(trend.template(trend.latest(daily, PERIODS["daily"])), config)) as rows:
+        catalog.upsert("market_stages_daily", rows)
+        return {"symbols_classified": rows.count()}
+
+
+def _mark(catalog: Catalog, run: str) -> dict[str, Any]:
+    row = catalog.read("run_marks").filter(F.col("run") == run).first()
+    return json.loads(row.mark) if row else {}
+
+
+def _since(catalog: Catalog, run: str, state: tuple[str, ...], config: Any) -> tuple[DataFrame | None, dict[str, Any]]:
+    """(bars that were added since a run wrote its state, what to mark the next state with). None instead of bars
+    where the state can't be carried on: it isn't there or not whole, the settings or the active symbols are others,
+    stored bars were replaced, or bars came of dates that it covers."""
+    active = catalog.read("universe").filter("is_active").select("symbol").distinct()
+    drawn = active.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("symbol")), F.sum(F.xxhash64(F.reverse("symbol")).cast("decimal(38,0)"))).first()
+    mark = {"settings": repr(config), "active": [str(x) for x in drawn], "bars": catalog.newest("ohlcv_daily")}
+    old = _mark(catalog, run)
+    if any(old.get(k) != mark[k] for k in ("settings", "active")) or old.get("state") != [catalog.newest(t) for t in state]:
+        return None, mark
+    added = catalog.added("ohlcv_daily", old["bars"])
+    mark["as_of"] = old.get("as_of")
+    if added is None or mark["as_of"] is not None and not added.filter(F.col("date") <= F.lit(mark["as_of"]).cast("date")).isEmpty():
+        return None, mark
+    return added, mark
+
+
+def _marked(catalog: Catalog, run: str, state: tuple[str, ...], mark: dict[str, Any]) -> None:
+    """Written last: a state without its mark, where a run failed half way, isn't used."""
+    as_of = catalog.read("ohlcv_daily").agg(F.max("date")).first()[0]
+    mark |= {"state": [catalog.newest(t) for t in state], "as_of": as_of and as_of.isoformat()}
+    catalog.upsert("run_marks", catalog.spark.createDataFrame([(run, json.dumps(mark))], "run string, mark string"))
+
+
+_STRENGTH, _VOLUME = ("strength_calendar", "strength_symbols"), ("volume_symbols",)
 
 
 def run_strength(catalog: Catalog, config: Strength = Strength()) -> dict[str, int]:
-    daily, _ = _adjusted(catalog)
-    catalog.upsert("rs_ratings_daily", strength.ratings(daily, config))
+    """Ratings of all sessions, or of the new ones alone where they only add to what the last run has seen: then the
+    new bars and the carried state are read, a row per symbol with its last 252 sessions."""
+    added, mark = _since(catalog, "strength", _STRENGTH, config)
+    bars = B.adjusted(catalog.read("ohlcv_daily") if added is None else added, catalog.read("universe"))
+    carried = None
+    if added is not None:
+        last = catalog.read("strength_calendar").orderBy(F.desc("session")).limit(1)
+        carried = None if last.isEmpty() else strength.Carried(catalog.read("strength_symbols"), last)
+    with catalog.staged(strength.lines(bars, config, carried)) as lined:
+        if added is None or not lined.isEmpty():
+            catalog.upsert("rs_ratings_daily", strength.rated(lined))
+            calendar = lined.groupBy("date", "session").agg(F.first("benchmark").alias("benchmark"), F.first("known").alias("known"))
+            state = strength.carry(lined, config, carried)
+            catalog.write("strength_symbols", state.symbols)
+            catalog.upsert("strength_calendar", calendar) if carried else catalog.write("strength_calendar", calendar)
+    _marked(catalog, "strength", _STRENGTH, mark)
     row = catalog.read("rs_ratings_daily").agg(F.count(F.lit(1)).alias("rows_persisted"), F.count_distinct("symbol").alias("symbols_rated")).first()
     return row.asDict()
 
 
 def run_patterns(catalog: Catalog, config: Contraction = Contraction()) -> dict[str, int]:
     daily, weekly = _adjusted(catalog)
-    catalog.upsert("vcp_results_weekly", rows := contraction.detect(weekly, daily, config))
-    return _counted(rows, symbols_evaluated=F.lit(True), symbols_flagged_vcp=F.col("is_vcp"))
+    with catalog.staged(contraction.detect(weekly, daily, config)) as rows:
+        catalog.upsert("vcp_results_weekly", rows)
+        return _counted(rows, symbols_evaluated=F.lit(True), symbols_flagged_vcp=F.col("is_vcp"))
 
 
 def run_volume(catalog: Catalog, config: Volume = Volume()) -> dict[str, int]:
-    daily, _ = _adjusted(catalog)
+    """Signals at the last bar of each symbol, from the bars that are new and the last ones before them."""
+    added, mark = _since(catalog, "volume", _VOLUME, config)
+    bars = B.adjusted(catalog.read("ohlcv_daily") if added is None else added, catalog.read("universe"))
+    carried = None if added is None else catalog.read("volume_symbols")
     pivots = B.latest_date(catalog.read("vcp_results_weekly")).select("symbol", "pivot_price")
-    catalog.upsert("volume_signals_daily", rows := volume.signals(daily, pivots, config))
-    return _counted(rows, symbols_evaluated=F.lit(True), symbols_with_pivot_spike=F.col("volume_spike_near_pivot"))
+    with catalog.staged(volume.carry(bars, config, carried)) as state:
+        # the carried bars are all that the signals look at
+        nothing = bars.limit(0)
+        with catalog.staged(volume.signals(nothing, pivots, config, state)) as rows:
+            catalog.upsert("volume_signals_daily", rows)
+            catalog.write("volume_symbols", state)
+            _marked(catalog, "volume", _VOLUME, mark)
+            return _counted(rows, symbols_evaluated=F.lit(True), symbols_with_pivot_spike=F.col("volume_spike_near_pivot"))
 
 
 def scores(catalog: Catalog, as_of: str = "global", config: Score = Score(), trend_config: Trend = Trend()) -> DataFrame:
@@ -154,8 +227,9 @@ def scores(catalog: Catalog, as_of: str = "global", config: Score = Score(), tre
 
 
 def run_scoring(catalog: Catalog, config: Score = Score()) -> dict[str, int]:
-    catalog.upsert("scores_daily", rows := scores(catalog, config=config))
-    return _counted(rows, symbols_evaluated=F.lit(True), symbols_gate_passed=F.col("gate_passed"))
+    with catalog.staged(scores(catalog, config=config)) as rows:
+        catalog.upsert("scores_daily", rows)
+        return _counted(rows, symbols_evaluated=F.lit(True), symbols_gate_passed=F.col("gate_passed"))
 
 
 def fundamentals_update(catalog: Catalog, filings: DataFrame, end_date: str, arrival: str, config: Fundamentals = Fundamentals()) -> dict[str, Any]:

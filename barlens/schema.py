@@ -76,6 +76,17 @@ TABLES: dict[str, Table] = {
     "screener_presets": Table(_struct("name string, filters_json string, created_at timestamp"), ("name",)),
 }
 
+#: What runs carry from one night to the next, and what of the bars it covers.
+_OF_SYMBOL = T.StructField("symbol", T.StringType())
+TABLES |= {
+    "strength_calendar": Table(_struct("date date, session int, benchmark double, known bigint"), ("date",)),
+    "strength_symbols": Table(T.StructType([_OF_SYMBOL, *_struct("top_line double, top_close double"), T.StructField("recent", T.ArrayType(_struct("session int, date date, close double")))]), ("symbol",)),
+    "volume_symbols": Table(
+        T.StructType([_OF_SYMBOL, T.StructField("recent", T.ArrayType(_struct("date date, close double, high double, low double, volume double, line double, place bigint")))]), ("symbol",)
+    ),
+    "run_marks": Table(_struct("run string, mark string"), ("run",)),
+}
+
 #: A quarterly filing as providers give it.
 FILING = _struct(
     "symbol string, period_start date, period_end date, announcement_date date, is_consolidated boolean, is_audited boolean, revenue double, pat double, basic_eps double, diluted_eps double, "

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlens.config import Fundamentals
-from barlens.functions.text import month_end, number, quarter_start, row_label, without_tags, xbrl, xbrl_day, xbrl_fact
+from barlens.functions.pages import with_quarters
+from barlens.functions.text import month_end, number, quarter_start, row_label, xbrl, xbrl_day, xbrl_fact
 
 # Names of facts in the exchange's taxonomy, and the context of the quarter.
 FACTS = {
@@ -52,29 +53,20 @@ def xbrl_filings(index: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def _section(html):
-    return F.regexp_extract(html, r"""(?is)<(\w+)[^>]*\bid\s*=\s*["']quarters["'][^>]*>(.*?)</\1\s*>""", 2)
-
-
 def best_pages(pages: DataFrame) -> DataFrame:
-    """One page per symbol of (symbol, url, html, is_consolidated_url): the consolidated one if it has a
-    quarterly table, else the standalone. What a page says of itself decides whether it is consolidated."""
-    p = pages.withColumn("section", _section(F.col("html"))).filter(F.lower("section").contains("<table"))
-    label = F.lower(F.substring(without_tags(F.col("section")), 1, 200))
-    p = p.withColumn("is_consolidated", F.col("is_consolidated_url") & label.contains("consolidated"))
-    best = F.max_by(F.struct("url", "section", "is_consolidated"), F.col("is_consolidated_url"))
-    return p.groupBy("symbol").agg(best.alias("b")).select("symbol", "b.url", "b.section", "b.is_consolidated")
+    """One page per symbol of (symbol, url, html, is_consolidated_url), with heads and lines of its table: the
+    consolidated one if it has a quarterly table, else the standalone. What a page says of itself decides whether
+    it is consolidated."""
+    p = with_quarters(pages).filter("has_table")
+    p = p.withColumn("is_consolidated", F.col("is_consolidated_url") & F.lower("label").contains("consolidated"))
+    best = F.max_by(F.struct("url", "is_consolidated", "heads", "lines"), F.col("is_consolidated_url"))
+    return p.groupBy("symbol").agg(best.alias("b")).select("symbol", "b.*")
 
 
 def table_filings(pages: DataFrame, config: Fundamentals = Fundamentals(), start: str | None = None, end: str | None = None) -> DataFrame:
     """Filings of the quarterly tables of pages, one for each column headed by a month; announcements are
     estimated from the lag allowed by regulation, and only those from start to end (ISO dates) are given."""
-    every = r"(?is)<tr[^>]*>(.*?)</tr\s*>"
-    cells = lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]\s*>"), F.lit(1)), without_tags)
-    p = best_pages(pages).withColumn("table", F.regexp_extract("section", r"(?is)<table[^>]*>(.*?)</table\s*>", 1))
-    head = F.regexp_extract("table", r"(?is)<thead[^>]*>(.*?)</thead\s*>", 1)
-    body = F.regexp_extract("table", r"(?is)<tbody[^>]*>(.*?)</tbody\s*>", 1)
-    p = p.withColumns({"heads": cells(head), "lines": F.transform(F.regexp_extract_all(body, F.lit(every), F.lit(1)), cells)})
+    p = best_pages(pages)
 
     def line(label: str):
         """The last row of a label, null where there is none."""

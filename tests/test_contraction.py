@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import random
 
@@ -107,3 +108,29 @@ def test_volume_band(spark, ratio, passed):
         [("A", 1, 1, None, 9.0, None), ("A", 2, 2, 0.5, None, ratio)], "symbol string, c int, place int, depth_ratio_to_prior double, start_high double, volume_ratio_to_prior double"
     ).withColumns({"start_date": F.current_date(), "low_date": F.current_date(), "low": F.lit(1.0), "depth_fraction": F.lit(1.0), "average_volume": F.lit(1.0)})
     assert C.checks(rows).first().volume_decay_passed is passed
+
+
+def test_history_is_what_each_week_would_have_given(spark):
+    """Every week's row equals the detector's over the bars up to the end of that week."""
+    chance, rows = random.Random(8), []
+    for symbol, n in (("A", 420), ("B", 300), ("C", 30)):
+        close = 100.0
+        for k in range(n):
+            close *= 1 + chance.uniform(-0.04, 0.041)
+            if chance.random() < 0.9:
+                rows.append((symbol, dt.date(2022, 1, 3) + dt.timedelta(days=k), close, close * 1.01, close * 0.99, close, chance.randint(1, 900)))
+    daily = spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, volume bigint").withColumn("adj_close", F.col("close")).persist()
+    config = Contraction(lookback_weeks=20)
+    found = C.history(B.adjusted(B.weekly(daily), on="week_end_date"), B.adjusted(daily), config).persist()
+    weeks = [r[0] for r in found.select("date").distinct().orderBy("date").collect()]
+    for friday in (weeks[0], weeks[7], weeks[25], weeks[-1]):
+        then = daily.filter(F.date_add(F.date_trunc("week", "date").cast("date"), 4) <= friday)
+        at_the_time = C.detect(B.adjusted(B.weekly(then), on="week_end_date"), B.adjusted(then), config, lists=False)
+        expected = {r.symbol: r for r in at_the_time.collect() if r.date == friday}
+        got = {r.symbol: r for r in found.filter(F.col("date") == friday).collect()}
+        assert got.keys() == expected.keys()
+        for symbol, r in got.items():
+            for a, b in zip(r, expected[symbol], strict=True):
+                assert a == b or abs(a - b) < 1e-9
+    assert found.groupBy("symbol", "date").count().filter("count > 1").isEmpty()
+    assert C.history(B.adjusted(B.weekly(daily), on="week_end_date"), B.adjusted(daily), Contraction(lookback_weeks=6)).isEmpty()

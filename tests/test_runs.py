@@ -245,6 +245,100 @@ def over_http(catalog):
     assert get("/ingestion/status")[1] == {"last_run": None, "latest_bar": stock["bars"][0]["date"]}
 
 
+def nights(spark):
+    """Bars of four symbols: one begins late, one has gaps, one ends early; and a split at a session."""
+    def walk(symbol, n, step, skip=(), start=0):
+        rows = bars(spark, [(100 + 7 * step) * (1 + 0.002 * step) ** i + (i * step) % 11 for i in range(start, n)], symbol, dt.date(2022, 1, 3) + dt.timedelta(days=start), volume=[1000 + i * step % 77 for i in range(start, n)], high=1.01, low=0.985)
+        return rows.filter(~F.col("date").cast("string").isin(list(skip)))
+
+    every = walk("A", 420, 1).unionByName(walk("B", 420, 2, ("2022-05-05", "2023-02-20"))).unionByName(walk("C", 420, 3, start=150)).unionByName(walk("D", 395, -1))
+    first = F.col("date") < "2023-01-20"
+    return every.filter(first), every.filter(~first & (F.col("date") < "2023-02-10")), every.filter(F.col("date") >= "2023-02-10")
+
+
+def rounded(v):
+    return round(v, 6) if isinstance(v, float) else [rounded(x) for x in v] if isinstance(v, list | tuple) else v
+
+
+def table(catalog, name):
+    return sorted((tuple(map(rounded, r)) for r in catalog.read(name).collect()), key=repr)
+
+
+def test_nightly_runs_read_new_bars_and_equal_a_run_over_all(spark, catalog, tmp_path, monkeypatch):
+    """Ratings of all sessions, signals and the carried state after three nights are those of one run over everything;
+    later nights get only the bars that were added."""
+    whole = Catalog(spark, f"file://{tmp_path}/whole")
+    for c in (catalog, whole):
+        c.write("universe", universe(spark, "A", "B", "C", "D"))
+    seen, plain = [], runs.B.adjusted
+
+    def counted(frame, *a, **kw):
+        seen.append(frame.count())
+        return plain(frame, *a, **kw)
+
+    monkeypatch.setattr(runs.B, "adjusted", counted)
+    parts = nights(spark)
+    for part in parts:
+        catalog.upsert("ohlcv_daily", part, mostly_new=True)
+        runs.run_strength(catalog)
+        runs.run_volume(catalog)
+    assert seen == [n for part in parts for n in [part.count()] * 2]
+    for part in parts:
+        whole.upsert("ohlcv_daily", part, mostly_new=True)
+    runs.run_strength(whole)
+    runs.run_volume(whole)
+    for name in ("rs_ratings_daily", "strength_calendar", "strength_symbols", "volume_symbols"):
+        assert table(catalog, name) == table(whole, name) and table(whole, name)
+    last = catalog.read("volume_signals_daily").groupBy("symbol").agg(F.max("date").alias("date"))
+    assert sorted(map(repr, (r for r in table(whole, "volume_signals_daily")))) == sorted(repr(r) for r in table(catalog, "volume_signals_daily") if (r[0], r[1]) in {tuple(x) for x in last.collect()})
+    seen.clear()
+    runs.run_strength(catalog)
+    assert seen == [0]
+
+
+@pytest.mark.parametrize("change", ["replaced", "late", "universe", "settings", "half"])
+def test_carried_state_is_not_used_where_the_past_changes(spark, catalog, tmp_path, change):
+    from barlens.config import Strength
+
+    first, second, third = nights(spark)
+    catalog.write("universe", universe(spark, "A", "B", "C", "D", "E"))
+    catalog.upsert("ohlcv_daily", first)
+    runs.run_strength(catalog)
+    catalog.upsert("ohlcv_daily", second, mostly_new=True)
+    config = Strength()
+    if change == "replaced":
+        catalog.upsert("ohlcv_daily", first.filter("symbol = 'A' and date = '2022-06-01'").withColumn("close", F.lit(50.0)))
+    elif change == "late":
+        catalog.upsert("ohlcv_daily", bars(spark, [10.0, 11.0], "E", dt.date(2022, 6, 1)), mostly_new=True)
+    elif change == "universe":
+        catalog.write("universe", universe(spark, "A", "B", "C", "E"))
+    elif change == "settings":
+        config = Strength(pad_gaps=False)
+    else:
+        catalog.write("strength_symbols", catalog.read("strength_symbols").limit(1))
+    runs.run_strength(catalog, config)
+    whole = Catalog(spark, f"file://{tmp_path}/whole")
+    whole.write("universe", catalog.read("universe"))
+    whole.upsert("ohlcv_daily", catalog.read("ohlcv_daily"))
+    runs.run_strength(whole, config)
+    kept = {tuple(r[:2]) for r in table(whole, "rs_ratings_daily")}
+    assert [r for r in table(catalog, "rs_ratings_daily") if tuple(r[:2]) in kept] == table(whole, "rs_ratings_daily")
+    assert table(catalog, "strength_symbols") == table(whole, "strength_symbols")
+
+
+def test_every_failed_symbol_is_noted(spark, catalog):
+    names = [f"S{k:03}" for k in range(70)]
+    catalog.write("universe", universe(spark, *names, "A"))
+    bad = spark.createDataFrame([(s, dt.date(2024, 1, 2), 1.0, 1.0, 2.0, 1.0, 1, None) for s in names], BAR)
+    provider = Files(spark, bad.unionByName(bars(spark, [10.0], "A", dt.date(2024, 1, 2))), (*names, "A"))
+    runs.sync_instruments(catalog, provider)
+    catalog.write("universe", universe(spark, *names, "A"))
+    done = runs.daily_update(catalog, provider, "2024-01-05")
+    notes = catalog.read("ingestion_log").first().notes.split("; ")
+    assert (done["symbols_failed"], done["symbols_updated"]) == (70, 1)
+    assert notes == ["controlled incremental update", *(f"{s}: invalid bar on 2024-01-02" for s in names)]
+
+
 def test_watchlists_and_presets(catalog):
     def post(path, body, **kw):
         return respond(path, settings, catalog, method="POST", body=body, **kw)
