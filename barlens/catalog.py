@@ -159,8 +159,9 @@ class Catalog:
         return sorted(row[0] for row in staged.select(self._part(name)).distinct().collect())
 
     def _merge(self, name: str, staged: DataFrame, merged) -> None:
-        """Reads and rewrites only the parts that staged has rows of."""
-        if not TABLES[name].by_year:
+        """Reads and rewrites only the parts that staged has rows of; a table from before it was parted by year is
+        written whole, once."""
+        if not TABLES[name].by_year or "all" in self._current(name):
             self.write(name, merged(self.read(name), staged, TABLES[name].keys))
         elif touched := self._touched(name, staged):
             self._write(name, merged(self.read(name, touched), staged, TABLES[name].keys), touched)
@@ -182,7 +183,7 @@ class Catalog:
         """Of a table that is parted by year, only years in which the touched partitions differ from what is
         stored are written; rows are compared whole, in one aggregation of both sides. Partitions of which
         nothing is stored yet are added as files of their own."""
-        if not TABLES[name].by_year:
+        if not TABLES[name].by_year or "all" in self._current(name):
             self.write(name, replaced(self.read(name), staged, partition))
             return
         new, by = self._shaped(name, staged), list(partition)

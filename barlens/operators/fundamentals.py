@@ -1,4 +1,5 @@
-"""Quarterly filings: preference, validity, lag, growth against the same quarter a year before."""
+"""Quarterly filings: preference, validity, lag, growth against the same quarter a year before, as they are now and as
+they were known at a date."""
 
 from __future__ import annotations
 
@@ -70,3 +71,54 @@ def with_growth(rows: DataFrame) -> DataFrame:
 def latest(rows: DataFrame) -> DataFrame:
     """The last quarter of each symbol."""
     return latest_per_symbol(rows, "quarter_end")
+
+
+def known(filings: DataFrame, arrival: str) -> DataFrame:
+    """What was known of each symbol from one announcement to the next: (symbol, known_from, known_until, quarter_end,
+    announcement_date, is_consolidated, eps, sales, eps_yoy_growth, sales_yoy_growth, quarters_known), of its last quarter.
+
+    Filings have two times, the quarter and the announcement. Until a date only those announced by then count: of a
+    quarter's filings the preferred one, which takes the place of an earlier one only from its own announcement on, and for
+    growth the quarter a year before as it was known then. known_until is the next announcement's date, null for the last; a
+    filing without a date was never announced. One window by symbol over announcements; what it holds grows with the
+    quarters of one symbol.
+    """
+    valid = F.coalesce(rejection_reason().isNull(), F.lit(False))
+    first = F.when(F.coalesce("is_consolidated", F.lit(False)), 0).otherwise(1)
+    day = F.datediff("period_end", F.lit("1970-01-01").cast("date"))
+    one = F.struct(
+        (-day).alias("late"), first.alias("first"), F.col(arrival).alias("arrival"), valid.alias("valid"), F.col("period_end").alias("quarter_end"), "announcement_date", "is_consolidated",
+        F.col("basic_eps").alias("eps"), F.col("revenue").alias("sales"), F.coalesce("fields_missing", F.lit(False)).alias("missing"),
+    )
+    announced = Window.partitionBy("symbol").orderBy("announcement_date")
+    seen = F.array_sort(F.collect_list("_one").over(announced.rangeBetween(Window.unboundedPreceding, 0)))
+    rows = filings.filter("announcement_date is not null and period_end is not null").select("symbol", "announcement_date", one.alias("_one"))
+    rows = rows.withColumns({"_seen": seen, "known_until": F.lead("announcement_date").over(announced)})
+    rows = rows.filter("known_until is null or known_until <> announcement_date").withColumnRenamed("announcement_date", "known_from")
+    best = F.filter("_seen", lambda x, i: F.coalesce(F.get("_seen", i - 1)["late"] != x["late"], F.lit(True)))
+    rows = rows.withColumn("_known", F.filter(best, lambda x: x["valid"])).filter(F.size("_known") > 0).withColumn("_q", F.col("_known")[0])
+    in_band = F.filter("_known", lambda p: (p["late"] - F.col("_q.late")).between(*BAND))
+    nearness = F.transform(in_band, lambda p: F.struct(F.abs(p["late"] - F.col("_q.late") - NEAREST).alias("far"), p["late"].alias("late"), p["eps"].alias("eps"), p["sales"].alias("sales"), p["missing"].alias("missing")))
+    rows = rows.withColumn("_p", F.array_min(nearness))
+
+    def growth(column: str) -> Column:
+        before = F.col(f"_p.{column}")
+        return F.when(~F.col("_q.missing") & ~F.col("_p.missing"), (F.col(f"_q.{column}") - before) / F.nullif(F.abs(before), F.lit(0.0)) * 100)
+
+    return rows.select(
+        "symbol", "known_from", "known_until", "_q.quarter_end", "_q.announcement_date", "_q.is_consolidated", "_q.eps", "_q.sales", growth("eps").alias("eps_yoy_growth"), growth("sales").alias("sales_yoy_growth"),
+        F.size("_known").alias("quarters_known"),
+    )
+
+
+def as_of(dates: DataFrame, known_rows: DataFrame) -> DataFrame:
+    """Rows of dates (symbol, date, ...) with what was known at the end of that date, null before the first
+    announcement. Both are put in one order by symbol and date, so that there is no range join."""
+    facts = [c for c in known_rows.columns if c not in ("symbol", "known_from", "known_until")]
+    rest = [c for c in dates.columns if c not in ("symbol", "date")]
+    kind = known_rows.select(F.struct(*facts).alias("_k")).schema["_k"].dataType
+    asked = dates.select("symbol", "date", F.lit(None).cast(kind).alias("_k"), F.struct(F.lit(1).alias("_asked"), *rest).alias("_d"))
+    told = known_rows.select("symbol", F.col("known_from").alias("date"), F.struct(*facts).alias("_k"), F.lit(None).cast(asked.schema["_d"].dataType).alias("_d"))
+    order = Window.partitionBy("symbol").orderBy("date", F.col("_d").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = asked.unionByName(told).withColumn("_k", F.last("_k", ignorenulls=True).over(order)).filter("_d is not null")
+    return rows.select("symbol", "date", *(F.col(f"_d.{c}").alias(c) for c in rest), *(F.col(f"_k.{c}").alias(c) for c in facts))

@@ -373,6 +373,27 @@ _FILINGS = """
       FROM matched
     )"""
 
+#: latest_known: the last quarter known at each asked date, with growth as known then; asked: symbol and date.
+_KNOWN = """,
+    asked AS ({asked}),
+    seen AS (
+      SELECT a.symbol, a.date, f.* EXCLUDE (symbol) FROM asked a JOIN filings f ON f.symbol = a.symbol AND f.announcement_date <= a.date
+      QUALIFY row_number() OVER (PARTITION BY a.symbol, a.date, period_end ORDER BY is_consolidated DESC, arrival) = 1
+    ),
+    valid AS (SELECT *, CAST(count(*) OVER (PARTITION BY symbol, date) AS INTEGER) AS quarters_known FROM seen WHERE period_start <= period_end AND announcement_date >= period_end),
+    newest AS (SELECT * FROM valid QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY period_end DESC) = 1),
+    based AS (
+      SELECT c.*, p.basic_eps AS p_eps, p.revenue AS p_sales, p.fields_missing AS p_missing FROM newest c
+      LEFT JOIN valid p ON p.symbol = c.symbol AND p.date = c.date AND p.period_end BETWEEN c.period_end - 410 AND c.period_end - 320
+      QUALIFY row_number() OVER (PARTITION BY c.symbol, c.date ORDER BY abs(c.period_end - 365 - p.period_end), p.period_end DESC) = 1
+    ),
+    latest_known AS (
+      SELECT symbol, date, period_end AS quarter_end, announcement_date, is_consolidated, basic_eps AS eps, revenue AS sales, quarters_known,
+        CASE WHEN NOT fields_missing AND NOT p_missing THEN (basic_eps - p_eps) / nullif(abs(p_eps), 0) * 100 END AS eps_yoy_growth,
+        CASE WHEN NOT fields_missing AND NOT p_missing THEN (revenue - p_sales) / nullif(abs(p_sales), 0) * 100 END AS sales_yoy_growth
+      FROM based
+    )"""
+
 _GAPS = """,
     market_days AS (SELECT DISTINCT date FROM raw_bars),
     coverage AS (
@@ -534,12 +555,31 @@ ORACLES |= {
         bars(),
         """SELECT symbol, date, round(CASE WHEN dayofmonth(date) % 3 = 0 OR dayofmonth(date) % 5 = 0 THEN close ELSE adj_close END, 5) + 0.0E0 AS adj_close FROM raw_bars""",
     ),
+    "filing_pages": """
+SELECT 'n' || n_nationkey AS symbol, CASE WHEN n_nationkey % 3 = 0 THEN 'own' ELSE 'consolidated' END AS url, n_nationkey % 3 <> 0 AND n_nationkey % 4 <> 1 AS is_consolidated,
+  CAST(4 AS INTEGER) AS n_heads, CAST(4 AS INTEGER) AS n_lines FROM nation
+""",
     "quarter_tables": """
-SELECT 'N' || n_nationkey AS symbol, DATE '2023-01-01' AS period_start, DATE '2023-03-31' AS period_end, DATE '2023-05-30' AS announcement_date, TRUE AS is_audited,
-  ((n_nationkey + 1) * 1000 + 250) * 1e7 AS revenue, CAST(NULL AS DOUBLE) AS pat, n_nationkey + 0.25E0 AS basic_eps, FALSE AS fields_missing FROM nation
+WITH n AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey + 100 ELSE n_nationkey END AS v, n_nationkey % 3 <> 0 AND n_nationkey % 4 <> 1 AS is_consolidated FROM nation)
+SELECT 'N' || k AS symbol, DATE '2023-01-01' AS period_start, DATE '2023-03-31' AS period_end, DATE '2023-05-30' AS announcement_date, is_consolidated, TRUE AS is_audited,
+  ((v + 1) * 1000 + 250) * 1e7 AS revenue, CAST(NULL AS DOUBLE) AS pat, k + 0.25E0 AS basic_eps, FALSE AS fields_missing FROM n
 UNION ALL
-SELECT 'N' || n_nationkey, DATE '2023-04-01', DATE '2023-06-30', DATE '2023-08-14', FALSE, 1000 * 1e7, -n_nationkey * 1e7 + 0.0E0, NULL, FALSE FROM nation
+SELECT 'N' || k, DATE '2023-04-01', DATE '2023-06-30', DATE '2023-08-14', is_consolidated, FALSE, 1000 * 1e7, -k * 1e7 + 0.0E0, NULL, FALSE FROM n
 """,
+    "filing_documents": q(
+        _FILINGS,
+        """SELECT symbol, period_start, period_end, announcement_date, is_consolidated, round(revenue, 2) + 0.0E0 AS revenue, round(basic_eps, 6) + 0.0E0 AS basic_eps, fields_missing, 'd' || arrival AS source_url
+FROM filings WHERE arrival % 17 <> 3 AND arrival % 19 <> 3 AND arrival % 13 <> 5""",
+    ),
+    "fund_known": q(
+        _FILINGS + _KNOWN.format(asked="SELECT DISTINCT symbol, announcement_date AS date FROM filings"),
+        f"""SELECT symbol, date AS known_from, (SELECT min(announcement_date) FROM filings f WHERE f.symbol = l.symbol AND f.announcement_date > l.date) AS known_until, quarter_end, is_consolidated, {r('eps', 8)},
+  {r('eps_yoy_growth')}, {r('sales_yoy_growth')}, quarters_known FROM latest_known l WHERE quarter_end IS NOT NULL""",
+    ),
+    "fund_as_of": q(
+        bars("nation") + "," + _FILINGS.replace("sums AS", "filing_sums AS").replace("FROM sums", "FROM filing_sums") + _KNOWN.format(asked="SELECT symbol, date FROM adj"),
+        f"SELECT symbol, date, {r('close')}, quarter_end, announcement_date, {r('eps', 8)}, {r('eps_yoy_growth')}, {r('sales_yoy_growth')} FROM adj LEFT JOIN latest_known USING (symbol, date)",
+    ),
     "run_summaries": q(
         bars() + "," + daily() + "," + stages("daily_last") + "," + PATTERN + "," + _TODAYS_PIVOTS + "," + volumes("todays"),
         """SELECT 'stage' AS run, count(*) AS evaluated, count(*) FILTER (stage = 2) AS flagged FROM stages

@@ -465,20 +465,67 @@ def adjusted_close(spark, sf):
     return B.with_adjusted_close(b).select("symbol", "date", r("adj_close", 5))
 
 
+def _page(title: Column, key: Column, n: Column) -> Column:
+    """A page with a quarterly table in nested elements: some tags are left open, one is a comment, a cell has a table."""
+    cells = lambda *c: F.concat(*(F.concat(F.lit("<td>"), F.lit(x) if isinstance(x, str) else x, F.lit("</td>")) for x in c))
+    return F.concat(
+        F.lit("<div class='page'><div id='quarters'><div><h2>"), title, F.lit("</h2><p>In crores</div><div><table><thead><tr><th></th><th>Mar 2023</th><th>Jun 2023<th>Notes</tr></thead><tbody><tr>"),
+        cells("Sales <button>+</button>", F.concat((n + 1).cast("string"), F.lit(",250")), "1,000"), F.lit("<tr><!-- <td>Net Profit</td><td>7</td><td>7</td> -->"),
+        cells("Net Profit +", "-", F.concat(F.lit("-"), key)), F.lit("</tr><tr>"), cells("EPS in Rs", F.concat(key, F.lit("<b>.25</b>")), ""),
+        F.lit("</tr><tr><td>Other<td><table><tbody><tr><td>Sales</td><td>9</td></tr></tbody></table></tbody></table></div></div><table><tbody><tr><td>Sales</td><td>8</td></tr></tbody></table></div>"),
+    )
+
+
+def _pages(spark, sf) -> DataFrame:
+    """Two pages for each nation: of its consolidated figures, which may lack the table or say otherwise, and of its own."""
+    key, n = F.col("n_nationkey").cast("string"), F.col("n_nationkey")
+    title = F.when(n % 4 == 1, "Standalone Figures").otherwise("Consolidated Figures")
+    both = testdata.table(spark, sf, "nation").withColumns({
+        "consolidated": F.when(n % 3 == 0, "<div id='quarters'><p>No figures</p></div>").otherwise(_page(title, key, n)), "own": _page(F.lit("Standalone Figures"), key, n + 100),
+    })
+    side = lambda name, flag: both.select(F.concat(F.lit("n"), key).alias("symbol"), F.lit(name).alias("url"), F.col(name).alias("html"), F.lit(flag).alias("is_consolidated_url"))
+    return side("consolidated", True).unionByName(side("own", False))
+
+
+@register
+def filing_pages(spark, sf):
+    """Which page of each nation counts."""
+    from barlens.sources.filings import best_pages
+
+    return best_pages(_pages(spark, sf)).select("symbol", "url", "is_consolidated", F.size("heads").alias("n_heads"), F.size("lines").alias("n_lines"))
+
+
 @register
 def quarter_tables(spark, sf):
-    """Filings parsed from a page made for each nation, with thousands separators, dashes and empty cells."""
+    """Filings parsed from the pages of each nation, with thousands separators, dashes and empty cells."""
     from barlens.sources.filings import table_filings
 
-    key = F.col("n_nationkey").cast("string")
-    cells = lambda *c: F.concat(*(F.concat(F.lit("<td>"), F.lit(x) if isinstance(x, str) else x, F.lit("</td>")) for x in c))
-    html = F.concat(
-        F.lit("<section id='quarters'><p>Consolidated Figures</p><table><thead><tr><th></th><th>Mar 2023</th><th>Jun 2023</th><th>Notes</th></tr></thead><tbody><tr>"),
-        cells("Sales <button>+</button>", F.concat((F.col("n_nationkey") + 1).cast("string"), F.lit(",250")), "1,000"), F.lit("</tr><tr>"),
-        cells("Net Profit +", "-", F.concat(F.lit("-"), key)), F.lit("</tr><tr>"), cells("EPS in Rs", F.concat(key, F.lit(".25")), ""), F.lit("</tr></tbody></table></section>"),
+    columns = ("symbol", "period_start", "period_end", "announcement_date", "is_consolidated", "is_audited")
+    return table_filings(_pages(spark, sf)).select(*columns, r("revenue"), r("pat"), r("basic_eps"), "fields_missing")
+
+
+@register
+def filing_documents(spark, sf):
+    """Filings of index rows and XBRL documents made from those of nations: some rows name no document or date, some
+    documents have no period of their own, facts of other contexts, or are no document."""
+    from barlens.sources.filings import filing_index, xbrl_filings
+
+    path = testdata.folder(spark, "index")
+    f = testdata.filings(spark, sf).withColumn("address", F.concat(F.lit("d"), F.col("arrival").cast("string")))
+    day = lambda c: F.date_format(c, "dd-MMM-yyyy")
+    odd = lambda k, n: F.col("arrival") % k == n
+    index = f.select(
+        F.lower("symbol").alias("symbol"), F.when(F.col("is_consolidated"), "Consolidated").otherwise("Non-Consolidated").alias("consolidated"), F.lit("Un-Audited").alias("audited"),
+        F.when(~odd(17, 3), F.concat(day("announcement_date"), F.lit(" 18:30:00"))).otherwise("").alias("broadCastDate"), day("period_start").alias("fromDate"), day("period_end").alias("toDate"),
+        F.when(~odd(19, 3), F.col("address")).alias("xbrl"),
     )
-    pages = testdata.table(spark, sf, "nation").select(F.concat(F.lit("n"), key).alias("symbol"), F.lit("u").alias("url"), html.alias("html"), F.lit(True).alias("is_consolidated_url"))
-    return table_filings(pages).select("symbol", "period_start", "period_end", "announcement_date", "is_audited", r("revenue"), r("pat"), r("basic_eps"), "fields_missing")
+    index.groupBy("symbol").agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).select("value").write.text(path)
+    fact = lambda name, value, context="OneD": F.concat(F.lit(f"<in:{name} contextRef='{context}'> "), value, F.lit(f" </in:{name}>"))
+    period = F.concat(F.lit("<x:context id='OneD'><x:period><x:startDate>"), F.col("period_start").cast("string"), F.lit("</x:startDate><x:endDate>"), F.col("period_end").cast("string"), F.lit("</x:endDate></x:period></x:context>"))
+    facts = F.when(~F.col("fields_missing"), F.concat(fact("RevenueFromOperations", F.col("revenue").cast("decimal(20,2)").cast("string")), fact("BasicEarningsPerShare", F.col("basic_eps").cast("string"))))
+    xml = F.concat(F.lit("<?xml version='1.0'?><x:xbrl>"), F.when(odd(2, 0), period).otherwise(""), fact("RevenueFromOperations", F.lit("1"), "FourD"), F.coalesce(facts, F.lit("")), F.when(odd(13, 5), "<open>").otherwise(""), F.lit("</x:xbrl>"))
+    got = xbrl_filings(filing_index(spark, path, lines=True), f.select(F.col("address").alias("xbrl"), xml.alias("xml")))
+    return got.select("symbol", "period_start", "period_end", "announcement_date", "is_consolidated", r("revenue", 2), r("basic_eps", 6), "fields_missing", "source_url")
 
 
 @register
@@ -535,6 +582,21 @@ def trend_explained(spark, sf):
     return rows.select("symbol", "date", "c.key", "c.passed", "c.threshold", F.size("c.actual").alias("n_measured"))
 
 
+@register
+def fund_known(spark, sf):
+    """What was known of each nation's last quarter, from each announcement to the next."""
+    k = fundamentals.known(testdata.filings(spark, sf), "arrival")
+    return k.select("symbol", "known_from", "known_until", "quarter_end", "is_consolidated", r("eps", 8), r("eps_yoy_growth"), r("sales_yoy_growth"), "quarters_known")
+
+
+@register
+def fund_as_of(spark, sf):
+    """Each bar of a nation with the fundamentals that had been announced by its date."""
+    days = _closes(spark, sf).select("symbol", "date", "close")
+    rows = fundamentals.as_of(days, fundamentals.known(testdata.filings(spark, sf), "arrival"))
+    return rows.select("symbol", "date", r("close"), "quarter_end", "announcement_date", r("eps", 8), r("eps_yoy_growth"), r("sales_yoy_growth"))
+
+
 STORED_UNTIL, NEW_UNTIL = "1995-06-30", "1996-12-31"
 
 

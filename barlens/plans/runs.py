@@ -234,19 +234,23 @@ def run_scoring(catalog: Catalog, config: Score = Score()) -> dict[str, int]:
 
 def fundamentals_update(catalog: Catalog, filings: DataFrame, end_date: str, arrival: str, config: Fundamentals = Fundamentals()) -> dict[str, Any]:
     """Stores filings announced after what is stored and up to end_date; growth is computed afresh over the
-    full history of the touched symbols. The preferred filing is chosen before validity is looked at."""
+    full history of the touched symbols, and only years in which that changes anything are written. The preferred filing
+    is chosen before validity is looked at. All filings are kept as they were announced, too."""
     run_id = str(uuid.uuid4())
     existing = catalog.read("fundamentals_quarterly")
-    with catalog.staged(fundamentals.preferred(fundamentals.due(filings, existing, FIRST_DATE, end_date), arrival)) as chosen:
+    with catalog.staged(fundamentals.due(filings, existing, FIRST_DATE, end_date)) as arrived:
+        chosen = fundamentals.preferred(arrived, arrival)
         rejected = chosen.filter(fundamentals.rejection_reason().isNotNull()).count()
         staged = fundamentals.stored(chosen, config).withColumn("ingested_at", _now())
         added, updated = staged.agg(F.count(F.lit(1)), F.count_distinct("symbol")).first()
         if added:
             growth = ("eps_yoy_growth", "sales_yoy_growth")
-            whole = upserted(existing.drop(*growth), staged, ("symbol", "quarter_end"))
-            touched = staged.select("symbol").distinct()
-            fresh = fundamentals.with_growth(whole.join(touched, "symbol", "left_semi"))
-            catalog.write("fundamentals_quarterly", existing.join(touched, "symbol", "left_anti").unionByName(fresh, allowMissingColumns=True))
+            with catalog.staged(staged) as new:
+                whole = upserted(existing.drop(*growth), new, ("symbol", "quarter_end"))
+                fresh = fundamentals.with_growth(whole.join(new.select("symbol").distinct(), "symbol", "left_semi"))
+                with catalog.staged(fresh) as rows:
+                    catalog.replace("fundamentals_quarterly", rows)
+        catalog.insert("fundamentals_announced", arrived.filter("announcement_date is not null").withColumn("arrival", F.col(arrival).cast("long")))
     return _log(catalog, run_id, updated, rejected, added, "fundamentals update")
 
 
@@ -299,6 +303,12 @@ def latest_fundamentals(catalog: Catalog) -> DataFrame:
     return fundamentals.latest(catalog.read("fundamentals_quarterly"))
 
 
+def fundamentals_as_of(catalog: Catalog, dates: DataFrame) -> DataFrame:
+    """Rows of (symbol, date) with the fundamentals that had been announced by then."""
+    wanted = dates.select("symbol").distinct()
+    return fundamentals.as_of(dates, fundamentals.known(catalog.read("fundamentals_announced").join(wanted, "symbol", "left_semi"), "arrival"))
+
+
 def symbol_template(catalog: Catalog, symbol: str, timeframe: str = "daily", config: Trend = Trend()) -> DataFrame:
     """The explained criteria of one symbol; the filter reaches the scan."""
     table, on = ("ohlcv_daily", "date") if timeframe == "daily" else ("ohlcv_weekly", "week_end_date")

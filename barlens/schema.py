@@ -35,7 +35,7 @@ TABLES: dict[str, Table] = {
             "symbol string, quarter_end date, period_start date, announcement_date date, eps double, sales double, roe double, eps_yoy_growth double, sales_yoy_growth double, "
             "source string, fields_missing boolean, announcement_lag_days int, is_backlog_filing boolean, ingested_at timestamp, announcement_date_is_estimated boolean"
         ),
-        ("symbol", "quarter_end"),
+        ("symbol", "quarter_end"), "quarter_end",
     ),
     "ingestion_log": Table(_struct("run_id string, run_at timestamp, symbols_updated int, symbols_failed int, rows_added int, notes string"), ("run_id",)),
     "rs_ratings_daily": Table(_struct("symbol string, date date, composite_return double, rating int, rs_line double, rs_line_new_high boolean, universe_size int"), ("symbol", "date"), "date"),
@@ -76,6 +76,15 @@ TABLES: dict[str, Table] = {
     "screener_presets": Table(_struct("name string, filters_json string, created_at timestamp"), ("name",)),
 }
 
+#: Every filing as it was announced, with its place in the order of arrival.
+TABLES["fundamentals_announced"] = Table(
+    _struct(
+        "symbol string, period_start date, period_end date, announcement_date date, is_consolidated boolean, revenue double, basic_eps double, source string, fields_missing boolean, "
+        "announcement_date_is_estimated boolean, arrival bigint"
+    ),
+    ("symbol", "period_end", "announcement_date", "is_consolidated", "arrival"), "announcement_date",
+)
+
 #: What runs carry from one night to the next, and what of the bars it covers.
 _OF_SYMBOL = T.StructField("symbol", T.StringType())
 TABLES |= {

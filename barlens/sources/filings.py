@@ -23,9 +23,10 @@ CRORE = 1e7
 INDEX_SCHEMA = "symbol string, audited string, consolidated string, broadCastDate string, fromDate string, toDate string, xbrl string"
 
 
-def filing_index(spark: SparkSession, path: str) -> DataFrame:
-    """Index rows that name a broadcast date and a document, from JSON arrays."""
-    rows = spark.read.schema(INDEX_SCHEMA).json(path, multiLine=True)
+def filing_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Index rows that name a broadcast date and a document, from JSON arrays: one a file, or one a line, as many
+    answers are kept in files that can be split."""
+    rows = spark.read.schema(INDEX_SCHEMA).json(path, multiLine=not lines)
     return rows.filter("coalesce(broadCastDate, '') <> '' and coalesce(xbrl, '') <> ''")
 
 

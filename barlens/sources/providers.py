@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import importlib
+import math
 import pickle
 import time
 from collections.abc import Callable, Iterator
@@ -63,6 +64,13 @@ def _function(text: str) -> Callable:
     return pickle.loads(base64.b64decode(rest)) if kind == "pickle" else getattr(importlib.import_module(kind), rest)
 
 
+def next_slot(now: float, lane: int, lanes: int, delay: float, after: int = -1) -> int:
+    """The number of a lane's next slot of time, from now on and after the one it had last. Slots are delay seconds long and
+    counted by the clock; each belongs to one lane, so that all lanes together call once in a slot at most."""
+    n = max(math.ceil(now / delay), after + 1)
+    return n + (lane - n) % lanes
+
+
 class FetchedProvider:
     """A provider over a function (module:function, or what packed() gives) of symbol, start and end, giving rows."""
 
@@ -76,19 +84,29 @@ class FetchedProvider:
         return self.instruments.filter(F.col("exchange") == exchange)
 
     def fetch_daily(self, requests: DataFrame) -> DataFrame:
-        """The candles of (symbol, from_date, to_date), fetched where the requests are, with retries and paced; no
-        more tasks than at_once ask at the same time. A task that is lost asks again for its own requests."""
-        packed_fetch, attempts, delay = self.fetch, self.attempts, self.delay
+        """The candles of (symbol, from_date, to_date), fetched where the requests are, with retries and paced: requests are
+        dealt to at_once lanes, a task each, and a call, first or repeated, waits for a slot of its lane. So all tasks together
+        make one call in delay seconds at most, on executors whose clocks agree. A task that is lost asks again for its own
+        requests, in its lane."""
+        packed_fetch, attempts, delay, lanes = self.fetch, self.attempts, self.delay, self.at_once
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            fetch = _function(packed_fetch)
+            fetch, slot = _function(packed_fetch), -1
+
+            def call(symbol, start, end, lane) -> list:
+                nonlocal slot
+                if delay:
+                    slot = next_slot(time.time(), lane, lanes, delay, slot)
+                    time.sleep(max(0.0, slot * delay - time.time()))
+                return list(fetch(symbol, start, end))
+
             for batch in batches:
-                for symbol, start, end in batch.itertuples(index=False):
-                    rows = with_retries(lambda: list(fetch(symbol, start, end)), attempts, delay)  # noqa: B023
-                    time.sleep(delay)
+                for request in batch.itertuples(index=False):
+                    rows = with_retries(lambda: call(*request), attempts, delay)  # noqa: B023
                     if rows:
                         made = {c: [float(r[c]) for r in rows] for c in ("open", "high", "low", "close")}
-                        yield pd.DataFrame({"symbol": symbol, "date": [str(r["date"]) for r in rows], **made, "volume": [int(r["volume"]) for r in rows]})
+                        yield pd.DataFrame({"symbol": request.symbol, "date": [str(r["date"]) for r in rows], **made, "volume": [int(r["volume"]) for r in rows]})
 
-        spans = requests.select("symbol", "from_date", "to_date").repartition(self.at_once, "symbol", "from_date")
+        lane = F.pmod(F.xxhash64("symbol", "from_date"), F.lit(lanes)).cast("int")
+        spans = requests.select("symbol", "from_date", "to_date", lane.alias("lane")).repartitionById(lanes, F.col("lane"))
         return spans.mapInPandas(run, CANDLES)

@@ -51,6 +51,41 @@ def test_a_provider_that_does_not_answer(spark, instruments):
     assert p.fetch_daily(span.limit(0)).isEmpty()
 
 
+def test_all_tasks_together_keep_the_rate(spark, instruments, tmp_path):
+    """Calls of four tasks, some of them repeated, fall into slots of time of which none has two."""
+    folder, delay = str(tmp_path), 0.25
+
+    def fetch(symbol, start, end):
+        import os
+        import time
+
+        name = f"{folder}/{symbol}-{start}"
+        with open(name, "a") as f:
+            f.write(f"{time.time()}\n")
+        if start.day % 5 == 0 and os.path.getsize(name) < 25:
+            raise OSError("once")
+        return [{"date": f"{start}T00:00:00", "open": 1, "high": 1, "low": 1, "close": 1, "volume": 1}]
+
+    from pyspark.sql import functions as F
+
+    p = providers.FetchedProvider(spark, "service", fetch, instruments, delay=delay, at_once=4)
+    requests = spark.range(1, 21).select(F.lit("A").alias("symbol"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("from_date")).withColumn("to_date", F.col("from_date"))
+    assert p.fetch_daily(requests).count() == 20
+    times = sorted(float(line) for f in tmp_path.iterdir() for line in f.read_text().split())
+    slots = [int(t / delay) for t in times]
+    assert len(slots) == 24 and len(set(slots)) == 24
+
+
+def test_slots_of_lanes():
+    taken, after = [], [-1] * 3
+    for _ in range(5):
+        for lane in (2, 0, 1):
+            after[lane] = providers.next_slot(10.01, lane, 3, 0.5, after[lane])
+            assert after[lane] % 3 == lane and after[lane] * 0.5 >= 10.01
+            taken.append(after[lane])
+    assert len(set(taken)) == 15 and sorted(taken) == list(range(21, 36))
+
+
 def test_selected_provider(spark):
     settings = load_settings({"KITE__API_KEY": "k", "KITE__ACCESS_TOKEN": "t"}, None)
     with pytest.raises(ValueError, match="no provider"):
