@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from barlens.llm.common import bound_batches, cut, map_texts, semi, spread_join
+from barlens.llm.common import BROADCAST_BYTES, bound_batches, cut, map_texts, semi, spread_join
 from barlens.llm.graph import components
 
 SHINGLE_WORDS, PERCENT = 3, 90
 BUCKET_BITS, SLOTS = 18, 64  # of the counts that order shingles
+CHUNK = 256  # sets that are compared with one copy of a hub
+SIDE_BYTES = 96  # of a row of numbers, and at most of a short id, when it is broadcast
 
 
 def shingles(text: str | None, words: int = SHINGLE_WORDS) -> set[bytes]:
@@ -173,31 +175,61 @@ def _across(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def _compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(x, y, n1, n2, apart): the size of the symmetric difference of each pair. sets has (cid, doc_id, k0, k1, n)."""
-    wanted = cut(pairs.select(F.col("x").alias("cid")).unionByName(pairs.select(F.col("y").alias("cid"))).distinct().join(sets, "cid"))
-    ids = cut(wanted.select("doc_id").distinct())
+    """(x, y, n1, n2, apart): the size of the symmetric difference of each pair. sets has (cid, doc_id, k0, k1, n).
 
-    def fn(_: list, texts: list) -> list[list]:
-        rows = []
-        for text in texts:
-            joined = names(shingles(text, words))
-            rows.append((*(_set_name(joined) if joined else (None, None)), _halves(joined)[0].tobytes()))
-        return [list(c) for c in zip(*rows, strict=True)]
-
-    texts = semi(docs, ids, "doc_id", ids.count())
-    read = map_texts(texts, "doc_id", "text", fn, [("k0", pa.int64()), ("k1", pa.int64()), ("names", pa.binary())], rows=64)
-    # an id may stand on several texts; equal sets are read once
-    own = cut(wanted.join(read, ["doc_id", "k0", "k1"]).select("cid", "n", "names").dropDuplicates(["cid"]))
-    both = spread_join(pairs, own.select(F.col("cid").alias("x"), F.col("n").alias("n1"), F.col("names").alias("names1")), ["x"])
-    both = spread_join(both, own.select(F.col("cid").alias("y"), F.col("n").alias("n2"), F.col("names").alias("names2")), ["y"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Of a pair, the set that has more pairs is the hub. The other's shingles are sent to it, and its own once to each
+    CHUNK of them, so that a hub of very many pairs is split, and what moves is about one set for each pair."""
+    degrees = pairs.select(F.explode(F.array("x", "y")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("degree"))
+    both = pairs.select("x", "y")
+    for side in ("x", "y"):
+        both = spread_join(both, degrees.select(F.col("cid").alias(side), F.col("degree").alias(f"d{side}")), [side])
+    first = F.col("dx") >= F.col("dy")
+    hub, other = F.when(first, F.col("x")).otherwise(F.col("y")), F.when(first, F.col("y")).otherwise(F.col("x"))
+    chunk = F.pmod(F.xxhash64(other), F.ceil(F.greatest("dx", "dy") / CHUNK))
+    both = cut(both.select(hub.alias("hub"), other.alias("other"), chunk.alias("chunk")))
+    sides = both.select(F.col("hub").alias("cid"), "hub", "chunk", F.lit(0).alias("role")).distinct().unionByName(both.select(F.col("other").alias("cid"), "hub", "chunk", F.lit(1).alias("role")))
+    sides = cut(spread_join(sides, sets.select("cid", F.col("doc_id").alias("_id"), "k0", "k1", "n"), ["cid"]))
+    small = sides.count() * SIDE_BYTES < BROADCAST_BYTES
+    texts = docs.join(F.broadcast(sides) if small else sides.hint("shuffle_merge"), F.col("doc_id") == F.col("_id"))
+
+    kept = ["hub", "chunk", "role", "cid", "n"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, found, name = None, b"", None
         for batch in batches:
-            both = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
-            apart = [len(np.setxor1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in both]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(apart, pa.int64())], names=["x", "y", "n1", "n2", "apart"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                rows, packed = [], []
+                for k, (text, k0, k1) in enumerate(zip(*(part.column(c).to_pylist() for c in (5, 6, 7)), strict=True)):
+                    if text != last or name is None:
+                        joined = names(shingles(text, words))
+                        last, found, name = text, _halves(joined)[0].tobytes(), _set_name(joined)
+                    if name == (k0, k1):  # an id may stand on several texts
+                        rows.append(k)
+                        packed.append(found)
+                own = part.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns[:5], pa.array(packed, pa.binary())], names=[*kept, "names"])
+
+    made = texts.select(*kept, "text", "k0", "k1").mapInArrow(read, "hub long, chunk long, role int, cid long, n long, names binary")
 
-    return cut(both.select("x", "y", "n1", "n2", "names1", "names2").mapInArrow(compare, "x long, y long, n1 long, n2 long, apart long"))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, size, of_hub, done = None, 0, np.zeros(0, np.uint64), None
+        for batch in batches:  # by hub and chunk, the hub before the others; rows that repeat an id come again
+            out = []
+            for h, c, role, cid, n, packed in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if role == 0:
+                    group, size, of_hub = (h, c), n, np.frombuffer(packed, np.uint64)
+                elif group == (h, c) and done != (h, c, cid):
+                    done = (h, c, cid)
+                    out.append((h, cid, size, n, len(np.setxor1d(of_hub, np.frombuffer(packed, np.uint64), assume_unique=True))))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(5)], names=["hub", "other", "n1", "n2", "apart"])
+
+    dealt = made.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role", "cid")
+    got = dealt.mapInArrow(compare, "hub long, other long, n1 long, n2 long, apart long")
+    in_order = F.col("hub") < F.col("other")
+    return cut(got.select(
+        F.least("hub", "other").alias("x"), F.greatest("hub", "other").alias("y"), F.when(in_order, F.col("n1")).otherwise(F.col("n2")).alias("n1"), F.when(in_order, F.col("n2")).otherwise(F.col("n1")).alias("n2"), "apart",
+    ))
 
 
 def _linked(apart: Column, percent: int) -> Column:
