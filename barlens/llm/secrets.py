@@ -17,7 +17,7 @@ from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.llm import crf
@@ -25,10 +25,13 @@ from barlens.llm.common import cut, least_hashed, map_texts, semi
 
 KINDS = ("assign", "access", "hex", "crf")
 #: The field is taught on the whole texts of at most so many documents with and as many without base spans, those of the
-#: least hashes of their ids, in sequences of so many tokens that cover them.
-MAX_TRAINING_ROWS, TRAINING_TOKENS = 1_000, 48
+#: least hashes of their ids, in sequences of so many tokens that cover them; each half is of so many bytes at most, and an
+#: id that repeats gives one text.
+MAX_TRAINING_ROWS, TRAINING_TOKENS, MAX_TRAINING_BYTES = 1_000, 48, 16 << 20
 #: One made-up passage is put in for so many words of a text, and one more.
 WORDS_A_PASSAGE = 120
+#: So large a share of made-up secrets stand behind a word that names none.
+UNNAMED = 0.15
 #: Words are told apart by so many hashes; further than so many tokens back a word is not looked for.
 N_WORDS, REACH = 1 << 12, 4
 
@@ -85,20 +88,20 @@ def token_class(token: str) -> int:
     return _FIRST_SHAPE + shape * (len(_LENGTHS) + 1) + sum(len(token) >= n for n in _LENGTHS)
 
 
-_last_part = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[^\W\d_a-zA-Z]+)$").search
+_last_part_reversed = re.compile(r"[a-z]+[A-Z]?|[A-Z]+|[^\W\d_a-zA-Z]+").match
 
 
 def word_hash(token: str) -> int:
     """Of the last word of a token, so that db_password and dbPassword are as password; 0 where it does not end in letters."""
-    found = _last_part(token)
-    return 1 + zlib.crc32(found[0].lower().encode()) % (N_WORDS - 1) if found else 0
+    found = _last_part_reversed(token[::-1])  # from its end, so that a token of any length is read once
+    return 1 + zlib.crc32(found[0][::-1].lower().encode()) % (N_WORDS - 1) if found else 0
 
 
 class _Codes(dict):
     """Class and word of tokens seen, forgotten when there are too many."""
 
     def __missing__(self, token: str) -> int:
-        found = token_class(token) | word_hash(token[-64:]) << 8
+        found = token_class(token) | word_hash(token) << 8
         if len(token) <= 32:
             if len(self) >= 300_000:
                 self.clear()
@@ -140,6 +143,10 @@ _ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 _HEX = "0123456789abcdef"
 
 
+#: Behind a name of secrets and a sign, a value that mixes letters and digits is taken for one where the field learns.
+_likely = re.compile(r"(?i:" + "|".join(re.escape(n) for n in sorted(SECRET_NAMES, key=len, reverse=True)) + r""")["']?\x20?(?::=|=>|->|[:=])\x20?["']?(?=[^\s\d]*\d)(?=[^\sA-Za-z]*[A-Za-z])([^\s"']{6,})""").finditer
+
+
 def _value(rnd: random.Random) -> str:
     """A made-up secret in one of some forms."""
     def some(letters: str, least: int, most: int) -> str:
@@ -158,6 +165,8 @@ def _value(rnd: random.Random) -> str:
         return some("abcdefghijklmnopqrstuvwxyz", 4, 8).capitalize() + some("0123456789", 2, 4) + rnd.choice(["", "!", "#", "$"])
     if form == 5:  # groups
         return "-".join(some(_ALNUM[:26] + "0123456789", 4, 5) for _ in range(rnd.randint(3, 5)))
+    if form == 6:  # pieces between marks
+        return rnd.choice("-._&@!%").join(some(_ALNUM, 1, 12) for _ in range(rnd.randint(2, 4))) + some("0123456789", 1, 2)
     return some(_ALNUM, 8, 40)
 
 
@@ -167,8 +176,11 @@ def passage(rnd: random.Random) -> tuple[str, int, int]:
         return "".join(rnd.choices("0123456789", k=n))
 
     name, sign = rnd.choice(SECRET_NAMES), rnd.choice(SIGNS)
+    unnamed = rnd.random() < UNNAMED  # behind a word that says nothing: by its form alone
     name = rnd.choice([name, name.upper(), name.capitalize(), rnd.choice(["my_", "the ", "your ", "app."]) + name])
     if rnd.random() < 0.5:
+        if unnamed:
+            name = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(3, 9)))
         before, value = name + sign, _value(rnd)
         return before + value + (sign[-1] if sign[-1] in "'\"" else ""), len(before), len(before) + len(value)
     other = rnd.choice(HARMLESS_NAMES)
@@ -196,8 +208,8 @@ def passage(rnd: random.Random) -> tuple[str, int, int]:
 
 def taught(text: str | None) -> tuple[bytes, bytes, bytes, int]:
     """What the field learns from a whole text with made-up passages between its words: the classes of its tokens,
-    their words and their labels (packed), and the class of the file. Tokens in a base span or in the secret of a passage
-    are secrets, but for the name and the marks before an assigned value."""
+    their words and their labels (packed), and the class of the file. Tokens in a base span, in the secret of a passage or
+    in what stands like one behind a name of secrets are secrets, but for the name and the marks before the value."""
     t = text or ""
     rnd = random.Random(zlib.crc32(t.encode()))
     gaps = [m.start() for m in re.finditer(r"\s", t)]
@@ -211,6 +223,7 @@ def taught(text: str | None) -> tuple[bytes, bytes, bytes, int]:
             secret.append((length + a, length + b))
         length, at = length + len(words) + 1, place
     t = "".join([*parts, t[at:]])
+    secret += [m.span(1) for m in _likely(t)]
     values = {m.span(): m.start(1) for m in _assign(t)}
     secret += [(values[a, b] if kind == "assign" else a, b) for kind, a, b in base_spans(t)]
     tokens = list(_token.finditer(t))
@@ -242,26 +255,32 @@ def sequences(rows: list[tuple[bytes, bytes, bytes, int]]) -> tuple[np.ndarray,
     return np.concatenate(classes), np.concatenate(words, axis=1), np.array(files), np.concatenate(labels)
 
 
+def _sample(told: DataFrame, max_rows: int) -> DataFrame:
+    """(id): of (id, size) at most so many ids of least hashes, of MAX_TRAINING_BYTES together; longer texts are passed over."""
+    chosen = least_hashed(told.filter(F.col("size") <= MAX_TRAINING_BYTES), "id", max_rows)
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("id"), "id"))  # of at most max_rows rows
+    return chosen.withColumn("so_far", so_far).filter(F.col("so_far") <= MAX_TRAINING_BYTES).select("id")
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAINING_ROWS) -> crf.Weights | None:
     """Teaches the field on the whole texts of at most max_rows documents that look like having base spans and as
-    many others; rows without an id are not learnt from. None if no document looks like having one: then the field has
-    not seen what is harmless beside secrets of this kind of text, and tags nothing."""
+    many others, with made-up passages in all of them, so that it learns what secrets look like where no document has a
+    base span as well. Rows without an id are not learnt from. None if there is no text to learn from."""
     text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # names are looked for as plain strings first, which is much faster than an expression
     lower = F.lower("text")
     named = reduce(or_, (lower.contains(k) for k in _KEYWORDS)) & F.col("text").rlike(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]""")
     hit = named | (F.col("text").contains("AKIA") & F.col("text").rlike("AKIA[A-Z0-9]{16}")) | F.col("text").rlike("[0-9a-f]{24}")
-    told = cut(text.filter("id is not null").groupBy("id").agg(F.max(hit.cast("int")).alias("hit")))
-    chosen = least_hashed(told.filter("hit = 1").select("id"), "id", max_rows).unionByName(least_hashed(told.filter("hit = 0").select("id"), "id", max_rows))
-    chosen = cut(chosen)
-    if told.filter("hit = 1").isEmpty():
-        return None
-    some = semi(text, chosen, "id", chosen.count())
+    told = cut(text.filter("id is not null").groupBy("id").agg(F.max(hit.cast("int")).alias("hit"), F.max(F.octet_length("text")).alias("size")))
+    chosen = cut(_sample(told.filter("hit = 1"), max_rows).unionByName(_sample(told.filter("hit = 0"), max_rows)))
+    some = semi(text, chosen, "id", chosen.count()).groupBy("id").agg(F.max("text").alias("text"))
     fields = [("classes", pa.binary()), ("words", pa.binary()), ("labels", pa.binary()), ("file", pa.int8())]
     found = map_texts(some, "id", "text", lambda ids, texts: zip(*map(taught, texts), strict=True), fields)
-    # seven bytes a token of at most 2 max_rows texts (more only where ids repeat)
+    # one row for each of at most 2 max_rows ids, seven bytes a token of 2 MAX_TRAINING_BYTES of text
     rows = sorted((bytes(r["classes"]), bytes(r["words"]), bytes(r["labels"]), r["file"]) for r in found.drop("id").collect())
     rows = [r for r in rows if r[0]]
+    if not rows:
+        return None
     classes, words, files, labels = sequences(rows)
     return crf.train(classes, words, files, labels, KINDS_OF_CLASSES, N_FILES, N_WORDS)
 
@@ -287,7 +306,7 @@ def tagged(text: str | None, weights: crf.Weights | None) -> list[tuple[int, int
         else:
             out.append((a, b))
         before = i
-    return out
+    return [(a, b) for a, b in out if any(map(str.isalnum, text[a:b]))]  # marks alone hold nothing
 
 
 def all_spans(text: str | None, weights: crf.Weights | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
