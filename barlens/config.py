@@ -103,6 +103,20 @@ class Volume:
     spike_multiple: float = 1.40
 
 
+@dataclass(frozen=True)
+class Moves:
+    """Bars of a block, and from how many median absolute deviations and what logarithmic move on a move is far out."""
+
+    block: int = 63
+    deviations: float = 8.0
+    least: float = 0.10
+
+    def __post_init__(self) -> None:
+        _positive(self, "deviations", "least")
+        if self.block < 3:
+            raise ValueError("a block has three bars at least")
+
+
 @dataclass(frozen=True)
 class Score:
     weights: Mapping[str, float] = field(

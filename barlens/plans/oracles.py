@@ -404,6 +404,24 @@ _GAPS = """,
       SELECT c.symbol, c.listing_date, c.first_date, c.last_date, m.date FROM coverage c JOIN market_days m ON m.date BETWEEN c.expected_from AND c.last_date
       ANTI JOIN raw_bars b ON b.symbol = c.symbol AND b.date = m.date
     )"""
+_K = "CAST(substr(symbol, 2) AS INTEGER)"
+#: facts: actions with their factors, over unadjusted closes.
+_ACTIONS = f""",
+    unadjusted AS (
+      SELECT symbol, date, volume, close * CASE WHEN {_K} % 7 = 0 AND date < DATE '1995-06-17' THEN 2.0E0 ELSE 1 END
+        * CASE WHEN {_K} % 5 = 0 AND date < DATE '1996-03-01' + {_K} * 3 % 97 THEN 1.5E0 ELSE 1 END
+        * CASE WHEN {_K} % 10 = 0 AND date < DATE '1996-03-01' + {_K} * 3 % 97 THEN 2.5E0 ELSE 1 END * CASE WHEN {_K} % 13 = 0 AND date < DATE '1997-06-16' THEN 10.0E0 ELSE 1 END AS close
+      FROM raw_bars
+    ),
+    keys AS (SELECT CAST(s_suppkey AS INTEGER) AS k, 'S' || s_suppkey AS symbol FROM supplier),
+    acts AS (
+      SELECT symbol, DATE '1995-06-17' AS ex_date, 1.0E0 / 2 AS fixed, NULL::DOUBLE AS paid FROM keys WHERE k % 7 = 0
+      UNION ALL SELECT symbol, DATE '1996-03-01' + k * 3 % 97, 2.0E0 / 3, NULL FROM keys WHERE k % 5 = 0
+      UNION ALL SELECT symbol, DATE '1994-05-02' + k * 5 % 97, NULL, 1.5E0 FROM keys WHERE k % 3 = 0
+      UNION ALL SELECT symbol, DATE '1996-03-01' + k * 3 % 97, 2.0E0 / 5, NULL FROM keys WHERE k % 10 = 0
+    ),
+    priced AS (SELECT a.*, (SELECT arg_max(u.close, u.date) FROM unadjusted u WHERE u.symbol = a.symbol AND u.date < a.ex_date) AS before FROM acts a),
+    facts AS (SELECT symbol, CAST(ex_date AS DATE) AS ex_date, coalesce(fixed, 1 - paid / before) AS factor FROM priced WHERE coalesce(fixed, 1 - paid / before) > 0)"""
 _STAGED = "staged AS (SELECT symbol, CAST(DATE '1992-01-01' + CAST(CAST(substr(symbol, 2) AS INTEGER) % 2 * 30 AS INTEGER) AS DATE) AS new_date FROM universe WHERE CAST(substr(symbol, 2) AS INTEGER) % 3 <> 0)"
 _SYNCED = "synced AS (SELECT symbol, new_date IS NOT NULL AS matched, coalesce(new_date, listing_date) AS listing_date, new_date IS NOT NULL AND listing_date IS DISTINCT FROM new_date AS changed FROM universe LEFT JOIN staged USING (symbol))"
 _KEY = "CAST(substr(symbol, 2) AS INTEGER)"
@@ -411,6 +429,20 @@ _KEY = "CAST(substr(symbol, 2) AS INTEGER)"
 ORACLES: dict[str, str] = {
     "bars_daily": q(bars(), f"SELECT symbol, date, {r('open')}, {r('high')}, {r('low')}, {r('close')}, volume, {r('adj_close')} FROM raw_bars"),
     "bars_adjusted": q(bars(), f"SELECT symbol, date, {r('close')}, {r('high')}, {r('low')}, volume FROM adj"),
+    "bars_retro_adjusted": q(
+        bars() + _ACTIONS,
+        f"""SELECT symbol, date, {r('close', 6)}, round(close * coalesce((SELECT product(factor) FROM facts f WHERE f.symbol = u.symbol AND f.ex_date > u.date), 1), 6) + 0.0E0 AS adj_close FROM unadjusted u""",
+    ),
+    "action_factors": q(bars() + _ACTIONS, f"SELECT symbol, ex_date, {r('factor', 8)} FROM facts"),
+    "dq_large_moves": q(
+        bars() + _ACTIONS + """,
+    stepped AS (SELECT symbol, date, ln(close / lag(close) OVER w) AS move, lag(date) OVER w AS before, (row_number() OVER w - 1) // 63 AS block FROM unadjusted WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+    moves AS (SELECT *, move - coalesce((SELECT sum(ln(factor)) FROM facts f WHERE f.symbol = s.symbol AND f.ex_date > s.before AND f.ex_date <= s.date), 0) AS residual FROM stepped s),
+    medians AS (SELECT symbol, block, median(residual) AS median, count(residual) AS n FROM moves GROUP BY ALL),
+    spreads AS (SELECT m.symbol, m.block, any_value(median) AS median, median(abs(residual - median)) AS deviation FROM moves m JOIN medians d ON d.symbol = m.symbol AND d.block = m.block WHERE n >= 62 GROUP BY ALL)""",
+        f"""SELECT m.symbol, date, {r('move', 6)}, {r('residual', 6)}, NOT (abs(residual - median) > 8 * deviation AND abs(residual) > 0.1) AS explained
+FROM moves m JOIN spreads s ON s.symbol = m.symbol AND s.block + 1 = m.block WHERE deviation > 0 AND abs(move - median) > 8 * deviation AND abs(move) > 0.1""",
+    ),
     "bars_valid": q(
         bars(),
         f"SELECT symbol, count(*) AS n FROM raw_bars WHERE symbol NOT IN (SELECT symbol FROM raw_bars WHERE {_KEY} % 11 = 3 AND dayofmonth(date) = 7) GROUP BY symbol",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barlens.config import PERIODS, Score
 from barlens.operators import bars as B
-from barlens.operators import contraction, fundamentals, quality, score, stage, strength, trend, universe, volume
+from barlens.operators import actions, contraction, fundamentals, quality, score, stage, strength, trend, universe, volume
 from barlens.plans import testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,26 @@ def bars_adjusted(spark, sf):
     return adjusted(spark, sf).select("symbol", "date", r("close"), r("high"), r("low"), "volume")
 
 
+@register
+def bars_retro_adjusted(spark, sf):
+    """Closes on the scale of the last bar, by the corporate actions that came later."""
+    b = actions.retro_adjusted(testdata.unadjusted(spark, sf), testdata.actions(spark, sf))
+    return b.select("symbol", "date", r("close", 6), r("adj_close", 6))
+
+
+@register
+def action_factors(spark, sf):
+    """What each corporate action multiplies the prices before it by."""
+    return actions.factors(testdata.unadjusted(spark, sf), testdata.actions(spark, sf)).select("symbol", "ex_date", r("factor", 8))
+
+
+@register
+def dq_large_moves(spark, sf):
+    """Moves that are far out among those of the sessions before, and whether an action explains them."""
+    m = actions.large_moves(testdata.unadjusted(spark, sf), testdata.actions(spark, sf))
+    return m.select("symbol", "date", r("move", 6), r("residual", 6), "explained")
+
+
 @register
 def bars_valid(spark, sf):
     """Validity with a bad bar planted for every eleventh symbol: its other bars are rejected too."""

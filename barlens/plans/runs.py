@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from barlens.catalog import Catalog, upserted
 from barlens.config import PERIODS, Contraction, Fundamentals, Score, Stage, Strength, Trend, Volume
 from barlens.operators import bars as B
-from barlens.operators import contraction, fundamentals, quality, score, stage, strength, trend, universe, volume
+from barlens.operators import actions, contraction, fundamentals, quality, score, stage, strength, trend, universe, volume
 from barlens.sources import candles
 
 FIRST_DATE = "2018-01-01"
@@ -75,6 +75,27 @@ def _pending(catalog: Catalog, provider: candles.BarProvider) -> DataFrame:
     return universe.pending_backfill(catalog.read("universe"), catalog.read("provider_instruments").filter(F.col("provider") == provider.name), catalog.read("ohlcv_daily")).select("symbol")
 
 
+def record_actions(catalog: Catalog, found: DataFrame) -> dict[str, int]:
+    """Stores corporate actions that are new, and adjusts all bars of the symbols they are of; only bars whose
+    adjusted close changes are written, and their weeks derived anew. Recording them again changes nothing."""
+    columns = list(Catalog.schema("corporate_actions").names)
+    stored = catalog.read("corporate_actions")
+    same = [stored[c].eqNullSafe(F.col(f"_new.{c}")) for c in columns]
+    new = found.select(*columns).distinct().alias("_new").join(stored, same, "left_anti")
+    with catalog.staged(new) as rows:
+        if not (n := rows.count()):
+            return {"actions": 0, "bars_adjusted": 0}
+        catalog.append("corporate_actions", rows)
+        touched = rows.select("symbol").distinct()
+        bars = catalog.read("ohlcv_daily").join(touched, "symbol", "left_semi")
+        whole = actions.retro_adjusted(bars.withColumn("_was", F.col("adj_close")), catalog.read("corporate_actions").join(touched, "symbol", "left_semi"))
+        with catalog.staged(whole.filter(~F.col("_was").eqNullSafe(F.col("adj_close"))).drop("_was")) as changed:
+            if m := changed.count():
+                catalog.upsert("ohlcv_daily", changed)
+                resample(catalog, changed.select("symbol").distinct())
+    return {"actions": n, "bars_adjusted": m}
+
+
 def backfill_batch(catalog: Catalog, provider: candles.BarProvider, end_date: str, batch_size: int = 25) -> dict[str, Any]:
     """An update of the first symbols that lack bars, in alphabetical order."""
     if batch_size < 1:

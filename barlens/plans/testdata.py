@@ -82,3 +82,28 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~missing, F.col("cents") / 100.0).alias("revenue"), F.when(~missing, F.col("cents") / (F.col("n") * 1000.0)).alias("basic_eps"),
         F.lit("orders").alias("source"), missing.alias("fields_missing"), F.lit(False).alias("announcement_date_is_estimated"), "arrival",
     )
+
+
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corporate actions of supplier symbols: splits, bonuses, dividends, two on one date, and one that can't be read."""
+    key, day = F.col("s_suppkey"), lambda start, step: F.date_add(F.lit(start).cast("date"), (F.col("s_suppkey") * step % 97).cast("int"))
+    every = table(spark, sf_dir, "supplier")
+    parts = [
+        every.filter(key % 7 == 0).select(key, F.lit(SPLIT_DATE).cast("date").alias("ex_date"), F.lit("Split").alias("action_type"), F.lit("2:1").alias("ratio")),
+        every.filter(key % 5 == 0).select(key, day("1996-03-01", 3), F.lit("bonus"), F.lit("1:2")), every.filter(key % 3 == 0).select(key, day("1994-05-02", 5), F.lit("dividend"), F.lit("1.5")),
+        every.filter(key % 10 == 0).select(key, day("1996-03-01", 3), F.lit("split"), F.lit("5:2")), every.filter(key % 4 == 0).select(key, day("1997-01-07", 2), F.lit("split"), F.lit("none")),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.union(p)
+    return rows.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"), "ex_date", "action_type", "ratio")
+
+
+def unadjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars whose closes stand on the scale of their own time: those before the splits and bonuses of actions() are
+    higher, and those of every thirteenth symbol before a split that no action tells of."""
+    key = F.substring("symbol", 2, 10).cast("int")
+    start = F.date_add(F.lit("1996-03-01").cast("date"), (key * 3 % 97).cast("int"))
+    scale = F.when((key % 7 == 0) & (F.col("date") < SPLIT_DATE), 2.0).otherwise(1.0) * F.when((key % 5 == 0) & (F.col("date") < start), 1.5).otherwise(1.0)
+    scale = scale * F.when((key % 10 == 0) & (F.col("date") < start), 2.5).otherwise(1.0) * F.when((key % 13 == 0) & (F.col("date") < "1997-06-16"), 10.0).otherwise(1.0)
+    return bars(spark, sf_dir).select("symbol", "date", (F.col("close") * scale).alias("close"), "volume")

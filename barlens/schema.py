@@ -93,6 +93,7 @@ TABLES |= {
     "volume_symbols": Table(
         T.StructType([_OF_SYMBOL, T.StructField("recent", T.ArrayType(_struct("date date, close double, high double, low double, volume double, line double, place bigint")))]), ("symbol",)
     ),
+    "stream_seqs": Table(_struct("symbol string, date date, seq bigint"), ("symbol", "date"), "date"),
     "run_marks": Table(_struct("run string, mark string"), ("run",)),
 }
 

@@ -21,16 +21,22 @@ def bars_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
 
 def into_catalog(stream: DataFrame, catalog: Catalog, checkpoint: str, source: str = "stream", available_now: bool = True) -> StreamingQuery:
     """Upserts each micro-batch by key and derives the weeks it touches anew; a batch that is repeated after
-    a failure changes nothing more, so that each bar counts once."""
+    a failure changes nothing more, so that each bar counts once. Of what arrives for one symbol and date, in
+    whichever batch and order, the greatest seq stays: the seq of each stored bar is kept beside it, written after the bar."""
 
     def write(batch: DataFrame, _: int) -> None:
         rest = [c for c in batch.columns if c not in ("symbol", "date")]
-        last = batch.groupBy("symbol", "date").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("symbol", "date", "r.*")
-        accepted, _notes = B.split_valid(candles.normalised(last))
-        with catalog.staged(B.with_adjusted_close(accepted).withColumn("source", F.lit(source))) as staged:
-            if not staged.isEmpty():
-                catalog.upsert("ohlcv_daily", staged)
-                resample(catalog, staged.select("symbol").distinct())
+        last = batch.groupBy("symbol", "date").agg(F.max_by(F.struct(*rest), F.coalesce("seq", F.lit(-1))).alias("r")).select("symbol", "date", "r.*")
+        with catalog.staged(last.withColumn("_day", F.to_date("date"))) as rows:
+            known = catalog.read("stream_seqs", [str(y) for (y,) in rows.select(F.year("_day")).distinct().collect()])
+            newer = rows.join(known.select("symbol", F.col("date").alias("_day"), F.col("seq").alias("_known")), ["symbol", "_day"], "left")
+            newer = newer.filter("_known is null or seq > _known").drop("_known", "_day")
+            accepted, _notes = B.split_valid(candles.normalised(newer).join(newer.select("symbol", F.to_date("date").alias("date"), "seq"), ["symbol", "date"]))
+            with catalog.staged(B.with_adjusted_close(accepted).withColumn("source", F.lit(source))) as staged:
+                if not staged.isEmpty():
+                    catalog.upsert("ohlcv_daily", staged)
+                    resample(catalog, staged.select("symbol").distinct())
+                    catalog.upsert("stream_seqs", staged.select("symbol", "date", "seq"))
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

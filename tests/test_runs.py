@@ -326,6 +326,24 @@ def test_carried_state_is_not_used_where_the_past_changes(spark, catalog, tmp_pa
     assert table(catalog, "strength_symbols") == table(whole, "strength_symbols")
 
 
+def test_actions_adjust_the_bars_before_them_once(spark, catalog):
+    """A split, a bonus on the same date and a dividend; other symbols and years stay as they are."""
+    catalog.write("universe", universe(spark, "A", "B"))
+    long = bars(spark, [100.0] * 200 + [50.0] * 200, "A", dt.date(2022, 6, 15))
+    catalog.upsert("ohlcv_daily", long.unionByName(bars(spark, [10.0] * 30, "B", dt.date(2021, 6, 1))).withColumn("adj_close", F.col("close")))
+    runs.resample(catalog, catalog.read("ohlcv_daily").select("symbol").distinct())
+    split = dt.date(2022, 6, 15) + dt.timedelta(days=200)
+    found = spark.createDataFrame([("A", split, "SPLIT", "2:1"), ("A", dt.date(2023, 6, 1), "dividend", "5"), ("A", dt.date(2023, 6, 1), "bonus", "1:1"), ("A", split, "merger", "?"), ("Z", split, "split", "3:1")], "symbol string, ex_date date, action_type string, ratio string")
+    kept = catalog.newest("ohlcv_daily")
+    done = runs.record_actions(catalog, found)
+    assert done["actions"] == 5 and done["bars_adjusted"] == (dt.date(2023, 6, 1) - dt.date(2022, 6, 15)).days
+    rows = {r.date: r.adj_close for r in catalog.read("ohlcv_daily").filter("symbol = 'A'").collect()}
+    assert rows[dt.date(2022, 6, 15)] == pytest.approx(100 * 0.5 * 0.5 * 0.9) and rows[split] == pytest.approx(50 * 0.5 * 0.9) and rows[dt.date(2023, 6, 1)] == 50.0
+    assert catalog.newest("ohlcv_daily") == kept + 1 and catalog._current("ohlcv_daily")["2021"] == [kept]
+    assert catalog.read("ohlcv_weekly").filter("symbol = 'A'").orderBy("week_end_date").first().adj_close == pytest.approx(22.5)
+    assert runs.record_actions(catalog, found) == {"actions": 0, "bars_adjusted": 0} and catalog.newest("ohlcv_daily") == kept + 1
+
+
 def test_every_failed_symbol_is_noted(spark, catalog):
     names = [f"S{k:03}" for k in range(70)]
     catalog.write("universe", universe(spark, *names, "A"))
