@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.common import bound_batches, rows_to_arrow
+from barlens.llm.common import map_texts
 
 #: Ranks for each word of the lower bitmap, as a power of two; the upper bitmap is one word.
 LEAF_SHIFT = 8
@@ -179,49 +179,38 @@ def coder(vocab_path: str, pattern: str) -> BytePairs:
 def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes each whole text and decodes the ids again.
 
-    Returns one row per input row: the id column, ids_le32 (binary: the ids as little-endian unsigned
+    Returns one row per input row: the id column, of any type, ids_le32 (binary: the ids as little-endian unsigned
     32-bit integers) and decoded (binary: the bytes that these ids stand for). A null text counts as
     empty and gives empty results; a null id is passed on; repeated rows give repeated results; other
     columns of docs are not read. An empty table gives an empty table. vocab_path must exist on each executor.
     """
-    bound_batches(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(ids: list, texts: list) -> tuple[list[bytes], list[bytes]]:
         c = coder(vocab_path, pattern)
         packed = [c.encode_packed(t) if t else b"" for t in texts]
         return packed, [c.decode_packed(p) for p in packed]
 
-    schema = pa.schema([("doc_id", pa.int64()), ("ids_le32", pa.binary()), ("decoded", pa.binary())])
-    frame = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    out = frame.mapInArrow(rows_to_arrow(run, schema), "doc_id bigint, ids_le32 binary, decoded binary")
-    return out.select(F.col("doc_id").cast(id_type).alias(id_col), "ids_le32", "decoded")
+    return map_texts(docs, id_col, text_col, run, [("ids_le32", pa.binary()), ("decoded", pa.binary())])
 
 
 def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id column and ids (array of int) of each text; nulls and repeats as in encode_decode."""
-    bound_batches(docs.sparkSession)
 
     def run(ids: list, texts: list) -> tuple[list]:
         c = coder(vocab_path, pattern)
         return ([np.frombuffer(c.encode_packed(t or ""), "<u4").astype("i4") for t in texts],)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    frame = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return frame.mapInArrow(rows_to_arrow(run, schema), "doc_id bigint, ids array<int>").withColumnRenamed("doc_id", id_col)
+    return map_texts(docs, id_col, text_col, run, [("ids", pa.list_(pa.int32()))])
 
 
 def decode(encoded: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """The id column and decoded (binary) of each list of ids; a null list gives empty bytes, an unknown id raises."""
-    bound_batches(encoded.sparkSession)
 
     def run(ids: list, lists: list) -> tuple[list[bytes]]:
         c = coder(vocab_path, pattern)
         return ([c.decode(x or ()) for x in lists],)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("decoded", pa.binary())])
-    frame = encoded.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).alias("ids"))
-    return frame.mapInArrow(rows_to_arrow(run, schema), "doc_id bigint, decoded binary").withColumnRenamed("doc_id", id_col)
+    return map_texts(encoded, id_col, ids_col, run, [("decoded", pa.binary())])
 
 
 def digests(docs: DataFrame, vocab_path: str, pattern: str) -> DataFrame:

@@ -95,40 +95,55 @@ def addresses_differ(spark: SparkSession, path: str) -> bool:
     return spark.read.parquet(f"{path}/payloads").groupBy("address").count().filter("count > 1").isEmpty()
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of an archive, rebuilt: page_id, record_type, refers_to (the id of the response that a
-    revisit refers to), target, payload (of revisits too), payload_bytes, payload_digest (bare base32 SHA-1,
-    of the stored bytes), warc_header, http_header and record (the exact bytes of the record).
-
-    A payload whose bytes don't have the digest they are stored under, or the one its record's header
-    states, raises an error. What is not selected is not read: without payload and record, only digests
-    of the payloads meet the headers in the join.
-    """
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """(address, payload, payload_bytes, payload_digest) of the stored bytes, which are verified as they are read."""
     stored = spark.read.parquet(f"{path}/payloads")
     verified = F.when(F.sha2("payload", 256) == F.col("address"), F.col("address")).otherwise(
         F.raise_error(F.concat(F.lit("a stored payload does not have the digest "), F.col("address")))
     )
-    stored = stored.select(
-        verified.alias("address"), "payload", F.octet_length("payload").cast("bigint").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest")
-    )
-    head = spark.read.parquet(f"{path}/headers").select(
+    return stored.select(verified.alias("address"), "payload", F.octet_length("payload").cast("bigint").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"))
+
+
+def _heads(spark: SparkSession, path: str) -> DataFrame:
+    """The headers of all records and what they say."""
+    return spark.read.parquet(f"{path}/headers").select(
         "page_id", "address", "warc_header", "http_header",
         F.regexp_extract("warc_header", r"\nWARC-Type: ([a-z]+)\r", 1).alias("record_type"),
         F.nullif(F.regexp_extract("warc_header", r"\nWARC-Refers-To: <urn:page:(-?\d+):\d+>\r", 1), F.lit("")).cast("bigint").alias("refers_to"),
         F.regexp_extract("warc_header", r"\nWARC-Target-URI: ([^\r]*)\r", 1).alias("target"),
         F.regexp_extract("warc_header", r"\nWARC-Payload-Digest: sha1:([A-Z2-7]+)\r", 1).alias("stated"),
     )
+
+
+def _record(body: Column) -> Column:
+    return F.concat(F.encode("warc_header", "UTF-8"), F.encode("http_header", "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8")).alias("record")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The records of an archive, rebuilt: page_id, record_type, refers_to (the id of the response that a
+    revisit refers to), target, payload (of revisits too), payload_bytes, payload_digest (bare base32 SHA-1,
+    of the stored bytes), warc_header, http_header and record (the exact bytes of the record).
+
+    A payload whose bytes don't have the digest they are stored under, or the one its record's header
+    states, raises an error. What is not selected is not read: without payload and record, only digests
+    of the payloads meet the headers in the join.
+    """
     digest = F.when(F.col("payload_digest") == F.col("stated"), F.col("payload_digest")).otherwise(
         F.raise_error(F.concat(F.lit("a payload does not have the digest of its record, "), F.col("stated")))
     )
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.encode(F.lit(""), "UTF-8"))
-    end = F.encode(F.lit("\r\n\r\n"), "UTF-8")
-    return _joined(head, stored).select(
-        "page_id", "record_type", "refers_to", "target", "payload", "payload_bytes", digest.alias("payload_digest"), "warc_header", "http_header",
-        F.concat(F.encode("warc_header", "UTF-8"), F.encode("http_header", "UTF-8"), body, end).alias("record"),
+    return _joined(_heads(spark, path), _stored(spark, path)).select(
+        "page_id", "record_type", "refers_to", "target", "payload", "payload_bytes", digest.alias("payload_digest"), "warc_header", "http_header", _record(body),
     )
 
 
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """(record): the exact bytes of each record. Only responses meet their payloads; a revisit's block has none."""
+    heads = _heads(spark, path)
+    responses = _joined(heads.filter("record_type = 'response'"), _stored(spark, path)).select(_record(F.col("payload")))
+    return responses.unionByName(heads.filter("record_type <> 'response'").select(_record(F.encode(F.lit(""), "UTF-8"))))
+
+
 def parse(records: DataFrame) -> DataFrame:
     """What the bytes of each record (column record) say: page_id (of its record id), record_type, refers_to, target,
     payload_bytes (the length that its HTTP header states), payload_digest (as stated) and payload (null for
@@ -168,7 +183,7 @@ def digests(pages: DataFrame) -> DataFrame:
     as parsed from their bytes."""
     spark = pages.sparkSession
     write(pages, path := scratch(spark, "warc"))
-    return parse(read(spark, path).select("record")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return parse(records(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
