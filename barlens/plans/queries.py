@@ -641,13 +641,22 @@ def fund_upsert(spark, sf):
     return whole.select("symbol", "quarter_end", r("eps", 8), r("eps_yoy_growth"), r("sales_yoy_growth"))
 
 
-def _lines(spark, sf, name: str, line: Column, header: str | None = None) -> str:
-    """The path of text files with a line for each supplier, after a header."""
-    path = testdata.folder(spark, name)
-    rows = testdata.table(spark, sf, "supplier").withColumn("key", F.col("s_suppkey").cast("string")).select(line.alias("value"))
-    if header is not None:  # a small listing of instruments is one file, as its source sends it
-        rows = rows.agg(F.concat(F.lit(header + "\n"), F.array_join(F.array_sort(F.collect_list("value")), "\n")).alias("value"))
-    rows.write.text(path)
+def _suppliers(spark, sf, name: str) -> tuple[DataFrame, str]:
+    """The suppliers with their key as text, and the path of files to write."""
+    return testdata.table(spark, sf, "supplier").withColumn("key", F.col("s_suppkey").cast("string")), testdata.folder(spark, name)
+
+
+def _lines(spark, sf, name: str, line: Column) -> str:
+    """The path of text files with a line for each supplier."""
+    rows, path = _suppliers(spark, sf, name)
+    rows.select(line.alias("value")).write.text(path)
+    return path
+
+
+def _table(spark, sf, name: str, **columns: Column) -> str:
+    """The path of CSV files, each with a header, with a line for each supplier; blanks stay as they are."""
+    rows, path = _suppliers(spark, sf, name)
+    rows.select(*(c.alias(k) for k, c in columns.items())).write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return path
 
 
@@ -657,8 +666,8 @@ def listing_constituents(spark, sf):
     from barlens.sources.listings import constituents
 
     key = F.col("key")
-    line = F.concat(F.lit("Company "), key, F.when(F.col("s_suppkey") % 3 == 0, ", s").otherwise(",S"), F.when(F.col("s_suppkey") % 7 == 0, "1 ").otherwise(key))
-    return constituents(spark, _lines(spark, sf, "constituents", line, " Company Name ,Symbol"), 1, 1 << 30)
+    symbol = F.concat(F.when(F.col("s_suppkey") % 3 == 0, " s").otherwise("S"), F.when(F.col("s_suppkey") % 7 == 0, "1 ").otherwise(key))
+    return constituents(spark, _table(spark, sf, "constituents", **{" Company Name ": F.concat(F.lit("Company "), key), "Symbol": symbol}), 1, 1 << 30)
 
 
 @register
@@ -667,8 +676,8 @@ def listing_master(spark, sf):
     from barlens.sources.listings import equity_master
 
     day = F.upper(F.date_format(F.date_add(F.lit("1992-01-01").cast("date"), (F.col("s_suppkey") * 37 % 900).cast("int")), "dd-MMM-yyyy"))
-    series = F.element_at(F.array(F.lit("EQ"), F.lit("BE"), F.lit("SM")), (F.col("s_suppkey") % 3 + 1).cast("int"))
-    return equity_master(spark, _lines(spark, sf, "master", F.concat(F.lit("s"), F.col("key"), F.lit(", "), series, F.lit(","), day), "SYMBOL, SERIES, DATE OF LISTING"))
+    series = F.element_at(F.array(F.lit(" EQ"), F.lit(" BE"), F.lit(" SM")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    return equity_master(spark, _table(spark, sf, "master", **{"SYMBOL": F.concat(F.lit("s"), F.col("key")), " SERIES": series, " DATE OF LISTING": day}))
 
 
 @register
