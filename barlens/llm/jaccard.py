@@ -4,12 +4,14 @@ All shingles have one order, rare ones first (counts of hash buckets over all do
 enough share one of the few first shingles of each, which are indexed with the set's size and the shingle's
 position. What is computed for one set is used for others like it:
 
-* Of the sets that stand under a shingle, those of like size are first compared with one of them, their leader. Sets
+* Of the sets that stand under a shingle, those of like size are first compared with a few of them, their leaders. Sets
   linked to a leader, or to leaders that have members in common, get one label and aren't compared any more.
 * Between sets of different labels, what stands under a shingle is grouped to blocks of one label, size and position.
   Size and position bound what two sets can share, and a pair of blocks beyond the bound is skipped whole.
-* A pair that is left takes the answers of a leader that both were compared with: their symmetric differences from
-  it bound the pair's from both sides. Only where the bounds leave it open are the two sets compared.
+* A set's home is the set near it that most are near to. The answers of sets of one home are derived from their
+  differences from it, which are small and known: these alone say how far apart two such sets are, and only sets whose
+  differences have something in common can be linked without both being linked to the home. Only sets of different homes
+  are compared as a whole.
 
 Sets go by 128-bit names (XXH3) of their shingles' 128-bit names, and sizes are counted on the shingles themselves; two
 sets are compared by the first 64 bits of their shingles' names, which are distinct within a set but for a chance of 3 in 10^8
@@ -19,6 +21,7 @@ in a set of a million shingles.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from barlens.llm.common import BROADCAST_BYTES, bound_batches, cut, map_texts, semi, spread_join
+from barlens.llm.common import BROADCAST_BYTES, bound_batches, cut, map_texts, spread_join
 from barlens.llm.graph import components
 
 SHINGLE_WORDS, PERCENT = 3, 90
-BUCKET_BITS, SLOTS = 18, 64  # of the counts that order shingles
+BUCKET_BITS, SLOTS = 20, 64  # of the counts that order shingles
+TOKEN_BYTES = 24  # of a number in a broadcast table
+LEADERS = 8  # of the sets under one shingle
+NEAR = 4  # sets that differ in no more than such a part of both sizes can share a home
 CHUNK = 256  # sets that are compared with one copy of a hub
 SIDE_BYTES = 96  # of a row of numbers, and at most of a short id, when it is broadcast
 
@@ -84,7 +90,7 @@ def profiles(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
         if id_type is not None:
             slots = np.split(counts, SLOTS)
             none = [pa.nulls(SLOTS, t) for t in (id_type, *(t for _, t in fields[:3]))]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLOTS), pa.int32()), pa.array([s.tobytes() for s in slots])], schema=pa.schema([("doc_id", id_type), *fields]))
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLOTS), pa.int32()), pa.array([zlib.compress(s.tobytes(), 1) for s in slots])], schema=pa.schema([("doc_id", id_type), *fields]))
 
     return docs.mapInArrow(run, made)
 
@@ -96,7 +102,7 @@ def _bucket_counts(profiled: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for slot, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums[slot] = sums.get(slot, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
+                sums[slot] = sums.get(slot, 0) + np.frombuffer(zlib.decompress(counts), np.int32).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["slot", "counts"])
 
     slots = profiled.filter("slot is not null").select("slot", "counts").repartition(SLOTS, "slot")
@@ -143,42 +149,45 @@ def within(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Colu
 
 
 def _leads(entries: DataFrame, percent: int) -> DataFrame:
-    """(x, y): each set with the leaders, under each of its shingles, of its band and the one before; once."""
+    """(x, y): each set with the leaders, under each of its shingles, of its band and the one before; once. The leaders of a
+    shingle and band are LEADERS at most, the sets of the least of as many hashes, so that lists of like sets have the same."""
     banded = entries.withColumn("band", band(F.col("n"), percent))
-    leader = F.min(F.struct(F.xxhash64("cid").alias("h"), F.col("cid").alias("y"), F.col("n").alias("n2"), F.col("pos").alias("p2")))
-    leaders = banded.groupBy("token", "band").agg(leader.alias("l")).select("token", "band", "l.y", "l.n2", "l.p2")
+    least = [F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), F.col("cid").alias("y"), F.col("n").alias("n2"), F.col("pos").alias("p2"))) for k in range(LEADERS)]
+    chosen = F.array_distinct(F.transform(F.array(*least), lambda s: s.dropFields("h")))
+    leaders = banded.groupBy("token", "band").agg(chosen.alias("l"))
     asking = banded.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    met = spread_join(asking, leaders, ["token", "band"]).filter((F.col("cid") != F.col("y")) & within(F.col("n"), F.col("pos"), F.col("n2"), F.col("p2"), percent))
+    met = spread_join(asking, leaders, ["token", "band"]).select("cid", "n", "pos", F.inline("l"))
+    met = met.filter((F.col("cid") != F.col("y")) & within(F.col("n"), F.col("pos"), F.col("n2"), F.col("p2"), percent))
     return met.select(F.least("cid", "y").alias("x"), F.greatest("cid", "y").alias("y")).distinct()
 
 
 def _shared_by(entries: DataFrame, what: str) -> DataFrame:
     """Entries of the shingles that stand under several values of a column."""
     several = cut(entries.groupBy("token").agg(F.min(what).alias("c0"), F.max(what).alias("c1")).filter("c0 <> c1").select("token"))
-    return cut(semi(entries, several, "token", several.count()))
+    small = several.count() * TOKEN_BYTES < BROADCAST_BYTES
+    return cut(entries.join(F.broadcast(several) if small else several.hint("shuffle_merge"), "token", "left_semi"))
 
 
 def _across(entries: DataFrame, percent: int) -> DataFrame:
-    """(x, y, n1, n2): pairs of sets of different components (column comp) that share a shingle within the bounds, with
+    """(x, y, n1, n2): pairs of sets of different labels (column comp) and homes that share a shingle within the bounds, with
     their sizes; once."""
-    entries = _shared_by(entries.withColumn("band", band(F.col("n"), percent)), "comp")
-    blocks = entries.select("token", "comp", "n", "pos", "band").distinct()
-    left = blocks.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("comp").alias("c1"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
-    right = blocks.select("token", "band", F.col("comp").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
+    entries = _shared_by(_shared_by(entries.withColumn("band", band(F.col("n"), percent)), "comp"), "home")
+    blocks = entries.select("token", "comp", "home", "n", "pos", "band").distinct()
+    left = blocks.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("comp").alias("c1"), F.col("home").alias("h1"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
+    right = blocks.select("token", "band", F.col("comp").alias("c2"), F.col("home").alias("h2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
     order = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("c1") < F.col("c2")))
-    met = left.hint("shuffle_merge").join(right, ["token", "band"]).filter((F.col("c1") != F.col("c2")) & order & within(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent)).drop("band")
+    met = left.hint("shuffle_merge").join(right, ["token", "band"]).filter((F.col("c1") != F.col("c2")) & (F.col("h1") != F.col("h2")) & order & within(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent)).drop("band")
     for k, side in (("1", "x"), ("2", "y")):
-        of = entries.select("token", F.col("comp").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}"), F.col("cid").alias(side))
-        met = met.join(of, ["token", f"c{k}", f"n{k}", f"p{k}"])
+        of = entries.select("token", F.col("comp").alias(f"c{k}"), F.col("home").alias(f"h{k}"), F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}"), F.col("cid").alias(side))
+        met = met.join(of, ["token", f"c{k}", f"h{k}", f"n{k}", f"p{k}"])
     pair = F.array_sort(F.array(F.struct(F.col("x").alias("c"), F.col("n1").alias("n")), F.struct(F.col("y").alias("c"), F.col("n2").alias("n"))))
     return met.select(pair.alias("p")).select(*(F.col("p")[k][f].alias(a) for a, k, f in (("x", 0, "c"), ("y", 1, "c"), ("n1", 0, "n"), ("n2", 1, "n")))).distinct()
 
 
-def _compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(x, y, n1, n2, apart): the size of the symmetric difference of each pair. sets has (cid, doc_id, k0, k1, n).
-
-    Of a pair, the set that has more pairs is the hub. The other's shingles are sent to it, and its own once to each
-    CHUNK of them, so that a hub of very many pairs is split, and what moves is about one set for each pair."""
+def _sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cid, hub, chunk, role, and what sets has of cid): of a pair, the set that has more pairs is the hub (role 0). The
+    other (role 1) goes to it, and a hub goes once to each CHUNK of the others, so that a hub of very many pairs is
+    split, and what moves is about one set for each pair."""
     degrees = pairs.select(F.explode(F.array("x", "y")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("degree"))
     both = pairs.select("x", "y")
     for side in ("x", "y"):
@@ -187,11 +196,62 @@ def _compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int) ->
     hub, other = F.when(first, F.col("x")).otherwise(F.col("y")), F.when(first, F.col("y")).otherwise(F.col("x"))
     chunk = F.pmod(F.xxhash64(other), F.ceil(F.greatest("dx", "dy") / CHUNK))
     both = cut(both.select(hub.alias("hub"), other.alias("other"), chunk.alias("chunk")))
-    sides = both.select(F.col("hub").alias("cid"), "hub", "chunk", F.lit(0).alias("role")).distinct().unionByName(both.select(F.col("other").alias("cid"), "hub", "chunk", F.lit(1).alias("role")))
-    sides = cut(spread_join(sides, sets.select("cid", F.col("doc_id").alias("_id"), "k0", "k1", "n"), ["cid"]))
+    hubs = both.select(F.col("hub").alias("cid"), "hub", "chunk", F.lit(0).alias("role")).distinct()
+    return spread_join(hubs.unionByName(both.select(F.col("other").alias("cid"), "hub", "chunk", F.lit(1).alias("role"))), sets, ["cid"])
+
+
+def _met(sides: DataFrame, compare) -> DataFrame:
+    """(x, y, n1, n2, value, delta): what compare gives, a number and bytes or None, of both sets (column packed, sizes n) of
+    each pair of sides; rows that repeat count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, size, of_hub, done = None, 0, np.zeros(0, np.uint64), None
+        for batch in batches:  # by hub and chunk, the hub before the others
+            out = []
+            for h, c, role, cid, n, packed in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if role == 0:
+                    group, size, of_hub = (h, c), n, np.frombuffer(packed, np.uint64)
+                elif group == (h, c) and done != (h, c, cid):
+                    done = (h, c, cid)
+                    x, y, n1, n2 = (h, cid, size, n) if h < cid else (cid, h, n, size)
+                    out.append((x, y, n1, n2, *compare(of_hub, np.frombuffer(packed, np.uint64), size, n)))
+            numbers = [pa.array([o[k] for o in out], pa.int64()) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([*numbers, pa.array([o[5] for o in out], pa.binary())], names=["x", "y", "n1", "n2", "value", "delta"])
+
+    dealt = sides.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role", "cid").select("hub", "chunk", "role", "cid", "n", "packed")
+    return dealt.mapInArrow(run, "x long, y long, n1 long, n2 long, value long, delta binary")
+
+
+def _possible(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) of which the first shingles allow a link. Of two sets, all of the first shingles of one that the other
+    has are among the other's first ones too (of the one whose last of these comes earlier in the order); what they
+    share beyond is at most what is left of it."""
+
+    def compare(a: np.ndarray, b: np.ndarray, n1: int, n2: int) -> tuple[int, None]:
+        shared = len(np.intersect1d(a, b))
+        return int(shared + max(n1 - len(a), n2 - len(b)) >= -(-percent * (n1 + n2) // (100 + percent))), None
+
+    return _met(_sides(pairs, sets.select("cid", "n", "tokens")).transform(_pack_tokens), compare).filter("value = 1").select("x", "y")
+
+
+def _pack_tokens(frame: DataFrame) -> DataFrame:
+    """tokens as packed bytes, as _met() reads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [np.asarray(t, np.int64).tobytes() for t in batch.column("tokens").to_pylist()]
+            kept = [c for c in batch.schema.names if c != "tokens"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(packed, pa.binary())], names=[*kept, "packed"])
+
+    return frame.mapInArrow(run, "cid long, hub long, chunk long, role int, n long, packed binary")
+
+
+def _compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(x, y, n1, n2, apart, delta): the size of the symmetric difference of each pair, and the difference itself where it is
+    not a large part of both. sets has (cid, doc_id, k0, k1, n)."""
+    sides = cut(_sides(pairs, sets.select("cid", F.col("doc_id").alias("_id"), "k0", "k1", "n")))
     small = sides.count() * SIDE_BYTES < BROADCAST_BYTES
     texts = docs.join(F.broadcast(sides) if small else sides.hint("shuffle_merge"), F.col("doc_id") == F.col("_id"))
-
     kept = ["hub", "chunk", "role", "cid", "n"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,42 +268,51 @@ def _compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int) ->
                         rows.append(k)
                         packed.append(found)
                 own = part.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*own.columns[:5], pa.array(packed, pa.binary())], names=[*kept, "names"])
+                yield pa.RecordBatch.from_arrays([*own.columns[:5], pa.array(packed, pa.binary())], names=[*kept, "packed"])
 
-    made = texts.select(*kept, "text", "k0", "k1").mapInArrow(read, "hub long, chunk long, role int, cid long, n long, names binary")
+    made = texts.select(*kept, "text", "k0", "k1").mapInArrow(read, "hub long, chunk long, role int, cid long, n long, packed binary")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, size, of_hub, done = None, 0, np.zeros(0, np.uint64), None
-        for batch in batches:  # by hub and chunk, the hub before the others; rows that repeat an id come again
-            out = []
-            for h, c, role, cid, n, packed in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if role == 0:
-                    group, size, of_hub = (h, c), n, np.frombuffer(packed, np.uint64)
-                elif group == (h, c) and done != (h, c, cid):
-                    done = (h, c, cid)
-                    out.append((h, cid, size, n, len(np.setxor1d(of_hub, np.frombuffer(packed, np.uint64), assume_unique=True))))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(5)], names=["hub", "other", "n1", "n2", "apart"])
+    def compare(a: np.ndarray, b: np.ndarray, n1: int, n2: int) -> tuple[int, bytes | None]:
+        differing = np.setxor1d(a, b, assume_unique=True)
+        return len(differing), differing.tobytes() if len(differing) * NEAR <= n1 + n2 else None
 
-    dealt = made.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role", "cid")
-    got = dealt.mapInArrow(compare, "hub long, other long, n1 long, n2 long, apart long")
-    in_order = F.col("hub") < F.col("other")
-    return cut(got.select(
-        F.least("hub", "other").alias("x"), F.greatest("hub", "other").alias("y"), F.when(in_order, F.col("n1")).otherwise(F.col("n2")).alias("n1"), F.when(in_order, F.col("n2")).otherwise(F.col("n1")).alias("n2"), "apart",
-    ))
+    return cut(_met(made, compare).withColumnRenamed("value", "apart"))
 
 
 def _linked(apart: Column, percent: int) -> Column:
     return apart * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent)
 
 
-def _derived(pairs: DataFrame, leads: DataFrame) -> DataFrame:
-    """(x, y, n1, n2, lower, upper): what the differences from a common leader, if there is one, say about a pair."""
-    known = leads.select("x", "y", "apart").unionByName(leads.select(F.col("y").alias("x"), F.col("x").alias("y"), "apart"))
-    known = known.unionByName(pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).distinct().select("x", F.col("x").alias("y"), F.lit(0).cast("long").alias("apart")))
-    by = known.select(F.col("x").alias("a"), F.col("y").alias("leader"), "apart")
-    bounds = pairs.select("x", "y").join(by.withColumnsRenamed({"a": "x", "apart": "d1"}), "x").join(by.withColumnsRenamed({"a": "y", "apart": "d2"}), ["y", "leader"])
-    bounds = bounds.groupBy("x", "y").agg(F.max(F.abs(F.col("d1") - F.col("d2"))).alias("lower"), F.min(F.col("d1") + F.col("d2")).alias("upper"))
-    return pairs.join(bounds, ["x", "y"], "left")
+def _homes(leads: DataFrame) -> DataFrame:
+    """(cid, home, n, delta): of the sets that a set was found near to, the one that most are near to, and the difference from it."""
+    near = cut(leads.filter("delta is not null").select("x", "y", "n1", "n2", "delta"))
+    both = near.select(F.col("x").alias("cid"), F.col("y").alias("home"), F.col("n1").alias("n"), "delta").unionByName(near.select(F.col("y").alias("cid"), F.col("x").alias("home"), F.col("n2").alias("n"), "delta"))
+    degrees = both.groupBy("home").agg(F.count(F.lit(1)).alias("degree"))
+    return spread_join(both, degrees, ["home"]).groupBy("cid").agg(F.max(F.struct("degree", "home", "n", "delta")).alias("h")).select("cid", "h.home", "h.n", "h.delta")
+
+
+def _at_home(homes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(x, y): the links between sets of one home and different labels.
+
+    With d the differences from the home, two sets are |d1| + |d2| - 2 |d1 and d2| apart. If d1 and d2 share nothing, a
+    link is one to the home as well, and the sets have one label. So only sets whose differences share a shingle are
+    looked at, under each of these, and how many they share says how far apart they are: no set is read again."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [np.frombuffer(d, np.int64) for d in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(packed, pa.list_(pa.int64()))], names=["cid", "home", "n", "label", "d"])
+
+    placed = spread_join(homes, labels, ["cid"], "left").withColumn("label", F.coalesce("label", "cid"))
+    rows = placed.select("cid", "home", "n", "label", "delta").mapInArrow(unpack, "cid long, home long, n long, label long, d array<long>")
+    rows = rows.select("cid", "home", "n", "label", F.size("d").alias("size"), F.explode("d").alias("token"))
+    several = cut(rows.groupBy("home", "token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("home", "token"))
+    rows = cut(spread_join(rows, several, ["home", "token"]))
+    left, right = (rows.select("home", "token", *(F.col(c).alias(f"{c}{k}") for c in ("cid", "n", "label", "size"))) for k in (1, 2))
+    allowed = (F.col("n1") + F.col("n2")) * (100 - percent)
+    met = left.hint("shuffle_merge").join(right, ["home", "token"]).filter((F.col("cid1") < F.col("cid2")) & (F.col("label1") != F.col("label2")) & (F.abs(F.col("size1") - F.col("size2")) * (100 + percent) <= allowed))
+    shared = met.groupBy("cid1", "cid2", "n1", "n2", "size1", "size2").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.filter((F.col("size1") + F.col("size2") - 2 * F.col("shared")) * (100 + percent) <= allowed).select(F.col("cid1").alias("x"), F.col("cid2").alias("y"))
 
 
 def _labels(links: DataFrame, hops: int = 2) -> DataFrame:
@@ -261,16 +330,16 @@ def connected(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> Dat
     """(cid, root) of sets (cid, doc_id, k0, k1, n, tokens): the least set that is reached over links. Sets without any
     may be left out."""
     entries = _shared_by(sets.select("cid", "n", F.posexplode("tokens").alias("pos", "token")), "cid")
-    sets = sets.drop("tokens")
-    leads = _compared(docs, sets, cut(_leads(entries, percent)), words)
+    with_tokens, sets = sets, sets.drop("tokens")
+    asked = cut(_leads(entries, percent))
+    leads = _compared(docs, sets, cut(_possible(with_tokens, asked, percent)), words)
     labels = _labels(leads.filter(_linked(F.col("apart"), percent)))
+    homes = cut(_homes(leads))
     placed = spread_join(entries, labels, ["cid"], "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
-    pairs = cut(_across(placed, percent).join(leads.select("x", "y"), ["x", "y"], "left_anti"))
-    derived = cut(_derived(pairs, leads))
-    sure = _linked(F.col("upper"), percent)
-    open_ = derived.filter(F.coalesce(~sure & _linked(F.col("lower"), percent), F.lit(True))).select("x", "y")
-    compared = _compared(docs, sets, cut(open_), words)
-    linked = leads.filter(_linked(F.col("apart"), percent)).select("x", "y").unionByName(derived.filter(sure).select("x", "y")).unionByName(compared.filter(_linked(F.col("apart"), percent)).select("x", "y"))
+    placed = spread_join(placed, homes.select("cid", "home"), ["cid"], "left").withColumn("home", F.coalesce("home", "cid"))
+    pairs = cut(_across(placed, percent).select("x", "y").join(asked, ["x", "y"], "left_anti"))
+    compared = _compared(docs, sets, cut(_possible(with_tokens, pairs, percent)), words)
+    linked = leads.unionByName(compared).filter(_linked(F.col("apart"), percent)).select("x", "y").unionByName(_at_home(homes, labels, percent))
     # of labels only: most links are within one
     for side in ("x", "y"):
         linked = spread_join(linked, labels.withColumnRenamed("cid", side), [side], "left").withColumn(side, F.coalesce("label", side)).drop("label")

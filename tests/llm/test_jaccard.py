@@ -83,11 +83,26 @@ def test_copies_and_near_copies_make_no_pairs_of_all(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     found = jaccard.prefixes(docs, jaccard._bucket_counts(jaccard.profiles(docs)), 3, 90)
     entries = found.withColumn("cid", F.col("doc_id")).select("cid", "n", F.posexplode("tokens").alias("pos", "token")).persist()
-    assert jaccard._leads(entries, 90).count() < 12 * n
-    assert jaccard._across(entries.withColumn("comp", F.lit(1).cast("long")), 90).isEmpty()
+    assert jaccard._leads(entries, 90).count() <= 2 * jaccard.LEADERS * n
+    one = F.lit(1).cast("long")
+    assert jaccard._across(entries.withColumns({"comp": one, "home": F.col("cid")}), 90).isEmpty()
+    assert jaccard._across(entries.withColumns({"comp": F.col("cid"), "home": one}), 90).isEmpty()
     assert {r[2] for r in rows_of(jaccard.groups(docs))} == {0}
 
 
+def test_sets_of_one_home_by_their_differences(spark):
+    """Sets too far from their home to be linked to it, some of which are linked with each other."""
+    chance, n = random.Random(12), 120
+    base, rows = [f"b{k}" for k in range(120)], []
+    for k in range(n):
+        w = list(base)
+        for at in chance.sample(range(0, 120, 6), 3):
+            w[at] = f"x{chance.randint(0, 1)}"
+        rows.append((k, " ".join(w)))
+    rows.append((500, " ".join(base)))
+    assert rows_of(jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == expected(rows)
+
+
 def test_bands_of_sets_that_can_be_linked_are_neighbours(spark):
     sizes = spark.range(1, 3000).select(F.col("id").alias("n1"), F.ceil(F.col("id") * 10 / 9).alias("top"))
     far = sizes.select("n1", F.floor(F.col("n1") * 10 / 9).alias("n2")).filter(jaccard.band(F.col("n2"), 90) - jaccard.band(F.col("n1"), 90) > 1)
