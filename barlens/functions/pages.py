@@ -103,7 +103,7 @@ class _Quarters(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        text = data.strip()
+        text = " ".join(data.split())  # of any white space, as a label is compared
         if not text or self.section is None or any(t in SILENT for t in self.open[-1:]):
             return
         self.said.append(text)
