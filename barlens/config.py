@@ -62,10 +62,12 @@ class Stage:
 
 @dataclass(frozen=True)
 class Strength:
-    """Lookbacks in market sessions with their weights."""
+    """Lookbacks in market sessions with their weights. positive: closes of zero or less are left out; else they count,
+    and what is divided by zero is infinite or not a number."""
 
     lookbacks: tuple[tuple[int, float], ...] = ((63, 0.4), (126, 0.2), (189, 0.2), (252, 0.2))
     pad_gaps: bool = True
+    positive: bool = True
 
     def __post_init__(self) -> None:
         if any(k <= 0 for k, _ in self.lookbacks):

@@ -24,6 +24,12 @@ def from_end(w: Window) -> Column:
     return F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - F.row_number().over(w) + 1
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles as they divide without errors: over zero infinite, or not a number where a is zero."""
+    over_zero = F.when((a == 0) | F.isnan(a), float("nan")).when(a > 0, float("inf")).when(a < 0, float("-inf"))
+    return F.coalesce(F.try_divide(a, b), F.when(b == 0, over_zero))
+
+
 def adjusted(bars: DataFrame, universe: DataFrame | None = None, on: str = "date") -> DataFrame:
     """(symbol, date, close, high, low, volume) with prices on the scale of adj_close, of active symbols only.
 
@@ -43,9 +49,9 @@ def active_only(frame: DataFrame, universe: DataFrame) -> DataFrame:
     return frame.join(universe.filter("is_active").select("symbol"), "symbol", "left_semi")
 
 
-def normalised(bars: DataFrame, *, volume: bool = True, arrival: str | None = None) -> DataFrame:
+def normalised(bars: DataFrame, *, volume: bool = True, arrival: str | None = None, positive: bool = True) -> DataFrame:
     """Numbers cast (what can't be is null), the last row of each symbol and date kept, rows without a
-    positive price (and a volume of zero or more) dropped. The last row is that with the greatest arrival, and
+    positive price (unless positive is false: a price of zero or more) and a volume of zero or more dropped. The last row is that with the greatest arrival, and
     among equals that with the greatest numbers, so that it does not depend on how rows are dealt;
     deciding it shares the partitioning and sort of the windows that follow."""
     numbers = ["close", "high", "low", *(["volume"] if volume else [])]
@@ -54,7 +60,7 @@ def normalised(bars: DataFrame, *, volume: bool = True, arrival: str | None = No
     out = bars.withColumns({c: F.expr(f"try_cast({c} as double)") for c in numbers})
     out = out.withColumn("_next", F.lead("date").over(w)).filter("_next is null or _next <> date").drop("_next")
     for c in numbers:
-        out = out.filter(~F.isnan(c) & (F.col(c) >= 0 if c == "volume" else F.col(c) > 0))
+        out = out.filter(~F.isnan(c) & (F.col(c) > 0 if positive and c != "volume" else F.col(c) >= 0))
     return out
 
 

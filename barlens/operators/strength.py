@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.config import Strength
-from barlens.operators.bars import require
+from barlens.operators.bars import quotient, require
 
 
 @dataclass(frozen=True)
@@ -31,11 +31,11 @@ class Carried:
         return self.symbols.select("symbol", F.inline("recent"))
 
 
-def _numbered(bars: DataFrame, carried: Carried | None = None) -> DataFrame:
-    """(symbol, date, session, close) of positive closes. There is one row per session in the numbering,
+def _numbered(bars: DataFrame, config: Strength, carried: Carried | None = None) -> DataFrame:
+    """(symbol, date, session, close) of positive closes, or of all. There is one row per session in the numbering,
     which the calendar bounds."""
     require(bars, ("symbol", "date", "close"))
-    prices = bars.select("symbol", "date", F.expr("try_cast(close as double)").alias("close")).filter("close > 0 and not isnan(close)")
+    prices = bars.select("symbol", "date", F.expr("try_cast(close as double)").alias("close")).filter("close > 0 and not isnan(close)" if config.positive else "close is not null")
     sessions = prices.select("date").distinct().withColumn("session", F.row_number().over(Window.orderBy("date")))
     if carried:
         sessions = sessions.crossJoin(F.broadcast(carried.last.select(F.col("session").alias("_before")))).select("date", (F.col("session") + F.col("_before")).alias("session"))
@@ -49,10 +49,10 @@ def _symbol() -> Window:
 def returns(bars: DataFrame, config: Strength = Strength(), carried: Carried | None = None) -> DataFrame:
     """(symbol, date, session, close, return_63 and the like, composite_return); any missing part leaves it null."""
     w = _symbol()
-    numbered = _numbered(bars, carried)
+    numbered = _numbered(bars, config, carried)
     if carried:
         numbered = numbered.withColumn("_new", F.lit(True)).unionByName(carried.bars().withColumn("_new", F.lit(False)))
-    parts = {f"return_{k}": F.col("close") / F.first("close").over(w.rangeBetween(-k, -k)) - 1 for k, _ in config.lookbacks}
+    parts = {f"return_{k}": quotient(F.col("close"), F.first("close").over(w.rangeBetween(-k, -k))) - 1 for k, _ in config.lookbacks}
     total = None
     for k, weight in config.lookbacks:
         part = F.col(f"return_{k}") * weight
@@ -67,18 +67,27 @@ def benchmark(returned: DataFrame, config: Strength = Strength(), carried: Carri
 
     With pad_gaps a symbol without a bar counts with a return of zero from its second session on; the
     number of those is a running sum of first sessions, so that no grid is needed. Else only symbols with
-    bars on a session and the one before count.
+    bars on a session and the one before count. A padded close of zero has no return: zeros are closes of zero, kept those
+    that have a bar on the next session, and where some have none the benchmark is not a number from there on.
     """
-    moved = F.col("close") / F.col("before_close") - 1
-    counted = moved if config.pad_gaps else F.when(F.col("before_session") == F.col("session") - 1, moved)
-    per_session = returned.groupBy("date", "session").agg(F.sum(counted).alias("total"), F.count(counted).alias("observed"), F.sum(F.when(F.col("before_session").isNull(), 1).otherwise(0)).alias("started"))
+    moved = quotient(F.col("close"), F.col("before_close")) - 1
+    follows = F.col("before_session") == F.col("session") - 1
+    counted = moved if config.pad_gaps else F.when(follows, moved)
+    per_session = returned.groupBy("date", "session").agg(
+        F.sum(counted).alias("total"), F.count(counted).alias("observed"), F.sum(F.when(F.col("before_session").isNull(), 1).otherwise(0)).alias("started"),
+        F.count_if(F.col("close") == 0).alias("zeros"), F.count_if(follows & (F.col("before_close") == 0)).alias("kept"),
+    )
     per_session = per_session.withColumn("factor", F.lit(None).cast("double"))
     if carried:
-        per_session = per_session.unionByName(carried.last.select("date", "session", F.lit(None).cast("double").alias("total"), F.lit(0).cast("long").alias("observed"), F.col("known").alias("started"), F.col("benchmark").alias("factor")))
+        zeros = carried.bars().filter("close = 0").groupBy("session").agg(F.count(F.lit(1)).alias("zeros"))
+        last = carried.last.select("date", "session", F.lit(None).cast("double").alias("total"), F.lit(0).cast("long").alias("observed"), F.col("known").alias("started"), F.col("benchmark").alias("factor"))
+        per_session = per_session.unionByName(last.join(zeros, "session", "left").withColumns({"zeros": F.coalesce("zeros", F.lit(0)), "kept": F.lit(0).cast("long")}))
     w = Window.orderBy("session")
     until = w.rowsBetween(Window.unboundedPreceding, 0)
     known = F.sum("started").over(w.rowsBetween(Window.unboundedPreceding, -1)) if config.pad_gaps else F.col("observed")
     mean = F.coalesce(F.col("total"), F.lit(0.0)) / F.nullif(known, F.lit(0))
+    if config.pad_gaps and not config.positive:
+        mean = F.when(F.lag("zeros").over(w) > F.col("kept"), float("nan")).otherwise(mean)
     factor = F.coalesce("factor", 1 + F.coalesce("mean", F.lit(0.0)))
     marks = per_session.withColumn("mean", mean).select("date", "session", F.product(factor).over(until).alias("benchmark"), F.sum("started").over(until).alias("known"), F.col("factor").isNull().alias("_new"))
     return marks.filter("_new").drop("_new")
@@ -89,7 +98,7 @@ def lines(bars: DataFrame, config: Strength = Strength(), carried: Carried | Non
     earlier values while the price is under its own. After a session without a bar it is false."""
     returned = returns(bars, config, carried)
     marks = benchmark(returned, config, carried).select("date", "benchmark", "known")
-    lined = returned.join(marks, "date").withColumn("rs_line", F.col("close") / F.col("benchmark"))
+    lined = returned.join(marks, "date").withColumn("rs_line", quotient(F.col("close"), F.col("benchmark")))
     earlier = _symbol().rowsBetween(Window.unboundedPreceding, -1)
     top_line, top_close = F.max("rs_line").over(earlier), F.max("close").over(earlier)
     if carried:

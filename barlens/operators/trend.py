@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlens.config import Trend, TrendPeriods
-from barlens.operators.bars import from_end, last_bar, normalised
+from barlens.operators.bars import from_end, last_bar, normalised, quotient
 
 CRITERIA = (
     "price_above_150_and_200_ma", "ma_150_above_200", "ma_200_trending_up", "ma_50_above_150_and_200", "price_above_50_ma",
@@ -15,7 +15,7 @@ CRITERIA = (
 MEASURES = ("bar_count", "close", "ma_short", "ma_medium", "ma_long", "ma_long_prior", "low_year", "high_year")
 
 
-def history(bars: DataFrame, periods: TrendPeriods) -> DataFrame:
+def history(bars: DataFrame, periods: TrendPeriods, positive: bool = True) -> DataFrame:
     """The measures at every bar, from row frames over one window."""
     w = last_bar()
     n = F.row_number().over(w)
@@ -23,7 +23,7 @@ def history(bars: DataFrame, periods: TrendPeriods) -> DataFrame:
     def rolling(fn, column: str, length: int) -> Column:
         return F.when(n >= length, fn(column).over(w.rowsBetween(1 - length, 0)))
 
-    out = normalised(bars, volume=False).select(
+    out = normalised(bars, volume=False, positive=positive).select(
         "symbol", "date", "close", n.alias("bar_count"),
         rolling(F.avg, "close", periods.short).alias("ma_short"), rolling(F.avg, "close", periods.medium).alias("ma_medium"), rolling(F.avg, "close", periods.long).alias("ma_long"),
         rolling(F.min, "low", periods.year).alias("low_year"), rolling(F.max, "high", periods.year).alias("high_year"),
@@ -31,10 +31,10 @@ def history(bars: DataFrame, periods: TrendPeriods) -> DataFrame:
     return out.withColumn("ma_long_prior", F.lag("ma_long", periods.month).over(w))
 
 
-def latest(bars: DataFrame, periods: TrendPeriods) -> DataFrame:
+def latest(bars: DataFrame, periods: TrendPeriods, positive: bool = True) -> DataFrame:
     """The measures at each symbol's last bar: bars are numbered from the end and aggregated once, so that
     no frame slides over the history."""
-    b = normalised(bars, volume=False).withColumn("_k", from_end(last_bar()))
+    b = normalised(bars, volume=False, positive=positive).withColumn("_k", from_end(last_bar()))
 
     def over(fn, column: str, length: int, skip: int = 0) -> Column:
         inside = (F.col("_k") > skip) & (F.col("_k") <= skip + length)
@@ -82,8 +82,8 @@ def template(measures: DataFrame, config: Trend = Trend(), ratings: DataFrame |
             "meets_gate": (F.col("passed_count") >= config.gate_passes) & (F.col("evaluated_count") == len(CRITERIA)),
             "minimum_history_available": F.col("technical_evaluated") == 7,
             "all_criteria_evaluated": F.col("evaluated_count") == len(CRITERIA),
-            "percent_above_low": (price / F.nullif(F.col("low_year"), F.lit(0.0)) - 1),
-            "percent_below_high": (1 - price / F.nullif(F.col("high_year"), F.lit(0.0))),
+            "percent_above_low": quotient(price, F.col("low_year")) - 1,
+            "percent_below_high": 1 - quotient(price, F.col("high_year")),
         }
     ).drop("technical_evaluated")
 

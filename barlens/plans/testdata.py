@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlens.operators.bars import last_bar
@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """As DuckDB rounds doubles: what is scaled is rounded, and kept as it is where scaling overflows."""
+    scaled = value * float(10**digits)
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / float(10**digits)).otherwise(value)
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder for files that a query writes and reads again, in the place that executors share; only a local
     session without one gets a temporary folder."""
@@ -42,7 +48,7 @@ def bars(spark: SparkSession, sf_dir: str, market: str = "supplier") -> DataFram
     )
     steps = F.sum("k").over(last_bar().rowsBetween(Window.unboundedPreceding, 0))
     p = days.withColumn("ck", steps).select(
-        "symbol", "date", F.round(100 * F.exp(0.004 * (F.col("ck") - F.col("k"))), 4).alias("open"), F.round(100 * F.exp(0.004 * F.col("ck")), 4).alias("close"), "tx", "tn", "volume"
+        "symbol", "date", rounded(100 * F.exp(0.004 * (F.col("ck") - F.col("k"))), 4).alias("open"), rounded(100 * F.exp(0.004 * F.col("ck")), 4).alias("close"), "tx", "tn", "volume"
     )
     split = (F.substring("symbol", 2, 10).cast("int") % 7 == 0) & (F.col("date") < F.lit(SPLIT_DATE).cast("date"))
     return p.select(

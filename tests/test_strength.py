@@ -52,3 +52,50 @@ def test_universe_size_and_empty(spark):
     r = strength.ratings(bars(spark, range(100, 110), "A"), SHORT)
     assert {x.universe_size for x in r.collect()} == {1} and {x.rating for x in r.collect()} == {99}
     assert strength.ratings(bars(spark, [1.0], "A").filter("false"), SHORT).isEmpty()
+
+
+def test_closes_of_zero_count_as_in_the_sql(spark):
+    """Zeros with and without a bar on the next session, over the SQL's dense grid, at once and from night to night."""
+    import duckdb
+
+    from barlens.plans.oracles import STRENGTH
+
+    every = Strength(lookbacks=Strength().lookbacks, positive=False)
+    start, rows = dt.date(2020, 1, 1), []
+    rng = np.random.default_rng(5)
+    for s in "ABCD":
+        for d, close in enumerate(np.round(100 * np.exp(np.cumsum(rng.normal(0, 0.05, 330))), 2)):
+            zero = (s == "B" and 280 <= d < 283) or (s == "C" and 299 <= d < 302)
+            if not (s == "C" and d in (302, 303)) and not (s == "D" and d % 40 == 7):
+                rows.append((s, start + dt.timedelta(days=d), 0.0 if zero else float(close)))
+    frame = spark.createDataFrame(rows, "symbol string, date date, close double").persist()
+    con = duckdb.connect()
+    con.sql("CREATE TABLE adj (symbol VARCHAR, date DATE, close DOUBLE)")
+    con.executemany("INSERT INTO adj VALUES (?, ?, ?)", rows)
+    sql = f"WITH {STRENGTH} SELECT symbol, date, composite_return, rating, rs_line, rs_line_new_high, universe_size FROM ratings"
+    expected = {(r[0], r[1]): r[2:] for r in con.sql(sql).fetchall()}
+
+    def check(ratings, since):
+        got = {(r.symbol, r.date): (r.composite_return, r.rating, r.rs_line, r.rs_line_new_high, r.universe_size) for r in ratings.collect()}
+        want = {k: v for k, v in expected.items() if k[1] > since}
+        assert got.keys() == want.keys() and got
+        for k, e in want.items():
+            assert got[k][0] == pytest.approx(e[0], nan_ok=True) and got[k][2] == pytest.approx(e[2], nan_ok=True) and (got[k][1], *got[k][3:]) == (e[1], *e[3:]), k
+
+    check(strength.ratings(frame, every), start)
+    for night in (280, 301, 302):
+        until = start + dt.timedelta(days=night)
+        carried = strength.carry(strength.lines(frame.filter(frame.date <= until), every), every)
+        check(strength.ratings(frame.filter(frame.date > until), every, carried), until)
+
+
+def test_rounded_as_the_sql_rounds(spark):
+    from pyspark.sql import functions as F
+
+    from barlens.plans.testdata import rounded
+
+    values = [19.60965, -19.60965, 1.00005, 70335036569002.44, 1e306, float("inf"), None]
+    got = [r.x for r in spark.createDataFrame([(v,) for v in values], "x double").select(rounded(F.col("x"), 4).alias("x")).collect()]
+    import duckdb
+
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 4)", [v]).fetchall()[0][0] for v in values] and got[0] == 19.6096
