@@ -93,6 +93,7 @@ class Contraction:
     pivot_proximity: float = 0.05
     breakout_lookback: int = 20
     breakout_multiple: float = 1.40
+    positive: bool = True  # bars with a price of zero are left out
 
 
 @dataclass(frozen=True)
@@ -103,6 +104,7 @@ class Volume:
     spike_proximity: float = 0.05
     spike_average_sessions: int = 20
     spike_multiple: float = 1.40
+    positive: bool = True  # bars with a price of zero are left out
 
 
 @dataclass(frozen=True)

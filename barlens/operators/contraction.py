@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.config import Contraction
-from barlens.operators.bars import from_end, normalised
+from barlens.operators.bars import from_end, normalised, quotient
 
 
 def lookback(weekly: DataFrame, config: Contraction = Contraction()) -> DataFrame:
     """The last weeks of each symbol: i from 0, n weeks in all, and cv, the volume up to and with each week.
     Symbols with too short a history for any swing are left out."""
     up = Window.partitionBy("symbol").orderBy("date")
-    last = normalised(weekly).withColumn("_k", from_end(up)).filter(F.col("_k") <= config.lookback_weeks)
+    last = normalised(weekly, positive=config.positive).withColumn("_k", from_end(up)).filter(F.col("_k") <= config.lookback_weeks)
     place = F.row_number().over(up)
     out = last.select(
         "symbol", "date", "close", "high", "low", "volume", (place - 1).alias("i"), (F.col("_k") + place - 1).cast("int").alias("n"),
@@ -68,7 +68,7 @@ def contractions(alternating: DataFrame, by: Keys = SYMBOL) -> DataFrame:
     order = Window.partitionBy(*by).orderBy("start_i")
     out = pairs.select(
         *by, F.col("i").alias("start_i"), F.col("date").alias("start_date"), F.col("price").alias("start_high"), F.col("low_date"), F.col("low_price").alias("low"),
-        ((F.col("price") - F.col("low_price")) / F.col("price")).alias("depth_fraction"),
+        quotient(F.col("price") - F.col("low_price"), F.col("price")).alias("depth_fraction"),
         ((F.col("low_cv") - F.col("cv") + F.col("volume")) / (F.col("low_i") - F.col("i") + 1)).alias("average_volume"),
     )
 
@@ -117,14 +117,14 @@ def daily_confirmation(daily: DataFrame, pivots: DataFrame, config: Contraction
     """(symbol, and the confirmation of a pivot by the last daily bars) for symbols with both."""
     up = Window.partitionBy("symbol").orderBy("date")
     window = max(config.daily_lookback, config.breakout_lookback + 1)
-    last = normalised(daily).withColumn("k", from_end(up)).filter(F.col("k") <= window)
+    last = normalised(daily, positive=config.positive).withColumn("k", from_end(up)).filter(F.col("k") <= window)
     recent = F.col("k") <= config.daily_lookback
     top = last.withColumn("anchor", F.last("close").over(up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    tight = recent & (F.abs(F.col("close") - F.col("anchor")) / F.col("anchor") <= config.tight_tolerance)
+    tight = recent & (quotient(F.abs(F.col("close") - F.col("anchor")), F.col("anchor")) <= config.tight_tolerance)
     low = F.min(F.when(recent, F.col("close")))
     m = top.groupBy("symbol").agg(
         F.max("date").alias("as_of_date"), F.max("anchor").alias("price"), F.max(F.when(F.col("k") == 1, F.col("volume"))).alias("latest_volume"),
-        F.sum(F.when(tight, 1).otherwise(0)).cast("int").alias("tight_close_count"), ((F.max(F.when(recent, F.col("close"))) - low) / low).alias("close_range"),
+        F.sum(F.when(tight, 1).otherwise(0)).cast("int").alias("tight_close_count"), quotient(F.max(F.when(recent, F.col("close"))) - low, low).alias("close_range"),
         F.avg(F.when((F.col("k") > 1) & (F.col("k") <= config.breakout_lookback + 1), F.col("volume"))).alias("average_volume"),
     )
     m = m.join(pivots.filter("pivot_price is not null").select("symbol", "pivot_price"), "symbol")
@@ -133,7 +133,7 @@ def daily_confirmation(daily: DataFrame, pivots: DataFrame, config: Contraction
 
 def _confirmed(config: Contraction) -> list[Column]:
     """What the measures of the last daily bars say about a pivot."""
-    distance = (F.col("price") - F.col("pivot_price")) / F.col("pivot_price")
+    distance = quotient(F.col("price") - F.col("pivot_price"), F.col("pivot_price"))
     return [
         distance.alias("distance_to_pivot_fraction"), (F.abs(distance) <= config.pivot_proximity).alias("near_pivot"), F.col("tight_close_count"), F.col("close_range").alias("tight_close_range_fraction"),
         ((F.col("tight_close_count") >= config.least_tight_closes) & (F.col("close_range") <= config.tight_tolerance)).alias("tight_closes_confirmed"),
@@ -169,7 +169,7 @@ def _looked_back_on(weekly: DataFrame, config: Contraction) -> tuple[DataFrame,
     """(weeks, raw): the weeks with enough history, and raw swings once for each week whose look back has them: a
     swing needs swing_window weeks on either side, and is in no more weeks than the look back is long."""
     k, w = config.swing_window, Window.partitionBy("symbol").orderBy("date")
-    numbered = normalised(weekly).select(
+    numbered = normalised(weekly, positive=config.positive).select(
         "symbol", "date", "close", "high", "low", "volume", (F.row_number().over(w) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("symbol")).cast("int").alias("n"),
         F.sum("volume").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cv"),
     )
@@ -185,11 +185,11 @@ def _confirmation_by_bar(daily: DataFrame, config: Contraction) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("date")
     recent = w.rowsBetween(-(config.daily_lookback - 1), 0)
     close = F.col("close")
-    tight = sum((F.when(F.abs(F.lag("close", k).over(w) - close) / close <= config.tight_tolerance, 1).otherwise(0) for k in range(1, config.daily_lookback)), F.lit(1))
+    tight = sum((F.when(quotient(F.abs(F.lag("close", k).over(w) - close), close) <= config.tight_tolerance, 1).otherwise(0) for k in range(1, config.daily_lookback)), F.lit(1))
     low = F.min("close").over(recent)
-    return normalised(daily).select(
+    return normalised(daily, positive=config.positive).select(
         "symbol", "date", F.date_add(F.date_trunc("week", "date").cast("date"), 4).alias("friday"), close.alias("price"), F.col("volume").alias("latest_volume"), tight.cast("int").alias("tight_close_count"),
-        ((F.max("close").over(recent) - low) / low).alias("close_range"), F.avg("volume").over(w.rowsBetween(-config.breakout_lookback, -1)).alias("average_volume"),
+        quotient(F.max("close").over(recent) - low, low).alias("close_range"), F.avg("volume").over(w.rowsBetween(-config.breakout_lookback, -1)).alias("average_volume"),
     )
 
 

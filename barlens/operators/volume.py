@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.config import Volume
-from barlens.operators.bars import from_end, normalised
+from barlens.operators.bars import from_end, normalised, quotient
 
 
 def _with_line(bars: DataFrame, config: Volume, carried: DataFrame | None = None) -> DataFrame:
@@ -16,7 +16,7 @@ def _with_line(bars: DataFrame, config: Volume, carried: DataFrame | None = None
     until = w.rowsBetween(Window.unboundedPreceding, 0)
     span = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
     flow = F.coalesce(((F.col("close") - F.col("low")) - (F.col("high") - F.col("close"))) / span, F.lit(0.0)) * F.col("volume")
-    rows = normalised(bars).select("symbol", "date", "close", "high", "low", "volume", flow.alias("_flow"), F.lit(1).alias("_new"))
+    rows = normalised(bars, positive=config.positive).select("symbol", "date", "close", "high", "low", "volume", flow.alias("_flow"), F.lit(1).alias("_new"))
     if carried is not None:
         rows = rows.withColumns({"_line": F.lit(None).cast("double"), "_place": F.lit(None).cast("long")})
         before = carried.select("symbol", F.inline("recent")).withColumnsRenamed({"line": "_line", "place": "_place"})
@@ -54,7 +54,7 @@ def signals(bars: DataFrame, pivots: DataFrame | None = None, config: Volume = V
     change = F.when(F.col("back") <= config.up_down_sessions, F.col("close") - F.col("before_close"))
     spikes = (
         (F.col("back") <= config.spike_sessions) & (F.col("place") >= config.spike_average_sessions) & (F.col("close") > F.col("before_close"))
-        & (F.abs(F.col("close") - F.col("pivot_price_used")) / F.col("pivot_price_used") <= config.spike_proximity)
+        & (quotient(F.abs(F.col("close") - F.col("pivot_price_used")), F.col("pivot_price_used")) <= config.spike_proximity)
         & (F.col("average_before") > 0) & (F.col("volume") >= F.col("average_before") * config.spike_multiple)
     )
     best = F.max(F.when(spikes, F.struct(F.col("volume").alias("volume"), F.col("back").alias("back"), F.col("date").alias("date"), F.col("average_before").alias("average"))))

@@ -86,3 +86,45 @@ def test_neutral_values_and_caps(spark):
 def test_nothing_evaluated_scores_zero(spark):
     r = scored(spark, daily_rate=None, weekly_rate=None, stage=None, rating=None, has_pattern=None, has_volume=None)
     assert r.composite_score == 0.0 and not r.gate_passed
+
+
+def test_prices_of_zero_count_in_patterns_and_volume_as_in_the_sql(spark):
+    import datetime as dt
+    import math
+
+    import duckdb
+    import numpy as np
+
+    from barlens.config import Contraction, Volume
+    from barlens.operators import contraction, volume
+    from barlens.plans.oracles import PATTERN, volumes
+
+    rng = np.random.default_rng(8)
+    tables = {"adj": 1, "adj_weeks": 7}
+    con, frames = duckdb.connect(), {}
+    schema = "symbol string, date date, close double, high double, low double, volume bigint"
+    for name, step in tables.items():
+        rows = []
+        for k, s in enumerate("ABCDEF"):
+            prices = np.round(np.exp(np.cumsum(rng.normal(0, 1.5, 75))), 1) if k else np.zeros(75)
+            if k == 5:
+                prices[-12:] = 0.0
+            rows += [(s, dt.date(2024, 12, 27) - dt.timedelta(days=step * (74 - i)), float(p), float(p) * 1.01, float(p) * 0.99, int(rng.integers(1, 900))) for i, p in enumerate(prices)]
+        con.sql(f"CREATE TABLE {name} (symbol VARCHAR, date DATE, close DOUBLE, high DOUBLE, low DOUBLE, volume BIGINT)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?, ?, ?, ?, ?)", rows)
+        frames[name] = spark.createDataFrame(rows, schema).persist()
+
+    def plain(v):
+        return "nan" if isinstance(v, float) and math.isnan(v) else f"{v:.9g}" if isinstance(v, float) else v
+
+    def same(frame, sql):
+        rel = con.sql(sql)
+        got = sorted(repr([plain(r[c]) for c in rel.columns]) for r in frame.collect())
+        assert got == sorted(repr([plain(v) for v in r]) for r in rel.fetchall()) and len(got) == 6
+
+    found = contraction.detect(frames["adj_weeks"], frames["adj"], Contraction(positive=False), lists=False)
+    same(found, f"WITH {PATTERN} SELECT * FROM patterns")
+    pivots = frames["adj"].filter("date = date'2024-12-27'").select("symbol", "close").withColumnRenamed("close", "pivot_price")
+    signals = volume.signals(frames["adj"], pivots, Volume(positive=False)).drop("spike_date", "spike_volume")
+    lasts = "lasts AS (SELECT symbol, arg_max(close, date) AS pivot_price FROM adj GROUP BY symbol)"
+    same(signals, f"WITH {lasts}, {volumes('lasts')} SELECT * EXCLUDE (spike_date, spike_volume) FROM volumes")
