@@ -128,23 +128,29 @@ def train(
     return Weights(near[:, :n_classes], kind[kinds], file, move, word)
 
 
-def _viterbi(e: np.ndarray, move: np.ndarray, before: np.ndarray | None, after: np.ndarray | None) -> list[int]:
-    """The best labels of a run whose neighbours, if any, are outside."""
-    best = e[0] + (0 if before is None else before)
+def _best_paths(e: np.ndarray, move: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, opens: np.ndarray, closes: np.ndarray, labels: np.ndarray) -> None:
+    """Sets the best labels of runs of tokens whose neighbours are outside; none come before runs that open a text and
+    after those that close one. All runs take each step together,
+    the longest first, so that those that go on are the first ones."""
+    order = np.argsort(-lengths, kind="stable")
+    firsts, lengths, opens, closes = firsts[order], lengths[order], opens[order], closes[order]
+    best = e[firsts] + np.where(opens[:, None], 0, move[OUTSIDE])
+    going = np.searchsorted(-lengths, -np.arange(1, lengths[0]), side="left").tolist()  # runs longer than 1, 2, ...
     back = []
-    for t in range(1, len(e)):
-        through = best[:, None] + move
-        back.append(through.argmax(0))
-        best = through.max(0) + e[t]
-    last = int((best + (0 if after is None else after)).argmax())
-    path = [last]
-    for step in reversed(back):
-        path.append(int(step[path[-1]]))
-    return path[::-1]
+    for t, n in enumerate(going, 1):
+        through = best[:n, :, None] + move
+        back.append(through.argmax(1).astype(np.int8))
+        best[:n] = through.max(1) + e[firsts[:n] + t]
+    at = (best + np.where(closes[:, None], 0, move[:, OUTSIDE])).argmax(1)
+    for t, n in zip(range(len(going), 0, -1), reversed(going), strict=True):
+        labels[firsts[:n] + t] = at[:n]
+        at[:n] = back[t - 1][np.arange(n), at[:n]]
+    labels[firsts] = at
 
 
-def decode(w: Weights, e: np.ndarray) -> np.ndarray:
-    """The labels of the best path over emissions (tokens, labels).
+def decode(w: Weights, e: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """The labels of the best path over emissions (tokens, labels), of each of several texts one after the other where
+    the places are given at which they start.
 
     Where outside leads by more than any moves can make up for, every best path is outside, whatever its
     neighbours; so only the runs between such tokens need the dynamic programme, and the result is exact.
@@ -157,15 +163,17 @@ def decode(w: Weights, e: np.ndarray) -> np.ndarray:
     places = np.flatnonzero(possible)
     if not len(places):
         return labels
-    breaks = np.flatnonzero(np.diff(places) > 1) + 1
+    opening = np.zeros(len(e) + 1, bool)
+    opening[[0, len(e)]] = True
+    if starts is not None:
+        opening[starts] = True
+    breaks = np.flatnonzero((np.diff(places) > 1) | opening[places[1:]]) + 1
     firsts, lasts = places[np.concatenate([[0], breaks])], places[np.concatenate([breaks - 1, [len(places) - 1]])]
     # most runs are single tokens between two that are outside: those are all decided at once
-    single = firsts[(firsts == lasts) & (firsts > 0) & (firsts < len(e) - 1)]
+    opens, closes = opening[firsts], opening[lasts + 1]
+    longer = (firsts < lasts) | opens | closes
+    single = firsts[~longer]
     labels[single] = (e[single] + (move[OUTSIDE] + move[:, OUTSIDE])).argmax(1)
-    longer = (firsts < lasts) | (firsts == 0) | (lasts == len(e) - 1)
-    for a, last in zip(firsts[longer].tolist(), lasts[longer].tolist(), strict=True):
-        b = last + 1
-        before = move[OUTSIDE] if a > 0 else None
-        after = move[:, OUTSIDE] if b < len(e) else None
-        labels[a:b] = _viterbi(e[a:b], move, before, after)
+    if longer.any():
+        _best_paths(e, move, firsts[longer], (lasts - firsts + 1)[longer], opens[longer], closes[longer], labels)
     return labels

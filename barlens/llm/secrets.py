@@ -32,6 +32,8 @@ MAX_TRAINING_ROWS, TRAINING_TOKENS, MAX_TRAINING_BYTES = 1_000, 48, 16 << 20
 WORDS_A_PASSAGE = 120
 #: So large a share of made-up secrets stand behind a word that names none.
 UNNAMED = 0.15
+#: So many tokens are decoded at once, or one text that has more.
+DECODED_TOKENS = 1 << 16
 #: Words are told apart by so many hashes; further than so many tokens back a word is not looked for.
 N_WORDS, REACH = 1 << 12, 4
 
@@ -285,17 +287,42 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_r
     return crf.train(classes, words, files, labels, KINDS_OF_CLASSES, N_FILES, N_WORDS)
 
 
+def tagged_all(texts: list[str | None], weights: crf.Weights | None) -> list[list[tuple[int, int]]]:
+    """Spans of the runs of tokens that the field tags as secrets in each of some whole texts, which are decoded together,
+    about DECODED_TOKENS at once."""
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    if weights is None:
+        return out
+    places, emissions, n = [], [], 0
+
+    def decoded() -> None:
+        starts = np.cumsum([0, *map(len, emissions)])
+        labels = crf.decode(weights, np.concatenate(emissions), starts[:-1])
+        for i, a, b in zip(places, starts[:-1], starts[1:], strict=True):
+            if labels[a:b].any():
+                out[i] = _spans_of(texts[i], labels[a:b])
+
+    for i, text in enumerate(texts):
+        if not (tokens := _token.findall(text or "")):
+            continue
+        classes, words = features_of(tokens)
+        places.append(i)
+        emissions.append(weights.emissions(classes, words, file_class(classes)))
+        n += len(tokens)
+        if n >= DECODED_TOKENS:
+            decoded()
+            places, emissions, n = [], [], 0
+    if places:
+        decoded()
+    return out
+
+
 def tagged(text: str | None, weights: crf.Weights | None) -> list[tuple[int, int]]:
-    """Spans of the runs of tokens that the field tags as secrets in a whole text."""
-    if not text or weights is None:
-        return []
-    tokens = _token.findall(text)
-    if not tokens:
-        return []
-    classes, words = features_of(tokens)
-    labels = crf.decode(weights, weights.emissions(classes, words, file_class(classes)))
-    if not labels.any():
-        return []
+    """tagged_all() of one text."""
+    return tagged_all([text], weights)[0]
+
+
+def _spans_of(text: str, labels: np.ndarray) -> list[tuple[int, int]]:
     spans = [m.span() for m in _token.finditer(text)]
     out: list[tuple[int, int]] = []
     before = -2
@@ -311,7 +338,10 @@ def tagged(text: str | None, weights: crf.Weights | None) -> list[tuple[int, int
 
 def all_spans(text: str | None, weights: crf.Weights | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """The base spans, and the spans of the field that share no character with any of them."""
-    base = base_spans(text)
+    return _apart(base_spans(text), tagged(text, weights))
+
+
+def _apart(base: list[tuple[str, int, int]], found: list[tuple[int, int]]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     joined: list[list[int]] = []  # the base by start, without overlaps
     for _, a, b in base:
         if joined and a <= joined[-1][1]:
@@ -319,7 +349,7 @@ def all_spans(text: str | None, weights: crf.Weights | None) -> tuple[list[tuple
         else:
             joined.append([a, b])
     starts, ends = [a for a, _ in joined], [0, *(b for _, b in joined)]
-    return base, [("crf", a, b) for a, b in tagged(text, weights) if ends[bisect_right(starts, b - 1)] <= a]
+    return base, [("crf", a, b) for a, b in found if ends[bisect_right(starts, b - 1)] <= a]
 
 
 def spans(docs: DataFrame, weights: crf.Weights | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,7 +359,7 @@ def spans(docs: DataFrame, weights: crf.Weights | None, id_col: str = "doc_id",
     the same spans, an empty table gives an empty one; other columns are not read. Ids may be of any type.
     """
     def run(ids: list, texts: list) -> tuple[list, list]:
-        found = [all_spans(t, weights) for t in texts]
+        found = [_apart(base_spans(t), more) for t, more in zip(texts, tagged_all(texts, weights), strict=True)]
         as_rows = lambda spans: [{"kind": k, "start": a, "stop": b} for k, a, b in spans]
         return [as_rows(base) for base, _ in found], [as_rows(more) for _, more in found]
 

@@ -348,3 +348,25 @@ def test_field_gradients_are_those_of_the_likelihood():
         for a, b in itertools.pairwise(labels[r, :n].tolist()):
             true[a, b] += 1
     assert (expected - true) / 11 + 0.02 * w.move == pytest.approx(np.zeros((3, 3)), abs=2e-3)
+
+
+def test_texts_are_decoded_together_as_one_by_one():
+    rng = np.random.default_rng(11)
+    move = rng.normal(0, 1, (3, 3))
+    w = crf.Weights(np.zeros((4, 1, 3)), np.zeros((1, 3)), np.zeros((1, 3)), move, np.zeros((2, 1, 3)))
+    parts = [rng.normal(0, 3, (n, 3)) + np.array([rng.choice([0, 3]), 0, 0]) for n in (1, 2, 40, 1, 7, 300, 3)]
+    starts = np.cumsum([0, *map(len, parts)])[:-1]
+    together = crf.decode(w, np.concatenate(parts), starts)
+
+    def plain(e):
+        best, back = e[0], []
+        for t in range(1, len(e)):
+            through = best[:, None] + move
+            back.append(through.argmax(0))
+            best = through.max(0) + e[t]
+        path = [int(best.argmax())]
+        for step in reversed(back):
+            path.append(int(step[path[-1]]))
+        return path[::-1]
+
+    assert together.tolist() == [y for e in parts for y in plain(e)] and set(together) == {0, 1, 2}
