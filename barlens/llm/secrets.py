@@ -297,7 +297,7 @@ def tagged_all(texts: list[str | None], weights: crf.Weights | None) -> list[lis
 
     def decoded() -> None:
         starts = np.cumsum([0, *map(len, emissions)])
-        labels = crf.decode(weights, np.concatenate(emissions), starts[:-1])
+        labels = crf.decode(weights, emissions[0]) if len(emissions) == 1 else crf.decode(weights, np.concatenate(emissions), starts[:-1])
         for i, a, b in zip(places, starts[:-1], starts[1:], strict=True):
             if labels[a:b].any():
                 out[i] = _spans_of(texts[i], labels[a:b])
