@@ -291,12 +291,9 @@ def _homes(leads: DataFrame) -> DataFrame:
     return spread_join(both, degrees, ["home"]).groupBy("cid").agg(F.max(F.struct("degree", "home", "n", "delta")).alias("h")).select("cid", "h.home", "h.n", "h.delta")
 
 
-def _at_home(homes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(x, y): the links between sets of one home and different labels.
-
-    With d the differences from the home, two sets are |d1| + |d2| - 2 |d1 and d2| apart. If d1 and d2 share nothing, a
-    link is one to the home as well, and the sets have one label. So only sets whose differences share a shingle are
-    looked at, under each of these, and how many they share says how far apart they are: no set is read again."""
+def _shared_differences(homes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cid, home, n, label, size, shared): the size of each set's difference from its home, and the shingles of it that sets of
+    other labels at this home have as well, sorted, those first that few sets have."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,13 +303,46 @@ def _at_home(homes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     placed = spread_join(homes, labels, ["cid"], "left").withColumn("label", F.coalesce("label", "cid"))
     rows = placed.select("cid", "home", "n", "label", "delta").mapInArrow(unpack, "cid long, home long, n long, label long, d array<long>")
     rows = rows.select("cid", "home", "n", "label", F.size("d").alias("size"), F.explode("d").alias("token"))
-    several = cut(rows.groupBy("home", "token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("home", "token"))
-    rows = cut(spread_join(rows, several, ["home", "token"]))
-    left, right = (rows.select("home", "token", *(F.col(c).alias(f"{c}{k}") for c in ("cid", "n", "label", "size"))) for k in (1, 2))
+    counts = rows.groupBy("home", "token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("sets"))
+    several = cut(counts.filter("l0 <> l1").select("home", "token", "sets"))
+    shared = spread_join(rows, several, ["home", "token"]).groupBy("cid", "home", "n", "label", "size").agg(F.array_sort(F.collect_list(F.struct("sets", "token"))).alias("s"))
+    return cut(shared.select("cid", "home", "n", "label", "size", F.col("s.token").alias("shared")))
+
+
+def _met_at_home(placed: DataFrame, percent: int) -> DataFrame:
+    """(x, y, n1, n2, size1, size2): pairs of sets of one home and different labels that may be linked; once.
+
+    Two sets that are apart by D at most share (size1 + size2 - D) / 2 shingles of their differences at least. In one order of
+    all shingles, the first that they share is then among the first D / 2 + 1 of the smaller difference and the first D + 1
+    of the other, and as many must be left behind it in both. What no other label has comes first in that order."""
+    most = F.floor(F.col("n") * (100 - percent) / F.lit(percent)).cast("long")  # of D, over all sizes that n can be linked to
+    alone = F.col("size") - F.size("shared")
+
+    def first(k: int, length: Column) -> DataFrame:
+        kept = placed.withColumn("_length", (length - alone).cast("int")).filter("_length > 0")
+        rows = kept.select("home", "cid", "n", "label", "size", alone.alias("alone"), F.posexplode(F.slice("shared", 1, F.col("_length"))).alias("at", "token"))
+        return rows.select("home", "token", *(F.col(c).alias(f"{c}{k}") for c in ("cid", "n", "label", "size")), (F.col("size") - F.col("alone") - F.col("at")).alias(f"left{k}"))
+
+    smaller, larger = first(1, F.floor(most / 2) + 1), first(2, most + 1)
     allowed = (F.col("n1") + F.col("n2")) * (100 - percent)
-    met = left.hint("shuffle_merge").join(right, ["home", "token"]).filter((F.col("cid1") < F.col("cid2")) & (F.col("label1") != F.col("label2")) & (F.abs(F.col("size1") - F.col("size2")) * (100 + percent) <= allowed))
-    shared = met.groupBy("cid1", "cid2", "n1", "n2", "size1", "size2").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.filter((F.col("size1") + F.col("size2") - 2 * F.col("shared")) * (100 + percent) <= allowed).select(F.col("cid1").alias("x"), F.col("cid2").alias("y"))
+    order = (F.col("size1") < F.col("size2")) | ((F.col("size1") == F.col("size2")) & (F.col("cid1") < F.col("cid2")))
+    enough = (F.col("size1") + F.col("size2") - 2 * F.least("left1", "left2")) * (100 + percent) <= allowed
+    met = smaller.hint("shuffle_merge").join(larger, ["home", "token"]).filter(order & (F.col("label1") != F.col("label2")) & enough)
+    return met.select(F.col("cid1").alias("x"), F.col("cid2").alias("y"), "n1", "n2", "size1", "size2").distinct()
+
+
+def _at_home(homes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(x, y): the links between sets of one home and different labels.
+
+    With d the differences from the home, two sets are |d1| + |d2| - 2 |d1 and d2| apart. If d1 and d2 share nothing, a
+    link is one to the home as well, and the sets have one label. So only sets whose differences share one of their
+    rarest shingles are looked at, and how many they share says how far apart they are: no set is read again."""
+    placed = _shared_differences(homes, labels)
+    both = _met_at_home(placed, percent)
+    for k, side in ((1, "x"), (2, "y")):
+        both = spread_join(both, placed.select(F.col("cid").alias(side), F.col("shared").alias(f"s{k}")), [side])
+    apart = F.col("size1") + F.col("size2") - 2 * F.size(F.array_intersect("s1", "s2"))
+    return both.filter(_linked(apart, percent)).select("x", "y")
 
 
 def _labels(links: DataFrame, hops: int = 2) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from llm_odd import ODD
 from pyspark.sql import functions as F
@@ -107,3 +108,21 @@ def test_bands_of_sets_that_can_be_linked_are_neighbours(spark):
     sizes = spark.range(1, 3000).select(F.col("id").alias("n1"), F.ceil(F.col("id") * 10 / 9).alias("top"))
     far = sizes.select("n1", F.floor(F.col("n1") * 10 / 9).alias("n2")).filter(jaccard.band(F.col("n2"), 90) - jaccard.band(F.col("n1"), 90) > 1)
     assert far.isEmpty()
+
+
+def test_differences_meet_by_their_rarest_shingles(spark):
+    """Sets of one home that all lack the same shingles of it, each with many of its own: few pairs are looked at, and no link is lost."""
+    chance, n, size, rows = random.Random(5), 200, 100, []
+    for k in range(n):
+        like = k - k % 20 if k % 20 < 3 else k  # a few differ from each other in two shingles only
+        own = [10_000 + 100 * like + j for j in range(7)]
+        lost = random.Random(like).sample(range(12), 7)
+        rows.append((k, set(own[:-1] + [own[-1] + k - like] + lost)))
+    chance.shuffle(rows)
+    homes = spark.createDataFrame([(k, 999, size, bytearray(np.array(sorted(d), np.int64).tobytes())) for k, d in rows], "cid long, home long, n long, delta binary").repartition(3)
+    labels = spark.createDataFrame([], "cid long, label long")
+    pairs = [(x, y, len(d & e), len(d ^ e)) for x, d in rows for y, e in rows if x < y]
+    met = jaccard._met_at_home(jaccard._shared_differences(homes, labels), 90).count()
+    assert met < sum(shared > 0 for _, _, shared, _ in pairs) / 20
+    links = {(x, y) for x, y, _, apart in pairs if apart * 190 <= 2 * size * 10}
+    assert links and {tuple(sorted(r)) for r in jaccard._at_home(homes, labels, 90).collect()} == links
