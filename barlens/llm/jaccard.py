@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
@@ -37,7 +37,6 @@ from barlens.llm.graph import components
 
 SHINGLE_WORDS, PERCENT = 3, 90
 BUCKET_BITS, SLOTS = 20, 64  # of the counts that order shingles
-TOKEN_BYTES = 24  # of a number in a broadcast table
 LEADERS = 8  # of the sets under one shingle
 NEAR = 4  # sets that differ in no more than such a part of both sizes can share a home
 CHUNK = 256  # sets that are compared with one copy of a hub
@@ -161,17 +160,19 @@ def _leads(entries: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("cid", "y").alias("x"), F.greatest("cid", "y").alias("y")).distinct()
 
 
-def _shared_by(entries: DataFrame, what: str) -> DataFrame:
-    """Entries of the shingles that stand under several values of a column."""
-    several = cut(entries.groupBy("token").agg(F.min(what).alias("c0"), F.max(what).alias("c1")).filter("c0 <> c1").select("token"))
-    small = several.count() * TOKEN_BYTES < BROADCAST_BYTES
-    return cut(entries.join(F.broadcast(several) if small else several.hint("shuffle_merge"), "token", "left_semi"))
+def _shared_by(entries: DataFrame, *what: str) -> DataFrame:
+    """Entries of the shingles that stand under several values of each of these columns. They are dealt by shingle once, as
+    nearly each shingle of a large corpus stands alone, so that counts made before would be as many rows again."""
+    same = Window.partitionBy("token")
+    ends = {f"_{end.__name__}_{c}": end(c).over(same) for c in what for end in (F.min, F.max)}
+    several = entries.withColumns(ends).filter(" and ".join(f"_min_{c} <> _max_{c}" for c in what))
+    return cut(several.drop(*ends))
 
 
 def _across(entries: DataFrame, percent: int) -> DataFrame:
     """(x, y, n1, n2): pairs of sets of different labels (column comp) and homes that share a shingle within the bounds, with
     their sizes; once."""
-    entries = _shared_by(_shared_by(entries.withColumn("band", band(F.col("n"), percent)), "comp"), "home")
+    entries = _shared_by(entries, "comp", "home").withColumn("band", band(F.col("n"), percent))
     blocks = entries.select("token", "comp", "home", "n", "pos", "band").distinct()
     left = blocks.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("comp").alias("c1"), F.col("home").alias("h1"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
     right = blocks.select("token", "band", F.col("comp").alias("c2"), F.col("home").alias("h2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
@@ -365,8 +366,8 @@ def connected(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> Dat
     leads = _compared(docs, sets, cut(_possible(with_tokens, asked, percent)), words)
     labels = _labels(leads.filter(_linked(F.col("apart"), percent)))
     homes = cut(_homes(leads))
-    placed = spread_join(entries, labels, ["cid"], "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
-    placed = spread_join(placed, homes.select("cid", "home"), ["cid"], "left").withColumn("home", F.coalesce("home", "cid"))
+    known = labels.join(homes.select("cid", "home"), "cid", "full")
+    placed = spread_join(entries, known, ["cid"], "left").withColumns({"comp": F.coalesce("label", "cid"), "home": F.coalesce("home", "cid")}).drop("label")
     pairs = cut(_across(placed, percent).select("x", "y").join(asked, ["x", "y"], "left_anti"))
     compared = _compared(docs, sets, cut(_possible(with_tokens, pairs, percent)), words)
     linked = leads.unionByName(compared).filter(_linked(F.col("apart"), percent)).select("x", "y").unionByName(_at_home(homes, labels, percent))

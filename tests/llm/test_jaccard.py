@@ -91,6 +91,15 @@ def test_copies_and_near_copies_make_no_pairs_of_all(spark):
     assert {r[2] for r in rows_of(jaccard.groups(docs))} == {0}
 
 
+def test_entries_are_dealt_by_shingle_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "cut", lambda frame: frame)
+    rows = [(0, 1, 1, 5), (1, 1, 2, 5), (2, 2, 3, 5), (3, 1, 1, 6), (4, 1, 2, 6), (5, 1, 7, 7), (6, 2, 7, 7), (7, 1, 1, 8)]
+    found = jaccard._shared_by(spark.createDataFrame(rows, "cid long, comp long, home long, token long"), "comp", "home")
+    assert sorted(tuple(r) for r in found.collect()) == rows[:3]
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
 def test_sets_of_one_home_by_their_differences(spark):
     """Sets too far from their home to be linked to it, some of which are linked with each other."""
     chance, n = random.Random(12), 120
