@@ -30,6 +30,12 @@ def quotient(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.when(b == 0, over_zero))
 
 
+def above(a: Column, b: Column) -> Column:
+    """a > b by more than averages of a few hundred doubles lose to rounding, so that equal averages are equal in whatever
+    order they were summed."""
+    return (a > b) & (a - b > 1e-13 * F.abs(b))
+
+
 def adjusted(bars: DataFrame, universe: DataFrame | None = None, on: str = "date") -> DataFrame:
     """(symbol, date, close, high, low, volume) with prices on the scale of adj_close, of active symbols only.
 

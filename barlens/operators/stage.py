@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlens.config import Stage
+from barlens.operators.bars import above
 
 
 def classify(template: DataFrame, config: Stage = Stage()) -> DataFrame:
@@ -14,9 +15,9 @@ def classify(template: DataFrame, config: Stage = Stage()) -> DataFrame:
     slope = (lng - F.col("ma_long_prior")) / F.nullif(F.col("ma_long_prior"), F.lit(0.0))
     falling_or_flat = F.col("ma_long_slope") <= config.flat_slope
     stage = (
-        F.when((price > s) & (s > m) & (m > lng) & (F.col("ma_long_slope") > config.flat_slope) & (F.col("technical_passes") >= config.least_passes), 2)
-        .when((price < s) & (s < m) & (m < lng) & (F.col("ma_long_slope") < -config.flat_slope), 4)
-        .when(((price < s) & (falling_or_flat | (s <= m))) | ((price >= s * (1 + config.extended)) & falling_or_flat), 3)
+        F.when(above(price, s) & above(s, m) & above(m, lng) & (F.col("ma_long_slope") > config.flat_slope) & (F.col("technical_passes") >= config.least_passes), 2)
+        .when(above(s, price) & above(m, s) & above(lng, m) & (F.col("ma_long_slope") < -config.flat_slope), 4)
+        .when((above(s, price) & (falling_or_flat | ~above(s, m))) | (~above(s * (1 + config.extended), price) & falling_or_flat), 3)
         .otherwise(1)
     )
     known = price.isNotNull() & s.isNotNull() & m.isNotNull() & lng.isNotNull() & F.col("ma_long_slope").isNotNull()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlens.config import Trend, TrendPeriods
-from barlens.operators.bars import from_end, last_bar, normalised, quotient
+from barlens.operators.bars import above, from_end, last_bar, normalised, quotient
 
 CRITERIA = (
     "price_above_150_and_200_ma", "ma_150_above_200", "ma_200_trending_up", "ma_50_above_150_and_200", "price_above_50_ma",
@@ -59,11 +59,11 @@ def template(measures: DataFrame, config: Trend = Trend(), ratings: DataFrame |
     price, s, mid, lng = (F.col(c) for c in ("close", "ma_short", "ma_medium", "ma_long"))
     enough = lng.isNotNull()
     rules = (
-        F.when(enough, (price > mid) & (price > lng)),
-        F.when(enough, mid > lng),
-        F.when(F.col("ma_long_prior").isNotNull(), lng > F.col("ma_long_prior")),
-        F.when(enough, (s > mid) & (s > lng)),
-        F.when(enough, price > s),
+        F.when(enough, above(price, mid) & above(price, lng)),
+        F.when(enough, above(mid, lng)),
+        F.when(F.col("ma_long_prior").isNotNull(), above(lng, F.col("ma_long_prior"))),
+        F.when(enough, above(s, mid) & above(s, lng)),
+        F.when(enough, above(price, s)),
         F.when(F.col("low_year").isNotNull(), price >= F.col("low_year") * (1 + config.least_gain_from_low)),
         F.when(F.col("high_year").isNotNull(), price >= F.col("high_year") * (1 - config.most_decline_from_high)),
         F.when(F.col("rating").isNotNull(), F.col("rating") >= config.least_rating),

@@ -73,3 +73,11 @@ def test_stages(spark, values, expected):
 
 def test_stage_without_inputs_is_left_out(spark):
     assert stage.classify(row(spark, 100.0, 90.0, 80.0, None, None)).isEmpty()
+
+
+def test_a_price_at_its_averages_is_not_above_them(spark):
+    b = bars(spark, [0.1] * 260)
+    for m in (trend.latest(b, PERIODS["daily"]), trend.history(b, PERIODS["daily"])):
+        rows = trend.template(m).filter("bar_count > 221")
+        assert rows.select(*trend.CRITERIA[:5]).distinct().collect() == [(False,) * 5]
+        assert [tuple(r) for r in stage.classify(rows).select("stage", "price").distinct().collect()] == [(1, 0.1)]
